@@ -24,6 +24,31 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decklake.llm.license_scan import licenses
+
+    return licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decklake.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decklake.llm.url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decklake.llm.quality import quality
+
+    found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.col("quality_score").alias("score"), F.col("quality_keep").alias("keep"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,5 +68,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op7_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_toxicity, op5_urls, op6_quality, op7_bpe, op10_simhash)}
 ORACLE: dict[str, str] = {}
