@@ -2,8 +2,8 @@
 
 Two pruned bigram models, of toxic and of ordinary texts, share their backoff: the lowest order is one
 distribution of continuation counts (the number of distinct words before a word) over both classes. An n-gram
-is kept if either class shows it often enough to tell (``LEAST``); what absolute discounting and pruning take
-from a class goes to the shared counts, so rare expressions say nothing. A document's n-grams are joined to
+is kept if its counts tell the classes apart (a likelihood-ratio test, ``GAIN``); what absolute discounting and
+pruning take from a class goes to the shared counts, so rare expressions say nothing. A document's n-grams are joined to
 the table of log-ratios; the length-normalised sum is scaled to a probability on labelled rows that
 the counts did not use.
 """
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from decklake.llm.common import small_side, stored, whole_text
 
-#: Absolute discount; documents of a class that must hold an n-gram, or be expected to; labelled rows that fit the scale.
-DISCOUNT, LEAST, SCALE_ROWS = 0.75, 3.0, 20_000
+#: Absolute discount; documents that must hold a word for its pairs to count; test statistic from which an n-gram is
+#: kept (chi-square, 0.001); labelled rows that fit the scale.
+DISCOUNT, CUTOFF, GAIN, SCALE_ROWS = 0.75, 4, 10.83, 20_000
 _LOW = 0xFFFFFFFF
 
 
@@ -43,6 +44,10 @@ def _count(rows: DataFrame, key: Column) -> DataFrame:
     return counted.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
 
 
+def _parted(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("h", F.shiftrightunsigned("key", 32)).withColumn("w", F.col("key").bitwiseAND(F.lit(_LOW)))
+
+
 def train(labelled: DataFrame) -> DataFrame:
     """The model as ``(key, ratio)``, from ``labelled(text, toxic)``; texts that repeat with one label count once.
 
@@ -52,28 +57,26 @@ def train(labelled: DataFrame) -> DataFrame:
     rows = labelled.select(whole_text().alias("text"), F.col("toxic").cast("long").alias("toxic"))
     rows = stored(rows.select(word_keys(F.col("text")).alias("words"), "toxic").dropDuplicates(["words", "toxic"]), "toxicity-words")
     words = stored(_count(rows, F.col("words")), "toxicity-unigrams")
-    totals = words.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
+    totals = words.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum(F.when(F.col("t") + F.col("o") >= CUTOFF, F.col("t") + F.col("o"))).alias("common")).first()
     n_t, n_o = max(1, totals.t or 0), max(1, totals.o or 0)
     share = n_t / (n_t + n_o)
-    telling = (F.col("t") >= LEAST) | ((F.col("t") + F.col("o")) * share >= LEAST)
-    kept = stored(words.where(telling), "toxicity-kept")
+    each = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("t") + F.col("o")) * p))).otherwise(0.0)
+    telling = 2 * (each("t", share) + each("o", 1 - share)) >= GAIN
+    common = stored(words.where(F.col("t") + F.col("o") >= CUTOFF), "toxicity-common")
 
-    lookup = small_side(kept.select("key"))
+    lookup = small_side(common.select("key"))
     pairs = rows.select(F.explode(F.array_distinct(bigram_keys(F.col("words")))).alias("key"), "toxic")
-    pairs = pairs.withColumn("h", F.shiftrightunsigned("key", 32)).withColumn("w", F.col("key").bitwiseAND(F.lit(_LOW)))
-    pairs = pairs.join(lookup.withColumnRenamed("key", "h"), "h", "left_semi").join(lookup.withColumnRenamed("key", "w"), "w", "left_semi")
-    pairs = stored(pairs.groupBy("key").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")), "toxicity-bigrams")
-    pairs = pairs.withColumn("h", F.shiftrightunsigned("key", 32)).withColumn("w", F.col("key").bitwiseAND(F.lit(_LOW)))
-
-    # the shared lowest order, over the kept words; unkept words have what is left, alike in both classes
-    seen = kept.join(pairs.groupBy(F.col("w").alias("key")).agg(F.count(F.lit(1)).alias("before")), "key", "left")
-    seen = seen.withColumn("before", F.coalesce("before", F.lit(0)) + 1)
-    sums = seen.agg(F.sum("before").alias("before"), *[F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(c) for c in "to"]).first()
-    mass = ((sums.t or 0.0) / n_t, (sums.o or 0.0) / n_o)
-    in_kept = kept.agg(F.sum(F.col("t") + F.col("o"))).first()[0] or 0
-    shared = F.col("before") / float(sums.before or 1) * (in_kept / (n_t + n_o))
-    p = lambda c, n, m: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / n + max(1e-6, 1 - m) * shared
-    unigram = seen.select("key", p("t", n_t, mass[0]).alias("p_t"), p("o", n_o, mass[1]).alias("p_o"))
+    pairs = _parted(pairs).join(lookup.withColumnRenamed("key", "h"), "h", "left_semi").join(lookup.withColumnRenamed("key", "w"), "w", "left_semi")
+    pairs = _parted(stored(pairs.groupBy("key").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")), "toxicity-bigrams"))
+
+    # words over the shared counts; words that do not tell take the shared counts alone, alike in both classes
+    seen = common.join(pairs.groupBy(F.col("w").alias("key")).agg(F.count(F.lit(1)).alias("before")), "key", "left")
+    seen = stored(seen.withColumn("before", F.coalesce("before", F.lit(0)) + 1).withColumn("tells", telling), "toxicity-words-kept")
+    taken = lambda c: F.when(F.col("tells"), F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0)
+    sums = seen.agg(F.sum("before").alias("before"), F.sum(taken("t")).alias("t"), F.sum(taken("o")).alias("o")).first()
+    left = (max(1e-6, 1 - (sums.t or 0.0) / n_t), max(1e-6, 1 - (sums.o or 0.0) / n_o))
+    shared = F.col("before") / float(sums.before or 1) * ((totals.common or 0) / (n_t + n_o))
+    unigram = seen.select("key", "tells", (taken("t") / n_t / left[0] + shared).alias("p_t"), (taken("o") / n_o / left[1] + shared).alias("p_o"))
 
     # bigrams over their histories; what a history's kept pairs do not take backs off to the words
     history = pairs.groupBy("h").agg(F.sum("t").alias("h_t"), F.sum("o").alias("h_o"))
@@ -82,7 +85,8 @@ def train(labelled: DataFrame) -> DataFrame:
     high = stored(high.select("key", "h", "w", part("t").alias("q_t"), part("o").alias("q_o")), "toxicity-high")
     weight = lambda c: F.greatest(1 - F.sum(f"q_{c}"), F.lit(1e-3)).alias(f"b_{c}")
     backoff = high.groupBy("h").agg(weight("t"), weight("o"))
-    words_out = unigram.join(backoff.withColumnRenamed("h", "key"), "key", "left")
+    words_out = unigram.where("tells").drop("tells").unionByName(unigram.where("not tells").drop("tells").join(backoff.select(F.col("h").alias("key")), "key", "left_semi"))
+    words_out = words_out.join(backoff.withColumnRenamed("h", "key"), "key", "left")
     words_out = words_out.select("key", (F.log(F.col("p_t") / F.col("p_o")) + F.log(F.coalesce(F.col("b_t") / F.col("b_o"), F.lit(1.0)))).alias("ratio"))
     joined = high.join(backoff, "h").join(unigram.withColumnRenamed("key", "w"), "w")
     full = lambda c: F.col(f"q_{c}") + F.col(f"b_{c}") * F.col(f"p_{c}")
