@@ -61,6 +61,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), ids_digest(ids).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decklake.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decklake.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decklake.llm.simhash import hex_digits, near_duplicates
 
@@ -68,5 +80,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_toxicity, op5_urls, op6_quality, op7_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_toxicity, op5_urls, op6_quality, op7_bpe, op8_warc, op9_media, op10_simhash)}
 ORACLE: dict[str, str] = {}

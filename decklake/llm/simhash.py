@@ -107,6 +107,14 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_hash, fp) of each row, (fp, root, first_id) of each fingerprint)."""
+    prints = stored(fingerprints(docs.select("doc_id", "text")).select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), "fp"), "simhash")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return prints, cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row of ``docs(doc_id, text)``.
 
@@ -115,33 +123,25 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     without doc_id get the component of their fingerprint, null if no row of it has a doc_id. Other columns
     are ignored; an empty table gives no rows.
     """
-    prints = stored(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "simhash")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted)
+    prints, rooted = _grouped(docs, radius)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each component: one with the smallest doc_id. Rows of a null doc_id stay if no
-    row of their component has one (one for each fingerprint)."""
-    found = near_duplicates(docs, radius).where("doc_id is null or doc_id = component_id")
-    keep = found.where("doc_id is not null").select("doc_id").distinct()
-    ids = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    kept = _one_each(ids)
-    if docs.where("doc_id is null").isEmpty():
+    """``docs`` with one row of each component: the one with the smallest doc_id (null ids last, ties by a hash
+    of the text). Columns pass; rows that repeat an id and text count once."""
+    prints, rooted = _grouped(docs, radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("first")
+    keep = stored(prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(first).select("first.doc_id", "first.text_hash"), "simhash-keep")
+    id_, hash_ = "keep__id", "keep__hash"
+    named = keep.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    on = lambda other: F.col("doc_id").eqNullSafe(other[id_]) & (F.xxhash64(whole_text()) == other[hash_])
+    kept = docs.join(named, on(named), "left_semi")
+    twice = prints.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
+    twice = cut(twice.join(named.distinct(), [F.col(id_).eqNullSafe(named[id_]), twice[hash_] == named[hash_]], "left_semi"))
+    if twice.isEmpty():
         return kept
-    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
-    bare = fingerprints(docs.where("doc_id is null"), "text").join(alone, "fp", "left_semi").dropDuplicates(["fp"])
-    return kept.unionByName(bare.select(docs.columns))
-
-
-def _one_each(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id. Where no id repeats, which a count of ids shows, nothing is shuffled."""
-    ids = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if ids.isEmpty():
-        return docs
-    twice = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns).unionByName(twice.dropDuplicates(["doc_id"]))
+    key = "keep__key"
+    again = kept.join(twice, on(twice), "left_semi").withColumn(key, F.xxhash64(whole_text())).dropDuplicates(["doc_id", key]).drop(key)
+    return kept.join(twice, on(twice), "left_anti").unionByName(again)
