@@ -138,8 +138,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     named = keep.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
     on = lambda other: F.col("doc_id").eqNullSafe(other[id_]) & (F.xxhash64(whole_text()) == other[hash_])
     kept = docs.join(named, on(named), "left_semi")
-    twice = prints.groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
-    twice = cut(twice.join(named.distinct(), [F.col(id_).eqNullSafe(named[id_]), twice[hash_] == named[hash_]], "left_semi"))
+    again = prints.groupBy("doc_id", "text_hash").count().where("count > 1")
+    again = again.join(named, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("text_hash") == F.col(hash_)), "left_semi")
+    twice = cut(again.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)))
     if twice.isEmpty():
         return kept
     key = "keep__key"
