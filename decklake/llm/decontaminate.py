@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 Q, EDIT_RATE, BLOCK_CHARS, SEGMENT = 8, 0.1, 4_000_000, 1 << 19
 HITS = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_GAP = 0
+_GAP, _OUTSIDE = 0, 0xFFFFFFFF
 _TABLE_BITS = 20
 
 
@@ -101,8 +101,8 @@ class Index:
         self.least = np.array([p.least for p in passages], dtype=np.int64)
         self.overlap = max((len(p.points) + 2 * p.edits + q for p in passages), default=q)
 
-    def bands(self, points: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, first diagonal) of the bands of 2 x width diagonals that hold enough shared q-grams."""
+    def bands(self, points: np.ndarray) -> list[tuple[int, int, int]]:
+        """(passage, first diagonal, fullest diagonal) of the bands of 2 x width diagonals that hold enough shared q-grams."""
         hashes = grams(points, self.q)
         maybe = np.flatnonzero(self.known[(hashes >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         if not len(maybe):
@@ -115,19 +115,38 @@ class Index:
             return []
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         entry = np.repeat(self.first[slot], n) + step
-        item = self.item[entry]
-        band = (np.repeat(maybe, n) - self.at[entry]) // self.width[item]
+        item, at = self.item[entry], self.at[entry]
+        diagonal = np.repeat(maybe, n) - at
+        band = diagonal // self.width[item]
         low = band.min() - 1
         size = int(band.max() - low + 2)
-        keys, hits = np.unique(np.concatenate([item * size + band - low, item * size + band - low - 1]), return_counts=True)
-        enough = hits >= self.least[keys // size]
-        return [(int(k // size), int((k % size + low) * self.width[k // size])) for k in keys[enough]]
+        every = np.concatenate([item * size + band - low, item * size + band - low - 1])
+        keys, hits = np.unique(every, return_counts=True)
+        keys = keys[hits >= self.least[keys // size]]
+        if not len(keys):
+            return []
+        # of these bands, count each of the passage's places once
+        slot = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+        inside = np.flatnonzero(keys[slot] == every)
+        slot = slot[inside]
+        places, lines = np.tile(at, 2)[inside], np.tile(diagonal, 2)[inside]
+        once = np.unique(slot * self.overlap + places) // self.overlap
+        enough = np.flatnonzero(np.bincount(once, minlength=len(keys)) >= self.least[keys // size])
+        out = []
+        for k in enough:
+            i = int(keys[k] // size)
+            lines_here, votes = np.unique(lines[slot == k], return_counts=True)
+            out.append((i, int((keys[k] % size + low) * self.width[i]), int(lines_here[votes.argmax()])))
+        return out
 
     def search(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(passage, start, end, edits) of the verified places."""
         found = []
-        for item, diagonal in self.bands(points):
+        for item, diagonal, fullest in self.bands(points):
             p = self.passages[item]
+            if fullest >= 0 and np.array_equal(points[fullest : fullest + len(p.points)], p.points):
+                found.append((item, fullest, fullest + len(p.points), 0))
+                continue
             hit = align(p.points, points, diagonal - p.edits, diagonal + 2 * (p.edits + 1) + p.edits, p.edits)
             if hit:
                 found.append((item, *hit))
@@ -142,22 +161,22 @@ def align(short: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -
     one = 1 << 32
     width = high - low
     diagonal = np.arange(width, dtype=np.int64)
-    start = diagonal + low
-    far = np.int64(one) * (len(short) + width + 2)
-    now = np.where((start >= 0) & (start <= len(text)), (one - 1) - start, far)
+    region = np.full(len(short) + width, _OUTSIDE, dtype=np.uint32)
+    a, b = max(0, low), min(len(text), low + len(region))
+    if a < b:
+        region[a - low : b - low] = text[a:b]
+    step = diagonal * one
+    now = (one - 1) - np.clip(diagonal + low, 0, len(text))
     for i, c in enumerate(short):
-        at = i + low + diagonal
-        inside = (at >= 0) & (at < len(text))
-        same = inside & (text[np.clip(at, 0, len(text) - 1)] == c)
-        best = np.where(inside, now + np.where(same, 0, one), far)
-        best[:-1] = np.minimum(best[:-1], now[1:] + one)
-        now = np.minimum.accumulate(best - diagonal * one) + diagonal * one
-        if now.min() >= (most + 1) * one:
+        best = now + (region[i : i + width] != c) * one
+        np.minimum(best[:-1], now[1:] + one, out=best[:-1])
+        now = np.minimum.accumulate(best - step) + step
+        if i % 8 == 0 and now.min() >= (most + 1) * one:
             return None
     edits, rest = divmod(int(now.min()), one)
     if edits > most:
         return None
-    return one - 1 - rest, int(now.argmin()) + low + len(short), edits
+    return one - 1 - rest, min(len(text), int(now.argmin()) + low + len(short)), edits
 
 
 def _apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -250,7 +269,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", q:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each passage found: doc_id, item_id, start, end, edits. Clean documents have none."""
     hits = with_leaks(docs.select("doc_id", "text"), benchmark)
-    return hits.select("doc_id", F.inline("leaks"))
+    # the outer form, as the plain one would have the scan run twice: for the filter that Spark infers, and for the rows
+    return hits.select("doc_id", F.inline_outer("leaks")).where("item_id is not null")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
