@@ -1,4 +1,58 @@
-"""Queries over whole decks."""
+"""Queries over whole decks: a conversation becomes a presentation file, which is scanned, checked, fixed and scanned again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from decklake.operators.algebra import collapse, ranked, summary
+from decklake.operators.cascade import Decks
+from decklake.operators.rules import check
+from decklake.plans.lifted import SPACE, _TITLES
+from decklake.sources.build import decks_of
+from decklake.sources.pptx import deck_rows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+KEYS = ["deck_id", "slide_index", "rule_id", "shape_pos", "row", "col"]
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deck for each conversation: the user's turn a title, the assistant's a body, the system's a footer."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    part = lambda role: F.when(F.col("role") == role, F.col("text"))
+    title = F.trim(F.regexp_replace(part("user"), SPACE, " "))
+    return decks_of(said.select(F.col("conv_id").alias("deck_id"), F.col("turn").alias("slide_index"), title.alias("title"), part("assistant").alias("body"), part("system").alias("footer")))
+
+
+def scanned(files: DataFrame) -> Decks:
+    return Decks(deck_rows(files))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("deck_id", F.regexp_extract("deck_id", r"(\d+)\.pptx$", 1).cast("long"))
+
+
+def deck_title_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Punctuation and length of titles, found in the decks."""
+    found = check(scanned(files(spark, sf_dir)), rules=["title-punct"])
+    return _numbered(found).select("deck_id", "slide_index", "rule_id")
+
+
+#: Slides are numbered by their place in the deck.
+ORACLE["deck_title_findings"] = f"""WITH {_TITLES}, n AS (SELECT conv_id, turn + 1 AS slide_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS at FROM conversations)
+SELECT f.conv_id AS deck_id, n.at AS slide_index, f.rule_id FROM found f JOIN n USING (conv_id, slide_index) WHERE f.rule_id = 'title-punct'"""
+
+
+def deck_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules' findings, collapsed and ranked within each deck."""
+    found = ranked(collapse(check(scanned(files(spark, sf_dir))), KEYS))
+    return _numbered(found).select("deck_id", "slide_index", "rule_id", "severity", F.round("confidence", 3).alias("confidence"), "shape_pos", "row", "col", "rank")
+
+
+def deck_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each deck by severity."""
+    return _numbered(summary(collapse(check(scanned(files(spark, sf_dir))), KEYS)))
+
+
+QUERIES |= {f.__name__: f for f in (deck_title_findings, deck_findings, deck_summary)}

@@ -317,7 +317,7 @@ def moved_from_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH ph AS (SELECT n_nationkey AS pos, nullif(n_regionkey, 0) AS t, nullif(n_nationkey % 7, 0) AS i FROM nation),
     s AS (SELECT p_partkey, nullif(p_partkey % 6, 0) AS t, nullif(p_partkey % 5, 0) AS i FROM part)
-    SELECT p_partkey, CASE WHEN s.t IS NOT DISTINCT FROM ph.t AND s.i IS NOT DISTINCT FROM ph.i THEN 1 WHEN s.t IS NOT DISTINCT FROM ph.t THEN 2 WHEN ph.pos IS NOT NULL THEN 3 END AS tier, ph.pos
+    SELECT p_partkey, CASE WHEN ph.pos IS NULL THEN 4 WHEN s.t IS NOT DISTINCT FROM ph.t AND s.i IS NOT DISTINCT FROM ph.i THEN 1 WHEN s.t IS NOT DISTINCT FROM ph.t THEN 2 ELSE 3 END AS tier, coalesce(ph.pos, -1) AS pos
     FROM s LEFT JOIN ph ON s.t IS NOT DISTINCT FROM ph.t OR (s.i IS NOT NULL AND s.i = ph.i) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY tier, ph.pos) = 1"""
 )
 def prioritised_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +326,7 @@ def prioritised_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     shapes = _read(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_partkey") % 6, F.lit(0)).alias("t"), F.nullif(F.col("p_partkey") % 5, F.lit(0)).alias("i"))
     places = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.nullif("n_regionkey", F.lit(0)).cast("long").alias("t"), F.nullif(F.col("n_nationkey") % 7, F.lit(0)).cast("long").alias("i"))
-    return prioritised(shapes, places, [], "t", "i", "pos").select("p_partkey", "tier", "pos")
+    return prioritised(shapes, places, [], "t", "i", "pos").select("p_partkey", F.coalesce("tier", F.lit(4)).alias("tier"), F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
 @query(
