@@ -22,8 +22,8 @@ HEX = r"([0-9a-f]{32,})"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"([A-Za-z0-9+/_=-]{20,})"
-#: Documents whose strings train the models (about so many, chosen by a hash of their ids), the weight of the
-#: uniform distribution in each model, and the log-likelihood ratio that a secret needs, whole and by character.
+#: Documents whose strings train the models (about so many, chosen by a hash of their ids), the weights of the
+#: uniform distribution in the random model and of single characters in the ordinary one, and the log-likelihood ratio that a secret needs, whole and by character.
 TRAINING_DOCS, RANDOM_WEIGHT, ORDINARY_WEIGHT, LEAST_RATIO, LEAST_MEAN = 8_000, 65.0, 1.0, 12.0, 0.5
 _SPAN = "struct<start:int,rank:int,end:int,value:string>"
 _N = len(ALPHABET) + 1
@@ -73,24 +73,26 @@ def _steps(value: Column) -> Column:
 def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> list[float]:
     """Log-likelihood ratio (random against ordinary) of each transition.
 
-    Labels: values of base spans are random; words of four or more characters outside them are ordinary.
+    Labels: values of base spans are random; words of four or more characters outside them are ordinary;
+    strings that are to be judged have no label.
     Only about ``sample`` documents are used, chosen by a hash of doc_id and text length.
     """
     share = sample / max(1, docs.count())
     text = whole_text()
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.length(text)), F.lit(1 << 20)) < share * (1 << 20)).select(text.alias("text"))
     some = some.withColumn("spans", base_spans(F.col("text")))
-    rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
+    rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}|{RUN}", " ")
     words = F.array_distinct(F.regexp_extract_all(rest, F.lit(r"([A-Za-z][A-Za-z0-9_]{3,})"), F.lit(1)))
     labelled = some.select(F.explode("spans.value").alias("value"), F.lit(1).alias("random")).union(some.select(F.explode(words), F.lit(0)))
     counted = labelled.select("random", F.explode(_steps(F.col("value"))).alias("step")).groupBy("step").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
     counts = {x.step: (x.r, x.o) for x in counted.collect()}  # at most the square of the alphabet
+    single = [0.5 + sum(counts.get(b * _N + s, (0, 0))[1] for b in range(_N)) for s in range(_N)]
     out = [0.0] * (_N * _N)
     for before in range(_N):
         row = [counts.get(before * _N + s, (0, 0)) for s in range(_N)]
         for s, (r, o) in enumerate(row):
             random = (r + RANDOM_WEIGHT / _N) / (sum(x for x, _ in row) + RANDOM_WEIGHT)
-            ordinary = (o + ORDINARY_WEIGHT / _N) / (sum(x for _, x in row) + ORDINARY_WEIGHT)
+            ordinary = (o + ORDINARY_WEIGHT * single[s] / sum(single)) / (sum(x for _, x in row) + ORDINARY_WEIGHT)
             out[before * _N + s] = round(log(random / ordinary), 6)
     return out
 
