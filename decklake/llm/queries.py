@@ -81,4 +81,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_toxicity, op5_urls, op6_quality, op7_bpe, op8_warc, op9_media, op10_simhash)}
-ORACLE: dict[str, str] = {}
+#: The other queries fit models, hash with XXH64, or write formats that SQL lacks; tests/llm compares them with brute force.
+ORACLE: dict[str, str] = {
+    "op8_warc": """WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS s FROM pages),
+    m AS (SELECT s, max(page_id) AS last_id FROM d WHERE n >= 1000 GROUP BY s)
+    SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN page_id <> last_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+    FROM d LEFT JOIN m USING (s)""",
+}
