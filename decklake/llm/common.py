@@ -53,6 +53,28 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot: int = 1_000, parts: int = 64) -> DataFrame:
+    """``left`` left-joined to ``right`` (one row a key) where few keys may hold most rows of ``left``, a stored table.
+
+    Keys with over ``hot`` rows are dealt over ``parts`` by a hash of ``spread``; only their rows of ``right`` are copied.
+    """
+    salt = "hot__salt"
+    many = stored(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(key, F.lit(True).alias("hot__key")), "hot-keys")
+    part = F.when(F.col("hot__key"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("hot__key"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(small_side(many), key, "left").withColumn(salt, part).drop("hot__key")
+    b = right.join(small_side(many), key, "left").withColumn(salt, F.explode(copies)).drop("hot__key")
+    return a.join(b, [key, salt], "left").drop(salt)
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the session's Arrow batches to ``size`` bytes, as Python holds whole texts of a batch at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= size:
+        spark.conf.set(name, str(size))
+
+
 def whole_text(name: str = "text") -> Column:
     """A text column; null is the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decklake.llm.common import stored, whole_text
+from decklake.llm.common import hot_join, small_batches, stored, whole_text
 
 ROW = 64
 ITEM = "array<struct<position:int,kind:string,text:string,reference:string,caption:string>>"
@@ -190,7 +190,8 @@ def resolved(pages: DataFrame, media: DataFrame, items: str = "items", prefix: s
     names = [c for c in pages.columns if c != items]
     rows = pages.select(*names, F.inline(items))
     digest = F.when(F.col("reference").startswith(prefix), F.substr("reference", F.lit(len(prefix) + 1)))
-    return rows.withColumn("digest", digest).join(media, "digest", "left")
+    found = stored(rows.withColumn("digest", digest), "media-items")
+    return hot_join(found, media, "digest", F.struct(*[F.col(c) for c in names], "position"))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -200,6 +201,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     size as caption; parsing the page and joining the digest finds it again. Null texts are empty; equal
     texts have equal values; repeated rows each give a row.
     """
+    small_batches(docs.sparkSession)
     text = whole_text()
     payload = payload_of(text)
     media = media_table(docs.select(payload.alias("payload")))
