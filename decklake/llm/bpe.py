@@ -2,8 +2,8 @@
 
 The distinct words of the corpus are counted; the frequent ones (a bounded dictionary) are merged by a fold of
 Spark's higher-order functions over their bytes, with the ranks as one literal map. Documents then look their
-words up; words outside the dictionary go through the same fold in place. Words longer than ``FOLD_BYTES``
-bytes, for which a fold takes quadratic time, are merged with a heap instead; both give the same ids.
+words up. The rest, rare words and words longer than ``FOLD_BYTES`` bytes, are merged where they stand, with
+a heap over the same ranks; both give the same ids.
 """
 
 from __future__ import annotations
@@ -12,19 +12,21 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
-from math import floor, log2
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decklake.llm.common import stored, whole_text
+from decklake.llm.common import small_batches, stored, whole_text
 
 #: Most words in the dictionary that is sent to all tasks, and most bytes of a word that is folded.
-DICTIONARY_WORDS, FOLD_BYTES = 524_288, 64
+DICTIONARY_WORDS, FOLD_BYTES = 131_072, 64
 _BUCKETS, _NONE = 1 << 15, 2**31 - 1
 #: The white space of the pattern's \s, which Java's own lacks.
 WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -162,11 +164,48 @@ def frequent(counts: DataFrame, most: int = DICTIONARY_WORDS) -> DataFrame:
     return counts.where("false" if least is None else f"step >= {least}").select("word")
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", most: int = DICTIONARY_WORDS) -> dict[str, bytes]:
-    """Frequent words with their ids as little-endian 32-bit integers: at most ``most`` words of ``FOLD_BYTES`` bytes."""
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", most: int = DICTIONARY_WORDS) -> pa.Table:
+    """Frequent words with their ids: at most ``most`` words of ``FOLD_BYTES`` bytes."""
     words = frequent(stored(word_counts(docs, pattern, text), "bpe-words"), most).repartition(64)
-    found = stored(words.select("word", folded(F.col("word"), rank_map(ranks)).alias("ids")), "bpe-dictionary").toPandas()
-    return {w: np.asarray(ids, dtype="<i4").tobytes() for w, ids in zip(found["word"], found["ids"])}
+    return stored(words.select("word", folded(F.col("word"), rank_map(ranks)).alias("ids")), "bpe-dictionary").toArrow()
+
+
+def packed(table: pa.Table) -> dict[str, bytes]:
+    """Words with their ids as little-endian 32-bit integers."""
+    out: dict[str, bytes] = {}
+    for batch in table.to_batches():
+        ids = batch.column("ids")
+        ends = ids.offsets.to_pylist()
+        flat = ids.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+        out.update(zip(batch.column("word").to_pylist(), (flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:]))))
+    return out
+
+
+_HELD: dict[str, dict[str, bytes]] = {}
+
+
+def _vocabulary(known: Broadcast) -> tuple[dict[str, bytes], dict[bytes, int]]:
+    """The dictionary and the ranks, unpacked once in a worker."""
+    key, table, ranks = known.value
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = packed(table)
+    return _HELD[key], ranks
+
+
+def _lists(rows: pa.ListArray) -> Iterator[list]:
+    """The rows' values; null rows are empty."""
+    for lo in range(0, len(rows), 256):  # a few rows at a time, as their objects take more room than the batch
+        part = rows.slice(lo, 256)
+        ends = part.offsets.to_numpy().tolist()
+        values = part.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False)
+        for a, b in zip(ends, ends[1:]):
+            yield values[a - ends[0] : b - ends[0]].tolist()
+
+
+def _of_ints(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", column: str = "token_ids", most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -176,62 +215,30 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     no ids. Repeated rows stay; other columns pass (one named as ``column`` is replaced).
     """
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((dictionary(docs, ranks, pattern, text, most), ranks))
+    known = spark.sparkContext.broadcast((uuid.uuid4().hex, dictionary(docs, ranks, pattern, text, most), ranks))
+    small_batches(spark)
 
-    @F.pandas_udf("ids array<int>, rest array<string>")
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, ranks = known.value
+    @F.arrow_udf("array<int>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, ranks = _vocabulary(known)
+        rare = lru_cache(1 << 16)(lambda w: np.asarray(merged_by_heap(w.encode(), ranks), dtype="<i4").tobytes())
         for batch in batches:
-            ids, rest = [], []
-            for pieces in batch:
-                out, left = [], {}
-                for w in pieces:
-                    packed = words.get(w)
-                    if packed is None:
-                        raw = w.encode()
-                        if len(raw) <= FOLD_BYTES:
-                            packed = (-1 - left.setdefault(w, len(left))).to_bytes(4, "little", signed=True)
-                        else:
-                            packed = np.asarray(merged_by_heap(raw, ranks), dtype="<i4").tobytes()
-                    out.append(packed)
-                ids.append(np.frombuffer(b"".join(out), dtype="<i4"))
-                rest.append(list(left))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "rest": pd.Series(rest, dtype=object)})
-
-    @F.pandas_udf("array<int>")
-    def put_in(ids: pd.Series, rest: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(ids, rest):
-            a = np.asarray(a, dtype=np.int32)
-            holes = np.flatnonzero(a < 0)
-            if len(holes):
-                fills = [np.asarray(b[-1 - a[i]], dtype=np.int32) for i in holes]
-                parts, last = [], 0
-                for i, fill in zip(holes, fills):
-                    parts += [a[last:i], fill]
-                    last = i + 1
-                a = np.concatenate([*parts, a[last:]])
-            out.append(a)
-        return pd.Series(out, dtype=object)
+            rows = (b"".join([words.get(w) or rare(w) for w in pieces]) for pieces in _lists(batch))
+            yield _of_ints([np.frombuffer(x, dtype="<i4") for x in rows])
 
     pieces = F.regexp_extract_all(whole_text(text), F.lit(java_pattern(pattern)), F.lit(0))
-    found, rest = f"{column}__found", f"{column}__rest"
-    out = docs.withColumn(found, look_up(pieces))
-    # Exploding an array of one is a step that Spark does not merge into the next Python call's arguments.
-    filled = F.transform(F.col(found)["rest"], lambda w: folded(w, rank_map(ranks)))
-    out = out.select("*", F.explode_outer(F.array(filled)).alias(rest))
-    return out.withColumn(column, put_in(F.col(found)["ids"], F.col(rest))).drop(found, rest)
+    return docs.withColumn(column, look_up(pieces))
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", column: str = "decoded") -> DataFrame:
     """``docs`` with a binary column: the concatenated pieces of the ids. Null ids give null; unknown ids are an error."""
     pieces = docs.sparkSession.sparkContext.broadcast({v: k for k, v in ranks.items()})
 
-    @F.pandas_udf("binary")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pieces.value
         for batch in batches:
-            yield pd.Series([None if x is None else b"".join(map(table.__getitem__, x)) for x in batch], dtype=object)
+            yield pa.array([b"".join(map(table.__getitem__, x)) if ok else None for x, ok in zip(_lists(batch), batch.is_valid().to_pylist())], pa.binary())
 
     return docs.withColumn(column, joined(F.col(ids)))
 
@@ -239,8 +246,8 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", col
 def ids_digest(ids: Column) -> Column:
     """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf("string")
-    def digest(batch: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest() for x in batch], dtype=object)
+    @F.arrow_udf("string")
+    def digest(batch: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest() for x in _lists(batch)], pa.string())
 
     return digest(ids)
