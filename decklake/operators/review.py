@@ -107,9 +107,10 @@ def fix_plan(found: DataFrame, decks: Decks, least_severity: bool = False) -> Da
     """
     rows = found.where(F.col("severity").isin("error", "warning")) if least_severity else found
     width = F.coalesce(F.col("rect.cx") / C.EMU_PER_INCH, F.lit(C.TITLE_WIDTH_IN))
-    titles = decks.shapes.where("shape_pos = title_pos").select(*SLIDE, S.one_line(F.col("text")).alias("line"), S.title_room(width).alias("room"))
+    # held, so that the long expression is planned once, not in each use of its result
+    titles = decks._hold(decks.shapes.where("shape_pos = title_pos").select(*SLIDE, S.shortened(S.one_line(F.col("text")), S.title_room(width)).alias("short")))
     rows = rows.join(titles, list(SLIDE), "left").join(decks.slides.select(*SLIDE, "slide_path"), list(SLIDE), "left")
-    short = fix("title-rewrite", replacement=S.shortened(F.col("line"), F.col("room")))
+    short = fix("title-rewrite", replacement=F.col("short"))
     chosen = F.when((F.col("rule_id") == "title-lines") & F.col("fix.replacement").isNull(), short).otherwise(F.col("fix"))
     rows = rows.withColumn("fix", chosen).where((F.col("fix.kind") != "ai-rewrite") | F.col("fix.replacement").isNotNull())
     order = F.row_number().over(W.partitionBy("deck_id").orderBy("slide_index", "emit_ord", "rule_id")).cast("long")
