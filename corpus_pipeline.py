@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from decklake.llm.bpe import decode, encode, read_ranks
 from decklake.llm.common import stored, table
 from decklake.llm.decontaminate import decontaminated
+from decklake.llm.near_copies import drop_near_copies
 from decklake.llm.quality import good
 from decklake.llm.secret_scan import redacted, with_secrets
-from decklake.llm.simhash import drop_near_duplicates
 
 #: The vocabulary file of the last stage, by its name among the public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return drop_near_duplicates(docs)
+    """One document of each near-duplicate group stays: texts are linked if 4/5 of their five-word shingles are shared."""
+    return drop_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

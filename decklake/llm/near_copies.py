@@ -1,0 +1,142 @@
+"""Near copies by the Jaccard similarity of shingle sets: all pairs of at least 4/5, by prefix filtering.
+
+Under one order of all shingles, two sets of n and m shingles with a similarity of 4/5 share one of the first n - ceil(4n/5) + 1
+of the one and of the other's. So these prefixes are shuffled, and sets that meet in a shingle are compared unless their sizes,
+the shingle's places, or sketches already bound the similarity below 4/5. No such pair is missed. Any order is right; shingles
+that a sample of the texts has often come last, so few sets meet in them.
+
+Each shingle's sets are first compared with one of them, and linked sets become components. Then those that meet but lie in
+different components are compared pair by pair: a component within a group costs no pairs, unlinked sets of a group all do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from decklake.llm.common import cut, hot_join, small_side, stored, whole_text
+from decklake.llm.simhash import components, first_of_groups
+
+#: Words of a shingle; one text of so many goes into the sample, whose shingles are common from a count on, and
+#: so many of these are told apart at most (they only order the shingles); sets of a group that a task pairs with all others.
+WORDS, SAMPLE, COMMON, COMMON_MOST, PART = 5, 8, 4, 1_000_000, 128
+_SKETCH = 256
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's shingles, ascending. Words are those of ``simhash.fingerprint``; a text of fewer
+    words has one shingle, without words none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, dtype=np.int64)
+    line = b" ".join(parts)
+    ends = list(accumulate(len(p) + 1 for p in parts))
+    begins = [0, *ends[:-1]]
+    last = min(words, len(parts)) - 1
+    n = len(parts) - last
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[begins[i] : ends[i + last] - 1]) for i in range(n)), dtype=np.uint64, count=n).view(np.int64))
+
+
+def _sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by their low bits: two sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount(found & (_SKETCH - 1), minlength=_SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([shingles(x) for x in batch], dtype="object")
+
+
+def _prefixes(common) -> Callable[[Column], Column]:
+    @F.pandas_udf("fp long, n int, sketch array<long>, prefix array<long>")
+    def prefixes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        late = common.value
+        for batch in texts:
+            rows = []
+            for text in batch:
+                found = shingles(text)
+                n, at = len(found), np.searchsorted(late, found)
+                is_late = late[np.minimum(at, len(late) - 1)] == found if len(late) else np.zeros(n, dtype=bool)
+                order = np.concatenate([found[~is_late], found[is_late]])
+                fp = int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
+                rows.append((fp, n, _sketch(found), order[: n - -(-4 * n // 5) + 1]))
+            yield pd.DataFrame(rows, columns=["fp", "n", "sketch", "prefix"])
+
+    return prefixes
+
+
+def _fits() -> Column:
+    """Whether sets that meet at places a_pos and b_pos can have a similarity of 4/5."""
+    both = F.col("a_n") + F.col("b_n")
+    left = 1 + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
+    apart = sum(F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(_SKETCH // 64))
+    return (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")) & (9 * left >= 4 * both) & (9 * apart <= both)
+
+
+def _named(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("token", *[F.col(c).alias(f"{side}_{c}" if c != "fp" else side) for c in rows.columns if c != "token"])
+
+
+def _alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets have a similarity of at least 4/5."""
+    pairs = stored(pairs.distinct(), "near-pairs")
+    needed = stored(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "near-needed")
+    ids = prints.join(small_side(needed), "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    ids = stored(ids.select("fp", F.col("first.doc_id").alias("id__"), F.col("first.text_hash").alias("hash__")), "near-ids")
+    texts = docs.select("doc_id", "text").join(small_side(ids), F.col("doc_id").eqNullSafe(F.col("id__")) & (F.xxhash64(whole_text()) == F.col("hash__")))
+    sets = stored(texts.select("fp", "text").dropDuplicates(["fp"]).select("fp", _shingles(whole_text()).alias("s")), "near-sets")
+    both = hot_join(pairs, sets.select(F.col("fp").alias("a"), F.col("s").alias("a_s")), "a", F.col("b"))
+    both = hot_join(stored(both, "near-half"), sets.select(F.col("fp").alias("b"), F.col("s").alias("b_s")), "b", F.col("a"))
+    shared = F.size(F.array_intersect("a_s", "b_s"))
+    return both.where(9 * shared >= 4 * (F.size("a_s") + F.size("b_s"))).select("a", "b")
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_hash, fp) of each row, (fp, root, first_id) of each shingle set)."""
+    spark = docs.sparkSession
+    sample = docs.select(whole_text().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    often = sample.select(F.explode(_shingles("text")).alias("token")).groupBy("token").count().where(F.col("count") >= COMMON)
+    late = often.orderBy(F.desc("count"), "token").limit(COMMON_MOST).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
+    common = spark.sparkContext.broadcast(np.sort(late))
+
+    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), _prefixes(common)(whole_text()).alias("p"))
+    prints = stored(rows.select("doc_id", "text_hash", "p.*"), "near-prefixes")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    places = prints.select("fp", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    shared = stored(places.groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("token"), "near-shared")
+    met = stored(places.join(small_side(shared), "token").dropDuplicates(["token", "fp"]).select("token", "fp", "n", "pos", "sketch"), "near-places")
+
+    # the set with the fewest rare shingles of each group against the others
+    one = stored(met.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "fp", "n", "sketch")).alias("m")), "near-first")
+    first = one.select("token", *[F.col(f"m.{c}").alias(c) for c in ("fp", "n", "pos", "sketch")])
+    star = _named(met, "a").join(small_side(_named(first, "b")), "token").where((F.col("a") != F.col("b")) & _fits())
+    links = stored(_alike(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), prints, docs), "near-star")
+    root = components(links)
+
+    # the others that meet, but lie in different components
+    sides = met.join(small_side(root.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = sides.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
+    parts = one.join(mixed, "token", "left_semi").select("token", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
+    sides = stored(sides.join(small_side(stored(parts, "near-parts")), "token"), "near-sides")
+    a = _named(sides.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).drop("parts"), "a").withColumnRenamed("a_part", "part")
+    b = _named(sides.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "b").withColumnRenamed("b_part", "part")
+    across = a.join(b, ["token", "part"]).where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _fits())
+    links = links.union(stored(_alike(across.select("a", "b"), prints, docs), "near-across"))
+
+    roots = components(links).withColumnRenamed("node", "fp")
+    return prints.select("doc_id", "text_hash", "fp"), cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of rows whose shingle sets have a similarity of at least 4/5, as
+    ``simhash.drop_near_duplicates`` keeps one. Texts without words are copies of each other."""
+    return first_of_groups(docs, *_grouped(docs))

@@ -131,7 +131,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (null ids last, ties by a hash
     of the text). Columns pass; rows that repeat an id and text count once."""
-    prints, rooted = _grouped(docs, radius)
+    return first_of_groups(docs, *_grouped(docs, radius))
+
+
+def first_of_groups(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``drop_near_duplicates`` keeps, by ``prints(doc_id, text_hash, fp)`` and ``rooted(fp, root)``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("first")
     keep = stored(prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(first).select("first.doc_id", "first.text_hash"), "simhash-keep")
     id_, hash_ = "keep__id", "keep__hash"
