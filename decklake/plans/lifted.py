@@ -427,13 +427,23 @@ def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\bthe\b', 'THE ONE', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS after, regexp_matches(text, '\bthe\b') AS changed FROM documents WHERE text ~ '^[ -~\n]*$'")
 def fix_preview_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text after a replacement of a term everywhere, as a digest, and whether it changed; ASCII texts."""
+    """The text after a replacement of a term everywhere, as a digest, and whether it changed; only texts of printable ASCII
+    and line ends, as in its SQL. ``fix_preview_replace_all`` takes all."""
+    return _replaced(_read(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[ -~\n]*\z")))
+
+
+def _replaced(rows: DataFrame) -> DataFrame:
     term = r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"
-    rows = _read(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[ -~\n]*\z"))
     after = F.regexp_replace(F.regexp_replace("text", term, "THE ONE"), SPACE, " ")
     return rows.select("doc_id", F.sha2(after, 256).alias("after"), F.col("text").rlike(term).alias("changed"))
 
 
+@query()
+def fix_preview_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``fix_preview_replace``, for every text. Words end at ASCII letters, digits and underscores only."""
+    return _replaced(_read(spark, sf_dir, "documents"))
+
+
 @query()
 def shorten_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles cut to two lines: whole sentences if enough of the text, else at a space."""
