@@ -1,9 +1,9 @@
 """Byte-level BPE on Spark.
 
 The distinct words of the corpus are counted; the frequent ones (a bounded dictionary) are merged by a fold of
-Spark's higher-order functions over their bytes, with the ranks as one literal map. Documents then look their
-words up. The rest, rare words and words longer than ``FOLD_BYTES`` bytes, are merged where they stand, with
-a heap over the same ranks; both give the same ids.
+Spark's higher-order functions over their bytes, with the ranks as one literal map. Tasks then look up the
+distinct words of a batch and gather the ids of all. The rest, rare words and words longer than ``FOLD_BYTES``
+bytes, are merged where they stand, by the same ranks; both give the same ids.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ import heapq
 import json
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from decklake.llm.common import small_batches, stored, whole_text
 
 #: Most words in the dictionary that is sent to all tasks, and most bytes of a word that is folded.
-DICTIONARY_WORDS, FOLD_BYTES = 131_072, 64
+DICTIONARY_WORDS, FOLD_BYTES = 262_144, 64
 _BUCKETS, _NONE = 1 << 15, 2**31 - 1
 #: The white space of the pattern's \s, which Java's own lacks.
 WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -114,8 +114,28 @@ def folded(word: Column, ranks: Column) -> Column:
     return _bound(F.struct(raw.alias("raw"), ranks.alias("ranks")), lambda x: ids(x["raw"], x["ranks"]))
 
 
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same ids for a word that is not in the dictionary: by a search of the least pair, in long words by a heap."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > FOLD_BYTES:
+        return merged_by_heap(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+    while pairs and (low := min(pairs)) < _NONE:
+        i = pairs.index(low)
+        joined = parts[i] + parts[i + 1]
+        parts[i : i + 2] = [joined]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + joined, _NONE)
+        if i < len(pairs):
+            pairs[i] = ranks.get(joined + parts[i + 1], _NONE)
+    return [ranks[p] for p in parts]
+
+
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same ids in n log n time, for long words."""
+    """The same in n log n time."""
     if word in ranks:
         return [ranks[word]]
     end = list(range(1, len(word) + 1))
@@ -164,48 +184,64 @@ def frequent(counts: DataFrame, most: int = DICTIONARY_WORDS) -> DataFrame:
     return counts.where("false" if least is None else f"step >= {least}").select("word")
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", most: int = DICTIONARY_WORDS) -> pa.Table:
-    """Frequent words with their ids: at most ``most`` words of ``FOLD_BYTES`` bytes."""
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", most: int = DICTIONARY_WORDS) -> DataFrame:
+    """(word, ids) of frequent words: at most ``most`` words of ``FOLD_BYTES`` bytes."""
     words = frequent(stored(word_counts(docs, pattern, text), "bpe-words"), most).repartition(64)
-    return stored(words.select("word", folded(F.col("word"), rank_map(ranks)).alias("ids")), "bpe-dictionary").toArrow()
-
-
-def packed(table: pa.Table) -> dict[str, bytes]:
-    """Words with their ids as little-endian 32-bit integers."""
-    out: dict[str, bytes] = {}
-    for batch in table.to_batches():
-        ids = batch.column("ids")
-        ends = ids.offsets.to_pylist()
-        flat = ids.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-        out.update(zip(batch.column("word").to_pylist(), (flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:]))))
-    return out
-
-
-_HELD: dict[str, dict[str, bytes]] = {}
+    return stored(words.select("word", folded(F.col("word"), rank_map(ranks)).alias("ids")), "bpe-dictionary")
 
 
-def _vocabulary(known: Broadcast) -> tuple[dict[str, bytes], dict[bytes, int]]:
-    """The dictionary and the ranks, unpacked once in a worker."""
-    key, table, ranks = known.value
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = packed(table)
-    return _HELD[key], ranks
+def packed(table: pa.Table) -> bytes:
+    """A small table as an Arrow file."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def _lists(rows: pa.ListArray) -> Iterator[list]:
-    """The rows' values; null rows are empty."""
-    for lo in range(0, len(rows), 256):  # a few rows at a time, as their objects take more room than the batch
-        part = rows.slice(lo, 256)
-        ends = part.offsets.to_numpy().tolist()
-        values = part.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False)
-        for a, b in zip(ends, ends[1:]):
-            yield values[a - ends[0] : b - ends[0]].tolist()
+class Vocabulary:
+    """The dictionary and the ranks in a worker: words, where each word's ids begin and how many they are, all ids."""
 
+    _held: dict[str, Vocabulary] = {}
 
-def _of_ints(rows: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)))
+    def __init__(self, table: pa.Table, ranks: dict[bytes, int]):
+        table = table.combine_chunks()
+        self.ranks = ranks
+        if len(table):
+            self.words, ids = table.column("word").chunk(0), table.column("ids").chunk(0)
+            ends = ids.offsets.to_numpy().astype(np.int64)
+            self.start, self.size, self.ids = ends[:-1], np.diff(ends), ids.values.to_numpy(zero_copy_only=False).astype(np.int32)
+        else:
+            self.words = pa.array([], pa.string())
+            self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    @classmethod
+    def of(cls, known: Broadcast) -> Vocabulary:
+        """Unpacked once in a worker."""
+        key, content, ranks = known.value
+        if key not in cls._held:
+            cls._held = {key: cls(pa.ipc.open_file(content).read_all(), ranks)}
+        return cls._held[key]
+
+    def encode(self, rows: pa.ListArray) -> pa.ListArray:
+        """The ids of the words of each row: distinct words are looked up, the ids of all are gathered by place."""
+        bounds = rows.offsets.to_numpy()
+        coded = rows.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        distinct = coded.dictionary
+        place = pc.index_in(distinct, value_set=self.words)
+        rare = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        at = place.fill_null(0).to_numpy()
+        start, size = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        if len(self.words):
+            start[:], size[:] = self.start[at], self.size[at]
+        more = [merged(w.encode(), self.ranks) for w in distinct.take(pa.array(rare)).to_pylist()]
+        size[rare] = [len(x) for x in more]
+        start[rare] = len(self.ids) + np.cumsum([0, *size[rare]])[:-1]
+        ids = np.concatenate([self.ids, np.fromiter((i for x in more for i in x), np.int32)])
+        words = coded.indices.to_numpy()
+        sizes = size[words]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        places = np.arange(ends[-1]) + np.repeat(start[words] - ends[:-1], sizes)
+        return pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]].astype(np.int32)), pa.array(ids[places]))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", column: str = "token_ids", most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -215,16 +251,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     no ids. Repeated rows stay; other columns pass (one named as ``column`` is replaced).
     """
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((uuid.uuid4().hex, dictionary(docs, ranks, pattern, text, most), ranks))
+    known = spark.sparkContext.broadcast((uuid.uuid4().hex, packed(dictionary(docs, ranks, pattern, text, most).toArrow()), ranks))
     small_batches(spark)
 
     @F.arrow_udf("array<int>")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, ranks = _vocabulary(known)
-        rare = lru_cache(1 << 16)(lambda w: np.asarray(merged_by_heap(w.encode(), ranks), dtype="<i4").tobytes())
+        vocabulary = Vocabulary.of(known)
         for batch in batches:
-            rows = (b"".join([words.get(w) or rare(w) for w in pieces]) for pieces in _lists(batch))
-            yield _of_ints([np.frombuffer(x, dtype="<i4") for x in rows])
+            yield vocabulary.encode(batch)
 
     pieces = F.regexp_extract_all(whole_text(text), F.lit(java_pattern(pattern)), F.lit(0))
     return docs.withColumn(column, look_up(pieces))
@@ -232,22 +266,48 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", column: str = "decoded") -> DataFrame:
     """``docs`` with a binary column: the concatenated pieces of the ids. Null ids give null; unknown ids are an error."""
-    pieces = docs.sparkSession.sparkContext.broadcast({v: k for k, v in ranks.items()})
+    known = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, {v: k for k, v in ranks.items()}))
 
     @F.arrow_udf("binary")
-    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = pieces.value
-        for batch in batches:
-            yield pa.array([b"".join(map(table.__getitem__, x)) if ok else None for x, ok in zip(_lists(batch), batch.is_valid().to_pylist())], pa.binary())
+    def joined(batch: pa.Array) -> pa.Array:
+        return concatenated(batch, pieces_of(known))
 
     return docs.withColumn(column, joined(F.col(ids)))
 
 
+_PIECES: dict[str, pa.Array] = {}
+
+
+def pieces_of(known: Broadcast) -> pa.Array:
+    """The piece of each id, null where there is none; built once in a worker."""
+    key, table = known.value
+    if key not in _PIECES:
+        _PIECES.clear()
+        _PIECES[key] = pa.array([table.get(i) for i in range(max(table) + 1)], pa.binary())
+    return _PIECES[key]
+
+
+def concatenated(rows: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The pieces of each row's ids, one after another: they are taken into one buffer, of which each row is a slice."""
+    bounds = rows.offsets.to_numpy()
+    taken = pieces.take(rows.values.slice(bounds[0], bounds[-1] - bounds[0]))
+    if taken.null_count:
+        raise ValueError("an id without a piece")
+    _, ends, content = taken.buffers()
+    ends = np.frombuffer(ends, np.int32)[taken.offset :] if ends is not None and len(taken) else np.zeros(1, np.int32)
+    offsets = pa.py_buffer(np.ascontiguousarray(ends[bounds - bounds[0]]))
+    missing = rows.is_null()
+    valid = pa.array(~missing.to_numpy(zero_copy_only=False)).buffers()[1] if rows.null_count else None
+    return pa.Array.from_buffers(pa.binary(), len(rows), [valid, offsets, content or pa.py_buffer(b"")])
+
+
 def ids_digest(ids: Column) -> Column:
     """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
 
     @F.arrow_udf("string")
     def digest(batch: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest() for x in _lists(batch)], pa.string())
+        bounds = batch.offsets.to_numpy().tolist()
+        values = memoryview(batch.values.to_numpy(zero_copy_only=False).astype("<u4"))
+        return pa.array([hashlib.sha256(values[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:])], pa.string())
 
     return digest(ids)

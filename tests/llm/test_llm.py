@@ -6,10 +6,13 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from decklake.llm import bpe, decontaminate, license_scan, media, quality, queries, secret_scan, simhash, toxicity, url_filter, warc
@@ -300,12 +303,31 @@ def test_bpe_round_trip(spark, ranks, reference, odd):
     assert bpe.encode(rows.where("false"), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_op7_query(spark, ranks, reference, tmp_path):
+    texts = [None, "", "tokens, tokens, tokens", "a" * 3_000, "x\x00y" * 20, "Größe façade 日本語 " * 50, "!!! $$$ | 12345"]
+    docs(spark, *enumerate(texts), (3, "again")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.op7_bpe(spark, str(tmp_path)).collect(), key=str)
+
+    def want(i: int, text: str | None):
+        ids = np.asarray(reference.encode_ordinary(text or ""), "<u4")
+        return Row(doc_id=i, n_tokens=len(ids), ids_sha256=hashlib.sha256(ids.tobytes()).hexdigest(), decoded_sha256=hashlib.sha256((text or "").encode()).hexdigest())
+
+    assert got == sorted([want(i, t) for i, t in enumerate(texts)] + [want(3, "again")], key=str)
+
+
+def test_unknown_ids_fail():
+    pieces = pa.array([b"a", None, b"bc"])
+    assert bpe.concatenated(pa.array([[0, 2], None, [], [2]], pa.list_(pa.int32())), pieces).to_pylist() == [b"abc", None, b"", b"bc"]
+    with pytest.raises(ValueError):
+        bpe.concatenated(pa.array([[1]], pa.list_(pa.int32())), pieces)
+
+
 def test_fold_and_heap_agree(spark, ranks):
     random.seed(4)
     words = ["".join(random.choice("abcdeéßth日") for _ in range(random.randint(1, 20))) for _ in range(300)]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", bpe.folded(F.col("w"), bpe.rank_map(ranks)).alias("ids")).collect()
     for r in rows:
-        assert list(r.ids) == bpe.merged_by_heap(r.w.encode(), ranks)
+        assert list(r.ids) == bpe.merged_by_heap(r.w.encode(), ranks) == bpe.merged(r.w.encode(), ranks)
 
 
 # --- WARC
