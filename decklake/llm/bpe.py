@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decklake.llm.common import small_batches, stored, whole_text
+from decklake.llm.common import bound, small_batches, stored, whole_text
 
 #: Most words in the dictionary that is sent to all tasks, and most bytes of a word that is folded.
 DICTIONARY_WORDS, FOLD_BYTES = 262_144, 64
@@ -66,11 +66,6 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
-def _bound(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def folded(word: Column, ranks: Column) -> Column:
     """The ids of a word: its bytes, then merge after merge of the adjacent pair of least rank, leftmost first.
 
@@ -91,7 +86,7 @@ def folded(word: Column, ranks: Column) -> Column:
                 low = F.array_min(p)
                 return F.struct(parts.alias("parts"), p.alias("pairs"), F.when(low < _NONE, F.array_position(p, low).cast("int")).otherwise(0).alias("at"))
 
-            return _bound(pairs, least)
+            return bound(pairs, least)
 
         def merge(s: Column, _: Column) -> Column:
             parts, pairs, at = s["parts"], s["pairs"], s["at"]
@@ -103,15 +98,15 @@ def folded(word: Column, ranks: Column) -> Column:
                 before, after = F.slice(pairs, F.lit(1), F.greatest(at - 2, F.lit(0))), F.slice(pairs, at + 2, n)
                 return state(F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, n)), F.concat(before, left, right, after))
 
-            return F.when(at > 0, _bound(F.concat(F.get(parts, at - 1), F.get(parts, at)), put)).otherwise(s)
+            return F.when(at > 0, bound(F.concat(F.get(parts, at - 1), F.get(parts, at)), put)).otherwise(s)
 
         letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(raw, i, F.lit(1)))
         pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: ranked(F.substr(raw, i, F.lit(2))))
         end = F.aggregate(F.sequence(F.lit(2), n), state(letters, pairs), merge, lambda s: F.transform(s["parts"], rank))
-        return F.when(n == 0, F.array().cast("array<int>")).otherwise(_bound(rank(raw), lambda r: F.when(r.isNotNull() | (n == 1), F.array(r)).otherwise(end)))
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(bound(rank(raw), lambda r: F.when(r.isNotNull() | (n == 1), F.array(r)).otherwise(end)))
 
     raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    return _bound(F.struct(raw.alias("raw"), ranks.alias("ranks")), lambda x: ids(x["raw"], x["ranks"]))
+    return bound(F.struct(raw.alias("raw"), ranks.alias("ranks")), lambda x: ids(x["raw"], x["ranks"]))
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -252,7 +247,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((uuid.uuid4().hex, packed(dictionary(docs, ranks, pattern, text, most).toArrow()), ranks))
-    small_batches(spark)
+    small_batches(spark, 4 << 20)
 
     @F.arrow_udf("array<int>")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

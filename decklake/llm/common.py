@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if a count shows that it has at most so many rows.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if a count shows that it has at most so many rows and, as JSON, bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine), a temporary folder is set.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="decklake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,26 +48,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is: then Spark shuffles both sides.
-
-    ``df`` should be cheap to count (a stored table).
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes, else as it is: then Spark shuffles
+    both sides. ``df`` should be cheap to count (a stored table).
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows, size) else df
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    if df.count() > rows:
+        return False
+    return (df.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("b")).first().b or 0) <= size
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str, spread: Column, hot: int = 1_000, parts: int = 64) -> DataFrame:
-    """``left`` left-joined to ``right`` (one row a key) where few keys may hold most rows of ``left``, a stored table.
+def hot_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], spread: Column, hot: int = 1_000, parts: int = 64) -> DataFrame:
+    """``left`` left-joined to ``right`` (one row a key; both stored tables) where few keys may hold most rows of ``left``.
 
-    Keys with over ``hot`` rows are dealt over ``parts`` by a hash of ``spread``; only their rows of ``right`` are copied.
+    A small ``right`` is broadcast. Else keys with over ``hot`` rows are dealt over ``parts`` by a hash of ``spread``; only their
+    rows of ``right`` are copied. Null keys meet nothing.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    if is_small(right):
+        return left.join(F.broadcast(right), keys, "left")
     salt = "hot__salt"
-    many = stored(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(key, F.lit(True).alias("hot__key")), "hot-keys")
+    many = stored(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot__n")).where(F.col("hot__n") > hot).select(*keys, F.lit(True).alias("hot__key")), "hot-keys")
     part = F.when(F.col("hot__key"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0)
     copies = F.when(F.col("hot__key"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    a = left.join(small_side(many), key, "left").withColumn(salt, part).drop("hot__key")
-    b = right.join(small_side(many), key, "left").withColumn(salt, F.explode(copies)).drop("hot__key")
-    return a.join(b, [key, salt], "left").drop(salt)
+    a = left.join(small_side(many), keys, "left").withColumn(salt, part).drop("hot__key")
+    b = right.join(small_side(many), keys, "left").withColumn(salt, F.explode(copies)).drop("hot__key")
+    return a.join(b, [*keys, salt], "left").drop(salt)
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
@@ -75,6 +87,32 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], part: int = 256) -> Column:
+    """A fold that keeps what each step gives: an array of ``kind``. ``step(at, item)`` returns the next ``at`` (an
+    integer, 0 at first) and the element. Elements are gathered by parts, so that the time grows with the items, not their square.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(s: Column, x: Column) -> Column:
+        at, element = step(s["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.concat(s["out"], F.array(element)).alias("out"))
+
+    def many(s: Column, p: Column) -> Column:
+        inner = F.aggregate(p, F.struct(s["at"].alias("at"), none.alias("out")), one)
+        return bound(inner, lambda t: F.struct(t["at"].alias("at"), F.concat(s["out"], F.array(t["out"])).alias("out")))
+
+    def parted(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(part)), lambda i: F.slice(x, i + 1, F.lit(part)))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(bound(items, parted), start, many, lambda s: F.flatten(s["out"]))
+
+
 def whole_text(name: str = "text") -> Column:
     """A text column; null is the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

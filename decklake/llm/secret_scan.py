@@ -8,12 +8,13 @@ long strings: those whose log-likelihood ratio favours the random model are secr
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decklake.llm.common import whole_text
+from decklake.llm.common import bound, running, whole_text
 
 #: The patterns of the base kinds, in their order; the method's kind comes last.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,22 +28,22 @@ RUN = r"([A-Za-z0-9+/_=-]{20,})"
 TRAINING_DOCS, RANDOM_WEIGHT, ORDINARY_WEIGHT, LEAST_RATIO, LEAST_MEAN = 8_000, 65.0, 1.0, 12.0, 0.5
 _SPAN = "struct<start:int,rank:int,end:int,value:string>"
 _N = len(ALPHABET) + 1
+_CODES = [ALPHABET.find(chr(i)) + 1 for i in range(128)]
+_CUT = "struct<low:int,high:int,fresh:boolean,width:int>"
 
 
 def _spans(text: Column, pattern: str, rank: int, least: int = 0) -> Column:
     """Leftmost non-overlapping matches whose group 1 has ``least`` characters: array of start, rank, end, value."""
     p = F.lit(pattern)
     whole, value, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(1)), F.split(text, pattern, -1)
-    zipped = F.transform(whole, lambda w, i: F.struct(w.alias("whole"), F.get(value, i).alias("value"), F.get(gaps, i).alias("gap")))
-    none = F.array().cast(f"array<{_SPAN}>")
+    zipped = F.transform(F.arrays_zip(whole, value, gaps), lambda x: F.struct(x["0"].alias("whole"), x["1"].alias("value"), x["2"].alias("gap")))
 
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
+    def add(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
+        return end, F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    found = running(F.filter(zipped, lambda x: x["whole"].isNotNull()), _SPAN, add)
     return F.filter(found, lambda s: F.length(s["value"]) >= least)
 
 
@@ -59,15 +60,24 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _states(value: Column) -> Column:
-    """Places of the characters in ALPHABET, from 1; 0 before the first and for others."""
-    return F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(ALPHABET), F.substr(value, i, F.lit(1)))))
+def _code(letter: Column) -> Column:
+    """The place of a character in ALPHABET, from 1; 0 for others."""
+    return F.get(F.from_json(F.lit(json.dumps(_CODES)), "array<int>"), F.ascii(letter))
 
 
 def _steps(value: Column) -> Column:
-    """For each character, its transition as one number."""
-    states = _states(value)
-    return F.transform(F.slice(states, F.lit(2), F.length(value)), lambda s, i: F.get(states, i) * _N + s)
+    """For each character of an ASCII string, its transition from the one before as one number."""
+    return bound(F.transform(F.split(value, ""), _code), lambda codes: F.transform(codes, lambda s, i: F.coalesce(F.get(codes, i - 1), F.lit(0)) * _N + s))
+
+
+def _ratio(value: Column, table: Column) -> Column:
+    """The sum of ``table`` over the transitions of an ASCII string, by pieces of 4096 characters."""
+
+    def add(s: Column, c: Column) -> Column:
+        return F.struct(_code(c).alias("before"), (s["sum"] + F.get(table, s["before"] * _N + _code(c))).alias("sum"))
+
+    start = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum"))
+    return F.aggregate(F.regexp_extract_all(value, F.lit("(?s).{1,4096}"), F.lit(0)), start, lambda s, piece: F.aggregate(F.split(piece, ""), s, add), lambda s: s["sum"])
 
 
 def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> list[float]:
@@ -100,8 +110,9 @@ def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> list[float]:
 def with_secrets(docs: DataFrame, ratios: list[float] | None = None, column: str = "secrets") -> DataFrame:
     """``docs`` with an array column of secrets: kind, start, end (code points, end exclusive), by start then kind.
 
-    Kind ``markov`` marks strings of 20 or more characters with a letter and a digit that no base span overlaps
-    and whose ratio is high enough. Null and empty texts have none; repeated rows stay; other columns pass.
+    Kind ``markov`` marks strings of 20 or more characters with a letter and a digit, in what base spans leave of a
+    text, whose ratio is high enough. Null and empty texts have none; repeated rows stay; other columns pass. The time grows
+    with the length of a text, however long a string is or many secrets there are.
     """
     ratios = train(docs) if ratios is None else ratios
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
@@ -110,25 +121,41 @@ def with_secrets(docs: DataFrame, ratios: list[float] | None = None, column: str
 
     def random(span: Column) -> Column:
         value = span["value"]
-        ratio = F.aggregate(_steps(value), F.lit(0.0), lambda s, x: s + F.get(table, x))
-        apart = ~F.exists(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & apart & (ratio >= F.greatest(F.lit(LEAST_RATIO), F.length(value) * LEAST_MEAN))
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (_ratio(value, table) >= F.greatest(F.lit(LEAST_RATIO), F.length(value) * LEAST_MEAN))
 
     out = docs.withColumn(base, base_spans(text))
-    out = out.withColumn(more, F.when(text.rlike(RUN), F.filter(_spans(text, RUN, 3), random)).otherwise(F.array().cast(f"array<{_SPAN}>")))
+    rest = F.when(F.size(base) > 0, _filled(text, F.col(base), lambda c: F.repeat(F.lit(" "), c["width"]))).otherwise(text)
+    out = out.withColumn(more, F.when(text.rlike(RUN), F.filter(_spans(rest, RUN, 3), random)).otherwise(F.array().cast(f"array<{_SPAN}>")))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     named = F.transform(F.array_sort(F.concat(base, more)), lambda s: F.struct(F.get(kinds, s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return out.withColumn(column, named).drop(base, more)
 
 
-def redacted(text: Column, secrets: Column, mark: str = "[secret]") -> Column:
-    """``text`` with each (merged) span replaced by ``mark``. Null texts stay null."""
+def _filled(text: Column, spans: Column, fill: Callable[[Column], Column], part: int = 256) -> Column:
+    """``text`` with ``fill`` of each cut in place of the spans, which are sorted by start and may overlap.
 
-    def add(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        piece = F.concat(F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(x["end"], s["at"]).alias("at"), F.when(fresh, F.concat(s["out"], piece)).otherwise(s["out"]).alias("out"))
+    A cut has the text before it (from ``low`` to ``high``), whether its span is ``fresh`` or goes on with one before, and
+    the ``width`` that it adds. Cuts are taken out of a part's text, so that no search starts at the text's begin for each.
+    """
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(secrets, start, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(secrets) > 0, whole).otherwise(text)
+    def cut(at: Column, x: Column) -> tuple[Column, Column]:
+        fresh = x["start"] >= at
+        high = F.greatest(at, x["start"])
+        return F.greatest(at, x["end"]), F.struct(at.alias("low"), high.alias("high"), fresh.alias("fresh"), F.greatest(x["end"] - high, F.lit(0)).alias("width"))
+
+    def pieces(p: Column) -> Column:
+        first = F.get(p, 0)["low"]
+        inner = F.substr(text, first + 1, F.element_at(p, -1)["high"] - first)
+        return bound(F.struct(inner.alias("text"), first.alias("first")), lambda t: F.array_join(F.transform(p, lambda c: F.concat(F.substr(t["text"], c["low"] - t["first"] + 1, c["high"] - c["low"]), fill(c))), ""))
+
+    def joined(cuts: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.size(cuts) - 1, F.lit(part)), lambda i: F.slice(cuts, i + 1, F.lit(part)))
+        last = F.element_at(cuts, -1)
+        return F.concat(F.array_join(F.transform(parts, lambda p: bound(p, pieces)), ""), F.substr(text, last["high"] + last["width"] + 1, F.length(text)))
+
+    return bound(running(spans, _CUT, cut), joined)
+
+
+def redacted(text: Column, secrets: Column, mark: str = "[secret]") -> Column:
+    """``text`` with each (merged) span replaced by ``mark``. Null texts stay null."""
+    return F.when(F.size(secrets) > 0, _filled(text, secrets, lambda c: F.when(c["fresh"], mark).otherwise(""))).otherwise(text)

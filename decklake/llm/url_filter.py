@@ -1,9 +1,10 @@
 """URL filters by a path-template tree, with Spark's own functions only.
 
-Under each host a path's segments become the steps of a template. Segments that vary (numbers, long tokens,
-or more distinct values at one place than a page count explains) become ``*``. Hosts' branches whose labelled purity
-does not differ by more than chance merge under ``*`` as host. Templates are rejected by their purity, smoothed
-toward their parents'.
+Under each host a path's segments are the steps from node to node of a tree. Level by level, the light children of a node
+(each with a small share of its pages) become one wildcard where there are many; numbers and long tokens are wildcards
+from the start. Children whose labelled purity does not differ from their parent's by more than chance merge into one branch.
+A node's purity is smoothed toward its parent's, a host's root toward the same tree over all hosts, and templates whose
+purity says so are rejected.
 """
 
 from __future__ import annotations
@@ -11,15 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decklake.llm.common import small_side, stored
+from decklake.llm.common import hot_join, stored
 
 #: Rules as (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Steps of a template, values of a place from which it varies, share of its pages that they must be,
+#: Light children from which they become a wildcard, share of a node's pages (one page aside) from which a child is not light,
 #: weight of the parent in a smoothed purity, deviations within which branches are alike, and share of
 #: blocked pages from which a template is rejected.
-DEPTH, VARIES, DISTINCT_SHARE, WEIGHT, ALIKE, REJECT = 4, 8, 0.2, 8.0, 2.0, 0.5
+VARIES, SHARE, WEIGHT, ALIKE, REJECT = 8, 0.05, 8.0, 2.0, 0.5
 _VARIABLE = r"^(\d+|[0-9a-f]{8,}|.*\d{3,}.*)(\.[a-z]{2,5})?$"
+_ROOT = 0
 
 
 def host_of(url: Column) -> Column:
@@ -42,24 +44,90 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """The first steps of a path as a template's: numbers and long tokens are ``*``; deeper ones are dropped."""
+    """The steps of a path: its segments, those that are numbers or long tokens as ``*``."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.transform(F.slice(parts, 1, DEPTH), lambda s: F.when(F.lower(s).rlike(_VARIABLE), "*").otherwise(s))
+    return F.transform(parts, lambda s: F.when(F.lower(s).rlike(_VARIABLE), "*").otherwise(s))
 
 
-def _varying(rows: DataFrame) -> DataFrame:
-    """(host, place) where the segments vary: many values, and not many pages to each."""
-    at = rows.select("host", F.posexplode("steps").alias("place", "step")).where("step <> '*'")
-    values = at.groupBy("host", "place", "step").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "place").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"))
-    return values.where((F.col("values") > VARIES) & (F.col("values") > DISTINCT_SHARE * F.col("n"))).groupBy("host").agg(F.collect_set("place").alias("varying"))
+def _next(node: Column, step: Column) -> Column:
+    return F.xxhash64(node, step)
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """(host, steps, template) of ``paths(host, steps, pages)``: the steps, those that vary as ``*``.
+
+    Decided level by level, until no node has more than ``VARIES`` paths below it: none of its children can become a wildcard
+    then, so deeper steps stay as they are. A child is light if it has, one page aside, less than ``SHARE`` of its node's pages.
+    """
+    at = stored(paths.select("host", "steps", "pages", F.lit(_ROOT).cast("bigint").alias("node"), F.array().cast("array<string>").alias("template")), "url-paths")
+    level = 0
+    while True:
+        step = F.get("steps", level)
+        alive = at.where(F.size("steps") > level)
+        kids = alive.groupBy("host", "node", step.alias("step")).agg(F.count(F.lit(1)).alias("paths"), F.sum("pages").alias("n"))
+        kids = stored(kids, "url-children")
+        wide = stored(kids.groupBy("host", "node").agg(F.sum("paths").alias("all_paths"), F.sum("n").alias("all")).where(F.col("all_paths") > VARIES).select("host", "node", "all"), "url-wide")
+        if wide.isEmpty():
+            break
+        heavy = ((F.col("n") - 1) >= SHARE * F.col("all")) | (F.col("step") == "*")
+        known = hot_join(kids, wide, ["host", "node"], F.col("step")).where("all is not null")
+        varies = known.groupBy("host", "node").agg(F.count_if(~heavy).alias("light"), F.collect_set(F.when(heavy, F.col("step"))).alias("fixed"))
+        varies = stored(varies.where(F.col("light") > VARIES).select("host", "node", "fixed"), "url-varying")
+        step = F.when(F.col("fixed").isNotNull() & ~F.array_contains("fixed", step), "*").otherwise(step)
+        at = hot_join(at, varies, ["host", "node"], F.col("steps")).withColumn("step", step)
+        here = F.col("step").isNotNull()
+        at = at.withColumns({"node": F.when(here, _next(F.col("node"), F.col("step"))).otherwise(F.col("node")), "template": F.when(here, F.concat("template", F.array("step"))).otherwise(F.col("template"))})
+        at = stored(at.drop("step", "fixed"), "url-paths")
+        level += 1
+    rest = F.slice("steps", F.size("template") + 1, F.size("steps"))
+    return at.select("host", "steps", F.concat("template", rest).alias("template"))
+
+
+def _chain(template: Column) -> Column:
+    """The nodes from the root to a template's end."""
+    root = F.array(F.lit(_ROOT).cast("bigint"))
+    return F.aggregate(template, root, lambda nodes, step: F.concat(nodes, F.array(_next(F.element_at(nodes, -1), step))))
+
+
+def purities(counted: DataFrame) -> DataFrame:
+    """(host, template, purity) of ``counted(host, template, n, bad)``: labelled pages and those of them that are blocked.
+
+    From all pages' share down the tree over all hosts, then down the host's own: at each node the counts (merged with those of
+    its siblings that are alike) are added to ``WEIGHT`` pages of the parent's purity. Nodes without labels change nothing.
+    """
+    counted = stored(counted, "url-counted")
+    every = counted.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    prior = ((every.bad or 0) + 0.5) / ((every.n or 0) + 1.0)
+    chain = _chain(F.col("template"))
+    steps = counted.select("host", "template", "n", "bad", F.posexplode(F.arrays_zip(chain, F.concat(F.array(F.lit(None).cast("bigint")), chain))).alias("depth", "at"))
+    steps = stored(steps.select("host", "template", "n", "bad", "depth", F.col("at")["0"].alias("node"), F.col("at")["1"].alias("parent")).where("node is not null"), "url-nodes")
+    trees = []
+    for keys in ([], ["host"]):
+        nodes = stored(steps.where("n > 0").groupBy(*keys, "node", "parent").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-tree")
+        whole = stored(nodes.select(*keys, F.col("node").alias("parent"), ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("p")), "url-parents")
+        kids = hot_join(nodes, whole, [*keys, "parent"], F.col("node"))
+        alike = F.coalesce(F.abs(F.col("bad") / F.col("n") - F.col("p")) <= ALIKE * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")), F.lit(False))
+        kids = stored(kids.withColumn("alike", alike).drop("p"), "url-children")
+        pool = stored(kids.where("alike").groupBy(*keys, "parent").agg(F.sum("n").alias("pool_n"), F.sum("bad").alias("pool_bad")), "url-branches")
+        kids = hot_join(kids, pool, [*keys, "parent"], F.col("node"))
+        one = lambda c: F.when(F.col("alike"), F.col(f"pool_{c}")).otherwise(F.col(c)).alias(c)
+        trees.append(stored(kids.select(*keys, "node", F.struct(one("n"), one("bad")).alias("own" if keys else "any")), "url-merged"))
+    found = hot_join(steps.select("host", "template", "depth", "node"), trees[0], "node", F.struct("host", "template"))
+    found = hot_join(stored(found, "url-found"), trees[1], ["host", "node"], F.col("template"))
+    lines = found.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "any", "own"))).alias("line"))
+
+    def down(p: Column, name: str) -> Column:
+        return F.aggregate("line", p, lambda p, x: F.when(x[name].isNull(), p).otherwise((x[name]["bad"] + WEIGHT * p) / (x[name]["n"] + WEIGHT)))
+
+    return lines.select("host", "template", down(down(F.lit(prior), "any"), "own").alias("purity"))
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for each row of ``pages(page_id, url)``.
 
-    The verdict is the rule's; for pages that no rule fits it is the template's: block if the smoothed share of
-    blocked pages in it is over ``REJECT``. Labels are the rules' verdicts. Null urls and those without ``://``
-    have empty host and path, and share one template. Repeated rows each give a row.
+    The verdict is the rule's; for pages that no rule fits it is the template's: block if its smoothed purity, the share of
+    blocked pages, is over ``REJECT``. Labels are the rules' verdicts. Null urls and those without ``://``
+    have empty host and path, and share one template. Repeated rows each give a row; other columns are left out.
     """
     verdicts = F.lit(None).cast("string")
     for verdict, rule in rules:
@@ -67,29 +135,11 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("label", verdicts).withColumn("steps", segments(F.col("path")))
     rows = stored(rows, "urls")
-
-    counted = rows.groupBy("host", "steps").agg(F.count("label").alias("n"), F.count_if(F.col("label") == "block").alias("bad"), F.count(F.lit(1)).alias("pages"))
-    varying = stored(_varying(rows), "url-varying")
-    wild = F.when(F.col("varying").isNull(), F.col("steps")).otherwise(F.transform("steps", lambda s, i: F.when(F.array_contains("varying", i), "*").otherwise(s)))
-    map_ = counted.join(small_side(varying), "host", "left").withColumn("template", F.array_join(F.concat(F.array(F.lit("")), wild), "/"))
-    map_ = stored(map_.select("host", "steps", "template", "n", "bad"), "url-templates")
-
-    # purity by levels: all pages, the template under any host, the template under its host
-    every = map_.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    prior = ((every.bad or 0) + 0.5) / ((every.n or 0) + 1.0)
-    branch = map_.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    any_host = branch.groupBy("template").agg(F.sum("n").alias("n_any"), F.sum("bad").alias("bad_any"))
-    any_host = any_host.withColumn("p_any", (F.col("bad_any") + WEIGHT * prior) / (F.col("n_any") + WEIGHT))
-    own_host = branch.groupBy("host").agg(F.sum("n").alias("n_host"), F.sum("bad").alias("bad_host"))
-    tree = branch.join(small_side(stored(any_host, "url-any")), "template").join(small_side(stored(own_host, "url-hosts")), "host")
-    # a branch whose purity lies within chance of the template's under any host merges with it
-    spread = F.sqrt(F.col("p_any") * (1 - F.col("p_any")) / F.greatest("n", F.lit(1)))
-    alike = (F.col("n") == 0) | (F.abs(F.col("bad") / F.greatest("n", F.lit(1)) - F.col("p_any")) <= ALIKE * spread)
-    own = (F.col("bad") + WEIGHT * F.col("p_any")) / (F.col("n") + WEIGHT)
-    site = (F.col("bad_host") + WEIGHT * F.col("p_any")) / (F.col("n_host") + WEIGHT)
-    purity = F.when(F.col("n") > 0, F.when(alike, F.col("p_any")).otherwise(own)).otherwise(F.when(F.col("n_host") > 0, site).otherwise(F.col("p_any")))
-    tree = tree.select("host", "template", purity.alias("purity"))
-    judgement = stored(map_.select("host", "steps", "template").join(tree, ["host", "template"]), "url-purity")
-    out = rows.join(small_side(judgement), ["host", "steps"], "left")
+    paths = stored(rows.groupBy("host", "steps").agg(F.count("label").alias("n"), F.count_if(F.col("label") == "block").alias("bad"), F.count(F.lit(1)).alias("pages")), "url-steps")
+    named = stored(templates(paths), "url-templates")
+    counted = paths.join(named, ["host", "steps"]).groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    purity = stored(purities(counted), "url-purity")
+    judgement = stored(hot_join(named, purity, ["host", "template"], F.col("steps")), "url-judgement")
+    out = hot_join(rows, judgement, ["host", "steps"], F.col("page_id"))
     verdict = F.coalesce("label", F.when(F.col("purity") > REJECT, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -186,6 +187,58 @@ def test_markov_finds_random_strings(spark):
     assert found[100] == ["markov"] and found[101] == [] and all(found[i] == ["assign"] or found[i] == ["assign", "hex"] for i in range(60))
 
 
+def slow_ratio(value, ratios):
+    codes = [0] + [secret_scan.ALPHABET.find(c) + 1 for c in value]
+    return sum(ratios[a * (len(secret_scan.ALPHABET) + 1) + b] for a, b in zip(codes, codes[1:]))
+
+
+def test_ratio_and_query_strings(spark, tmp_path):
+    random.seed(6)
+    key = "".join(random.choices(secret_scan.ALPHABET[:62], k=40))
+    texts = [f"run {key} token: abcdefgh{key}, rest {key}", None, "", "plain words only", f"AKIA{'Q' * 16}zz{key}", 'password = "hunter2hunter2"' * 3]
+    texts += [" ".join(random.choices(["station", "of", "nation", "request", "thereof"], k=60)) + f" secret={random.randbytes(18).hex()}" for _ in range(40)]
+    docs(spark, *enumerate(texts)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    ratios = secret_scan.train(table)
+    got = {r.doc_id: r for r in queries.op2_secrets(spark, str(tmp_path)).collect()}
+    n_markov = 0
+    for i, text in enumerate(texts):
+        base = slow_secrets(text or "")
+        line = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        rest = list(text or "")
+        for a, _, b in base:
+            rest[a:b] = " " * (b - a)
+        more = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", "".join(rest)):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and slow_ratio(m[0], ratios) >= max(secret_scan.LEAST_RATIO, secret_scan.LEAST_MEAN * len(m[0])):
+                more.append((m.start(), 3, m.end()))
+        n_markov += len(more)
+        counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts
+        assert got[i].base_sha256 == hashlib.sha256(line(base).encode()).hexdigest() and got[i].spans == line(sorted(base + more))
+    assert n_markov >= 3
+
+
+def test_secrets_in_long_texts(spark):
+    """A run of a million characters and fifty thousand secrets take seconds."""
+    random.seed(8)
+    run = "".join(random.choices(secret_scan.ALPHABET[:62], k=1_000_000))
+    many = " ".join(f"token={i:08d}abcdef" for i in range(50_000))
+    ratios = [0.0] * 4_489
+    found = secret_scan.with_secrets(docs(spark, (1, run), (2, many)).repartition(2), ratios).withColumn("clean", secret_scan.redacted(F.col("text"), F.col("secrets")))
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in found.collect()}
+    assert time.perf_counter() - began < 60
+    assert rows[1].clean == run and len(rows[2].secrets) == 50_000 and rows[2].clean == " ".join(["[secret]"] * 50_000)
+
+
+def test_redaction_of_spans_that_overlap(spark):
+    text = "secret=AKIA" + "A1" * 10 + " é " + "deadbeef" * 5 + "zz token:" + "0123456789abcdef" * 2
+    (r,) = secret_scan.with_secrets(docs(spark, (1, text)), [0.0] * 4_489).withColumn("clean", secret_scan.redacted(F.col("text"), F.col("secrets"))).collect()
+    assert [(s.start, secret_scan.KINDS.index(s.kind), s.end) for s in r.secrets] == slow_secrets(text)
+    assert r.clean == "[secret] é [secret]zz [secret]"
+
+
 def test_secrets_odd(spark, odd, empty):
     got = secret_scan.with_secrets(odd)
     assert got.columns == [*odd.columns, "secrets"] and all(r.secrets == [] for r in got.collect()) and got.count() == odd.count()
