@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,19 +77,26 @@ def _prefixes(common) -> Callable[[Column], Column]:
 
 def _fits() -> Column:
     """Whether sets that meet at places a_pos and b_pos can have a similarity of 4/5."""
-    both = F.col("a_n") + F.col("b_n")
-    left = 1 + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
-    apart = sum(F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(_SKETCH // 64))
-    return (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")) & (9 * left >= 4 * both) & (9 * apart <= both)
+    left = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    return (5 * F.least("a_n", "b_n") >= 4 * F.greatest("a_n", "b_n")) & (9 * left >= 4 * (F.col("a_n") + F.col("b_n")))
+
+
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sketches in ``sets(fp, n, sketch)`` do not bound the similarity below 4/5."""
+    side = lambda x: sets.select(F.col("fp").alias(x), F.struct("n", "sketch").alias(f"{x}_set"))
+    both = hot_join(pairs, side("a"), "a", F.col("b"))
+    both = hot_join(both, side("b"), "b", F.col("a"))
+    apart = sum(F.bit_count(F.col("a_set.sketch")[i].bitwiseXOR(F.col("b_set.sketch")[i])) for i in range(_SKETCH // 64))
+    return both.where(9 * apart <= F.col("a_set.n") + F.col("b_set.n")).select("a", "b")
 
 
 def _named(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("token", *[F.col(c).alias(f"{side}_{c}" if c != "fp" else side) for c in rows.columns if c != "token"])
 
 
-def _alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets have a similarity of at least 4/5."""
-    pairs = stored(pairs.distinct(), "near-pairs")
+def _alike(pairs: DataFrame, known: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets have a similarity of at least 4/5: by sketches, then by the sets themselves."""
+    pairs = stored(_close(stored(pairs.distinct(), "near-met"), known), "near-pairs")
     needed = stored(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "near-needed")
     ids = prints.join(small_side(needed), "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     ids = stored(ids.select("fp", F.col("first.doc_id").alias("id__"), F.col("first.text_hash").alias("hash__")), "near-ids")
@@ -105,35 +113,38 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     sample = docs.select(whole_text().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     often = sample.select(F.explode(_shingles("text")).alias("token")).groupBy("token").count().where(F.col("count") >= COMMON)
-    late = often.orderBy(F.desc("count"), "token").limit(COMMON_MOST).select("token").toPandas()["token"].to_numpy(dtype=np.int64)
+    late = often.orderBy(F.desc("count"), "token").limit(COMMON_MOST).select("token").toArrow().column(0).to_numpy()
     common = spark.sparkContext.broadcast(np.sort(late))
 
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), _prefixes(common)(whole_text()).alias("p"))
     prints = stored(rows.select("doc_id", "text_hash", "p.*"), "near-prefixes")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    places = prints.select("fp", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
-    shared = stored(places.groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("token"), "near-shared")
-    met = stored(places.join(small_side(shared), "token").dropDuplicates(["token", "fp"]).select("token", "fp", "n", "pos", "sketch"), "near-places")
-
-    # the set with the fewest rare shingles of each group against the others
-    one = stored(met.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "fp", "n", "sketch")).alias("m")), "near-first")
-    first = one.select("token", *[F.col(f"m.{c}").alias(c) for c in ("fp", "n", "pos", "sketch")])
-    star = _named(met, "a").join(small_side(_named(first, "b")), "token").where((F.col("a") != F.col("b")) & _fits())
-    links = stored(_alike(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), prints, docs), "near-star")
-    root = components(links)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("first")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), first, F.count(F.lit(1)).alias("copies")), "near-sets")
+    again = stored(distinct.where("copies > 1").select("fp", "first"), "near-copies")
+    one = hot_join(prints, again, "fp", F.col("doc_id")).where("first is null or (first.doc_id <=> doc_id and first.text_hash = text_hash)")
+
+    # the members of each group of sets that meet in a shingle, with the member that has the fewest rarer shingles
+    group = W.partitionBy("token")
+    met = one.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
+    met = met.withColumns({"size": F.count(F.lit(1)).over(group), "m": F.min(F.struct("pos", "fp", "n")).over(group)}).where("size > 1")
+    met = stored(met.dropDuplicates(["token", "fp"]), "near-places")
+    star = met.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("m.fp").alias("b"), F.col("m.n").alias("b_n"), F.col("m.pos").alias("b_pos"))
+    star = star.where((F.col("a") != F.col("b")) & _fits()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stored(_alike(star, distinct, prints, docs), "near-star")
+    root = stored(components(links).withColumnRenamed("node", "fp"), "near-roots")
 
     # the others that meet, but lie in different components
-    sides = met.join(small_side(root.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = sides.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
-    parts = one.join(mixed, "token", "left_semi").select("token", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
-    sides = stored(sides.join(small_side(stored(parts, "near-parts")), "token"), "near-sides")
+    sides = hot_join(met.select("token", "fp", "n", "pos", "size"), root, "fp", F.col("token")).withColumn("root", F.coalesce("root", "fp"))
+    mixed = sides.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.first("size").alias("size")).where("r <> s")
+    parts = stored(mixed.select("token", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "near-parts")
+    sides = stored(sides.drop("size").join(small_side(parts), "token"), "near-sides")
     a = _named(sides.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).drop("parts"), "a").withColumnRenamed("a_part", "part")
     b = _named(sides.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "b").withColumnRenamed("b_part", "part")
     across = a.join(b, ["token", "part"]).where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _fits())
-    links = links.union(stored(_alike(across.select("a", "b"), prints, docs), "near-across"))
+    links = links.union(stored(_alike(across.select("a", "b"), distinct, prints, docs), "near-across"))
 
     roots = components(links).withColumnRenamed("node", "fp")
-    return prints.select("doc_id", "text_hash", "fp"), cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    return prints.select("doc_id", "text_hash", "fp"), cut(distinct.select("fp", "first_id").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
