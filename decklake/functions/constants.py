@@ -72,3 +72,52 @@ TERMS = (
     ("term-incumbent", "header", r"(?i)(?<![A-Za-z0-9_])incumbent(?![A-Za-z0-9_])", "Incumbent", "Executive", False, True),
     ("term-company-name", "header", r"(?i)^company name\z", "Company Name", "Company", False, True),
 )
+
+#: What reviewers marked in the annotated deck, by slide and by the layer that is to find it.
+GROUND_TRUTH = {
+    1: {"deterministic": ["draft"]},
+    2: {"ai": ["bullets-parallel"]},
+    3: {
+        "deterministic": ["percentile", "table-title-centered", "title-moved", "title-lines"],
+        "ai": ["client-name", "bullets-parallel"],
+        "hard": ["legend-spacing", "legend-box", "first-col-margin"],
+    },
+    4: {"deterministic": ["font-consistency", "title-moved"]},
+    5: {"deterministic": ["percentile"], "ai": ["legend-order"], "hard": ["first-col-margin"]},
+    6: {"deterministic": ["merged-cells"], "hard": ["first-col-margin"]},
+    9: {"deterministic": ["title-lines"]},
+    10: {"deterministic": ["confidentiality-missing"], "ai": ["legend-naming"], "hard": ["legend-spacing"]},
+    11: {"ai": ["legend-order", "missing-units", "propernoun-punct"]},
+    12: {"deterministic": ["confidentiality-overlap", "company-name"]},
+    13: {"deterministic": ["confidentiality-missing", "statsrow-color"], "ai": ["legend-naming"]},
+    14: {"deterministic": ["confidentiality-missing", "statsrow-color"], "ai": ["legend-naming"], "hard": ["missing-labels"]},
+    23: {"deterministic": ["confidentiality-missing"]},
+    24: {"deterministic": ["confidentiality-moved"]},
+}
+#: The tag of a rule's findings, and those of a reviewer's categories.
+RULE_TAGS = {
+    "draft-designator": "draft",
+    "term-percentile": "percentile",
+    "term-company-name": "company-name",
+    "term-incumbent": "incumbent",
+    "table-font-consistency": "font-consistency",
+    "table-statsrow-color": "statsrow-color",
+    "table-merged-body": "merged-cells",
+    "table-title-centered": "table-title-centered",
+    "confidentiality-missing": "confidentiality-missing",
+    "confidentiality-modified": "confidentiality-modified",
+    "confidentiality-moved": "confidentiality-moved",
+    "confidentiality-overlap": "confidentiality-overlap",
+    "title-moved": "title-moved",
+    "title-lines": "title-lines",
+    "title-punct": "title-punct",
+}
+CATEGORY_TAGS = {
+    "bullets": ["bullets-parallel"],
+    "title": ["title-lines"],
+    "consistency": ["client-name", "legend-order", "legend-naming"],
+    "terminology": ["company-name", "legend-naming"],
+    "table": ["missing-units"],
+    "content": ["propernoun-punct", "missing-units"],
+    "footnote": ["propernoun-punct"],
+}

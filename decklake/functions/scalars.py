@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -108,7 +109,8 @@ def channels(colour: Column) -> list[Column]:
 def nearest_colour(colour: Column, palette: Sequence[str] = PALETTE) -> Column:
     """Struct (d2, at, colour) of the nearest palette colour: squared distance, earliest of equals. Null for null."""
     rgb = F.array(*channels(colour))
-    entries = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("colour"), *[F.lit(int(c[j : j + 2], 16)).alias(n) for n, j in (("r", 0), ("g", 2), ("b", 4))]) for i, c in enumerate(palette)])
+    known = [{"at": i, "colour": c, "r": int(c[:2], 16), "g": int(c[2:4], 16), "b": int(c[4:], 16)} for i, c in enumerate(palette)]
+    entries = F.from_json(F.lit(json.dumps(known)), "array<struct<at:int,colour:string,r:int,g:int,b:int>>")  # one literal, not hundreds
 
     def far(e: Column) -> Column:
         d = [F.get(rgb, i) - e[n] for i, n in enumerate("rgb")]

@@ -24,9 +24,13 @@ def corpus(decks: Decks) -> DataFrame:
 
 
 def client_names(decks: Decks, stop: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
-    """(deck_id, client_name, score in quarters, variants): possessives weigh 4, every capitalised word 1. The first
-    found wins a tie, possessives before all others. Variants count the words that follow the name."""
-    words = corpus(decks)
+    """The names of ``names_in`` of decks."""
+    return names_in(corpus(decks), stop)
+
+
+def names_in(words: DataFrame, stop: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+    """(deck_id, client_name, score in quarters, variants) of ``words(deck_id, place, text)``: possessives weigh 4, every
+    capitalised word 1. The first found wins a tie, possessives before all others. Variants count the words that follow the name."""
     owned = words.select("deck_id", "place", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9_])({_NAME})['’]s(?![A-Za-z0-9_])"), F.lit(1))).alias("pos", "token"), F.lit(0).alias("pass"), F.lit(4).alias("weight"))
     bare = words.select("deck_id", "place", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9_])({_NAME})(?![A-Za-z0-9_])"), F.lit(1))).alias("pos", "token"), F.lit(1).alias("pass"), F.lit(1).alias("weight"))
     scored = owned.unionByName(bare).where(~F.upper("token").isin(*stop)).groupBy("deck_id", "token").agg(F.sum("weight").alias("score"), F.min(F.struct("pass", "place", "pos")).alias("first"))
@@ -57,7 +61,7 @@ def legend_orders(decks: Decks) -> DataFrame:
     """(deck_id, slide_index, shape_pos, labels): up to twelve short texts near a key or legend, from the top."""
     texts = decks.shapes.where("rect is not null").withColumn("line", trimmed(F.col("text")))
     anchors = texts.where(F.regexp_replace(F.lower("line"), ":$", "").isin("key", "legend")).select(*SHAPE, F.col("rect").alias("anchor"))
-    near = texts.where(~is_blank(F.col("line")) & (F.length("line") < 40)).select("deck_id", "slide_index", F.col("shape_pos").alias("other"), "rect", "line")
+    near = texts.where((F.col("kind") == "text") & ~is_blank(F.col("line")) & (F.length("line") < 40)).select("deck_id", "slide_index", F.col("shape_pos").alias("other"), "rect", "line")
     band = (F.abs(F.col("rect.x") - F.col("anchor.x")) < 2 * EMU_PER_INCH) & (F.col("rect.y") >= F.col("anchor.y") - EMU_PER_INCH) & (F.col("other") != F.col("shape_pos"))
     hits = first_rows(anchors.join(near, ["deck_id", "slide_index"]).where(band), SHAPE, [F.col("rect.y"), "other"], 12)
     return hits.groupBy(*SHAPE).agg(F.array_sort(F.collect_list(F.struct(F.col("rect.y").alias("y"), "other", "line"))).alias("l")).select(*SHAPE, F.col("l.line").alias("labels"))

@@ -24,6 +24,16 @@ def mode_of(rows: DataFrame, keys: Sequence[str], value: str, place: str) -> Dat
     return best.select(*keys, F.col(f"b.{value}").alias(value), (-F.col("b.m")).alias("n"))
 
 
+def outliers(rows: DataFrame, keys: Sequence[str], value: str, place: str, least: int, share: float, tolerance: float) -> DataFrame:
+    """(keys, value, n, place, usual): values that differ from their key's most frequent one by over ``tolerance``, with their
+    first place, where at least ``least`` rows have a value and ``share`` of them the usual one."""
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias(place))
+    whole = W.partitionBy(*keys)
+    counts = counts.withColumn("total", F.sum("n").over(whole)).withColumn("top", F.min(F.struct((-F.col("n")).alias("m"), place, value)).over(whole))
+    bad = (F.col("total") >= least) & (-F.col("top.m") >= share * F.col("total")) & (F.abs(F.col(value) - F.col(f"top.{value}")) > tolerance)
+    return counts.where(bad).select(*keys, value, "n", place, F.col(f"top.{value}").alias("usual"))
+
+
 def prioritised(left: DataFrame, right: DataFrame, keys: Sequence[str], kind: str, index: str, order: str) -> DataFrame:
     """``left`` with the columns of its best match in ``right`` and its tier: 1 by kind and index, 2 by kind, 3 by a known
     index; nulls are equal in 1 and 2; the first in ``order`` wins. Each tier is an equi-join to one row a key."""
@@ -40,22 +50,34 @@ def prioritised(left: DataFrame, right: DataFrame, keys: Sequence[str], kind: st
     return out.select(*left.columns[:n], tier.alias("tier"), *[match[c].alias(c) for c in rest])
 
 
+def prioritised_in(items: Column, kind: Column, index: Column, kind_name: str = "ph_type", index_name: str = "ph_idx") -> Column:
+    """The match of ``prioritised`` among the structs of an array, in its order."""
+    tiers = (
+        lambda x: x[kind_name].eqNullSafe(kind) & x[index_name].eqNullSafe(index),
+        lambda x: x[kind_name].eqNullSafe(kind),
+        lambda x: x[index_name] == index,
+    )
+    return F.coalesce(*[F.get(F.filter(items, t), 0) for t in tiers])
+
+
 def coalesced(rows: DataFrame, layers: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Each field's first known value along struct columns ``layers``, nearest first."""
     return rows.withColumns({f: F.coalesce(*[F.col(layer)[f] for layer in layers]) for f in fields}).drop(*layers)
 
 
 def collapse(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One finding for each key: the most confident, the first emitted of equals; ``first_ord`` is the key's first.
+    """One finding for each key: the most confident, the first emitted of equals; ``first_ord`` is the key's first (kept
+    where findings are collapsed again).
 
     Where the findings have ``detail`` and ``evidence``, the first detail stays, and evidence gathers texts that it
     does not hold yet; what a finding adds in the step in which it becomes the most confident is left out.
     """
-    rest = [c for c in findings.columns if c not in keys]
+    rest = [c for c in findings.columns if c not in keys and c != "first_ord"]
+    first = "first_ord" if "first_ord" in findings.columns else "emit_ord"
     best = F.min(F.struct((-F.col("confidence")).alias("less"), "emit_ord", *[c for c in rest if c != "emit_ord"])).alias("best")
     folds = {"detail", "evidence"} <= set(rest)
     more = [F.min(F.struct("emit_ord", "detail"))["detail"].alias("first_detail"), F.array_sort(F.collect_list(F.struct("emit_ord", "confidence", "evidence"))).alias("steps")] if folds else []
-    out = findings.groupBy(*keys).agg(best, F.min("emit_ord").alias("first_ord"), *more)
+    out = findings.groupBy(*keys).agg(best, F.min(first).alias("first_ord"), *more)
     columns = [F.col(f"best.{c}").alias(c) for c in rest]
     if folds:
 

@@ -1,4 +1,4 @@
-"""Deck tables, with inherited styles and places resolved by joins."""
+"""Deck tables, with inherited styles and places resolved where a deck's row holds both."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decklake.functions.scalars import is_blank, style_family, theme_font
-from decklake.operators.algebra import prioritised
+from decklake.operators.algebra import prioritised_in
+from decklake.sources.scratch import removed, scratch, stored
 
 STYLE = ("size_pt", "bold", "italic", "underline", "strike", "font", "color")
 PARA = ("align", "margin_left_in", "indent_in", "space_before_pt", "space_after_pt", "line_spacing_pct", "bullet")
@@ -26,23 +27,23 @@ def _of_level(levels: Column, level: Column, part: str) -> Column:
 class Decks:
     """Tables of decks: ``rows`` has a row of ``sources.pptx.DECK`` each. Every table keeps the order in ordinals.
 
-    All rules read the same few tables, so these are persisted (spilled to disk where memory is short, computed again
-    where an executor is lost) until ``release``.
+    All rules read the same few tables, so each is written to the shared folder when it is first needed and read from there:
+    plans stay small, and lost executors cost only their own tasks. ``release`` deletes them; results must be written before.
     """
 
     rows: DataFrame
-    held: list[DataFrame] = field(default_factory=list)
+    held: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.rows = self._hold(self.rows)
+        self.rows = self.hold(self.rows, "rows")
 
-    def _hold(self, table: DataFrame) -> DataFrame:
-        self.held.append(table.persist())
-        return self.held[-1]
+    def hold(self, table: DataFrame, name: str) -> DataFrame:
+        self.held.append(scratch(table.sparkSession, f"decks-{name}"))
+        return stored(table, name, self.held[-1])
 
     def release(self) -> None:
-        for table in self.held:
-            table.unpersist()
+        while self.held:
+            removed(self.rows.sparkSession, self.held.pop())
 
     @cached_property
     def errors(self) -> DataFrame:
@@ -50,28 +51,40 @@ class Decks:
 
     @cached_property
     def layers(self) -> DataFrame:
-        return self.rows.select("deck_id", F.inline("layers"))
+        return self.hold(self.rows.select("deck_id", F.inline("layers")), "layers")
 
     @cached_property
-    def slides(self) -> DataFrame:
-        """One row a slide, its kind from a centred title, else the layout's type."""
-        rows = self.rows.select("deck_id", "file_name", "size", "theme", F.inline("slides"))
+    def _slides(self) -> DataFrame:
+        """One row a slide with its deck's layers, its kind from a centred title, else the layout's type."""
+        rows = self.rows.select("deck_id", "file_name", "size", "theme", "layers", F.inline("slides"))
         centred = F.exists("shapes", lambda s: F.coalesce(s["ph_type"] == "ctrTitle", F.lit(False)))
         kind = F.when(centred | (F.col("layout_type") == "title"), "title").when(F.col("layout_type") == "secHead", "section").otherwise("content")
         titles = F.filter("shapes", lambda s: F.coalesce(s["ph_type"].isin("title", "ctrTitle"), F.lit(False)))
         return rows.withColumns({"kind": kind, "title_pos": F.get(titles, 0)["shape_pos"]})
 
+    @cached_property
+    def slides(self) -> DataFrame:
+        return self.hold(self._slides.drop("layers", "shapes"), "slides")
+
     @cached_property
     def _matched(self) -> DataFrame:
-        """Shapes with the levels, places and bodies of their layout's and master's placeholders."""
-        out = self.slides.select(*SLIDE, "layout_name", "theme", F.col("kind").alias("slide_kind"), "title_pos", F.inline("shapes"))
-        for scope, keys in (("layout", ["deck_id", "layout_name"]), ("master", ["deck_id"])):
-            places = self.layers.where(F.col("scope") == scope).select(*keys, "ph_pos", "ph_type", "ph_idx", F.struct("rect", "body", "levels").alias(scope))
-            found = prioritised(out.where("kind = 'text'").select(*SHAPE, "layout_name", "ph_type", "ph_idx"), places, keys, "ph_type", "ph_idx", "ph_pos")
-            out = out.join(found.select(*SHAPE, scope), list(SHAPE), "left")
-        text = self.layers.where("scope = 'text'").groupBy("deck_id").agg(F.map_from_entries(F.collect_list(F.struct("ph_type", "levels"))).alias("text_levels"))
-        default = self.layers.where("scope = 'default'").groupBy("deck_id").agg(F.first("levels").alias("default_levels"))
-        return self._hold(out.join(text, "deck_id", "left").join(default, "deck_id", "left"))
+        """Shapes with the rect, body and levels of their layout's and master's placeholders.
+
+        A deck's layers stand in its row, so they are matched there, without a shuffle.
+        """
+        of = lambda scope: F.filter("layers", lambda x: x["scope"] == scope)
+        names = {
+            "layout_places": F.filter(of("layout"), lambda x: x["layout_name"] == F.col("layout_name")),
+            "master_places": of("master"),
+            "text_levels": F.map_from_entries(F.transform(of("text"), lambda x: F.struct(x["ph_type"], x["levels"]))),
+            "default_levels": F.get(of("default"), 0)["levels"],
+        }
+        keep = [*SLIDE, "layout_name", "theme", F.col("kind").alias("slide_kind"), "title_pos", "shapes"]
+        out = self._slides.select(*keep, *[c.alias(n) for n, c in names.items()]).select("*", F.inline("shapes")).drop("shapes")
+        for scope in ("layout", "master"):
+            best = prioritised_in(F.col(f"{scope}_places"), F.col("ph_type"), F.col("ph_idx"))
+            out = out.withColumn(scope, F.when(F.col("kind") == "text", F.transform(F.array(best), lambda x: F.struct(x["rect"].alias("rect"), x["body"].alias("body"), x["levels"].alias("levels")))[0]))
+        return self.hold(out.drop("layout_places", "master_places"), "matched")
 
     @cached_property
     def shapes(self) -> DataFrame:
@@ -81,7 +94,7 @@ class Decks:
         text = F.when(F.col("kind") == "table", F.when(F.size("row_heights") > 0, F.array_join(rows, "\n")).otherwise("")).otherwise(lines)
         place = F.coalesce("rect", F.col("layout.rect"), F.col("master.rect"))
         body = F.struct(*[F.coalesce(F.col("body")[f], F.col("layout.body")[f], F.col("master.body")[f]).alias(f) for f in ("anchor", "left", "right", "top", "bottom", "wrap")])
-        return self._hold(self._matched.select(*SHAPE, "layout_name", "slide_kind", "title_pos", "shape_id", "name", "kind", "ph_type", "ph_idx", place.alias("rect"), body.alias("body"), "fill", "image_path", text.alias("text"), "col_widths", "row_heights"))
+        return self.hold(self._matched.select(*SHAPE, "layout_name", "slide_kind", "title_pos", "shape_id", "name", "kind", "ph_type", "ph_idx", place.alias("rect"), body.alias("body"), "fill", "image_path", text.alias("text"), "col_widths", "row_heights"), "shapes")
 
     def _resolved(self, rows: DataFrame, level: Column, own: list[str], part: str, deep: bool = True) -> dict[str, Column]:
         """Each property's first known value: own, the shape's list, layout, master, the master's text style, default."""
@@ -101,7 +114,7 @@ class Decks:
         out = out.join(model, list(SHAPE), "left")
         takes = F.col("bullet").isNull() & ~is_blank(F.col("text")) & (F.col("ph_type").isNull() | (F.col("ph_type") == "body"))
         bullet = F.when(takes, F.col("model")).otherwise(F.col("bullet"))
-        return out.select(*SHAPE, "slide_kind", "ph_type", "para_pos", "level", *[bullet.alias(c) if c == "bullet" else F.col(c) for c in PARA], "text")
+        return self.hold(out.select(*SHAPE, "slide_kind", "ph_type", "para_pos", "level", *[bullet.alias(c) if c == "bullet" else F.col(c) for c in PARA], "text"), "paragraphs")
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -111,7 +124,7 @@ class Decks:
         rows = rows.select(*SHAPE, *keep, F.col("p.para_pos").alias("para_pos"), F.col("p.level").alias("level"), F.inline("p.runs"))
         out = rows.withColumns(self._resolved(rows, F.col("level"), list(STYLE), "run"))
         font = theme_font(F.col("font"), F.col("theme.major"), F.col("theme.minor"))
-        return self._hold(out.select(*SHAPE, "slide_kind", "title_pos", "ph_type", "shape_id", "para_pos", "run_pos", "text", *[font.alias("font") if c == "font" else F.col(c) for c in STYLE]))
+        return self.hold(out.select(*SHAPE, "slide_kind", "title_pos", "ph_type", "shape_id", "para_pos", "run_pos", "text", *[font.alias("font") if c == "font" else F.col(c) for c in STYLE]), "runs")
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -124,4 +137,4 @@ class Decks:
             known["font"] = theme_font(known["font"], F.col("theme.major"), F.col("theme.minor"))
             return F.struct(r["run_pos"].alias("run_pos"), r["text"].alias("text"), *[v.alias(k) for k, v in known.items()])
 
-        return self._hold(rows.withColumn("runs", F.transform("runs", style)).drop("theme", "text_levels", "default_levels", "ph_type"))
+        return self.hold(rows.withColumn("runs", F.transform("runs", style)).drop("theme", "text_levels", "default_levels", "ph_type"), "cells")

@@ -6,10 +6,10 @@ a service. Its answers are JSON, checked as a whole, and their evidence must sta
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,11 +63,18 @@ def reviewed(answers: DataFrame, decks: Decks, least: float = C.REVIEW_CONFIDENC
     parsed = answers.withColumn("a", F.from_json(S.loose_json(F.col("answer")), ANSWER))
     parsed = parsed.where(F.forall("a.findings", _valid) & (F.size("a.findings") <= MOST_FINDINGS))
     rows = parsed.select(*SLIDE, F.posexplode("a.findings").alias("pos", "f")).select(*SLIDE, "pos", "f.*").where(F.col("confidence") >= least)
-    hay = decks.shapes.groupBy(*SLIDE).agg(F.lower(S.plain_quotes(F.array_join(F.array_sort(F.collect_list(F.struct("shape_pos", "text")))["text"], " "))).alias("hay"))
-    needle = F.lower(S.plain_quotes(F.coalesce("evidence", F.lit(""))))
-    rows = rows.withColumn("needle", needle).where(F.length("needle") >= 2).join(hay, list(SLIDE)).where(F.contains("hay", "needle"))
+    rows = grounded(rows, decks.shapes, SLIDE).where("stands")
     rows = first_rows(rows, [*SLIDE, "category", F.substr("needle", F.lit(1), F.lit(40))], ["pos"])
-    return located(rows.drop("hay"), decks)
+    return located(rows.drop("stands"), decks)
+
+
+def grounded(rows: DataFrame, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` whose ``evidence`` has two characters or more and whose key has texts, with it as ``needle``, and whether it
+    ``stands`` in the key's ``texts(shape_pos, text)``, joined in order: one key is one slide."""
+    plain = lambda x: F.lower(S.plain_quotes(x))
+    hay = texts.groupBy(*keys).agg(plain(F.array_join(F.array_sort(F.collect_list(F.struct("shape_pos", "text")))["text"], " ")).alias("hay"))
+    rows = rows.withColumn("needle", plain(F.coalesce("evidence", F.lit("")))).where(F.length("needle") >= 2)
+    return rows.join(hay, list(keys)).withColumn("stands", F.contains("hay", "needle")).drop("hay")
 
 
 def located(rows: DataFrame, decks: Decks) -> DataFrame:
@@ -108,7 +115,7 @@ def fix_plan(found: DataFrame, decks: Decks, least_severity: bool = False) -> Da
     rows = found.where(F.col("severity").isin("error", "warning")) if least_severity else found
     width = F.coalesce(F.col("rect.cx") / C.EMU_PER_INCH, F.lit(C.TITLE_WIDTH_IN))
     # held, so that the long expression is planned once, not in each use of its result
-    titles = decks._hold(decks.shapes.where("shape_pos = title_pos").select(*SLIDE, S.shortened(S.one_line(F.col("text")), S.title_room(width)).alias("short")))
+    titles = decks.hold(decks.shapes.where("shape_pos = title_pos").select(*SLIDE, S.shortened(S.one_line(F.col("text")), S.title_room(width)).alias("short")), "short-titles")
     rows = rows.join(titles, list(SLIDE), "left").join(decks.slides.select(*SLIDE, "slide_path"), list(SLIDE), "left")
     short = fix("title-rewrite", replacement=F.col("short"))
     chosen = F.when((F.col("rule_id") == "title-lines") & F.col("fix.replacement").isNull(), short).otherwise(F.col("fix"))
@@ -142,18 +149,81 @@ def analysis(found: DataFrame, decks: Decks) -> DataFrame:
     return slides.groupBy("deck_id", "file_name").agg(F.array_sort(F.collect_list(slide)).alias("slides"))
 
 
+def _hits(found: DataFrame, truth: DataFrame, tags: DataFrame) -> DataFrame:
+    """``truth(slide_index, tag, layer)`` with ``hit``: whether a finding of the slide has the tag."""
+    said = found.join(tags, "rule_id").select("slide_index", "tag").distinct().withColumn("hit", F.lit(True))
+    return truth.join(said, ["slide_index", "tag"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
 def recall(found: DataFrame, truth: DataFrame, tags: DataFrame) -> DataFrame:
-    """(layer, covered, expected, recall, missed) of ``truth(slide_index, tag, layer)`` by findings, whose rules ``tags(rule_id,
-    tag)`` name; 1 where nothing is expected."""
-    said = found.join(F.broadcast(tags), "rule_id").select("slide_index", "tag").distinct().withColumn("hit", F.lit(True))
-    rows = truth.join(said, ["slide_index", "tag"], "left").groupBy("layer")
-    rows = rows.agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("covered"), F.count(F.lit(1)).alias("expected"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.struct("slide_index", "tag")))).alias("missed"))
+    """(layer, covered, expected, recall) of ``truth(slide_index, tag, layer)`` by findings, whose rules ``tags(rule_id, tag)``
+    name; 1 where nothing is expected."""
+    rows = _hits(found, truth, tags).groupBy("layer").agg(F.count_if("hit").alias("covered"), F.count(F.lit(1)).alias("expected"))
     return rows.withColumn("recall", F.when(F.col("expected") == 0, 1.0).otherwise(F.col("covered") / F.col("expected")))
 
 
-def precision(found: DataFrame, truth: DataFrame, tags: DataFrame) -> DataFrame:
-    """(right, total, precision) of the primary tier: a finding is right if one of its tags is expected on its slide."""
+def missed(found: DataFrame, truth: DataFrame, tags: DataFrame) -> DataFrame:
+    """The rows of ``truth`` that no finding covers."""
+    return _hits(found, truth, tags).where("not hit").drop("hit")
+
+
+def judged(found: DataFrame, truth: DataFrame, tags: DataFrame) -> DataFrame:
+    """Findings of the primary tier and whether each is ``right``: one of its tags is expected on its slide."""
     rows = primary(found).select("slide_index", "rule_id", "emit_ord")
-    right = rows.join(F.broadcast(tags), "rule_id").join(truth.select("slide_index", "tag"), ["slide_index", "tag"], "left_semi").select("slide_index", "rule_id", "emit_ord").distinct()
-    out = rows.join(right.withColumn("right", F.lit(1)), ["slide_index", "rule_id", "emit_ord"], "left").agg(F.coalesce(F.sum("right"), F.lit(0)).alias("right"), F.count(F.lit(1)).alias("total"))
+    right = rows.join(tags, "rule_id").join(truth.select("slide_index", "tag"), ["slide_index", "tag"], "left_semi").select("slide_index", "rule_id", "emit_ord").distinct()
+    return rows.join(right.withColumn("right", F.lit(True)), ["slide_index", "rule_id", "emit_ord"], "left").withColumn("right", F.coalesce("right", F.lit(False)))
+
+
+def precision(found: DataFrame, truth: DataFrame, tags: DataFrame) -> DataFrame:
+    """(right, total, precision) of the primary tier; 1 where there is nothing."""
+    out = judged(found, truth, tags).agg(F.count_if("right").alias("right"), F.count(F.lit(1)).alias("total"))
     return out.withColumn("precision", F.when(F.col("total") == 0, 1.0).otherwise(F.col("right") / F.col("total")))
+
+
+def false_positives(found: DataFrame, truth: DataFrame, tags: DataFrame) -> DataFrame:
+    """The primary findings that the truth does not expect."""
+    return judged(found, truth, tags).where("not right").drop("right")
+
+
+def truth_table(spark: SparkSession, truth: dict[int, dict[str, Sequence[str]]] = C.GROUND_TRUTH) -> DataFrame:
+    """(slide_index, tag, layer) of an annotated deck."""
+    rows = [(slide, tag, layer) for slide, layers in truth.items() for layer, names in layers.items() for tag in names]
+    return spark.createDataFrame(rows, "slide_index int, tag string, layer string")
+
+
+def tag_table(spark: SparkSession, rules: dict[str, str] = C.RULE_TAGS, categories: dict[str, Sequence[str]] = C.CATEGORY_TAGS) -> DataFrame:
+    """(rule_id, tag): a rule's tag, and those of a reviewer's category, whose rule is ``ai-`` and the category."""
+    rows = [*rules.items(), *((f"ai-{c}", tag) for c, names in categories.items() for tag in names)]
+    return spark.createDataFrame(rows, "rule_id string, tag string")
+
+
+def slide_counts(found: DataFrame, slides: DataFrame) -> DataFrame:
+    """(deck_id, slide_index, errors, warnings, infos, total) of each row of ``slides(deck_id, slide_index)``, zeros included."""
+    each = found.groupBy(*SLIDE).agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in C.SEVERITIES], F.count(F.lit(1)).alias("total"))
+    names = [*(f"{s}s" for s in C.SEVERITIES), "total"]
+    return slides.select(*SLIDE).join(each, list(SLIDE), "left").select(*SLIDE, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+
+
+def totals(found: DataFrame, decisions: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """(deck_id, errors, warnings, infos, visible, remaining, accepted, fixed) of decks with findings: ``remaining`` are errors and
+    warnings, ``accepted`` are those of ``decisions(finding_key, decision)``, ``fixed`` the changes in ``records(path, records)``."""
+    out = found.groupBy("deck_id").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in C.SEVERITIES], F.count(F.lit(1)).alias("visible"))
+    out = out.withColumn("remaining", F.col("errors") + F.col("warnings"))
+    none = found.select("deck_id", F.lit(0).cast("bigint").alias("n")).limit(0)
+    yes = none if decisions is None else accepted(found, decisions).groupBy("deck_id").agg(F.count(F.lit(1)).alias("n"))
+    done = none if records is None else records.select(F.col("path").alias("deck_id"), F.size(F.filter("records", lambda r: r["changed"])).cast("bigint").alias("n"))
+    for name, side in (("accepted", yes), ("fixed", done)):
+        out = out.join(side.withColumnRenamed("n", name), "deck_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def flattened(analysed: DataFrame) -> DataFrame:
+    """The findings of ``analysis`` as rows again."""
+    return analysed.select("deck_id", "file_name", F.explode("slides").alias("s")).select("deck_id", "file_name", F.col("s.slide_index").alias("slide_index"), F.col("s.kind").alias("kind"), F.inline("s.findings"))
+
+
+def review_report(found: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(deck_id, report): one JSON line for each deck with accepted findings, in their order; ready for ``write.text``."""
+    item = F.struct("slide_index", "emit_ord", "rule_id", "severity", "detail", "evidence", "suggestion")
+    each = accepted(found, decisions).groupBy("deck_id").agg(F.array_sort(F.collect_list(item)).alias("accepted_findings"))
+    return each.select("deck_id", F.to_json(F.struct("deck_id", F.size("accepted_findings").alias("accepted"), "accepted_findings")).alias("report"))

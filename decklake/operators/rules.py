@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from decklake.functions import constants as C
 from decklake.functions import scalars as S
 from decklake.operators import aggregates as A
-from decklake.operators.algebra import first_rows
+from decklake.operators.algebra import first_rows, mode_of, outliers
 from decklake.operators.cascade import SHAPE, SLIDE, Decks
 
 FIX = "kind string, find string, replacement string, value double, color string, regex boolean, ignore_case boolean, deck_wide boolean, rect struct<x:double,y:double,cx:double,cy:double>"
@@ -43,7 +43,7 @@ class Context:
 
     @cached_property
     def footers(self) -> DataFrame:
-        return A.footers(self.decks, self.settings.footer)
+        return self.decks.hold(A.footers(self.decks, self.settings.footer), "footers")
 
     @cached_property
     def titles(self) -> DataFrame:
@@ -53,6 +53,17 @@ class Context:
     def visible(self) -> DataFrame:
         return self.decks.runs.where(~S.is_blank(F.col("text")))
 
+    @cached_property
+    def footer_shapes(self) -> DataFrame:
+        """Shapes that are or resemble a footer, with their likeness to the deck's, and which is a slide's first."""
+        rows = self.decks.shapes.where((F.col("kind") == "text") & ~S.is_blank(F.col("text"))).join(self.footers, "deck_id")
+        rows = rows.withColumn("like", S.jaccard(F.col("text"), F.col("footer"))).where((F.coalesce(F.col("ph_type"), F.lit("")) == "ftr") | (F.col("like") >= C.FOOTER_LIKE))
+        return self.decks.hold(rows.withColumn("first", F.min("shape_pos").over(W.partitionBy(*SLIDE)) == F.col("shape_pos")), "footer-shapes")
+
+    @cached_property
+    def first_footers(self) -> DataFrame:
+        return self.footer_shapes.where("first")
+
     @cached_property
     def data_tables(self) -> DataFrame:
         return self.decks.shapes.where((F.col("kind") == "table") & (F.size("col_widths") >= 3) & (F.size("row_heights") >= 3))
@@ -71,9 +82,7 @@ class Context:
     @cached_property
     def row_fills(self) -> DataFrame:
         """(shape, row, row_fill): each row's prevailing known fill, the first of equals."""
-        counts = self.table_cells.where("fill is not null").groupBy(*SHAPE, "row", "fill").agg(F.count(F.lit(1)).alias("n"), F.min("col").alias("first"))
-        best = counts.groupBy(*SHAPE, "row").agg(F.min(F.struct((-F.col("n")).alias("m"), "first", "fill")).alias("b"))
-        return best.select(*SHAPE, "row", F.col("b.fill").alias("row_fill"))
+        return mode_of(self.table_cells.where("fill is not null"), [*SHAPE, "row"], "fill", "col").drop("n").withColumnRenamed("fill", "row_fill")
 
 
 def fix(kind: str, **fields: Column | str | float | bool) -> Column:
@@ -162,44 +171,38 @@ def title_authors(x: Context) -> DataFrame:
     return findings(_title_slides(x).where("names = 0"), "title-authors", F.lit("The title slide names no authors"))
 
 
-def _footer_shapes(x: Context) -> DataFrame:
-    """Shapes that are or resemble a footer, with their likeness to the deck's."""
-    rows = x.decks.shapes.where((F.col("kind") == "text") & ~S.is_blank(F.col("text"))).join(x.footers, "deck_id")
-    rows = rows.withColumn("like", S.jaccard(F.col("text"), F.col("footer")))
-    return rows.where((F.coalesce(F.col("ph_type"), F.lit("")) == "ftr") | (F.col("like") >= C.FOOTER_LIKE))
-
-
 def confidentiality_missing(x: Context) -> DataFrame:
-    bare = x.decks.slides.select(*SLIDE).join(_footer_shapes(x).select(*SLIDE), list(SLIDE), "left_anti").join(x.footers, "deck_id")
+    bare = x.decks.slides.select(*SLIDE).join(x.footer_shapes.select(*SLIDE), list(SLIDE), "left_anti").join(x.footers, "deck_id")
     fixed = F.when(F.col("footer_rect").isNotNull(), fix("ensure-footer", replacement=F.col("footer"), rect=F.col("footer_rect")))
     return findings(bare, "confidentiality-missing", F.lit("The slide has no confidentiality footer"), suggestion=F.col("footer"), fixed=fixed)
 
 
-def _first_footers(x: Context) -> DataFrame:
-    return first_rows(_footer_shapes(x), SLIDE, ["shape_pos"])
-
-
 def confidentiality_modified(x: Context) -> DataFrame:
-    rows = _first_footers(x).where((S.trimmed(F.col("text")) != F.col("footer")) & (F.col("like") < C.FOOTER_SAME))
+    rows = x.first_footers.where((S.trimmed(F.col("text")) != F.col("footer")) & (F.col("like") < C.FOOTER_SAME))
     sure = F.when(F.col("like") > C.FOOTER_CLOSE, 0.85).otherwise(0.70)
     return findings(rows, "confidentiality-modified", F.lit("The footer differs from the deck's"), evidence=F.col("text"), suggestion=F.col("footer"), confidence=sure, fixed=fix("title-rewrite", replacement=F.col("footer")))
 
 
-def _moved(a: str, b: str, names: Sequence[str], inches: float) -> Column:
+def moved(a: str, b: str, names: Sequence[str], inches: float) -> Column:
+    """Whether two rectangles differ by over ``inches`` in one of the named sides."""
     return reduce(lambda p, q: p | q, [F.abs(F.col(a)[n] - F.col(b)[n]) > inches * C.EMU_PER_INCH for n in names])
 
 
 def confidentiality_moved(x: Context) -> DataFrame:
-    rows = _first_footers(x).where(_moved("rect", "footer_rect", "xy", C.FOOTER_MOVED_IN))
+    rows = x.first_footers.where(moved("rect", "footer_rect", "xy", C.FOOTER_MOVED_IN))
     return findings(rows, "confidentiality-moved", F.lit("The footer is not in its place"), fixed=fix("shape-reposition", rect=F.col("footer_rect")))
 
 
+def covers(a: Column, b: Column) -> Column:
+    """Whether rectangle ``a`` covers much of ``b``."""
+    return S.overlap_area(a, b) / (b["cx"] * b["cy"]) > C.OVERLAP_SHARE
+
+
 def confidentiality_overlap(x: Context) -> DataFrame:
     """The first shape of a slide that covers much of its footer."""
-    footer = _first_footers(x).where("rect is not null").select(*SLIDE, F.col("shape_pos").alias("footer_pos"), F.col("rect").alias("footer_place"))
+    footer = x.first_footers.where("rect is not null").select(*SLIDE, F.col("shape_pos").alias("footer_pos"), F.col("rect").alias("footer_place"))
     other = x.decks.shapes.where("rect is not null").where(~F.coalesce(F.col("ph_type"), F.lit("")).isin("sldNum", "dt")).where(~((F.col("kind") == "text") & S.is_blank(F.col("text")) & F.col("fill").isNull()))
-    share = S.overlap_area(F.col("rect"), F.col("footer_place")) / (F.col("footer_place.cx") * F.col("footer_place.cy"))
-    hits = other.join(footer, list(SLIDE)).where((F.col("shape_pos") != F.col("footer_pos")) & (share > C.OVERLAP_SHARE))
+    hits = other.join(footer, list(SLIDE)).where((F.col("shape_pos") != F.col("footer_pos")) & covers(F.col("rect"), F.col("footer_place")))
     return findings(first_rows(hits, SLIDE, ["shape_pos"]), "confidentiality-overlap", F.lit("A shape covers the footer"), evidence=F.col("name"))
 
 
@@ -218,12 +221,8 @@ def _term(x: Context, rule: str) -> DataFrame:
 def table_font_consistency(x: Context) -> DataFrame:
     """Sizes other than a table's prevailing one, at their first cell."""
     first = F.get(F.filter("runs", lambda r: ~S.is_blank(r["text"])), 0)["size_pt"]
-    rows = x.table_cells.where("not merged").select(*SHAPE, "shape_id", F.struct("row", "col").alias("place"), "text", first.alias("size")).where("size is not null")
-    counts = rows.groupBy(*SHAPE, "shape_id", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "text")).alias("first"))
-    sizes = W.partitionBy(*SHAPE)
-    counts = counts.withColumn("total", F.sum("n").over(sizes)).withColumn("top", F.min(F.struct((-F.col("n")).alias("m"), F.col("first.place").alias("p"), "size")).over(sizes))
-    bad = counts.where((F.col("total") >= C.MODE_CELLS) & (-F.col("top.m") >= C.MODE_SHARE * F.col("total")) & (F.abs(F.col("size") - F.col("top.size")) > C.SIZE_TOLERANCE_PT))
-    bad = bad.select(*SHAPE, "shape_id", F.col("first.place.row").alias("row"), F.col("first.place.col").alias("col"), F.col("first.text").alias("text"), F.col("top.size").alias("usual"), "size")
+    rows = x.table_cells.where("not merged").select(*SHAPE, "shape_id", F.struct("row", "col", "text").alias("place"), first.alias("size")).where("size is not null")
+    bad = outliers(rows, [*SHAPE, "shape_id"], "size", "place", C.MODE_CELLS, C.MODE_SHARE, C.SIZE_TOLERANCE_PT).select(*SHAPE, "shape_id", "place.*", "usual", "size")
     return findings(bad, "table-font-consistency", F.concat_ws(" ", F.lit("Points here and in most cells:"), F.col("size").cast("string"), F.col("usual").cast("string")), evidence=F.col("text"), fixed=fix("font-size-set", value=F.col("usual")))
 
 
@@ -249,19 +248,29 @@ def table_merged_body(x: Context) -> DataFrame:
     return findings(first_rows(bad, SHAPE, ["row", "col"]), "table-merged-body", F.lit("Cells of the table's body are merged"), evidence=F.col("text"))
 
 
+def close_above(a: Column, b: Column) -> Column:
+    """Whether rectangle ``a`` ends a little above ``b``, shares some of its width, and has over 0.4 of it."""
+    gap = b["y"] - (a["y"] + a["cy"])
+    return (gap >= -0.1 * C.EMU_PER_INCH) & (gap < 0.6 * C.EMU_PER_INCH) & (a["x"] < b["x"] + b["cx"]) & (b["x"] < a["x"] + a["cx"]) & (a["cx"] > 0.4 * b["cx"])
+
+
 def table_title_centered(x: Context) -> DataFrame:
     """The nearest bold text above a table whose centre is not the table's."""
     tables = x.data_tables.where("rect is not null").select(*SLIDE, F.col("shape_pos").alias("table_pos"), F.col("rect").alias("t"))
     bold = x.visible.groupBy(*SHAPE).agg(F.bool_or("bold").alias("bold")).where("bold")
     texts = x.decks.shapes.where("kind = 'text' and rect is not null and (title_pos is null or shape_pos <> title_pos)").join(bold, list(SHAPE), "left_semi").withColumn("line", S.trimmed(F.col("text")))
     texts = texts.where((F.length("line") >= 6) & ~F.col("line").endswith(":"))
-    gap = F.col("t.y") - (F.col("rect.y") + F.col("rect.cy"))
-    near = (gap >= -0.1 * C.EMU_PER_INCH) & (gap < 0.6 * C.EMU_PER_INCH) & (F.col("rect.x") < F.col("t.x") + F.col("t.cx")) & (F.col("t.x") < F.col("rect.x") + F.col("rect.cx")) & (F.col("rect.cx") > 0.4 * F.col("t.cx"))
-    best = first_rows(texts.join(tables, list(SLIDE)).where(near), [*SLIDE, "table_pos"], [F.col("rect.y").desc(), "shape_pos"])
+    best = first_rows(texts.join(tables, list(SLIDE)).where(close_above(F.col("rect"), F.col("t"))), [*SLIDE, "table_pos"], [F.col("rect.y").desc(), "shape_pos"])
     bad = best.where(F.abs(S.centre_x(F.col("rect")) - S.centre_x(F.col("t"))) > C.CENTRE_IN * C.EMU_PER_INCH)
     return findings(bad, "table-title-centered", F.lit("The table's title is not centred over it"), evidence=F.col("line"))
 
 
+def off_palette(rows: DataFrame, keys: Sequence[str], cell: Sequence[str], palette: Sequence[str]) -> DataFrame:
+    """The first distinct colours (of a cell) off the palette for each key, by ``place``, with their nearest."""
+    rows = rows.withColumn("near", S.nearest_colour(F.col("colour"), palette)).where(F.col("near.d2") > C.COLOUR_TOLERANCE**2)
+    return first_rows(first_rows(rows, [*keys, "colour", *cell], ["place"]), keys, ["place"], C.COLOURS_PER_SLIDE)
+
+
 def off_palette_color(x: Context) -> DataFrame:
     """The first distinct colours of a slide off the palette: fills, visible text, cells."""
     none = F.lit(None).cast("int")
@@ -271,20 +280,18 @@ def off_palette_color(x: Context) -> DataFrame:
     colours = F.array_compact(F.concat(F.array("fill"), F.transform(F.filter("runs", lambda r: ~S.is_blank(r["text"])), lambda r: r["color"])))
     cells = x.decks.cells.select(*SHAPE, "shape_id", "row", "col", F.explode(colours).alias("colour"), place(2, F.col("row"), F.col("col")))
     rows = fills.unionByName(texts).unionByName(cells).withColumn("colour", S.hex_colour(F.col("colour"))).where("colour is not null")
-    rows = rows.withColumn("near", S.nearest_colour(F.col("colour"), x.settings.palette)).where(F.col("near.d2") > C.COLOUR_TOLERANCE**2)
-    once = first_rows(rows, [*SLIDE, "colour", "row", "col"], ["place"])
-    some = first_rows(once, SLIDE, ["place"], C.COLOURS_PER_SLIDE)
+    some = off_palette(rows, SLIDE, ["row", "col"], x.settings.palette)
     return findings(some, "off-palette-color", F.concat(F.lit("Colour off the palette: "), F.col("colour")), evidence=F.col("colour"), suggestion=F.col("near.colour"), fixed=fix("color-set", find=F.col("colour"), color=F.col("near.colour")))
 
 
 def title_moved(x: Context) -> DataFrame:
-    rows = x.titles.join(A.title_places(x.decks), ["deck_id", "layout_name"]).where(_moved("rect", "title_rect", ("x", "y", "cx", "cy"), C.TITLE_MOVED_IN))
+    rows = x.titles.join(A.title_places(x.decks), ["deck_id", "layout_name"]).where(moved("rect", "title_rect", ("x", "y", "cx", "cy"), C.TITLE_MOVED_IN))
     return findings(rows, "title-moved", F.lit("The title is not in its layout's place"), evidence=F.col("line"))
 
 
 def bullet_punct(x: Context) -> DataFrame:
     marked = x.decks.paragraphs.where(F.col("bullet.type").isin("char", "auto") & ~S.is_blank(F.col("text")))
-    ends = S.trimmed(F.col("text")).rlike(r"[.;]\z")
+    ends = S.ends_with_punctuation(F.col("text"), ".;")
     rows = marked.groupBy(*SHAPE).agg(F.count(F.lit(1)).alias("n"), F.count_if(ends).alias("bad"), F.min_by("text", F.when(ends, F.col("para_pos"))).alias("text")).where("n >= 2 and bad > 0")
     rows = rows.join(x.decks.shapes.select(*SHAPE, "shape_id", "rect"), list(SHAPE))
     return findings(rows, "bullet-punct", F.concat(F.lit("Bullets that end in punctuation: "), F.col("bad").cast("string")), evidence=F.col("text"))

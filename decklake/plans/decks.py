@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from decklake.operators.algebra import collapse, ranked, summary
 from decklake.operators.cascade import Decks
 from decklake.operators.rules import check
-from decklake.plans.lifted import SPACE, _TITLES
+from decklake.plans.lifted import _BULLETS, _TITLES, SPACE
 from decklake.sources.build import decks_of
 from decklake.sources.pptx import deck_rows
+from decklake.sources.scratch import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,26 +34,52 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("deck_id", F.regexp_extract("deck_id", r"(\d+)\.pptx$", 1).cast("long"))
 
 
+def _kept(decks: Decks, rows: DataFrame) -> DataFrame:
+    """``rows`` written; then the decks' tables go. Decks that could not be read fail the query."""
+    broken = decks.errors.first()
+    if broken:
+        raise ValueError(f"{broken.deck_id}: {broken.error}")
+    out = stored(_numbered(rows), "deck-results")
+    decks.release()
+    return out
+
+
 def deck_title_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Punctuation and length of titles, found in the decks."""
-    found = check(scanned(files(spark, sf_dir)), rules=["title-punct"])
-    return _numbered(found).select("deck_id", "slide_index", "rule_id")
+    decks = scanned(files(spark, sf_dir))
+    return _kept(decks, check(decks, rules=["title-punct"]).select("deck_id", "slide_index", "rule_id"))
 
 
 #: Slides are numbered by their place in the deck.
-ORACLE["deck_title_findings"] = f"""WITH {_TITLES}, n AS (SELECT conv_id, turn + 1 AS slide_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS at FROM conversations)
-SELECT f.conv_id AS deck_id, n.at AS slide_index, f.rule_id FROM found f JOIN n USING (conv_id, slide_index) WHERE f.rule_id = 'title-punct'"""
+_AT = "n AS (SELECT conv_id, turn + 1 AS slide_index, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS nr FROM conversations)"
+ORACLE["deck_title_findings"] = f"""WITH {_TITLES}, {_AT}
+SELECT f.conv_id AS deck_id, n.nr AS slide_index, f.rule_id FROM found f JOIN n USING (conv_id, slide_index) WHERE f.rule_id = 'title-punct'"""
 
 
 def deck_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules' findings, collapsed and ranked within each deck."""
-    found = ranked(collapse(check(scanned(files(spark, sf_dir))), KEYS))
-    return _numbered(found).select("deck_id", "slide_index", "rule_id", "severity", F.round("confidence", 3).alias("confidence"), "shape_pos", "row", "col", "rank")
+    decks = scanned(files(spark, sf_dir))
+    found = ranked(collapse(check(decks), KEYS))
+    return _kept(decks, found.select("deck_id", "slide_index", "rule_id", "severity", F.round("confidence", 3).alias("confidence"), "shape_pos", "row", "col", "rank"))
+
+
+#: Of the rules, these have something to find in conversations: a slide has one shape, at place 0.
+_FOUND = f"""WITH {_TITLES}, {_BULLETS}, {_AT},
+f AS (SELECT conv_id, nr, rule_id, 'warning' AS severity, CASE rule_id WHEN 'title-punct' THEN 0.9::DOUBLE ELSE 0.88::DOUBLE END AS confidence, 0 AS shape_pos, CASE rule_id WHEN 'title-punct' THEN 1 ELSE 2 END AS ord FROM found JOIN n USING (conv_id, slide_index)
+UNION ALL SELECT conv_id, nr, 'confidentiality-missing', 'error', 0.9::DOUBLE, NULL, 3 FROM n WHERE role <> 'system'
+UNION ALL SELECT conv_id, nr, 'bullet-punct', 'info', 0.55::DOUBLE, 0, 4 FROM marked JOIN n USING (conv_id, slide_index) WHERE n_punct > 0)"""
+ORACLE["deck_findings"] = f"""{_FOUND} SELECT conv_id AS deck_id, nr AS slide_index, rule_id, severity, confidence, shape_pos, NULL::INT AS "row", NULL::INT AS col,
+row_number() OVER (PARTITION BY conv_id ORDER BY nr, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, confidence DESC, ord)::BIGINT AS rank FROM f"""
 
 
 def deck_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each deck by severity."""
-    return _numbered(summary(collapse(check(scanned(files(spark, sf_dir))), KEYS)))
+    decks = scanned(files(spark, sf_dir))
+    return _kept(decks, summary(collapse(check(decks), KEYS)))
+
+
+ORACLE["deck_summary"] = f"""{_FOUND} SELECT conv_id AS deck_id, count(*) AS n, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings,
+count(*) FILTER (WHERE severity = 'info') AS infos, count(DISTINCT nr) AS slides FROM f GROUP BY conv_id"""
 
 
 QUERIES |= {f.__name__: f for f in (deck_title_findings, deck_findings, deck_summary)}

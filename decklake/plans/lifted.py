@@ -11,11 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from decklake.functions.constants import COLOUR_TOLERANCE, COLOURS_PER_SLIDE, PALETTE
-from decklake.functions.scalars import nearest_colour, shortened
-from decklake.operators.algebra import collapse, first_rows, mode_of, ranked, suppressed
-
-SPACE = r"[ \t\n\r\f]+"
+from decklake.functions import constants as C
+from decklake.functions import scalars as S
+from decklake.operators import aggregates as A
+from decklake.operators import review as V
+from decklake.operators import rules as R
+from decklake.operators.algebra import coalesced, collapse, mode_of, outliers, primary, prioritised, ranked, summary, suppressed
+
+#: White space as a pattern of both engines.
+SPACE = f"[{S.WHITE}]+"
+WORD = "(?<![A-Za-z0-9_])%s(?![A-Za-z0-9_])"
 TERMS = {"term-the": "the", "term-and": "and", "term-que": "que", "term-der": "der"}
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,22 +40,18 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE, " "))
-
-
 def _turns(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     return _read(spark, sf_dir, "conversations").where(F.col("role") == role).select("conv_id", (F.col("turn") + 1).alias("slide_index"), "text")
 
 
 def title_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = _turns(spark, sf_dir, "user").withColumn("title", _line(F.col("text"))).where("title <> ''")
-    lines = F.ceil(F.length("title") / F.lit(51.0))
-    hits = F.array_compact(F.array(F.when(F.col("title").rlike(r"[.,;]\z"), "title-punct"), F.when(lines > 3, "title-lines")))
+    titles = _turns(spark, sf_dir, "user").withColumn("title", S.one_line(F.col("text"))).where("title <> ''")
+    long = S.estimated_lines(F.col("title"), C.TITLE_SIZE_PT) > C.TITLE_LINES
+    hits = F.array_compact(F.array(F.when(S.ends_with_punctuation(F.col("title")), "title-punct"), F.when(long, "title-lines")))
     return titles.select("conv_id", "slide_index", F.explode(hits).alias("rule_id"))
 
 
-_TITLES = r"""titles AS (SELECT conv_id, turn + 1 AS slide_index, trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'), ' ') AS title FROM conversations WHERE role = 'user'),
+_TITLES = rf"""titles AS (SELECT conv_id, turn + 1 AS slide_index, trim(regexp_replace(text, '{SPACE}', ' ', 'g'), ' ') AS title FROM conversations WHERE role = 'user'),
 found AS (SELECT conv_id, slide_index, 'title-punct' AS rule_id FROM titles WHERE title <> '' AND regexp_matches(title, '[.,;]$')
 UNION ALL SELECT conv_id, slide_index, 'title-lines' FROM titles WHERE title <> '' AND ceil(length(title) / 51.0::DOUBLE) > 3)"""
 
@@ -63,13 +64,13 @@ def title_punct_and_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bullet_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = _turns(spark, sf_dir, "assistant")
-    bullets = F.filter(F.transform(F.split("text", "\n"), _line), lambda p: p != "")
-    marked = F.filter("bullets", lambda p: p.rlike(r"[.;]\z"))
+    bullets = F.filter(F.split("text", "\n"), lambda p: ~S.is_blank(p))
+    marked = F.filter("bullets", lambda p: S.ends_with_punctuation(p, ".;"))
     rows = bodies.select("conv_id", "slide_index", bullets.alias("bullets")).withColumn("n_punct", F.size(marked).cast("long"))
     return rows.where((F.size("bullets") >= 2) & (F.col("n_punct") > 0)).select("conv_id", "slide_index", F.size("bullets").cast("long").alias("n_bullets"), "n_punct")
 
 
-_BULLETS = r"""bullets AS (SELECT conv_id, turn + 1 AS slide_index, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '[ \t\n\r\f]+', ' ', 'g'), ' ')), lambda p: p <> '') AS b FROM conversations WHERE role = 'assistant'),
+_BULLETS = rf"""bullets AS (SELECT conv_id, turn + 1 AS slide_index, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '{SPACE}', ' ', 'g'), ' ')), lambda p: p <> '') AS b FROM conversations WHERE role = 'assistant'),
 marked AS (SELECT conv_id, slide_index, len(b)::BIGINT AS n_bullets, len(list_filter(b, lambda p: regexp_matches(p, '[.;]$')))::BIGINT AS n_punct FROM bullets WHERE len(b) >= 2)"""
 
 
@@ -96,39 +97,30 @@ def dominant_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("conv_id", "b.token", (-F.col("b.m")).alias("n"))
 
 
-def weighted_tokens(spark: SparkSession, sf_dir: str, stop: tuple[str, ...] = ("THE", "AND", "DER", "LES", "LOS")) -> DataFrame:
-    """(conv_id, token, score, place) of the winner: 4 for a marked word (before a comma), 1 for each word; the first wins
-    a tie, marked words before all others."""
-    rows = _read(spark, sf_dir, "conversations")
-    marked = rows.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-zA-Z]{2,}),"), F.lit(1))).alias("pos", "token"), F.lit(0).alias("pass"), F.lit(4).alias("weight"))
-    bare = _tokens(spark, sf_dir).select("conv_id", "turn", "pos", "token", F.lit(1).alias("pass"), F.lit(1).alias("weight"))
-    place = F.struct("pass", "turn", "pos")
-    scored = marked.unionByName(bare).where(~F.upper("token").isin(*stop)).groupBy("conv_id", "token").agg(F.sum("weight").alias("score"), F.min(place).alias("place"))
-    best = scored.groupBy("conv_id").agg(F.min(F.struct((-F.col("score")).alias("m"), "place", "token")).alias("b"))
-    return best.select("conv_id", "b.token", (-F.col("b.m")).alias("score"))
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name detector over conversations: deck_id, client_name, score, variants."""
+    return A.names_in(_read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("deck_id"), F.struct("turn").alias("place"), "text"))
 
 
-_WEIGHTED = """w AS (SELECT conv_id, turn, generate_subscripts(l, 1) AS pos, unnest(l) AS token, 0 AS pass, 4 AS weight FROM (SELECT *, regexp_extract_all(text, '([A-Z][a-zA-Z]{2,}),', 1) AS l FROM conversations)
-UNION ALL SELECT conv_id, turn, generate_subscripts(l, 1), unnest(l), 1, 1 FROM (SELECT *, regexp_extract_all(text, '[A-Z][a-zA-Z]{2,}') AS l FROM conversations)),
-s AS (SELECT conv_id, token, sum(weight)::BIGINT AS score, min(pass * 1000000000000 + turn * 1000000 + pos) AS place FROM w WHERE upper(token) NOT IN ('THE', 'AND', 'DER', 'LES', 'LOS') GROUP BY ALL),
+_WEIGHTED = rf"""w AS (SELECT conv_id, turn, generate_subscripts(l, 1) AS pos, unnest(l) AS token, 0 AS pass, 4 AS weight FROM (SELECT *, regexp_extract_all(text, '\b([A-Z][a-zA-Z]{{2,}})[''’]s\b', 1) AS l FROM conversations)
+UNION ALL SELECT conv_id, turn, generate_subscripts(l, 1), unnest(l), 1, 1 FROM (SELECT *, regexp_extract_all(text, '\b[A-Z][a-zA-Z]{{2,}}\b') AS l FROM conversations)),
+s AS (SELECT conv_id, token, sum(weight)::BIGINT AS score, min(pass * 1000000000000 + turn * 1000000 + pos) AS place FROM w WHERE upper(token) NOT IN ({", ".join(f"'{x}'" for x in C.STOP_WORDS)}) GROUP BY ALL),
 best AS (SELECT conv_id, token, score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, place) = 1)"""
 
 
 @query(f"WITH {_WEIGHTED} SELECT * FROM best")
 def dominant_token_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The client-name detector: weighted counts, stop list, first of equals."""
-    return weighted_tokens(spark, sf_dir)
+    return names(spark, sf_dir).select(F.col("deck_id").alias("conv_id"), F.col("client_name").alias("token"), "score")
 
 
 @query(
-    f"""WITH {_WEIGHTED}, v AS (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-zA-Z]{{2,}} [A-Za-z]+')) AS variant FROM conversations)
+    rf"""WITH {_WEIGHTED}, v AS (SELECT conv_id, unnest(regexp_extract_all(text, '\b[A-Z][a-zA-Z]{{2,}} [A-Z][a-zA-Z]+')) AS variant FROM conversations)
     SELECT v.conv_id, v.variant, count(*) AS n FROM v JOIN best b ON v.conv_id = b.conv_id AND split_part(v.variant, ' ', 1) = b.token GROUP BY ALL"""
 )
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each word follows the dominant one."""
-    pairs = _read(spark, sf_dir, "conversations").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Z][a-zA-Z]{2,} [A-Za-z]+)"), F.lit(1))).alias("variant"))
-    pairs = pairs.withColumn("token", F.split_part("variant", F.lit(" "), F.lit(1)))
-    return pairs.join(weighted_tokens(spark, sf_dir), ["conv_id", "token"]).groupBy("conv_id", "variant").agg(F.count(F.lit(1)).alias("n"))
+    """How often each capitalised word follows the dominant one."""
+    return names(spark, sf_dir).select(F.col("deck_id").alias("conv_id"), F.explode("variants").alias("variant", "n"))
 
 
 @query(
@@ -150,32 +142,32 @@ def missing_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda x: x <> '')) AS s FROM conversations)
-    SELECT a.conv_id, a.turn, len(list_intersect(a.s, b.s))::BIGINT AS n_shared, len(list_distinct(list_concat(a.s, b.s)))::BIGINT AS n_all
-    FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'"""
+    rf"""WITH w AS (SELECT conv_id, turn, role, list_distinct(list_filter(regexp_split_to_array(lower(text), '{SPACE}'), lambda x: x <> '')) AS s FROM conversations),
+    p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.s, b.s))::BIGINT AS n_shared, len(list_distinct(list_concat(a.s, b.s)))::BIGINT AS n_all
+    FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')
+    SELECT conv_id, turn, n_shared, n_all, CASE WHEN n_all = 0 THEN 1.0::DOUBLE ELSE n_shared::DOUBLE / n_all END AS likeness FROM p"""
 )
 def jaccard_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared and all words of a user's turn and the reply."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), SPACE), lambda w: w != ""))
-    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", words.alias("s"))
-    asked = rows.where("role = 'user'").select("conv_id", "turn", "s", (F.col("turn") + 1).alias("next"))
-    said = rows.where("role = 'assistant'").select("conv_id", F.col("turn").alias("next"), F.col("s").alias("t"))
+    """Shared and all words of a user's turn and the reply, and their likeness."""
+    rows = _read(spark, sf_dir, "conversations")
+    asked = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("s"), (F.col("turn") + 1).alias("next"))
+    said = rows.where("role = 'assistant'").select("conv_id", F.col("turn").alias("next"), F.col("text").alias("t"))
+    s, t = S.word_set(F.col("s")), S.word_set(F.col("t"))
     both = asked.join(said, ["conv_id", "next"])
-    return both.select("conv_id", "turn", F.size(F.array_intersect("s", "t")).cast("long").alias("n_shared"), F.size(F.array_union("s", "t")).cast("long").alias("n_all"))
+    return both.select("conv_id", "turn", F.size(F.array_intersect(s, t)).cast("long").alias("n_shared"), F.size(F.array_union(s, t)).cast("long").alias("n_all"), S.jaccard(F.col("s"), F.col("t")).alias("likeness"))
 
 
 @query(
-    r"""WITH u AS (SELECT conv_id, lower(string_agg(text, ' ' ORDER BY turn, text)) AS hay FROM conversations WHERE role = 'user' GROUP BY conv_id),
-    e AS (SELECT conv_id, turn, lower(regexp_extract(text, '[A-Za-z]{2,} [a-z]+')) AS needle FROM conversations WHERE role = 'assistant')
-    SELECT e.conv_id, e.turn, contains(hay, needle) AS stands FROM e JOIN u USING (conv_id) WHERE length(needle) >= 2"""
+    rf"""WITH u AS (SELECT conv_id, turn, lower(trim(regexp_replace(translate(string_agg(text, ' ' ORDER BY text), '‘’“”', chr(39) || chr(39) || chr(34) || chr(34)), '{SPACE}', ' ', 'g'), ' ')) AS hay FROM conversations WHERE role = 'user' GROUP BY ALL),
+    e AS (SELECT conv_id, turn, lower(regexp_extract(text, '[A-Za-z]{{2,}} [a-z]+')) AS needle FROM conversations WHERE role = 'assistant')
+    SELECT e.conv_id, e.turn, contains(hay, needle) AS stands FROM e JOIN u ON u.conv_id = e.conv_id AND u.turn = e.turn - 1 WHERE length(needle) >= 2"""
 )
 def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the first words that a reply gives as evidence stand in the user's turns."""
+    """Whether the first words that a reply gives as evidence stand in the turn before, its slide."""
     rows = _read(spark, sf_dir, "conversations")
-    hay = rows.where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    hay = hay.select("conv_id", F.lower(F.array_join("t.text", " ")).alias("hay"))
-    needles = rows.where("role = 'assistant'").select("conv_id", "turn", F.lower(F.regexp_extract("text", r"[A-Za-z]{2,} [a-z]+", 0)).alias("needle")).where(F.length("needle") >= 2)
-    return needles.join(hay, "conv_id").select("conv_id", "turn", F.contains("hay", "needle").alias("stands"))
+    texts = rows.where("role = 'user'").select("conv_id", F.col("turn").alias("slide"), F.lit(0).alias("shape_pos"), "text")
+    said = rows.where("role = 'assistant'").select("conv_id", "turn", (F.col("turn") - 1).alias("slide"), F.regexp_extract("text", r"[A-Za-z]{2,} [a-z]+", 0).alias("evidence"))
+    return V.grounded(said, texts, ["conv_id", "slide"]).select("conv_id", "turn", "stands")
 
 
 @query(
@@ -186,7 +178,7 @@ def evidence_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_scan(spark: SparkSession, sf_dir: str, terms: dict[str, str] = TERMS) -> DataFrame:
     """Lines of each document in which a term stands, and the first of them; one pass for all terms."""
     lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    rules = F.array_compact(F.array(*[F.when(F.col("text").rlike(rf"(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])"), k) for k, w in terms.items()]))
+    rules = F.array_compact(F.array(*[F.when(F.col("text").rlike(WORD % w), k) for k, w in terms.items()]))
     return lines.select("doc_id", "line", F.explode(rules).alias("rule_id")).groupBy("doc_id", "rule_id").agg(F.min("line").cast("long").alias("first_line"), F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -209,11 +201,8 @@ l_quantity::BIGINT AS q, 8 + l_quantity::BIGINT % 3 AS size, l_returnflag || l_l
 )
 def size_mode_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes other than a table's prevailing one (60 % of four cells or more), with their first cell."""
-    counts = _cells(spark, sf_dir).groupBy("l_orderkey", "size").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
-    sizes = counts.groupBy("l_orderkey").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "place", "size")).alias("top"), F.collect_list(F.struct("size", "n", "place")).alias("all"))
-    gated = sizes.where((F.col("total") >= 4) & (-F.col("top.m") >= 0.6 * F.col("total")))
-    rows = gated.select("l_orderkey", F.col("top.size").alias("mode_size"), F.inline("all"))
-    return rows.where("size <> mode_size")
+    found = outliers(_cells(spark, sf_dir), ["l_orderkey"], "size", "place", C.MODE_CELLS, C.MODE_SHARE, C.SIZE_TOLERANCE_PT)
+    return found.withColumnRenamed("usual", "mode_size")
 
 
 @query(
@@ -222,9 +211,9 @@ def size_mode_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def row_fill_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prevailing fill of each table, the first of equals, and whether any cell has the fill of statistics."""
-    counts = _cells(spark, sf_dir).groupBy("l_orderkey", "fill").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
-    best = counts.groupBy("l_orderkey").agg(F.min(F.struct((-F.col("n")).alias("m"), "place", "fill")).alias("b"), F.bool_or(F.col("fill") == "AF").alias("has_stats"))
-    return best.select("l_orderkey", "b.fill", (-F.col("b.m")).alias("n"), "has_stats")
+    cells = _cells(spark, sf_dir)
+    uses = cells.groupBy("l_orderkey").agg(F.bool_or(F.col("fill") == "AF").alias("has_stats"))
+    return mode_of(cells, ["l_orderkey"], "fill", "place").join(uses, "l_orderkey")
 
 
 @query(f"WITH {_CELLS} SELECT l_orderkey, place, q AS width, coalesce(sum(q) OVER (PARTITION BY l_orderkey ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x FROM cells")
@@ -237,10 +226,10 @@ def cell_rect_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     colour = F.concat(*[F.lpad(F.hex((k * m) % 256), 2, "0") for m in (37, 101, 53)])
-    return _read(spark, sf_dir, "part").select("p_partkey", colour.alias("colour")).withColumn("near", nearest_colour(F.col("colour")))
+    return _read(spark, sf_dir, "part").select("p_partkey", colour.alias("colour")).withColumn("near", S.nearest_colour(F.col("colour")))
 
 
-_PALETTE_SQL = ", ".join(f"({i}, '{c}', {int(c[:2], 16)}, {int(c[2:4], 16)}, {int(c[4:], 16)})" for i, c in enumerate(PALETTE))
+_PALETTE_SQL = ", ".join(f"({i}, '{c}', {int(c[:2], 16)}, {int(c[2:4], 16)}, {int(c[4:], 16)})" for i, c in enumerate(C.PALETTE))
 _NEAREST = f"""pal AS (SELECT * FROM (VALUES {_PALETTE_SQL}) AS p(pos, hex, r, g, b)),
 rgb AS (SELECT p_partkey, p_partkey * 37 % 256 AS r, p_partkey * 101 % 256 AS g, p_partkey * 53 % 256 AS b FROM part),
 near AS (SELECT p_partkey, printf('%02X%02X%02X', rgb.r, rgb.g, rgb.b) AS colour, pal.hex AS nearest, ((rgb.r - pal.r) ^ 2 + (rgb.g - pal.g) ^ 2 + (rgb.b - pal.b) ^ 2)::BIGINT AS d2 FROM rgb, pal
@@ -254,21 +243,24 @@ def nearest_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_NEAREST}, off AS (SELECT p_partkey % 97 AS slide, colour, nearest, min(p_partkey) AS first_key FROM near WHERE d2 > {COLOUR_TOLERANCE**2} GROUP BY ALL)
-    SELECT slide, colour, nearest, first_key FROM off QUALIFY row_number() OVER (PARTITION BY slide ORDER BY first_key) <= {COLOURS_PER_SLIDE}"""
+    f"""WITH {_NEAREST}, off AS (SELECT p_partkey % 97 AS slide, colour, nearest, min(p_partkey) AS first_key FROM near WHERE d2 > {C.COLOUR_TOLERANCE**2} GROUP BY ALL)
+    SELECT slide, colour, nearest, first_key FROM off QUALIFY row_number() OVER (PARTITION BY slide ORDER BY first_key) <= {C.COLOURS_PER_SLIDE}"""
 )
 def off_palette_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four distinct colours of a slide that lie off the palette."""
-    off = _colours(spark, sf_dir).where(F.col("near.d2") > COLOUR_TOLERANCE**2).groupBy((F.col("p_partkey") % 97).alias("slide"), "colour", F.col("near.colour").alias("nearest"))
-    return first_rows(off.agg(F.min("p_partkey").alias("first_key")), ["slide"], ["first_key"], COLOURS_PER_SLIDE)
+    rows = _colours(spark, sf_dir).select((F.col("p_partkey") % 97).alias("slide"), "colour", F.col("p_partkey").alias("place"))
+    return R.off_palette(rows, ["slide"], [], C.PALETTE).select("slide", "colour", F.col("near.colour").alias("nearest"), F.col("place").alias("first_key"))
 
 
+#: Rectangles in tenths of an inch.
 _RECTS = f"""{_CELLS}, rects AS (SELECT l_orderkey, place, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) AS pos, l_partkey % 60 AS x, l_suppkey % 40 AS y, 20 + q AS cx, 10 + q % 17 AS cy FROM cells)"""
 
 
 def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy("place"))
-    return _cells(spark, sf_dir).select("l_orderkey", "place", pos.alias("pos"), (F.col("l_partkey") % 60).alias("x"), (F.col("l_suppkey") % 40).alias("y"), (20 + F.col("q")).alias("cx"), (10 + F.col("q") % 17).alias("cy"))
+    tenths = lambda x, name: (x * 91_440).cast("double").alias(name)
+    rect = F.struct(tenths(F.col("l_partkey") % 60, "x"), tenths(F.col("l_suppkey") % 40, "y"), tenths(20 + F.col("q"), "cx"), tenths(10 + F.col("q") % 17, "cy"))
+    return _cells(spark, sf_dir).select("l_orderkey", pos.alias("pos"), rect.alias("rect"))
 
 
 @query(
@@ -279,27 +271,24 @@ def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rect_overlap_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first other rectangle that covers over 45 % of a slide's footer."""
     rects = _rects(spark, sf_dir)
-    footer = rects.where("pos = 1").select("l_orderkey", *[F.col(c).alias(f"f_{c}") for c in ("x", "y", "cx", "cy")])
-    across = F.least(F.col("f_x") + F.col("f_cx"), F.col("x") + F.col("cx")) - F.greatest("f_x", "x")
-    down = F.least(F.col("f_y") + F.col("f_cy"), F.col("y") + F.col("cy")) - F.greatest("f_y", "y")
-    area = F.greatest(F.lit(0), across) * F.greatest(F.lit(0), down)
-    hits = rects.where("pos > 1").join(footer, "l_orderkey").withColumn("area", area).where(F.col("area") * 100 > F.col("f_cx") * F.col("f_cy") * 45)
-    best = hits.groupBy("l_orderkey").agg(F.min(F.struct("pos", "area")).alias("b"))
+    footer = rects.where("pos = 1").select("l_orderkey", F.col("rect").alias("footer"))
+    hits = rects.where("pos > 1").join(footer, "l_orderkey").where(R.covers(F.col("rect"), F.col("footer")))
+    area = F.round(S.overlap_area(F.col("rect"), F.col("footer")) / 91_440**2).cast("long")
+    best = hits.groupBy("l_orderkey").agg(F.min(F.struct("pos", area.alias("area"))).alias("b"))
     return best.select("l_orderkey", F.col("b.pos").cast("long").alias("pos"), "b.area")
 
 
 @query(
-    f"""WITH {_RECTS} SELECT a.l_orderkey, a.pos::BIGINT AS pos, b.pos::BIGINT AS above, b.y AS above_y FROM rects a JOIN rects b ON a.l_orderkey = b.l_orderkey AND b.pos <> a.pos AND b.y + b.cy <= a.y + 6 AND a.y - b.y < 25
-    AND b.x < a.x + a.cx AND a.x < b.x + b.cx QUALIFY row_number() OVER (PARTITION BY a.l_orderkey, a.pos ORDER BY b.y DESC, b.pos) = 1"""
+    f"""WITH {_RECTS} SELECT a.l_orderkey, a.pos::BIGINT AS pos, b.pos::BIGINT AS above, b.y AS above_y FROM rects a JOIN rects b ON a.l_orderkey = b.l_orderkey AND b.pos <> a.pos AND a.y - b.y - b.cy >= -1 AND a.y - b.y - b.cy < 6
+    AND b.x < a.x + a.cx AND a.x < b.x + b.cx AND b.cx * 10 > a.cx * 4 QUALIFY row_number() OVER (PARTITION BY a.l_orderkey, a.pos ORDER BY b.y DESC, b.pos) = 1"""
 )
 def nearest_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each rectangle the nearest one above it within reach, the first of equals."""
+    """For each rectangle the nearest one close above it, the first of equals."""
     a = _rects(spark, sf_dir)
-    b = a.select("l_orderkey", *[F.col(c).alias(f"b_{c}") for c in ("pos", "x", "y", "cx", "cy")])
-    near = (F.col("b_pos") != F.col("pos")) & (F.col("b_y") + F.col("b_cy") <= F.col("y") + 6) & (F.col("y") - F.col("b_y") < 25)
-    near &= (F.col("b_x") < F.col("x") + F.col("cx")) & (F.col("x") < F.col("b_x") + F.col("b_cx"))
-    best = a.join(b, "l_orderkey").where(near).groupBy("l_orderkey", "pos").agg(F.min(F.struct((-F.col("b_y")).alias("m"), "b_pos")).alias("b"))
-    return best.select("l_orderkey", F.col("pos").cast("long").alias("pos"), F.col("b.b_pos").cast("long").alias("above"), (-F.col("b.m")).alias("above_y"))
+    b = a.select("l_orderkey", F.col("pos").alias("b_pos"), F.col("rect").alias("b"))
+    near = a.join(b, "l_orderkey").where((F.col("b_pos") != F.col("pos")) & R.close_above(F.col("b"), F.col("rect")))
+    best = near.groupBy("l_orderkey", "pos").agg(F.min(F.struct((-F.col("b.y")).alias("m"), "b_pos")).alias("best"))
+    return best.select("l_orderkey", F.col("pos").cast("long").alias("pos"), F.col("best.b_pos").cast("long").alias("above"), F.round(-F.col("best.m") / 91_440).cast("long").alias("above_y"))
 
 
 @query(
@@ -307,11 +296,11 @@ def nearest_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p_partkey, (p_size - anchor)::BIGINT AS moved FROM part JOIN a USING (p_brand) WHERE abs(p_size - anchor) > 12"""
 )
 def moved_from_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose place differs from their layout's (the brand's first part) by more than 12."""
-    parts = _read(spark, sf_dir, "part")
-    anchors = parts.groupBy("p_brand").agg(F.min_by("p_size", "p_partkey").alias("anchor"))
-    moved = (F.col("p_size") - F.col("anchor")).cast("long")
-    return parts.join(anchors, "p_brand").select("p_partkey", moved.alias("moved")).where(F.abs("moved") > 12)
+    """Parts whose place differs from their layout's (the brand's first part) by more than 0.12 inches, a hundredth for each size."""
+    parts = _read(spark, sf_dir, "part").withColumn("rect", F.struct((F.col("p_size") * 9_144).cast("double").alias("x")))
+    anchors = parts.groupBy("p_brand").agg(F.min_by(F.struct("rect", "p_size"), "p_partkey").alias("anchor")).select("p_brand", F.col("anchor.rect").alias("place"), F.col("anchor.p_size").alias("anchor"))
+    far = parts.join(anchors, "p_brand").where(R.moved("rect", "place", "x", C.TITLE_MOVED_IN))
+    return far.select("p_partkey", (F.col("p_size") - F.col("anchor")).cast("long").alias("moved"))
 
 
 @query(
@@ -322,8 +311,6 @@ def moved_from_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prioritised_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each shape's placeholder: by type and index, else by type, else by index; nulls are equal; the first of equals."""
-    from decklake.operators.algebra import prioritised
-
     shapes = _read(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_partkey") % 6, F.lit(0)).alias("t"), F.nullif(F.col("p_partkey") % 5, F.lit(0)).alias("i"))
     places = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pos"), F.nullif("n_regionkey", F.lit(0)).cast("long").alias("t"), F.nullif(F.col("n_nationkey") % 7, F.lit(0)).cast("long").alias("i"))
     return prioritised(shapes, places, [], "t", "i", "pos").select("p_partkey", F.coalesce("tier", F.lit(4)).alias("tier"), F.coalesce("pos", F.lit(-1)).alias("pos"))
@@ -337,11 +324,12 @@ def prioritised_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first known size of a part's own, its brand's, its type's, and defaults."""
     parts = _read(spark, sf_dir, "part")
-    brand = parts.where("p_partkey % 5 = 0 and p_size > 48").groupBy("p_brand").agg(F.max("p_size").alias("b"))
-    kind = parts.where("p_size > 49").groupBy("p_type").agg(F.min("p_size").alias("t"))
-    own = F.when(F.col("p_partkey") % 7 == 1, F.col("p_size"))
-    size = F.coalesce(own, "b", "t", F.when(F.col("p_partkey") % 3 == 0, 12), F.lit(18))
-    return parts.join(brand, "p_brand", "left").join(kind, "p_type", "left").select("p_partkey", size.cast("long").alias("size"))
+    layer = lambda size, name: F.struct(size.cast("long").alias("size")).alias(name)
+    brand = parts.where("p_partkey % 5 = 0 and p_size > 48").groupBy("p_brand").agg(layer(F.max("p_size"), "layout"))
+    kind = parts.where("p_size > 49").groupBy("p_type").agg(layer(F.min("p_size"), "master"))
+    rows = parts.join(brand, "p_brand", "left").join(kind, "p_type", "left")
+    rows = rows.select("p_partkey", layer(F.when(F.col("p_partkey") % 7 == 1, F.col("p_size")), "own"), "layout", "master", layer(F.when(F.col("p_partkey") % 3 == 0, 12), "text"), layer(F.lit(18), "default"))
+    return coalesced(rows, ["own", "layout", "master", "text", "default"], ["size"])
 
 
 _SEVERITY = {"title-punct": ("title", "warning", 0.9), "title-lines": ("title", "error", 0.5), "bullet-punct": ("bullets", "info", 0.55)}
@@ -389,23 +377,19 @@ def suppress_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each deck by severity, zeros included, and the slides that have any."""
-    from decklake.operators.algebra import summary
-
     return summary(collapse(lifted_findings(spark, sf_dir), ["deck_id", "slide_index", "rule_id"]))
 
 
 @query(f"WITH {_FINDINGS} SELECT deck_id, slide_index, rule_id FROM m WHERE severity <> 'info' AND confidence >= 0.6")
 def primary_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the primary tier."""
-    from decklake.operators.algebra import primary
-
     return primary(collapse(lifted_findings(spark, sf_dir), ["deck_id", "slide_index", "rule_id"])).select("deck_id", "slide_index", "rule_id")
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, (json_extract(props, '$.k')::BIGINT BETWEEN 0 AND 60) AS valid FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of JSON text, and whether it lies in its range."""
-    rows = _read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").alias("p"))
+    rows = _read(spark, sf_dir, "events").select("event_id", F.from_json(S.loose_json(F.col("props")), "k bigint").alias("p"))
     return rows.where("p.k is not null").select("event_id", "p.k", F.col("p.k").between(0, 60).alias("valid"))
 
 
@@ -425,27 +409,118 @@ def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumns({"recall": rate("expected"), "precision": rate("found")})
 
 
-@query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\bthe\b', 'THE ONE', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS after, regexp_matches(text, '\bthe\b') AS changed FROM documents WHERE text ~ '^[ -~\n]*$'")
+_REPLACED = rf"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '\bthe\b', 'THE ONE', 'g'), '{SPACE}', ' ', 'g'), ' ')) AS after, regexp_matches(text, '\bthe\b') AS changed FROM documents"
+
+
+@query(_REPLACED)
 def fix_preview_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text after a replacement of a term everywhere, as a digest, and whether it changed; only texts of printable ASCII
-    and line ends, as in its SQL. ``fix_preview_replace_all`` takes all."""
-    return _replaced(_read(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[ -~\n]*\z")))
+    """The text after a replacement of a term everywhere, as a digest, and whether it changed. Words end at ASCII letters, digits
+    and underscores only; white space is tidied."""
+    return _replaced(_read(spark, sf_dir, "documents"))
 
 
 def _replaced(rows: DataFrame) -> DataFrame:
-    term = r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"
-    after = F.regexp_replace(F.regexp_replace("text", term, "THE ONE"), SPACE, " ")
-    return rows.select("doc_id", F.sha2(after, 256).alias("after"), F.col("text").rlike(term).alias("changed"))
+    after = S.replaced(F.col("text"), WORD % "the", "THE ONE", regex=True)
+    return rows.select("doc_id", F.sha2(after, 256).alias("after"), F.col("text").rlike(WORD % "the").alias("changed"))
 
 
-@query()
+@query(_REPLACED)
 def fix_preview_replace_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``fix_preview_replace``, for every text. Words end at ASCII letters, digits and underscores only."""
+    """``fix_preview_replace`` under its former name."""
     return _replaced(_read(spark, sf_dir, "documents"))
 
 
-@query()
+#: Titles have room for 153 characters: three lines of 51.
+_ROOM = 153
+_SHORT = rf"""parts AS (SELECT conv_id, slide_index, title, regexp_split_to_array(regexp_replace(title, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS p FROM titles),
+whole AS (SELECT *, list_filter(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i], ' ')), lambda x: length(x) <= {_ROOM}) AS fits FROM parts),
+cut AS (SELECT *, coalesce(fits[-1], '') AS sentences, left(title, {_ROOM}) AS head FROM whole),
+space AS (SELECT *, CASE WHEN strpos(head, ' ') = 0 THEN -1 ELSE length(head) - strpos(reverse(head), ' ') END AS pos FROM cut),
+chosen AS (SELECT conv_id, slide_index, title, CASE WHEN length(title) <= {_ROOM} THEN title WHEN sentences <> '' AND length(sentences) >= least(0.5::DOUBLE * {_ROOM}, 0.35::DOUBLE * length(title)) THEN sentences
+WHEN pos > 0.6::DOUBLE * {_ROOM} THEN left(head, pos) ELSE head END AS x FROM space)"""
+
+
+@query(rf"WITH {_TITLES}, {_SHORT} SELECT conv_id, slide_index, title, regexp_replace(trim(x, ' '), '[.,;]+$', '') AS short FROM chosen")
 def shorten_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles cut to two lines: whole sentences if enough of the text, else at a space."""
-    titles = _turns(spark, sf_dir, "user").withColumn("title", _line(F.col("text")))
-    return titles.select("conv_id", "slide_index", "title", shortened(F.col("title"), F.lit(102)).alias("short"))
+    """Titles cut to three lines: whole sentences if enough of the text, else at a space."""
+    titles = _turns(spark, sf_dir, "user").withColumn("title", S.one_line(F.col("text")))
+    room = S.title_room(F.lit(C.TITLE_WIDTH_IN))
+    return titles.select("conv_id", "slide_index", "title", S.shortened(F.col("title"), room).alias("short"))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings of junk in documents, what labels expect (a layer is a source), and the rule's tag. A slide is a document."""
+    docs = _read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "slide_index")
+    hits = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(x)), name) for name, x in (("bangs", "!!"), ("dollars", "$$$"), ("bars", " | "))]))
+    found = docs.select("slide_index", F.explode(hits).alias("rule_id")).withColumns({"severity": F.lit("warning"), "confidence": F.lit(0.8), "emit_ord": F.lit(0)})
+    truth = docs.join(_read(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("slide_index")).distinct(), "slide_index").select("slide_index", F.lit("junk").alias("tag"), F.col("source").alias("layer"))
+    tags = spark.createDataFrame([(x, "junk") for x in ("bangs", "dollars", "bars")], "rule_id string, tag string")
+    return found, truth, tags
+
+
+_EVALUATED = """found AS (SELECT doc_id, unnest(list_filter([CASE WHEN contains(text, '!!') THEN 'bangs' END, CASE WHEN contains(text, '$$$') THEN 'dollars' END, CASE WHEN contains(text, ' | ') THEN 'bars' END], lambda x: x IS NOT NULL)) AS rule_id FROM documents),
+truth AS (SELECT d.doc_id, d.source AS layer FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
+hits AS (SELECT truth.*, doc_id IN (SELECT doc_id FROM found) AS hit FROM truth)"""
+
+
+@query(f"WITH {_EVALUATED} SELECT layer, count(*) FILTER (WHERE hit) AS covered, count(*) AS expected, count(*) FILTER (WHERE hit)::DOUBLE / count(*) AS recall FROM hits GROUP BY layer")
+def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of findings by layer."""
+    return V.recall(*_evaluated(spark, sf_dir))
+
+
+@query(f"WITH {_EVALUATED} SELECT doc_id AS slide_index, 'junk' AS tag, layer FROM hits WHERE NOT hit")
+def eval_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What no finding covers."""
+    return V.missed(*_evaluated(spark, sf_dir))
+
+
+@query(f"WITH {_EVALUATED}, j AS (SELECT doc_id IN (SELECT doc_id FROM truth) AS ok FROM found) SELECT count(*) FILTER (WHERE ok) AS \"right\", count(*) AS total, CASE WHEN count(*) = 0 THEN 1.0::DOUBLE ELSE count(*) FILTER (WHERE ok)::DOUBLE / count(*) END AS precision FROM j")
+def eval_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision of the primary tier."""
+    return V.precision(*_evaluated(spark, sf_dir))
+
+
+@query(f"WITH {_EVALUATED} SELECT doc_id AS slide_index, rule_id, 0 AS emit_ord FROM found WHERE doc_id NOT IN (SELECT doc_id FROM truth)")
+def eval_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary findings that the labels do not expect."""
+    return V.false_positives(*_evaluated(spark, sf_dir))
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse(lifted_findings(spark, sf_dir), ["deck_id", "slide_index", "rule_id"])
+
+
+@query(
+    f"""WITH {_FINDINGS}, s AS (SELECT DISTINCT conv_id AS deck_id, ((turn + 1) % 3)::INT AS slide_index FROM conversations)
+    SELECT s.deck_id, s.slide_index, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos, count(rule_id) AS total
+    FROM s LEFT JOIN m ON m.deck_id = s.deck_id AND m.slide_index = s.slide_index GROUP BY ALL"""
+)
+def counts_by_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every slide by severity, zeros included."""
+    slides = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("deck_id"), ((F.col("turn") + 1) % 3).cast("int").alias("slide_index")).distinct()
+    return V.slide_counts(_merged(spark, sf_dir), slides)
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Findings with the columns of a place, and decisions: titles' punctuation is accepted, bullets' is rejected."""
+    none = F.lit(None).cast("string")
+    found = _merged(spark, sf_dir).withColumns({"shape_id": none, "row": none, "col": none, "detail": F.col("rule_id"), "evidence": none, "suggestion": none})
+    decision = F.when(F.col("rule_id") == "title-punct", "accepted").when(F.col("rule_id") == "bullet-punct", "rejected")
+    return found, V.finding_key(found).select("finding_key", decision.alias("decision")).where("decision is not null")
+
+
+@query(
+    f"""WITH {_FINDINGS} SELECT deck_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos, count(*) AS visible,
+    count(*) FILTER (WHERE severity IN ('error', 'warning')) AS remaining, count(*) FILTER (WHERE rule_id = 'title-punct') AS accepted, 0::BIGINT AS fixed FROM m GROUP BY deck_id"""
+)
+def totals_with_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of each deck: by severity, still to do, accepted."""
+    return V.totals(*_keyed(spark, sf_dir))
+
+
+@query(f"WITH {_FINDINGS} SELECT deck_id, count(*) AS accepted FROM m WHERE rule_id = 'title-punct' GROUP BY deck_id")
+def accepted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks with a report of accepted findings, and how many it holds."""
+    report = F.from_json("report", "accepted bigint, accepted_findings array<struct<slide_index:int>>")
+    return V.review_report(*_keyed(spark, sf_dir)).select("deck_id", F.size(report["accepted_findings"]).cast("long").alias("accepted"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decklake.sources.pptx import attr, child, kids, local
+from decklake.sources.pptx import UNREADABLE, attr, child, kids, local
 
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
@@ -244,9 +244,20 @@ def apply_all(content: bytes, fixes: list[dict]) -> tuple[bytes, list[dict]]:
     return out.getvalue(), records
 
 
+def applied(content: bytes | None, fixes: list[dict]) -> tuple[bytes | None, list[dict]]:
+    """As ``apply_all``; a file that can't be read stays as it is, with an error for each fix."""
+    try:
+        return apply_all(content or b"", fixes)
+    except UNREADABLE as e:
+        said = f"{type(e).__name__}: {e}"[:200]
+        return content, [{k: f[k] for k in ("fix_ord", "rule_id", "slide_index", "kind")} | {"changed": False, "before": None, "after": None, "error": said} for f in fixes]
+
+
 def write_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
     """(path, length, content, records) of every file of ``files(path, length, content)``, fixed by the rows of
-    ``fixes(deck_id, fix_ord, rule_id, slide_index, slide_path, shape_id, row, col, fix)``, whose deck_id is the path."""
+    ``fixes(deck_id, fix_ord, rule_id, slide_index, slide_path, shape_id, row, col, fix)``, whose deck_id is the path.
+
+    A file that can't be read stays as it is; each of its fixes has the error. Null content stays null."""
     names = [f.name for f in fixes.schema["fix"].dataType.fields]
     one = F.struct("fix_ord", "rule_id", "slide_index", "slide_path", "shape_id", "row", "col", *[F.col(f"fix.{n}").alias(n) for n in names])
     grouped = fixes.where("fix is not null").groupBy(F.col("deck_id").alias("path")).agg(F.collect_list(one).alias("fixes"))
@@ -254,7 +265,7 @@ def write_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
     @F.arrow_udf(f"struct<content:binary,records:{RECORD}>")
     def fixed(contents: pa.Array, fixes: pa.Array) -> pa.Array:
         record = [("fix_ord", pa.int64()), ("rule_id", pa.string()), ("slide_index", pa.int32()), ("kind", pa.string()), ("changed", pa.bool_()), *((n, pa.string()) for n in ("before", "after", "error"))]
-        rows = [dict(zip(("content", "records"), apply_all(c.as_py(), f.as_py() or []))) for c, f in zip(contents, fixes)]
+        rows = [dict(zip(("content", "records"), applied(c.as_py(), f.as_py() or []))) for c, f in zip(contents, fixes)]
         return pa.array(rows, pa.struct([("content", pa.binary()), ("records", pa.list_(pa.struct(record)))]))
 
     out = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(grouped, "path", "left").withColumn("out", fixed("content", "fixes"))

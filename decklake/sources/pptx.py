@@ -10,7 +10,9 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -18,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BYTES = 30 << 20
+#: Most bytes of a file, and of all its parts unpacked.
+MAX_BYTES, MAX_UNPACKED = 30 << 20, 1 << 30
+#: What reading a damaged, locked or oddly packed file may raise.
+UNREADABLE = (ValueError, KeyError, AttributeError, TypeError, OverflowError, zipfile.BadZipFile, zlib.error, struct.error, EOFError, RuntimeError, NotImplementedError, ET.ParseError)
 _RECT = "rect:struct<x:double,y:double,cx:double,cy:double>"
 _STYLE = "size_pt:double,bold:boolean,italic:boolean,underline:boolean,strike:boolean,font:string,color:string"
 _PARA = "align:string,margin_left_in:double,indent_in:double,space_before_pt:double,space_after_pt:double,line_spacing_pct:double,bullet:struct<type:string,char:string,font:string>"
@@ -75,6 +80,8 @@ class Package:
     def __init__(self, content: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(content))
         self.names = set(self.zip.namelist())
+        if sum(x.file_size for x in self.zip.infolist()) > MAX_UNPACKED:
+            raise ValueError(f"over {MAX_UNPACKED} bytes unpacked")
 
     def xml(self, part: str) -> ET.Element | None:
         return ET.fromstring(self.zip.read(part)) if part in self.names else None
@@ -304,7 +311,7 @@ def deck_rows(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
                     if row["content"] is None:
                         raise ValueError(f"over {max_bytes} bytes")
                     found = parse(name, row["content"])
-                except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as e:
+                except UNREADABLE as e:
                     found = {"deck_id": name, "file_name": posixpath.basename(name), "error": f"{type(e).__name__}: {e}"[:200]}
                 yield pa.RecordBatch.from_pylist([found], arrow)
 

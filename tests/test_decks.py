@@ -1,6 +1,7 @@
 """A deck with one breach of most rules, scanned, fixed and scanned again; a clean deck without findings."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from decklake.functions.constants import CANONICAL_FOOTER
 from decklake.operators.cascade import Decks
@@ -81,7 +82,11 @@ def test_rules(found):
 
 def test_fixes_remove_findings(spark, files, decks, found):
     plan = fix_plan(found, decks)
-    written = write_fixes(files.where("path <> 'bad.pptx'"), plan).persist()
+    one = plan.limit(1).withColumn("deck_id", F.lit("bad.pptx"))
+    written = write_fixes(files, plan.unionByName(one)).persist()
+    bad = written.where("path = 'bad.pptx'").first()
+    assert bytes(bad.content) == b"no zip" and [(r.changed, r.error[:10]) for r in bad.records] == [(False, "BadZipFile")]
+    written = written.where("path <> 'bad.pptx'")
     records = [r for row in written.collect() for r in row.records or []]
     assert [r for r in records if r.error] == [] and all(r.changed for r in records)
     report = {r.path: r.report for r in fix_report(written).collect()}
@@ -123,9 +128,25 @@ def test_report_decisions_and_evaluation(spark, decks, found):
 
 
 def test_aggregates(spark):
-    slide = shape(2, "Globex's plan for Globex Energy", "title") + shape(3, "Legend:", place=(0, 0, 100, 100)) + shape(4, "Red", place=(0, 200, 100, 100)) + shape(5, "Blue", place=(0, 100, 100, 100))
+    table_near = table(6, [[{"text": "cell"}]], (0, 150, 100, 100))  # no text shape
+    slide = shape(2, "Globex's plan for Globex Energy", "title") + shape(3, "Legend:", place=(0, 0, 100, 100)) + shape(4, "Red", place=(0, 200, 100, 100)) + shape(5, "Blue", place=(0, 100, 100, 100)) + table_near
     content = deck([slide])
     decks = Decks(deck_rows(spark.createDataFrame([("g.pptx", len(content), bytearray(content))], "path string, length long, content binary")))
     name = client_names(decks).first()
     assert (name.client_name, name.score, name.variants) == ("Globex", 6, {"Globex Energy": 1})
-    assert [r.labels for r in legend_orders(decks).collect()] == [["Blue", "Red"]]
+    # the title is a short text within two inches, too, in the place that it inherits
+    assert [r.labels for r in legend_orders(decks).collect()] == [["Blue", "Red", "Globex's plan for Globex Energy"]]
+
+
+def test_damaged_files_are_error_rows(spark):
+    content = bytearray(clean())
+    rows = []
+    for at in range(0, len(content), 97):
+        bent = bytearray(content)
+        bent[at] ^= 0x5A
+        rows.append((f"{at}.pptx", len(bent), bent))
+    rows.append(("null.pptx", 0, None))
+    files = spark.createDataFrame(rows, "path string, length long, content binary")
+    got = deck_rows(files).select("deck_id", "error").collect()
+    assert len(got) == len(rows) and sum(r.error is not None for r in got) > 5
+    assert write_fixes(files, spark.createDataFrame([], "deck_id string, fix_ord long, rule_id string, slide_index int, slide_path string, shape_id string, row int, col int, fix struct<kind:string,find:string>")).count() == len(rows)
