@@ -69,18 +69,33 @@ class Passage:
     item_id: int
     points: np.ndarray
     edits: int
+    q: int
     least: int
     """Shared q-grams that a region needs."""
 
 
 def passage(item_id: int, text: str, q: int = Q, rate: float = EDIT_RATE) -> Passage | None:
-    """None for texts of under q letters, digits and spaces: too short to be told from chance."""
+    """None for texts of under q letters, digits and spaces: too short to be told from chance.
+
+    Where q-grams of the usual length bound nothing (passages of under 40 characters), shorter ones take their place, so
+    that at least one is shared at the full edit budget.
+    """
     points, _ = normalised(text or "")
     n = len(points)
     if n < q:
         return None
-    edits = min(int(rate * n), (n - q) // q)
-    return Passage(item_id, points, edits, n - q + 1 - edits * q)
+    edits = int(rate * n)
+    q = max(1, min(q, n // (edits + 1)))
+    return Passage(item_id, points, edits, q, n - q + 1 - edits * q)
+
+
+def indexes(items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE) -> list[Index]:
+    """One index for each length of q-grams that the items need."""
+    groups: dict[int, list[Passage]] = {}
+    for item_id, text in items:
+        if p := passage(item_id, text, q, rate):
+            groups.setdefault(p.q, []).append(p)
+    return [Index(passages, n) for n, passages in sorted(groups.items())]
 
 
 class Index:
@@ -242,9 +257,10 @@ def _scanner(block, q: int, rate: float):
 
     @F.pandas_udf(HITS)
     def places(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index([p for i, t in block.value if (p := passage(i, t, q, rate))], q)
+        found = indexes(block.value, q, rate)
         for batch in texts:
-            rows = scan(index, [x or "" for x in batch])
+            given = [x or "" for x in batch]
+            rows = [sorted(x for hits in row for x in hits) for row in zip(*(scan(index, given) for index in found))] if found else [[]] * len(given)
             yield pd.Series([[{"item_id": i, "start": a, "end": b, "edits": e} for i, a, b, e in x] for x in rows], dtype=object)
 
     return places

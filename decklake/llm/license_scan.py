@@ -1,6 +1,6 @@
 """License scans by diagonal voting, with Spark's own functions only.
 
-Every rolling k-gram of words is hashed; those that some template has are joined to the templates' places.
+Every rolling k-gram of words is hashed and joined to the templates' places, of which there are some thousand.
 Each pair votes for its offset diagonal (document word minus template word); neighbouring diagonals are
 merged and the span is verified by the share of the template's k-grams that it holds.
 """
@@ -14,23 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from decklake.llm.common import whole_text
+from decklake.llm.common import bound, running, whole_text
+from decklake.llm.license_texts import TEMPLATES
 
-#: Phrases whose places count as base finds, and the templates, with their labels.
+#: Phrases whose places count as base finds, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
 #: Words of a k-gram, most steps between diagonals that merge, and the least share of a template's k-grams.
 K, MERGE, LEAST_SHARE = 3, 2, 0.6
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -46,13 +34,13 @@ def _hash(gram: str) -> int:
 
 
 def template_places(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """(gram_hash, gram, template, place, label, grams) of all templates, some hundred rows."""
+    """(gram_hash, template, place, label, grams) of all templates. Two k-grams with one 64-bit hash would count as equal."""
     rows = []
     for t, (label, text) in enumerate(templates):
         words = template_words(text)
         grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
-        rows += [(_hash(g), g, t, i, label, len(grams)) for i, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "gram_hash long, template_gram string, template int, place int, label string, grams int")
+        rows += [(_hash(g), t, i, label, len(grams)) for i, g in enumerate(grams)]
+    return spark.createDataFrame(rows, "gram_hash long, template int, place int, label string, grams int")
 
 
 def line_of_words(text: Column) -> Column:
@@ -61,7 +49,7 @@ def line_of_words(text: Column) -> Column:
     lower() also folds other letters, of which only the Kelvin sign and the dotted I become ASCII; they are
     replaced by letters outside ASCII first. So words, their number and ASCII words are exact.
     """
-    line = F.regexp_replace(F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))), _GAPS, " ")
+    line = F.regexp_replace(F.lower(F.translate(text, "\u212a\u0130", "\u0138\u0131")), _GAPS, " ")
     line = F.trim(line)
     return F.when(line == "", "").otherwise(F.concat(F.lit(" "), line, F.lit(" ")))
 
@@ -72,14 +60,14 @@ def phrase_places(line: Column, phrases: dict[str, str] = PHRASES) -> Column:
     found, gaps = F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), F.split(line, pattern, -1)
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
-    def add(s: Column, x: Column) -> Column:
+    def add(at: Column, x: Column) -> tuple[Column, Column]:
         # the next space, before the phrase, ends as many words as there are spaces since the line's start
-        start = s["spaces"] + spaces(x["gap"])
-        return F.struct((start + spaces(x["phrase"]) + 1).alias("spaces"), F.concat(s["out"], F.array(F.struct(start.alias("word"), x["phrase"].alias("phrase")))).alias("out"))
+        start = at + spaces(x["1"])
+        return start + spaces(x["0"]) + 1, F.struct(start.cast("int").alias("word"), x["0"].alias("phrase"))
 
-    zipped = F.transform(found, lambda p, i: F.struct(p.alias("phrase"), F.get(gaps, i).alias("gap")))
-    start = F.struct(F.lit(0).alias("spaces"), F.array().cast("array<struct<word:int,phrase:string>>").alias("out"))
-    return F.when(line.rlike(pattern), F.aggregate(zipped, start, add, lambda s: s["out"])).otherwise(start["out"])
+    kind = "struct<word:int,phrase:string>"
+    places = running(F.filter(F.arrays_zip(found, gaps), lambda x: x["0"].isNotNull()), kind, add)
+    return F.when(line.rlike(pattern), places).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def _label(phrase: Column, phrases: dict[str, str]) -> Column:
@@ -95,9 +83,14 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHR
     empty texts have no words; repeated rows each give a row; other columns are left out.
     """
     places = template_places(docs.sparkSession, templates, k)
-    wanted = sorted({_hash(" ".join(w[i : i + k])) for _, t in templates for w in [template_words(t)] for i in range(len(w) - k + 1)})
     words = F.split(F.trim("line"), " ")
-    hashed = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i + 1, F.lit(k)))))
+    none = F.array(F.lit(None).cast("bigint"))
+
+    def rolling(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i + 1, F.lit(k)))))
+        return F.when(F.size(w) >= k, F.concat(none, grams)).otherwise(none)
+
+    key = ["doc_id", "text_hash", "n_words", "n_base", "first_word", "last_word", "base_set"]
     rows = (
         docs.select("doc_id", line_of_words(whole_text()).alias("line"))
         .select("doc_id", "line", F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(words).alias("words"), phrase_places(F.col("line"), phrases).alias("base"))
@@ -109,19 +102,17 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHR
             F.array_min("base.word").cast("long").alias("first_word"),
             F.array_max("base.word").cast("long").alias("last_word"),
             F.array_sort(F.array_distinct(F.transform("base.phrase", lambda p: _label(p, phrases)))).alias("base_set"),
-            F.when(F.size("words") >= k, F.filter(F.transform(hashed, lambda h, i: F.struct(h.alias("gram_hash"), i.alias("word"), F.concat_ws(" ", F.slice("words", i + 1, F.lit(k))).alias("gram"))), lambda x: x["gram_hash"].isin(wanted))).alias("grams_found"),
+            bound(F.col("words"), rolling).alias("hashes"),
         )
     )
-    key = ["doc_id", "text_hash", "n_words", "n_base", "first_word", "last_word", "base_set"]
-    equal = rows.groupBy(*key, "grams_found").agg(F.count(F.lit(1)).alias("copies"))
-    key.append("copies")
+    # a null before the k-grams stands for the document itself; k-grams that no template has fall out of the join
     votes = (
-        equal.select(*key, F.explode_outer("grams_found").alias("g"))
-        .select(*key, "g.gram_hash", "g.word", "g.gram")
+        rows.select(*key, F.posexplode("hashes").alias("at", "gram_hash"))
         .join(F.broadcast(places), "gram_hash", "left")
-        .withColumn("template", F.when(F.col("gram") == F.col("template_gram"), F.col("template")))
+        .where("template is not null or at = 0")
+        .withColumn("word", F.col("at") - 1)
         .groupBy(*key, "template", "label", "grams", (F.col("word") - F.col("place")).alias("diagonal"))
-        .agg(F.collect_set("place").alias("places"), F.min("word").alias("lo"), F.max("word").alias("hi"))
+        .agg(F.collect_set("place").alias("places"), F.min("word").alias("lo"), F.max("word").alias("hi"), F.count_if(F.col("at") == 0).alias("copies"))
     )
     along = W.partitionBy(*key, "template").orderBy("diagonal")
     steps = F.when(F.col("diagonal") - F.lag("diagonal").over(along) > MERGE, 1).otherwise(0)
@@ -129,12 +120,12 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHR
         votes.withColumn("step", steps)
         .withColumn("band", F.sum("step").over(along))
         .groupBy(*key, "template", "label", "grams", "band")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("copies").alias("copies"))
         .withColumn("share", F.col("held") / F.col("grams"))
     )
     verified = F.col("template").isNotNull() & (F.col("share") >= LEAST_SHARE)
     span = F.when(verified, F.struct("label", F.col("lo").alias("first"), (F.col("hi") + k - 1).alias("last"), "share"))
-    out = merged.groupBy(*key).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    out = merged.groupBy(*key).agg(F.array_sort(F.collect_list(span)).alias("spans"), F.sum("copies").cast("int").alias("copies"))
     labels = F.array_sort(F.array_union("base_set", F.array_distinct(F.col("spans.label"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.share"), F.lit(0.0)))
     out = out.select(

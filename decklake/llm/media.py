@@ -90,7 +90,10 @@ class _Sequence(HTMLParser):
         said = dict(attrs)
         if tag in _SILENT:
             self.silent += 1
-        elif tag in ("img", "audio", "video", "source") and said.get("src"):
+            return
+        if tag == "body":  # a head that is never closed ends here
+            self.silent = 0
+        if tag in ("img", "audio", "video", "source") and said.get("src"):
             self.flush()
             self.add("media", reference=said["src"], caption=said.get("alt") or None)
         elif tag == "figcaption":
@@ -101,16 +104,20 @@ class _Sequence(HTMLParser):
         if tag == "figure":
             self.figure.append(len(self.items))
 
-    handle_startendtag = handle_starttag
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _SILENT:  # nothing is inside
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
             line, self.caption = " ".join(" ".join(self.caption).split()), None
-            for item in self.items[self.figure[-1] if self.figure else len(self.items) :]:
-                if item["kind"] == "media" and line:
-                    item["caption"] = line
+            shown = [x for x in self.items[self.figure[-1] if self.figure else len(self.items) :] if x["kind"] == "media"]
+            for item in shown if line else ():
+                item["caption"] = line
+            if line and not shown:
+                self.add("text", text=line)
         elif tag in _BLOCKS:
             self.flush()
         if tag == "figure" and self.figure:
@@ -186,8 +193,10 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def resolved(pages: DataFrame, media: DataFrame, items: str = "items", prefix: str = "media:") -> DataFrame:
     """One row for each item of ``pages``: its columns without ``items``, position, kind, text, reference, caption, and the
-    columns of ``media(digest, ...)`` for references of ``prefix`` and a known digest, else null."""
-    names = [c for c in pages.columns if c != items]
+    columns of ``media(digest, ...)`` for references of ``prefix`` and a known digest, else null. Columns of ``pages`` whose
+    names the item's or the medium's take are left out."""
+    taken = {"position", "kind", "text", "reference", "caption", *(c.lower() for c in media.columns)}
+    names = [c for c in pages.columns if c != items and c.lower() not in taken]
     rows = pages.select(*names, F.inline(items))
     digest = F.when(F.col("reference").startswith(prefix), F.substr("reference", F.lit(len(prefix) + 1)))
     found = stored(rows.withColumn("digest", digest), "media-items")
@@ -209,3 +218,10 @@ def media_columns(docs: DataFrame) -> DataFrame:
     page = F.concat(F.lit("<article><p>one medium</p><figure><img src='media:"), F.sha2(payload, 256), F.lit("'><figcaption>"), size.cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     pages = with_sequence(docs.select("doc_id", size.alias("n_bytes"), page.alias("html"))).drop("html")
     return resolved(pages, media_features(media)).where("kind = 'media'").drop("digest", "position", "kind", "text", "reference")
+
+
+def page_items(pages: DataFrame) -> DataFrame:
+    """(page_id, position, kind, text, reference, caption) of each item of ``pages(page_id, html)``. Pages without items, as
+    those with null html, have no row; repeated rows each give theirs."""
+    small_batches(pages.sparkSession)
+    return with_sequence(pages.select("page_id", "html")).select("page_id", F.inline("items"))

@@ -5,8 +5,9 @@ of the one and of the other's. So these prefixes are shuffled, and sets that mee
 the shingle's places, or sketches already bound the similarity below 4/5. No such pair is missed. Any order is right; shingles
 that a sample of the texts has often come last, so few sets meet in them.
 
-Each shingle's sets are first compared with one of them, and linked sets become components. Then those that meet but lie in
-different components are compared pair by pair: a component within a group costs no pairs, unlinked sets of a group all do.
+Sets that meet in one of their first shingles are compared with one of them first, and linked sets become components. Then all
+that meet in a prefix but lie in different components are compared pair by pair: a component within a group costs no pairs
+with itself, unlinked sets of a group all do.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from decklake.llm.common import cut, hot_join, small_side, stored, whole_text
 from decklake.llm.simhash import components, first_of_groups
 
 #: Words of a shingle; one text of so many goes into the sample, whose shingles are common from a count on, and
-#: so many of these are told apart at most (they only order the shingles); sets of a group that a task pairs with all others.
-WORDS, SAMPLE, COMMON, COMMON_MOST, PART = 5, 8, 4, 1_000_000, 128
+#: so many of these are told apart at most (they only order the shingles); shingles of a set that look for cheap links first;
+#: sets of a group that a task pairs with all others.
+WORDS, SAMPLE, COMMON, COMMON_MOST, FIRST, PART = 5, 32, 2, 1_000_000, 4, 128
 _SKETCH = 256
 
 
@@ -123,25 +125,31 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = stored(distinct.where("copies > 1").select("fp", "first"), "near-copies")
     one = hot_join(prints, again, "fp", F.col("doc_id")).where("first is null or (first.doc_id <=> doc_id and first.text_hash = text_hash)")
 
-    # the members of each group of sets that meet in a shingle, with the member that has the fewest rarer shingles
+    # cheap links first: sets that meet in one of their first shingles, each with the member that has the fewest rarer ones
     group = W.partitionBy("token")
-    met = one.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
-    met = met.withColumns({"size": F.count(F.lit(1)).over(group), "m": F.min(F.struct("pos", "fp", "n")).over(group)}).where("size > 1")
-    met = stored(met.dropDuplicates(["token", "fp"]), "near-places")
-    star = met.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("m.fp").alias("b"), F.col("m.n").alias("b_n"), F.col("m.pos").alias("b_pos"))
-    star = star.where((F.col("a") != F.col("b")) & _fits()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = stored(_alike(star, distinct, prints, docs), "near-star")
+    met = one.select("fp", "n", F.posexplode(F.slice("prefix", 1, FIRST)).alias("pos", "token"))
+    star = met.withColumn("m", F.min(F.struct("pos", "fp", "n")).over(group)).where("m.fp <> fp")
+    star = star.select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("m.fp").alias("b"), F.col("m.n").alias("b_n"), F.col("m.pos").alias("b_pos")).where(_fits())
+    links = stored(_alike(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), distinct, prints, docs), "near-star")
     root = stored(components(links).withColumnRenamed("node", "fp"), "near-roots")
 
-    # the others that meet, but lie in different components
-    sides = hot_join(met.select("token", "fp", "n", "pos", "size"), root, "fp", F.col("token")).withColumn("root", F.coalesce("root", "fp"))
-    mixed = sides.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.first("size").alias("size")).where("r <> s")
-    parts = stored(mixed.select("token", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "near-parts")
-    sides = stored(sides.drop("size").join(small_side(parts), "token"), "near-sides")
+    # then all that meet in a prefix but lie in different components: these alone are kept from the shuffle
+    rooted = hot_join(one.select("fp", "n", "prefix"), root, "fp", F.col("fp"))
+    places = rooted.select("fp", "root", "n", F.posexplode("prefix").alias("pos", "token"))
+    own = F.coalesce("root", "fp")
+    sides = places.withColumns({"low": F.min(own).over(group), "high": F.max(own).over(group)}).where("low <> high")
+    sides = stored(sides.select("token", "fp", own.alias("root"), "n", "pos").dropDuplicates(["token", "fp"]), "near-mixed")
+    # pairs need one side outside the group's fullest component
+    full = sides.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root"))["root"].alias("major"), F.sum("c").alias("size"))
+    full = stored(full.select("token", "major", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "near-parts")
+    sides = stored(hot_join(sides, full, "token", F.col("fp")), "near-sides")
     a = _named(sides.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).drop("parts"), "a").withColumnRenamed("a_part", "part")
-    b = _named(sides.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "b").withColumnRenamed("b_part", "part")
-    across = a.join(b, ["token", "part"]).where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _fits())
-    links = links.union(stored(_alike(across.select("a", "b"), distinct, prints, docs), "near-across"))
+    b = sides.where("root <> major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "major")
+    b = _named(b, "b").withColumnRenamed("b_part", "part")
+    once = (F.col("a") < F.col("b")) | (F.col("a_root") == F.col("a_major"))
+    across = a.join(b, ["token", "part"]).where(once & (F.col("a_root") != F.col("b_root")) & _fits())
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = links.union(stored(_alike(across, distinct, prints, docs), "near-across"))
 
     roots = components(links).withColumnRenamed("node", "fp")
     return prints.select("doc_id", "text_hash", "fp"), cut(distinct.select("fp", "first_id").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))

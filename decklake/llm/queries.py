@@ -73,6 +73,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def media_page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser of operator 9 over real pages: texts and media in order."""
+    from decklake.llm.media import page_items
+
+    return page_items(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decklake.llm.simhash import hex_digits, near_duplicates
 
@@ -80,7 +87,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_toxicity, op5_urls, op6_quality, op7_bpe, op8_warc, op9_media, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_toxicity, op5_urls, op6_quality, op7_bpe, op8_warc, op9_media, op10_simhash, media_page_items)}
 #: The other queries fit models, hash with XXH64, or write formats that SQL lacks; tests/llm compares them with brute force.
 ORACLE: dict[str, str] = {
     "op8_warc": """WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS s FROM pages),

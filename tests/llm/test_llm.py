@@ -130,6 +130,21 @@ def test_leaks_within_the_budget(spark):
     assert got == want and 10 < len(want) < 40
 
 
+def test_short_passages_have_the_whole_budget(spark):
+    random.seed(11)
+    items = [(n, "".join(random.choice("abcdefgh") for _ in range(n))) for n in (9, 10, 12, 19, 20, 25, 30, 35, 39, 40)]
+    texts = []
+    for n, item in items:
+        for k in range(n // 10 + 2):
+            chars = list(item)
+            for at in random.sample(range(n), k):
+                chars[at] = "z"
+            texts.append((len(texts), "q" * 30 + "".join(chars) + "q" * 30))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs(spark, *texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in texts for i, x in items if slow_edits(x, t) <= int(decontaminate.EDIT_RATE * len(x))}
+    assert got == want and len(want) >= 20
+
+
 def test_leak_spans_and_case(spark):
     item = "The quick brown fox jumps over the lazy dog, then sleeps until noon."
     text = "Before. THE QUICK  brown fox jumps over the lazy dog -- then sleeps until noon! After."
@@ -260,6 +275,58 @@ def test_licenses(spark):
     assert rows[6].labels == "mit" and 0.6 <= rows[6].score < 1  # two diagonals merge
 
 
+def slow_licenses(text, k=license_scan.K):
+    """Labels and best share by plain loops."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels, best = set(), 0.0
+    for label, template in license_scan.TEMPLATES:
+        known = license_scan.template_words(template)
+        votes = {}
+        for w in range(len(words) - k + 1):
+            for p in range(len(known) - k + 1):
+                if words[w : w + k] == known[p : p + k]:
+                    votes.setdefault(w - p, set()).add(p)
+        bands, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > license_scan.MERGE:
+                bands.append(set())
+            bands[-1] |= votes[d]
+            last = d
+        share = max((len(b) / (len(known) - k + 1) for b in bands), default=0.0)
+        if share >= license_scan.LEAST_SHARE:
+            labels.add(label)
+            best = max(best, share)
+    for phrase, label in license_scan.PHRASES.items():
+        if any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words))):
+            labels.add(label)
+            best = 1.0
+    return ",".join(sorted(labels)), best
+
+
+def test_licenses_are_brute_force(spark, tmp_path):
+    random.seed(9)
+    texts = ["KIND OF WORK: " + license_scan.TEMPLATES[2][1].upper(), "MIT LICENSE", None]
+    for _ in range(25):
+        _, template = random.choice(license_scan.TEMPLATES)
+        words = template.split()
+        for _ in range(random.randrange(0, 1 + len(words) // 4)):
+            at = random.randrange(len(words))
+            words[at : at + 1] = random.choice(([], ["other"], [words[at], "more"]))
+        half = words[: random.randrange(1, len(words) + 1)]
+        texts.append(" ".join(["intro"] * random.randrange(5) + random.choice((words, half)) + ["outro"] * random.randrange(5)))
+    docs(spark, *enumerate(texts)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in queries.op3_licenses(spark, str(tmp_path)).collect()}
+    want = {i: (a, round(b, 9)) for i, t in enumerate(texts) for a, b in [slow_licenses(t or "")]}
+    assert got == want and len({a for a, _ in want.values()}) > 6
+
+
+def test_many_phrases(spark):
+    text = "x mit license " * 20_000
+    (r,) = license_scan.licenses(docs(spark, (1, text))).collect()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (60_000, 20_000, 1, 59_998)
+
+
 def test_licenses_odd(spark, odd, empty):
     rows = license_scan.licenses(odd).collect()
     assert sorted((str(r.doc_id), r.n_words) for r in rows) == sorted((str(i), n) for i, n in [(1, 0), (2, 0), (None, 3), (3, 2), (3, 2), (4, 2), (4, 2), (5, 90_000), (6, 6), (7, 0)])
