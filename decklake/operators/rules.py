@@ -85,8 +85,8 @@ class Context:
         return mode_of(self.table_cells.where("fill is not null"), [*SHAPE, "row"], "fill", "col").drop("n").withColumnRenamed("fill", "row_fill")
 
 
-def fix(kind: str, **fields: Column | str | float | bool) -> Column:
-    known = {"kind": F.lit(kind)} | {k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
+def fix(kind: Column | str, **fields: Column | str | float | bool) -> Column:
+    known = {"kind": kind if isinstance(kind, Column) else F.lit(kind)} | {k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
     parts = [x.split(" ", 1) for x in FIX.split(", ")]
     return F.struct(*[known.get(n, F.lit(None)).cast(k).alias(n) for n, k in parts])
 

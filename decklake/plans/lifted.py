@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from decklake.functions import constants as C
 from decklake.functions import scalars as S
 from decklake.operators import aggregates as A
+from decklake.operators import fixes as X
 from decklake.operators import review as V
 from decklake.operators import rules as R
 from decklake.operators.algebra import coalesced, collapse, mode_of, outliers, primary, prioritised, ranked, summary, suppressed
@@ -524,3 +525,47 @@ def accepted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decks with a report of accepted findings, and how many it holds."""
     report = F.from_json("report", "accepted bigint, accepted_findings array<struct<slide_index:int>>")
     return V.review_report(*_keyed(spark, sf_dir)).select("deck_id", F.size(report["accepted_findings"]).cast("long").alias("accepted"))
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of titles and bullets in their shapes, without a fix of their own; a reviewer's for long titles."""
+    none = F.lit(None).cast("string")
+    rows = title_findings(spark, sf_dir).unionByName(bullet_findings(spark, sf_dir).select("conv_id", "slide_index", F.lit("bullet-punct").alias("rule_id")))
+    severity = F.when(F.col("rule_id") == "bullet-punct", "info").otherwise("warning")
+    named = {"shape_id": F.lit("2"), "row": F.lit(None).cast("int"), "col": F.lit(None).cast("int"), "category": F.lit("title"), "severity": severity, "detail": none, "evidence": none, "suggestion": none, "emit_ord": F.when(F.col("rule_id") == "title-punct", 0).otherwise(1)}
+    return rows.withColumnRenamed("conv_id", "deck_id").withColumns(named)
+
+
+def _with_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    titles = rows.where("role = 'user'").select(F.col("conv_id").alias("deck_id"), (F.col("turn") + 1).alias("slide_index"), S.one_line(F.col("text")).alias("title"))
+    footers = rows.groupBy(F.col("conv_id").alias("deck_id")).agg(F.lit(C.CANONICAL_FOOTER).alias("footer"), F.lit(None).cast("struct<x:double,y:double,cx:double,cy:double>").alias("footer_rect"))
+    return X.inferred(_placed(spark, sf_dir), titles.dropDuplicates(["deck_id", "slide_index"]), footers, names(spark, sf_dir)).join(titles, ["deck_id", "slide_index"], "left")
+
+
+_INFERRED = f"""{_TITLES}, {_BULLETS},
+fixes AS (SELECT conv_id AS deck_id, slide_index, rule_id, CASE rule_id WHEN 'title-punct' THEN 'title-rewrite' ELSE 'ai-rewrite' END AS kind, title, CASE rule_id WHEN 'title-punct' THEN regexp_replace(title, '[.,;]+$', '') END AS after
+FROM found JOIN titles USING (conv_id, slide_index) UNION ALL SELECT conv_id, slide_index, 'bullet-punct', 'text-replace', NULL, NULL FROM marked WHERE n_punct > 0)"""
+
+
+@query(f"WITH {_INFERRED} SELECT deck_id, slide_index, rule_id, kind, CASE kind WHEN 'text-replace' THEN '' ELSE after END AS replacement FROM fixes")
+def inferred_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fix that each finding implies."""
+    return _with_inferred(spark, sf_dir).select("deck_id", "slide_index", "rule_id", F.col("inferred.kind").alias("kind"), F.col("inferred.replacement").alias("replacement"))
+
+
+@query(f"WITH {_INFERRED} SELECT deck_id, slide_index, rule_id, title AS before, after FROM fixes WHERE kind = 'title-rewrite'")
+def fix_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles before and after their fix."""
+    rows = _with_inferred(spark, sf_dir).where("inferred.kind = 'title-rewrite'").withColumn("fix", F.col("inferred"))
+    return X.preview(rows, "title").select("deck_id", "slide_index", "rule_id", "before", "after")
+
+
+@query(
+    f"""WITH {_TITLES}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY slide_index, CASE rule_id WHEN 'title-punct' THEN 0 ELSE 1 END, rule_id) AS n FROM found)
+    SELECT conv_id AS deck_id, ((n - 1) // 3)::INT AS chunk, count(*) AS findings, min(slide_index) AS first_slide FROM r GROUP BY ALL"""
+)
+def fix_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planner's chunks (of three here, for there are few to a deck), with their sizes and first slides."""
+    rows = X.chunked(_placed(spark, sf_dir), 3).groupBy("deck_id", "chunk")
+    return rows.agg(F.count(F.lit(1)).alias("findings"), F.min("slide_index").alias("first_slide"))

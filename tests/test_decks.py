@@ -1,13 +1,16 @@
 """A deck with one breach of most rules, scanned, fixed and scanned again; a clean deck without findings."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from decklake.functions.constants import CANONICAL_FOOTER
 from decklake.operators.cascade import Decks
-from decklake.operators.review import accepted, analysis, answers, fix_plan, fix_report, finding_key, merged, precision, prompts, recall, reviewed
-from decklake.operators.aggregates import client_names, legend_orders
-from decklake.operators.rules import check
+from decklake.operators.aggregates import client_names, footers, legend_orders
+from decklake.operators.fixes import batch_plan, inferred, plan_prompts, preview
+from decklake.operators.review import accepted, analysis, answers, false_positives, finding_key, fix_plan, fix_report, flattened, merged, missed, precision, prompts, recall, review_report, reviewed, slide_counts, tag_table, totals, truth_table
+from decklake.operators.rules import check, fix
 from decklake.sources.build import deck, shape, table
 from decklake.sources.fixed import write_fixes
 from decklake.sources.pptx import deck_rows, read_decks
@@ -115,6 +118,60 @@ def test_review(decks, found):
     assert both.count() == found.count() + 1
 
 
+def test_batch_plan(decks, found):
+    bare = found.where("deck_id = 'broken.pptx'").withColumn("own", F.col("fix")).withColumn("fix", F.when(F.col("rule_id") == "font-family", F.col("fix")))
+    names, feet = client_names(decks), footers(decks)
+    rows = {(r.slide_index, r.rule_id): r for r in batch_plan(bare, decks, feet, names).collect()}
+    assert rows[1, "font-family"].fix_source == "rule" and {r.fix_source for r in rows.values()} == {"rule", "inferred"}
+    for key in ((1, "title-punct"), (1, "table-side-border"), (1, "table-statsrow-color"), (2, "title-size"), (2, "confidentiality-missing")):
+        assert (rows[key].fix.kind, rows[key].fix.replacement, rows[key].fix.value, rows[key].fix.color) == (rows[key].own.kind, rows[key].own.replacement, rows[key].own.value, rows[key].own.color)
+    assert (1, "confidentiality-overlap") not in rows  # nothing implies its fix
+    asked = plan_prompts(bare, decks, names).collect()
+    assert [(r.chunk, len(json.loads(r.prompt)["findings"]) <= 35) for r in asked] == [(i, True) for i in range(len(asked))]
+
+    def planner(prompt):
+        keys = [f["finding_key"] for f in json.loads(prompt)["findings"] if f["rule_id"] in ("confidentiality-overlap", "title-punct")]
+        return "Here: " + json.dumps({"fixes": [{"finding_key": k, "kind": "text-replace", "find": "a", "replacement": "b"} for k in keys]})
+
+    more = {(r.slide_index, r.rule_id): r for r in batch_plan(bare, decks, feet, names, planner).collect()}
+    assert more[1, "confidentiality-overlap"].fix_source == "planner" and more[1, "title-punct"].fix_source == "inferred"
+    wrong = batch_plan(bare, decks, feet, names, lambda p: planner(p).replace("text-replace", "explode"))
+    assert wrong.count() == len(rows)
+
+
+def test_suggestions_become_fixes(spark, decks):
+    said = [("ai-x", "Acme", 'Change "Acme" and use "Acme Corp"', "3"), ("ai-client", "Globx", "Be consistent", "3"), ("ai-client", "Globex plan", "fine", "3"), ("ai-x", "C.R Bard", 'Write "C.R. Bard"', "3"), ("ai-x", "long", "Shorter", "3"), ("ai-x", None, "Shorter", "3")]
+    rows = spark.createDataFrame([("d", 1, r, e, s, i, None, None) for r, e, s, i in said], "deck_id string, slide_index int, rule_id string, evidence string, suggestion string, shape_id string, row int, col int")
+    none = "deck_id string, slide_index int, title string"
+    got = inferred(rows, spark.createDataFrame([], none), spark.createDataFrame([], "deck_id string, footer string, footer_rect struct<x:double,y:double,cx:double,cy:double>"), spark.createDataFrame([("d", "Globex")], "deck_id string, client_name string"))
+    found = {(r.rule_id, r.evidence): (r.inferred.kind, r.inferred.find, r.inferred.replacement) if r.inferred else None for r in got.collect()}
+    assert found == {
+        ("ai-x", "Acme"): ("text-replace", "Acme", "Acme Corp"), ("ai-client", "Globx"): ("text-replace", "Globx", "Globex"), ("ai-client", "Globex plan"): None,
+        ("ai-x", "C.R Bard"): ("text-replace", "C.R Bard", "C.R. Bard"), ("ai-x", "long"): ("ai-rewrite", None, None), ("ai-x", None): None,
+    }
+
+
+def test_previews(spark):
+    made = [("text-replace", "a.b", "x$1"), ("deck-replace", "A\\E", "-"), ("title-rewrite", None, "New"), ("font-bold-set", None, None)]
+    cols = [fix(k, **({"find": f} if f else {}), **({"replacement": r} if r else {}), ignore_case=True) for k, f, r in made]
+    row = preview(spark.range(1).select(F.lit("A.B a\\e axb").alias("text"), F.explode(F.array(*cols)).alias("fix"))).collect()
+    assert [(r.before, r.after) for r in row] == [("A.B a\\e axb", "x$1 a\\e axb"), ("A.B a\\e axb", "A.B - axb"), ("A.B a\\e axb", "New"), (None, "bold")]
+
+
+def test_truth_and_counts(spark, decks, found):
+    truth, tags = truth_table(spark), tag_table(spark)
+    assert (truth.where("layer = 'deterministic'").count(), truth.where("layer = 'ai'").count(), truth.where("layer = 'hard'").count()) == (19, 10, 7)
+    rows = {r.layer: r.covered for r in recall(found, truth, tags).collect()}
+    assert rows["deterministic"] >= 1 and missed(found, truth, tags).count() == 36 - sum(rows.values())
+    assert false_positives(found, truth, tags).count() > 0
+    counts = {(r.deck_id, r.slide_index): r.total for r in slide_counts(found, decks.slides).collect()}
+    assert counts["clean.pptx", 1] == 0 and counts["broken.pptx", 2] == 4 and counts["broken.pptx", 4] == 0
+    flat = flattened(analysis(found, decks))
+    assert flat.count() == found.count()
+    key = finding_key(found).where("rule_id = 'title-bold'").select("finding_key", F.lit("accepted").alias("decision"))
+    assert totals(found, key).first().accepted == 1 and "title-bold" in review_report(found, key).first().report
+
+
 def test_report_decisions_and_evaluation(spark, decks, found):
     slides = {r.deck_id: r.slides for r in analysis(found, decks).collect()}
     assert slides["clean.pptx"][0].findings == [] and len(slides["broken.pptx"][1].findings) == 4
