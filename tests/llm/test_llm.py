@@ -1,6 +1,7 @@
 """Operators of the llm folder against brute force, and on nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -345,6 +346,61 @@ def test_toxicity_of_held_out_rows(spark):
     assert hit / sum(labels[r.doc_id] for r in rows) > 0.85 and hit / sum(r.predicted for r in rows) > 0.9
 
 
+def slow_toxicity_ratios(rows):
+    """The model's log-ratios, by plain loops: (sorted ratios of words and pairs)."""
+    t = toxicity
+    split = lambda x: [w for w in re.split(r"[^\w]+|_+", x.lower()) if w]
+    texts = {(tuple(split(x)), y) for x, y in rows}
+    uni, pairs = {}, {}
+    for words, y in texts:
+        for w in set(words):
+            uni.setdefault(w, [0, 0])[y] += 1
+    common = {w for w, c in uni.items() if sum(c) >= t.CUTOFF}
+    for words, y in texts:
+        for p in set(zip(words, words[1:])):
+            if p[0] in common and p[1] in common:
+                pairs.setdefault(p, [0, 0])[y] += 1
+    n = [max(1, sum(c[y] for c in uni.values())) for y in (0, 1)]
+    share = n[1] / sum(n)
+
+    def tells(c):
+        part = lambda x, p: x * math.log(x / (sum(c) * p)) if x else 0.0
+        return 2 * (part(c[1], share) + part(c[0], 1 - share)) >= t.GAIN
+
+    before = {w: 1 + sum(p[1] == w for p in pairs) for w in common}
+    taken = {w: [max(0.0, x - t.DISCOUNT) if tells(uni[w]) else 0.0 for x in uni[w]] for w in common}
+    left = [max(1e-6, 1 - sum(taken[w][y] for w in common) / n[y]) for y in (0, 1)]
+    base = {w: before[w] / sum(before.values()) * (sum(sum(uni[w]) for w in common) / sum(n)) for w in common}
+    p1 = {w: [taken[w][y] / n[y] / left[y] + base[w] for y in (0, 1)] for w in common}
+    history = {}
+    for (h, _), c in pairs.items():
+        old = history.setdefault(h, [0, 0])
+        old[0] += c[0]
+        old[1] += c[1]
+    q = {p: [max(0.0, c[y] - t.DISCOUNT) / history[p[0]][y] if history[p[0]][y] else 0.0 for y in (0, 1)] for p, c in pairs.items() if tells(c)}
+    back = {h: [max(1e-3, 1 - sum(v[y] for p, v in q.items() if p[0] == h)) for y in (0, 1)] for h in {p[0] for p in q}}
+    out = [math.log(p1[w][1] / p1[w][0]) + (math.log(back[w][1] / back[w][0]) if w in back else 0.0) for w in common if tells(uni[w]) or w in back]
+    for (h, w), v in q.items():
+        full = [v[y] + back[h][y] * p1[w][y] for y in (0, 1)]
+        out.append(math.log(full[1] / full[0]) - math.log(back[h][1] * p1[w][1] / (back[h][0] * p1[w][0])))
+    return sorted(round(x, 6) for x in out)
+
+
+def test_kneser_ney_is_brute_force(spark):
+    random.seed(13)
+    plain, foul = ["the", "cat", "sat", "on", "mat", "dog", "ran"], ["awful", "vile", "you", "are"]
+    rows = []
+    for i in range(160):
+        words = random.choices(plain, k=12)
+        if i % 4 == 0:
+            at = random.randrange(10)
+            words[at : at + 2] = random.sample(foul, 2) if i % 8 else ["vile", "dog"]
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows + rows[:5], "text string, toxic int")).collect()
+    want = slow_toxicity_ratios(rows)
+    assert sorted(round(r.ratio, 6) for r in model) == pytest.approx(want, abs=2e-6) and len(want) > 8
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 8)] + [(3, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
@@ -399,6 +455,95 @@ def test_url_templates(spark):
     assert got[200] == ("block", "/win/*") and got[201] == ("allow", "/en/*")
 
 
+def slow_urls(urls):
+    """{page: (verdict, template, purity)} by a tree of plain dictionaries."""
+    u = url_filter
+    rows = []
+    for page, url in urls:
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else None
+        host, path = ("", "") if rest is None else (re.split("[/?#]", rest)[0].lower(), re.split("[?#]", rest[len(re.split("[/?#]", rest)[0]) :])[0])
+        fits = [(rule, verdict) for verdict, rule in u.RULES for domain, _, tail in [rule.partition("/")] if (host == domain or host.endswith("." + domain)) and path.startswith("/" + tail)]
+        label = max(fits, key=lambda x: len(x[0]))[1] if fits else None
+        rows.append((page, host, tuple("*" if re.match(u._VARIABLE, x.lower()) else x for x in path.split("/") if x), label))
+    at = {(h, steps): () for _, h, steps, _ in rows}
+    pages = {k: sum((h, s) == k for _, h, s, _ in rows) for k in at}
+    level = 0
+    while True:
+        below = {}
+        for (h, steps), done in at.items():
+            if len(steps) > level:
+                below.setdefault((h, done), []).append((steps, pages[h, steps]))
+        wide = {k: v for k, v in below.items() if len(v) > u.VARIES}
+        if not wide:
+            break
+        fixed = {}
+        for k, v in wide.items():
+            kids = {}
+            for steps, n in v:
+                kids[steps[level]] = kids.get(steps[level], 0) + n
+            heavy = {x for x, n in kids.items() if n - 1 >= u.SHARE * sum(kids.values()) or x == "*"}
+            if len(kids) - len(heavy) > u.VARIES:
+                fixed[k] = heavy
+        for (h, steps), done in list(at.items()):
+            if len(steps) > level:
+                wild = (h, done) in fixed and steps[level] not in fixed[h, done]
+                at[h, steps] = (*done, "*" if wild else steps[level])
+        level += 1
+    template = {k: done + k[1][len(done) :] for k, done in at.items()}
+    labelled = [(h, template[h, s], label == "block") for _, h, s, label in rows if label]
+    prior = (sum(b for *_, b in labelled) + 0.5) / (len(labelled) + 1)
+
+    def tree(own):
+        count = {}
+        for h, t, bad in labelled:
+            for d in range(len(t) + 1):
+                n, b = count.get((h * own, t[:d]), (0, 0))
+                count[h * own, t[:d]] = (n + 1, b + bad)
+        out, pool = dict(count), {}
+        alike = {}
+        for (h, t), (n, b) in count.items():
+            if t:
+                m, c = count[h, t[:-1]]
+                p = (c + 0.5) / (m + 1)
+                alike[h, t] = abs(b / n - p) <= u.ALIKE * (p * (1 - p) / n) ** 0.5
+                if alike[h, t]:
+                    x, y = pool.get((h, t[:-1]), (0, 0))
+                    pool[h, t[:-1]] = (x + n, y + b)
+        for (h, t), yes in alike.items():
+            if yes:
+                out[h, t] = pool[h, t[:-1]]
+        return out
+
+    anywhere, own = tree(0), tree(1)
+    found = {}
+    for page, h, s, label in rows:
+        t, p = template[h, s], prior
+        for counts, host in ((anywhere, ""), (own, h)):
+            for d in range(len(t) + 1):
+                if (host, t[:d]) in counts:
+                    n, b = counts[host, t[:d]]
+                    p = (b + u.WEIGHT * p) / (n + u.WEIGHT)
+        found[page] = (label or ("block" if p > u.REJECT else "allow"), "/" + "/".join(t), round(p, 9))
+    return found
+
+
+def test_url_tree_is_brute_force(spark):
+    random.seed(12)
+    word = lambda: "".join(random.choice("abcdefg") for _ in range(6))
+    hosts = ["spam.net", "example.com", "good.example.net", "other.com", "wiki.org", "shop.io"]
+    urls = [None, "no scheme", "http://other.com", "http://other.com/" + "/".join("deep" for _ in range(300))]
+    for _ in range(500):
+        parts = [random.choice(("en", "de", "fr", "win", word(), "item")) for _ in range(random.randrange(0, 5))]
+        urls.append(f"http://{random.choice(hosts)}/" + "/".join(parts) + random.choice(("", "", "?q=1", "/123")))
+    urls += [f"http://shop.io/item/{word()}/reviews" for _ in range(30)] + ["http://shop.io/item/best/reviews"] * 20
+    given = list(enumerate(urls))
+    frame = spark.createDataFrame([(i, x, 7, "t") for i, x in given], "page_id long, url string, host int, template string")
+    got = {r.page_id: (r.verdict, r.template, round(r.purity, 9)) for r in url_filter.judged(frame).collect()}
+    want = slow_urls(given)
+    assert got == want
+    assert len({t for _, t, _ in want.values() if "*" in t}) > 3 and want[len(urls) - 1][1] == "/item/best/reviews" and want[len(urls) - 30][1] == "/item/*/reviews"
+
+
 # --- BPE
 
 
@@ -450,6 +595,23 @@ def test_fold_and_heap_agree(spark, ranks):
         assert list(r.ids) == bpe.merged_by_heap(r.w.encode(), ranks) == bpe.merged(r.w.encode(), ranks)
 
 
+# --- items of pages
+
+
+def test_page_items(spark):
+    html = "<html><head><title>no<template/><body><p>One <b>two</b><img src='a.png' alt='A'><figure><video src='b.mp4'></video><figcaption>B <i>now</i></figcaption></figure><figure><figcaption>alone</figcaption></figure><template/>last"
+    pages = spark.createDataFrame([(1, "u", html, 5), (2, "v", None, 6), (3, "w", "", 7)], "page_id long, url string, html string, position int")
+    rows = [(r.page_id, r.position, r.kind, r.text, r.reference, r.caption) for r in media.page_items(pages).orderBy("position").collect()]
+    assert rows == [(1, 0, "text", "One two", None, None), (1, 1, "media", None, "a.png", "A"), (1, 2, "media", None, "b.mp4", "B now"), (1, 3, "text", "alone", None, None), (1, 4, "text", "last", None, None)]
+
+
+def test_resolved_leaves_out_clashing_columns(spark):
+    pages = media.with_sequence(spark.createDataFrame([(1, "<img src='media:x'><p>t", 3, "k", "d")], "page_id long, html string, position int, kind string, digest string")).drop("html")
+    known = spark.createDataFrame([("x", 9)], "digest string, media_bytes long")
+    rows = media.resolved(pages, known).orderBy("position").collect()
+    assert [(r.page_id, r.position, r.kind, r.media_bytes) for r in rows] == [(1, 0, "media", 9), (1, 1, "text", None)]
+
+
 # --- WARC
 
 
