@@ -15,20 +15,50 @@ from pyspark.sql import functions as F
 
 from decklake.functions import constants as C
 from decklake.functions import scalars as S
+from decklake.operators import aggregates as A
 from decklake.operators.algebra import collapse, first_rows, primary, suppressed
 from decklake.operators.cascade import SHAPE, SLIDE, Decks
 from decklake.operators.rules import COLUMNS, fix
 
-#: Most findings of an answer, and characters and items of a prompt's parts.
-MOST_FINDINGS, BLOCK_CHARS, BLOCKS = 12, 600, 16
+#: Most findings of an answer; characters of a block, and blocks, lists, tables and cells of a prompt.
+MOST_FINDINGS, BLOCK_CHARS, BLOCKS, LISTS, TABLES, CELLS = 12, 600, 8, 6, 4, 16
 ANSWER = "findings array<struct<category:string,severity:string,confidence:double,detail:string,evidence:string,suggestion:string>>"
 
 
+def payloads(decks: Decks) -> DataFrame:
+    """(deck_id, slide_index, title, text_blocks, bullet_lists, tables) of each slide that has any, in order and bounded.
+
+    Footers and slide numbers are left out; a shape with two bullets or more is a list; a table shows the distinct texts of its
+    first two rows and the first row below that has a text.
+    """
+    texts = decks.shapes.where((F.col("kind") == "text") & ~F.coalesce(F.col("ph_type"), F.lit("")).isin("ftr", "sldNum") & ~S.is_blank(F.col("text")))
+    marked = decks.paragraphs.where(F.col("bullet.type").isin("char", "auto") & ~S.is_blank(F.col("text")))
+    lists = marked.groupBy(*SHAPE).agg(F.array_sort(F.collect_list(F.struct("para_pos", "level", S.trimmed(F.col("text")).alias("text")))).alias("bullets")).where(F.size("bullets") >= 2)
+    rows = texts.join(lists, list(SHAPE), "left")
+    titled = F.col("ph_type").isin("title", "ctrTitle")
+    is_title, plain = F.coalesce(titled, F.lit(False)), F.col("bullets").isNull()
+    block = F.struct("shape_pos", "name", F.substr(S.trimmed(F.col("text")), F.lit(1), F.lit(BLOCK_CHARS)).alias("text"))
+    listed = F.struct("shape_pos", "name", F.transform("bullets", lambda x: F.struct(x["level"].alias("level"), x["text"].alias("text"))).alias("bullets"))
+    gathered = lambda item, when, most: F.slice(F.array_sort(F.collect_list(F.when(when, item))), 1, most)
+    said = rows.groupBy(*SLIDE).agg(
+        F.min_by(S.trimmed(F.col("text")), F.when(is_title & (F.col("shape_pos") == F.col("title_pos")), 0)).alias("title"),
+        gathered(block, ~is_title & plain, BLOCKS).alias("text_blocks"),
+        gathered(listed, ~is_title & ~plain, LISTS).alias("bullet_lists"),
+    )
+    cells = decks.cells.groupBy(*SHAPE).agg(F.array_sort(F.collect_list(F.struct("row", "col", S.trimmed(F.col("text")).alias("text")))).alias("c"))
+    full = F.filter("c", lambda x: x["text"] != "")
+    below = F.filter(full, lambda x: x["row"] >= 2)
+    head = F.slice(F.array_distinct(F.transform(F.filter(full, lambda x: x["row"] < 2), lambda x: x["text"])), 1, CELLS)
+    row = F.slice(F.transform(F.filter(full, lambda x: x["row"] == F.get(below, 0)["row"]), lambda x: x["text"]), 1, CELLS)
+    tables = cells.select(*SHAPE, head.alias("headers"), row.alias("sample_row")).groupBy(*SLIDE).agg(F.slice(F.array_sort(F.collect_list(F.struct("shape_pos", "headers", "sample_row"))), 1, TABLES).alias("tables"))
+    return said.join(tables, list(SLIDE), "full")
+
+
 def prompts(decks: Decks, names: DataFrame) -> DataFrame:
-    """(deck_id, slide_index, prompt): each slide's texts, in order and bounded, with the deck's client name, as JSON."""
-    block = F.struct("shape_pos", F.coalesce("ph_type", "kind").alias("kind"), F.substr("text", F.lit(1), F.lit(BLOCK_CHARS)).alias("text"))
-    slides = decks.shapes.where(~S.is_blank(F.col("text"))).groupBy(*SLIDE).agg(F.slice(F.array_sort(F.collect_list(block)), 1, BLOCKS).alias("blocks"))
-    return slides.join(names.select("deck_id", "client_name"), "deck_id", "left").select(*SLIDE, F.to_json(F.struct("client_name", "slide_index", "blocks")).alias("prompt"))
+    """(deck_id, slide_index, prompt): each slide's payload with what the deck calls its client and its legends, as JSON."""
+    legends = A.legend_orders(decks).groupBy("deck_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))), 1, CELLS).alias("legend_labels"))
+    rows = payloads(decks).join(names.select("deck_id", "client_name", F.map_keys("variants").alias("variants")), "deck_id", "left").join(legends, "deck_id", "left")
+    return rows.select(*SLIDE, F.to_json(F.struct("client_name", "variants", "legend_labels", "slide_index", "title", "text_blocks", "bullet_lists", "tables")).alias("prompt"))
 
 
 def answers(prompts: DataFrame, reviewer: Callable[[str], str] | None, tasks: int = 5) -> DataFrame:

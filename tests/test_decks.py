@@ -9,7 +9,7 @@ from decklake.functions.constants import CANONICAL_FOOTER
 from decklake.operators.cascade import Decks
 from decklake.operators.aggregates import client_names, footers, legend_orders
 from decklake.operators.fixes import batch_plan, inferred, plan_prompts, preview
-from decklake.operators.review import accepted, analysis, answers, false_positives, finding_key, fix_plan, fix_report, flattened, merged, missed, precision, prompts, recall, review_report, reviewed, slide_counts, tag_table, totals, truth_table
+from decklake.operators.review import accepted, analysis, answers, false_positives, finding_key, fix_plan, fix_report, flattened, merged, missed, payloads, precision, prompts, recall, review_report, reviewed, slide_counts, tag_table, totals, truth_table
 from decklake.operators.rules import check, fix
 from decklake.sources.build import deck, shape, table
 from decklake.sources.fixed import write_fixes
@@ -158,6 +158,14 @@ def test_previews(spark):
     assert [(r.before, r.after) for r in row] == [("A.B a\\e axb", "x$1 a\\e axb"), ("A.B a\\e axb", "A.B - axb"), ("A.B a\\e axb", "New"), (None, "bold")]
 
 
+def test_payloads(decks):
+    row = {(r.deck_id, r.slide_index): r for r in payloads(decks).collect()}
+    x = row["broken.pptx", 1]
+    assert x.title == "A headline that ends badly." and [[b.text for b in l.bullets] for l in x.bullet_lists] == [["One.", "Two;"]]
+    assert [b.text for b in x.text_blocks] == ["DRAFT of the 90th percentile", "Small headline"]
+    assert [(t.headers, t.sample_row) for t in x.tables] == [(["Incumbent", "Company Name", "TGT", "Alpha", "1", "2"], ["Median", "3", "4"])]
+
+
 def test_truth_and_counts(spark, decks, found):
     truth, tags = truth_table(spark), tag_table(spark)
     assert (truth.where("layer = 'deterministic'").count(), truth.where("layer = 'ai'").count(), truth.where("layer = 'hard'").count()) == (19, 10, 7)
