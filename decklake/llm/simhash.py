@@ -20,13 +20,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from decklake.llm.common import cut, stored, whole_text
+from decklake.llm.common import cut, hot_join, stored, whole_text
 
-BITS = 64
+#: Bits of a fingerprint, and words of a shingle unless a caller says otherwise.
+BITS, WORDS = 64, 3
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
     """The SimHash of a text as a signed 64-bit integer.
 
     A-Z are lower-cased, words are runs of characters other than space and \\x09-\\x0D, features are the
@@ -49,15 +50,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n).view(">i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([fingerprint(x) for x in batch], dtype="int64")
+def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """``docs`` with a column ``fp``. Null texts count as empty. An existing ``fp`` is replaced."""
 
+    @F.pandas_udf(T.LongType())
+    def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([fingerprint(x, words) for x in batch], dtype="int64")
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``fp``. Null texts count as empty. An existing ``fp`` is replaced."""
-    return docs.withColumn("fp", _fingerprints(whole_text(text)))
+    return docs.withColumn("fp", prints(whole_text(text)))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -107,15 +108,15 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _grouped(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, radius: int, words: int) -> tuple[DataFrame, DataFrame]:
     """((doc_id, text_hash, fp) of each row, (fp, root, first_id) of each fingerprint)."""
-    prints = stored(fingerprints(docs.select("doc_id", "text")).select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), "fp"), "simhash")
+    prints = stored(fingerprints(docs.select("doc_id", "text"), words=words).select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), "fp"), "simhash")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     return prints, cut(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
     """``(doc_id, fp, component_id)`` for each row of ``docs(doc_id, text)``.
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``radius`` differing bits. Empty
@@ -123,21 +124,23 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     without doc_id get the component of their fingerprint, null if no row of it has a doc_id. Other columns
     are ignored; an empty table gives no rows.
     """
-    prints, rooted = _grouped(docs, radius)
+    prints, rooted = _grouped(docs, radius, words)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = stored(rooted.join(ids, "root").select("fp", "component_id"), "simhash-components")
+    return hot_join(prints, named, "fp", F.struct("doc_id", "text_hash")).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (null ids last, ties by a hash
     of the text). Columns pass; rows that repeat an id and text count once."""
-    return first_of_groups(docs, *_grouped(docs, radius))
+    return first_of_groups(docs, *_grouped(docs, radius, words))
 
 
 def first_of_groups(docs: DataFrame, prints: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``drop_near_duplicates`` keeps, by ``prints(doc_id, text_hash, fp)`` and ``rooted(fp, root)``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("first")
-    keep = stored(prints.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(first).select("first.doc_id", "first.text_hash"), "simhash-keep")
+    roots = hot_join(prints, stored(rooted.select("fp", "root"), "simhash-roots"), "fp", F.struct("doc_id", "text_hash"))
+    keep = stored(roots.groupBy("root").agg(first).select("first.doc_id", "first.text_hash"), "simhash-keep")
     id_, hash_ = "keep__id", "keep__hash"
     named = keep.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
     on = lambda other: F.col("doc_id").eqNullSafe(other[id_]) & (F.xxhash64(whole_text()) == other[hash_])
