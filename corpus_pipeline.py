@@ -8,38 +8,43 @@ from pyspark.sql import functions as F
 from decklake.llm.bpe import decode, encode, read_ranks
 from decklake.llm.common import stored, table
 from decklake.llm.decontaminate import decontaminated
-from decklake.llm.near_copies import drop_near_copies
 from decklake.llm.quality import good
 from decklake.llm.secret_scan import redacted, with_secrets
+from decklake.llm.simhash import drop_near_duplicates
 
 #: The vocabulary file of the last stage, by its name among the public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Words of a shingle, and bits in which the fingerprints of linked texts differ at most.
+SHINGLE_WORDS, RADIUS = 5, 2
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null texts are judged as empty; repeated rows stay or go together;
+    without labels of both classes all stay."""
     return good(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: texts are linked if 4/5 of their five-word shingles are shared."""
-    return drop_near_copies(docs)
+    """One document of each near-duplicate group stays, the smallest doc_id: texts are linked if their SimHash fingerprints
+    over five-word shingles differ in two bits or fewer. Null texts are empty; empty texts are copies of each other; rows that repeat an
+    id and a text count once."""
+    return drop_near_duplicates(docs, RADIUS, SHINGLE_WORDS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go. Null texts have none; repeated rows stay or go together."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; n_chars follows the text where one was replaced, else it stays, null included."""
     found = with_secrets(docs, column="secrets__")
     hit = F.size("secrets__") > 0
     return found.withColumns({"text": redacted(F.col("text"), F.col("secrets__")), "n_chars": F.when(hit, F.length(redacted(F.col("text"), F.col("secrets__"))).cast("long")).otherwise(F.col("n_chars"))}).select(docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
+    """Token ids of each text, and whether they decode to it. Null texts are empty and have no ids; repeated rows stay."""
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path(VOCABULARY))
