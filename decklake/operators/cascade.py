@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -41,6 +42,12 @@ class Decks:
         self.held.append(scratch(table.sparkSession, f"decks-{name}"))
         return stored(table, name, self.held[-1])
 
+    def prepare(self, jobs: int = 4) -> None:
+        """Writes all tables, several at once."""
+        self._matched  # noqa: B018
+        with ThreadPoolExecutor(jobs) as pool:
+            list(pool.map(lambda name: getattr(self, name), ("runs", "shapes", "cells", "paragraphs", "slides", "layers")))
+
     def release(self) -> None:
         while self.held:
             removed(self.rows.sparkSession, self.held.pop())
