@@ -1,6 +1,6 @@
 """License scans by diagonal voting, with Spark's own functions only.
 
-Every rolling k-gram of words is hashed and joined to the templates' places, of which there are some thousand.
+Every rolling k-gram of words is hashed; those that some template has are joined to the templates' places.
 Each pair votes for its offset diagonal (document word minus template word); neighbouring diagonals are
 merged and the span is verified by the share of the template's k-grams that it holds.
 """
@@ -84,11 +84,13 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHR
     """
     places = template_places(docs.sparkSession, templates, k)
     words = F.split(F.trim("line"), " ")
-    none = F.array(F.lit(None).cast("bigint"))
+    wanted = sorted({_hash(" ".join(w[i : i + k])) for _, t in templates for w in [template_words(t)] for i in range(len(w) - k + 1)})
+    kind = "array<struct<word:int,gram_hash:bigint>>"
+    itself = F.array(F.struct(F.lit(-1).alias("word"), F.lit(None).cast("bigint").alias("gram_hash")))
 
     def rolling(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i + 1, F.lit(k)))))
-        return F.when(F.size(w) >= k, F.concat(none, grams)).otherwise(none)
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(i.alias("word"), F.xxhash64(F.concat_ws(" ", F.slice(w, i + 1, F.lit(k)))).alias("gram_hash")))
+        return F.concat(itself, F.when(F.size(w) >= k, F.filter(grams, lambda g: g["gram_hash"].isin(wanted))).otherwise(F.array().cast(kind)))
 
     key = ["doc_id", "text_hash", "n_words", "n_base", "first_word", "last_word", "base_set"]
     rows = (
@@ -105,14 +107,12 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHR
             bound(F.col("words"), rolling).alias("hashes"),
         )
     )
-    # a null before the k-grams stands for the document itself; k-grams that no template has fall out of the join
+    # the join's filter by the templates' hashes stands before the rows are made of; word -1 is the document itself
     votes = (
-        rows.select(*key, F.posexplode("hashes").alias("at", "gram_hash"))
+        rows.select(*key, F.inline("hashes"))
         .join(F.broadcast(places), "gram_hash", "left")
-        .where("template is not null or at = 0")
-        .withColumn("word", F.col("at") - 1)
         .groupBy(*key, "template", "label", "grams", (F.col("word") - F.col("place")).alias("diagonal"))
-        .agg(F.collect_set("place").alias("places"), F.min("word").alias("lo"), F.max("word").alias("hi"), F.count_if(F.col("at") == 0).alias("copies"))
+        .agg(F.collect_set("place").alias("places"), F.min("word").alias("lo"), F.max("word").alias("hi"), F.count_if(F.col("word") == -1).alias("copies"))
     )
     along = W.partitionBy(*key, "template").orderBy("diagonal")
     steps = F.when(F.col("diagonal") - F.lag("diagonal").over(along) > MERGE, 1).otherwise(0)
