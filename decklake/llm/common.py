@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +40,17 @@ def hot_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], spread
     """``left`` left-joined to ``right`` (one row a key; both stored tables) where few keys may hold most rows of ``left``.
 
     A small ``right`` is broadcast. Else keys with over ``hot`` rows are dealt over ``parts`` by a hash of ``spread``; only their
-    rows of ``right`` are copied. Null keys meet nothing.
+    rows of ``right`` are copied. Null keys meet nothing; their rows are dealt likewise.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if is_small(right):
         return left.join(F.broadcast(right), keys, "left")
     salt = "hot__salt"
-    many = stored(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot__n")).where(F.col("hot__n") > hot).select(*keys, F.lit(True).alias("hot__key")), "hot-keys")
-    part = F.when(F.col("hot__key"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0)
+    bare = reduce(or_, (F.col(k).isNull() for k in keys))
+    many = stored(left.where(~bare).groupBy(*keys).agg(F.count(F.lit(1)).alias("hot__n")).where(F.col("hot__n") > hot).select(*keys, F.lit(True).alias("hot__key")), "hot-keys")
+    dealt = F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")
     copies = F.when(F.col("hot__key"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    a = left.join(small_side(many), keys, "left").withColumn(salt, part).drop("hot__key")
+    a = left.join(small_side(many), keys, "left").withColumn(salt, F.when(F.col("hot__key") | bare, dealt).otherwise(0)).drop("hot__key")
     b = right.join(small_side(many), keys, "left").withColumn(salt, F.explode(copies)).drop("hot__key")
     return a.join(b, [*keys, salt], "left").drop(salt)
 
