@@ -96,13 +96,19 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(output).alias("output_sha256"), digest(restored(output, form)).alias("restored_sha256"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from decklake.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from decklake.llm.filter_audit import audited
 
     return audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_toxicity, op5_urls, op6_quality, op7_bpe, op8_warc, op9_media, op10_simhash, op11_fill_middle, op13_filter_audit, media_page_items)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_secrets, op3_licenses, op4_toxicity, op5_urls, op6_quality, op7_bpe, op8_warc, op9_media, op10_simhash, op11_fill_middle, op12_minhash, op13_filter_audit, media_page_items)}
 #: The other queries fit models, hash with XXH64, or write formats that SQL lacks; tests/llm compares them with brute force.
 ORACLE: dict[str, str] = {
     "op8_warc": """WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS s FROM pages),
