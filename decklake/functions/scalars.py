@@ -131,6 +131,22 @@ def overlap_area(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), across) * F.greatest(F.lit(0.0), down)
 
 
+def cell_rect(rect: Column, widths: Column, heights: Column, row: Column, col: Column, row_span: Column | None = None, grid_span: Column | None = None) -> Column:
+    """The rectangle of a table's cell: sums of the columns before it and of the rows above. Spans widen it by the columns and rows
+    that there are; unknown sizes count as zero. Null without the table's rectangle, or where the cell is outside its table.
+    """
+
+    def along(sizes: Column, at: Column, span: Column | None) -> tuple[Column, Column]:
+        known = F.transform(sizes, lambda n: F.coalesce(n.cast("double"), F.lit(0.0)))
+        total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, n: a + n)
+        many = F.lit(1) if span is None else F.greatest(F.coalesce(span, F.lit(1)), F.lit(1))
+        return total(F.slice(known, F.lit(1), at)), total(F.slice(known, at + 1, many))
+
+    inside = rect.isNotNull() & (row >= 0) & (col >= 0) & (row < F.size(heights)) & (col < F.size(widths))
+    (x, cx), (y, cy) = along(widths, F.greatest(col, F.lit(0)), grid_span), along(heights, F.greatest(row, F.lit(0)), row_span)
+    return F.when(inside, F.struct((rect["x"] + x).alias("x"), (rect["y"] + y).alias("y"), cx.alias("cx"), cy.alias("cy")))
+
+
 def centre_x(r: Column) -> Column:
     return r["x"] + r["cx"] / 2
 

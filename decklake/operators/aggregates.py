@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from decklake.functions.constants import CANONICAL_FOOTER, EMU_PER_INCH, STOP_WORDS
 from decklake.functions.scalars import is_blank, trimmed
 from decklake.operators.algebra import first_rows, mode_of
-from decklake.operators.cascade import SHAPE, Decks
+from decklake.operators.cascade import SHAPE, SLIDE, Decks
+from decklake.operators.spatial import region, touching
 
+#: Below every shape.
+_DEEP = 1e15
 _NAME = r"[A-Z][a-zA-Z]{2,}"
 
 
@@ -63,5 +66,8 @@ def legend_orders(decks: Decks) -> DataFrame:
     anchors = texts.where(F.regexp_replace(F.lower("line"), ":$", "").isin("key", "legend")).select(*SHAPE, F.col("rect").alias("anchor"))
     near = texts.where((F.col("kind") == "text") & ~is_blank(F.col("line")) & (F.length("line") < 40)).select("deck_id", "slide_index", F.col("shape_pos").alias("other"), "rect", "line")
     band = (F.abs(F.col("rect.x") - F.col("anchor.x")) < 2 * EMU_PER_INCH) & (F.col("rect.y") >= F.col("anchor.y") - EMU_PER_INCH) & (F.col("other") != F.col("shape_pos"))
-    hits = first_rows(anchors.join(near, ["deck_id", "slide_index"]).where(band), SHAPE, [F.col("rect.y"), "other"], 12)
+    place = F.col("anchor")
+    below = region(place["x"] - 2 * EMU_PER_INCH, place["y"] - EMU_PER_INCH, F.lit(4.0 * EMU_PER_INCH), F.lit(_DEEP))
+    corner = F.struct(F.col("rect.x").alias("x"), F.col("rect.y").alias("y"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
+    hits = first_rows(touching(anchors, near, SLIDE, below, corner).where(band), SHAPE, [F.col("rect.y"), "other"], 12)
     return hits.groupBy(*SHAPE).agg(F.array_sort(F.collect_list(F.struct(F.col("rect.y").alias("y"), "other", "line"))).alias("l")).select(*SHAPE, F.col("l.line").alias("labels"))

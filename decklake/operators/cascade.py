@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decklake.functions.scalars import is_blank, style_family, theme_font
+from decklake.functions.scalars import cell_rect, is_blank, style_family, theme_font
 from decklake.operators.algebra import prioritised_in
 from decklake.sources.scratch import removed, scratch, stored
 
@@ -93,15 +93,18 @@ class Decks:
             out = out.withColumn(scope, F.when(F.col("kind") == "text", F.transform(F.array(best), lambda x: F.struct(x["rect"].alias("rect"), x["body"].alias("body"), x["levels"].alias("levels")))[0]))
         return self.hold(out.drop("layout_places", "master_places"), "matched")
 
+    @property
+    def _place(self) -> Column:
+        return F.coalesce("rect", F.col("layout.rect"), F.col("master.rect"))
+
     @cached_property
     def shapes(self) -> DataFrame:
         """One row a shape: inherited rect and body, its paragraphs' text, and its table as text."""
         lines = F.array_join(F.transform("paragraphs", lambda p: F.array_join(p["runs"]["text"], "")), "\n")
         rows = F.transform(F.sequence(F.lit(0), F.size("row_heights") - 1), lambda r: F.array_join(F.transform(F.filter("cells", lambda c: c["row"] == r), lambda c: c["text"]), "\t"))
         text = F.when(F.col("kind") == "table", F.when(F.size("row_heights") > 0, F.array_join(rows, "\n")).otherwise("")).otherwise(lines)
-        place = F.coalesce("rect", F.col("layout.rect"), F.col("master.rect"))
         body = F.struct(*[F.coalesce(F.col("body")[f], F.col("layout.body")[f], F.col("master.body")[f]).alias(f) for f in ("anchor", "left", "right", "top", "bottom", "wrap")])
-        return self.hold(self._matched.select(*SHAPE, "layout_name", "slide_kind", "title_pos", "shape_id", "name", "kind", "ph_type", "ph_idx", place.alias("rect"), body.alias("body"), "fill", "image_path", text.alias("text"), "col_widths", "row_heights"), "shapes")
+        return self.hold(self._matched.select(*SHAPE, "layout_name", "slide_kind", "title_pos", "shape_id", "name", "kind", "ph_type", "ph_idx", self._place.alias("rect"), body.alias("body"), "fill", "image_path", text.alias("text"), "col_widths", "row_heights"), "shapes")
 
     def _resolved(self, rows: DataFrame, level: Column, own: list[str], part: str, deep: bool = True) -> dict[str, Column]:
         """Each property's first known value: own, the shape's list, layout, master, the master's text style, default."""
@@ -126,18 +129,20 @@ class Decks:
     @cached_property
     def runs(self) -> DataFrame:
         """One row a run of a text shape, with resolved style and theme fonts by name."""
-        keep = ["slide_kind", "title_pos", "ph_type", "shape_id", "theme", "levels", "layout", "master", "text_levels", "default_levels"]
-        rows = self._matched.where("kind = 'text'").select(*SHAPE, *keep, F.explode("paragraphs").alias("p"))
+        keep = ["slide_kind", "title_pos", "ph_type", "shape_id", "theme", "levels", "layout", "master", "text_levels", "default_levels", "rect"]
+        rows = self._matched.where("kind = 'text'").withColumn("rect", self._place).select(*SHAPE, *keep, F.explode("paragraphs").alias("p"))
         rows = rows.select(*SHAPE, *keep, F.col("p.para_pos").alias("para_pos"), F.col("p.level").alias("level"), F.inline("p.runs"))
         out = rows.withColumns(self._resolved(rows, F.col("level"), list(STYLE), "run"))
         font = theme_font(F.col("font"), F.col("theme.major"), F.col("theme.minor"))
-        return self.hold(out.select(*SHAPE, "slide_kind", "title_pos", "ph_type", "shape_id", "para_pos", "run_pos", "text", *[font.alias("font") if c == "font" else F.col(c) for c in STYLE]), "runs")
+        return self.hold(out.select(*SHAPE, "slide_kind", "title_pos", "ph_type", "shape_id", "rect", "para_pos", "run_pos", "text", *[font.alias("font") if c == "font" else F.col(c) for c in STYLE]), "runs")
 
     @cached_property
     def cells(self) -> DataFrame:
-        """One row a table cell, with the resolved style of its runs."""
-        keep = ["shape_id", "ph_type", "theme", "col_widths", "row_heights", "text_levels", "default_levels"]
+        """One row a table cell, with its rectangle (the table's if it stands outside of that) and the resolved style of its runs."""
+        keep = ["shape_id", "ph_type", "theme", "col_widths", "row_heights", "text_levels", "default_levels", self._place.alias("table_rect")]
         rows = self._matched.where("kind = 'table'").select(*SHAPE, *keep, F.inline("cells"))
+        rect = cell_rect(F.col("table_rect"), F.col("col_widths"), F.col("row_heights"), F.col("row"), F.col("col"), F.col("row_span"), F.col("grid_span"))
+        rows = rows.withColumn("rect", F.coalesce(rect, "table_rect"))
 
         def style(r: Column) -> Column:
             known = {f: F.coalesce(r[f], _of_level(F.col("text_levels")["other"], F.lit(0), "run")[f], _of_level(F.col("default_levels"), F.lit(0), "run")[f]) for f in STYLE}

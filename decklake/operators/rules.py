@@ -20,6 +20,7 @@ from decklake.functions import scalars as S
 from decklake.operators import aggregates as A
 from decklake.operators.algebra import first_rows, mode_of, outliers
 from decklake.operators.cascade import SHAPE, SLIDE, Decks
+from decklake.operators.spatial import band_above, bottom_edge, touching
 
 FIX = "kind string, find string, replacement string, value double, color string, regex boolean, ignore_case boolean, deck_wide boolean, rect struct<x:double,y:double,cx:double,cy:double>"
 _FIX = "struct<" + FIX.replace(" struct", ":struct").replace(" string", ":string").replace(" double", ":double").replace(" boolean", ":boolean").replace(", ", ",") + ">"
@@ -121,7 +122,7 @@ def findings(rows: DataFrame, rule: str, detail: Column, *, evidence: Column | N
 
 def font_family(x: Context) -> DataFrame:
     bad = x.visible.where(~S.is_family(F.col("font")))
-    found = bad.groupBy(*SHAPE, "shape_id").agg(F.array_sort(F.collect_list(F.struct("para_pos", "run_pos", "font", "text"))).alias("r"))
+    found = bad.groupBy(*SHAPE, "shape_id", "rect").agg(F.array_sort(F.collect_list(F.struct("para_pos", "run_pos", "font", "text"))).alias("r"))
     fonts = F.array_join(F.array_distinct(F.col("r.font")), ", ")
     return findings(found, "font-family", F.concat(F.lit("Fonts other than Calibri: "), fonts), evidence=F.get("r", 0)["text"], fixed=fix("font-family-set", replacement="Calibri"))
 
@@ -134,7 +135,7 @@ def title_size(x: Context) -> DataFrame:
 
 def title_bold(x: Context) -> DataFrame:
     runs = x.visible.where("shape_pos = title_pos and slide_kind <> 'title'")
-    bare = runs.groupBy(*SHAPE, "shape_id").agg(F.coalesce(F.bool_or("bold"), F.lit(False)).alias("bold"), F.min_by("text", F.struct("para_pos", "run_pos")).alias("text"))
+    bare = runs.groupBy(*SHAPE, "shape_id", "rect").agg(F.coalesce(F.bool_or("bold"), F.lit(False)).alias("bold"), F.min_by("text", F.struct("para_pos", "run_pos")).alias("text"))
     return findings(bare.where("not bold"), "title-bold", F.lit("The title is not bold"), evidence=F.col("text"), fixed=fix("font-bold-set"))
 
 
@@ -173,7 +174,7 @@ def title_authors(x: Context) -> DataFrame:
 
 
 def confidentiality_missing(x: Context) -> DataFrame:
-    bare = x.decks.slides.select(*SLIDE).join(x.footer_shapes.select(*SLIDE), list(SLIDE), "left_anti").join(x.footers, "deck_id")
+    bare = x.decks.slides.select(*SLIDE).join(x.footer_shapes.select(*SLIDE), list(SLIDE), "left_anti").join(x.footers, "deck_id").withColumn("rect", F.col("footer_rect"))
     fixed = F.when(F.col("footer_rect").isNotNull(), fix("ensure-footer", replacement=F.col("footer"), rect=F.col("footer_rect")))
     return findings(bare, "confidentiality-missing", F.lit("The slide has no confidentiality footer"), suggestion=F.col("footer"), fixed=fixed)
 
@@ -200,11 +201,15 @@ def covers(a: Column, b: Column) -> Column:
 
 
 def confidentiality_overlap(x: Context) -> DataFrame:
-    """The first shape of a slide that covers much of its footer."""
-    footer = x.first_footers.where("rect is not null").select(*SLIDE, F.col("shape_pos").alias("footer_pos"), F.col("rect").alias("footer_place"))
+    """The first shape of a slide that covers much of its footer; the finding is at the footer."""
+    footer = x.first_footers.where("rect is not null").select(*SLIDE, F.col("shape_pos").alias("footer_pos"), F.col("shape_id").alias("footer_id"), F.col("rect").alias("footer_place"))
     other = x.decks.shapes.where("rect is not null").where(~F.coalesce(F.col("ph_type"), F.lit("")).isin("sldNum", "dt")).where(~((F.col("kind") == "text") & S.is_blank(F.col("text")) & F.col("fill").isNull()))
-    hits = other.join(footer, list(SLIDE)).where((F.col("shape_pos") != F.col("footer_pos")) & covers(F.col("rect"), F.col("footer_place")))
-    return findings(first_rows(hits, SLIDE, ["shape_pos"]), "confidentiality-overlap", F.lit("A shape covers the footer"), evidence=F.col("name"))
+    near = touching(other, footer, SLIDE, F.col("rect"), F.col("footer_place"))
+    hits = near.where((F.col("shape_pos") != F.col("footer_pos")) & covers(F.col("rect"), F.col("footer_place")))
+    first = first_rows(hits, SLIDE, ["shape_pos"])
+    said = F.concat(F.lit("Covered by "), F.col("name"))
+    place = {"shape_pos": F.col("footer_pos"), "shape_id": F.col("footer_id"), "rect": F.col("footer_place")}
+    return findings(first.withColumn("said", said).withColumns(place), "confidentiality-overlap", F.col("said"), evidence=F.substr("text", F.lit(1), F.lit(60)))
 
 
 def _term(x: Context, rule: str) -> DataFrame:
@@ -212,24 +217,24 @@ def _term(x: Context, rule: str) -> DataFrame:
     fixed = fix("deck-replace" if deck_wide else "text-replace", find=find, replacement=replacement, ignore_case=ignore_case, deck_wide=deck_wide)
     cells = x.decks.cells.join(x.header_rows, [*SHAPE, "row"], "left_semi") if where == "header" else x.decks.cells
     text = S.trimmed(F.col("text")) if where == "header" else F.col("text")
-    rows = cells.where(text.rlike(pattern)).select(*SHAPE, "shape_id", "row", "col", "text")
+    rows = cells.where(text.rlike(pattern)).select(*SHAPE, "shape_id", "row", "col", "text", "rect")
     if where == "prose":
         prose = first_rows(x.visible.where(F.col("text").rlike(pattern)), SHAPE, ["para_pos", "run_pos"])
-        rows = rows.unionByName(prose.select(*SHAPE, "shape_id", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), "text"))
+        rows = rows.unionByName(prose.select(*SHAPE, "shape_id", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), "text", "rect"))
     return findings(rows, rule, F.lit(f"Use {replacement} instead of {find}"), evidence=F.col("text"), suggestion=F.lit(replacement), fixed=fixed)
 
 
 def table_font_consistency(x: Context) -> DataFrame:
     """Sizes other than a table's prevailing one, at their first cell."""
     first = F.get(F.filter("runs", lambda r: ~S.is_blank(r["text"])), 0)["size_pt"]
-    rows = x.table_cells.where("not merged").select(*SHAPE, "shape_id", F.struct("row", "col", "text").alias("place"), first.alias("size")).where("size is not null")
+    rows = x.table_cells.where("not merged").select(*SHAPE, "shape_id", F.struct("row", "col", "text", "rect").alias("place"), first.alias("size")).where("size is not null")
     bad = outliers(rows, [*SHAPE, "shape_id"], "size", "place", C.MODE_CELLS, C.MODE_SHARE, C.SIZE_TOLERANCE_PT).select(*SHAPE, "shape_id", "place.*", "usual", "size")
     return findings(bad, "table-font-consistency", F.concat_ws(" ", F.lit("Points here and in most cells:"), F.col("size").cast("string"), F.col("usual").cast("string")), evidence=F.col("text"), fixed=fix("font-size-set", value=F.col("usual")))
 
 
 def table_side_border(x: Context) -> DataFrame:
-    rows = x.table_cells.where("not merged").groupBy(*SHAPE, "shape_id", "row").agg(F.min_by("left", "col").alias("left"), F.max_by("right", "col").alias("right"))
-    bad = rows.where(F.coalesce("left", F.lit(False)) | F.coalesce("right", F.lit(False))).groupBy(*SHAPE, "shape_id").agg(F.min("row").alias("row"))
+    rows = x.table_cells.where("not merged").groupBy(*SHAPE, "shape_id", F.col("table_rect").alias("rect"), "row").agg(F.min_by("left", "col").alias("left"), F.max_by("right", "col").alias("right"))
+    bad = rows.where(F.coalesce("left", F.lit(False)) | F.coalesce("right", F.lit(False))).groupBy(*SHAPE, "shape_id", "rect").agg(F.min("row").alias("row"))
     return findings(bad, "table-side-border", F.lit("The table has a border at its side"), fixed=fix("border-remove"))
 
 
@@ -237,7 +242,7 @@ def table_statsrow_color(x: Context) -> DataFrame:
     """Rows labelled as statistics without their fill, in tables that use it."""
     fills = x.row_fills
     uses = fills.where(F.col("row_fill") == C.STATS_FILL).select(*SHAPE).distinct()
-    label = x.table_cells.where(~S.is_blank(F.col("text"))).groupBy(*SHAPE, "shape_id", "row").agg(F.min(F.struct("col", S.trimmed(F.col("text")).alias("label"))).alias("l")).select(*SHAPE, "shape_id", "row", "l.*")
+    label = x.table_cells.where(~S.is_blank(F.col("text"))).groupBy(*SHAPE, "shape_id", "row").agg(F.min(F.struct("col", S.trimmed(F.col("text")).alias("label"), "rect")).alias("l")).select(*SHAPE, "shape_id", "row", "l.*")
     rows = label.where(F.col("label").rlike(C.STATS_LABEL)).join(uses, list(SHAPE), "left_semi").join(fills, [*SHAPE, "row"], "left")
     bad = rows.where(~F.coalesce(F.col("row_fill") == C.STATS_FILL, F.lit(False)))
     return findings(bad, "table-statsrow-color", F.lit("A row of statistics lacks its fill"), evidence=F.col("label"), fixed=fix("row-fill-set", color=C.STATS_FILL))
@@ -249,10 +254,20 @@ def table_merged_body(x: Context) -> DataFrame:
     return findings(first_rows(bad, SHAPE, ["row", "col"]), "table-merged-body", F.lit("Cells of the table's body are merged"), evidence=F.col("text"))
 
 
+#: Inches by which a title may end above what it belongs to, and below its top.
+_OVER, _UNDER = 0.6, 0.1
+
+
 def close_above(a: Column, b: Column) -> Column:
     """Whether rectangle ``a`` ends a little above ``b``, shares some of its width, and has over 0.4 of it."""
     gap = b["y"] - (a["y"] + a["cy"])
-    return (gap >= -0.1 * C.EMU_PER_INCH) & (gap < 0.6 * C.EMU_PER_INCH) & (a["x"] < b["x"] + b["cx"]) & (b["x"] < a["x"] + a["cx"]) & (a["cx"] > 0.4 * b["cx"])
+    return (gap >= -_UNDER * C.EMU_PER_INCH) & (gap < _OVER * C.EMU_PER_INCH) & (a["x"] < b["x"] + b["cx"]) & (b["x"] < a["x"] + a["cx"]) & (a["cx"] > 0.4 * b["cx"])
+
+
+def pairs_above(upper: DataFrame, lower: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
+    """Rows of both whose rectangles are ``close_above`` each other: bottom edges ``a`` in the bands above ``b``."""
+    near = touching(upper, lower, keys, bottom_edge(F.col(a)), F.when(F.col(b).isNotNull(), band_above(F.col(b), _OVER, _UNDER)))
+    return near.where(close_above(F.col(a), F.col(b)))
 
 
 def table_title_centered(x: Context) -> DataFrame:
@@ -261,7 +276,7 @@ def table_title_centered(x: Context) -> DataFrame:
     bold = x.visible.groupBy(*SHAPE).agg(F.bool_or("bold").alias("bold")).where("bold")
     texts = x.decks.shapes.where("kind = 'text' and rect is not null and (title_pos is null or shape_pos <> title_pos)").join(bold, list(SHAPE), "left_semi").withColumn("line", S.trimmed(F.col("text")))
     texts = texts.where((F.length("line") >= 6) & ~F.col("line").endswith(":"))
-    best = first_rows(texts.join(tables, list(SLIDE)).where(close_above(F.col("rect"), F.col("t"))), [*SLIDE, "table_pos"], [F.col("rect.y").desc(), "shape_pos"])
+    best = first_rows(pairs_above(texts, tables, SLIDE, "rect", "t"), [*SLIDE, "table_pos"], [F.col("rect.y").desc(), "shape_pos"])
     bad = best.where(F.abs(S.centre_x(F.col("rect")) - S.centre_x(F.col("t"))) > C.CENTRE_IN * C.EMU_PER_INCH)
     return findings(bad, "table-title-centered", F.lit("The table's title is not centred over it"), evidence=F.col("line"))
 
@@ -276,10 +291,10 @@ def off_palette_color(x: Context) -> DataFrame:
     """The first distinct colours of a slide off the palette: fills, visible text, cells."""
     none = F.lit(None).cast("int")
     place = lambda part, a, b: F.struct("shape_pos", F.lit(part).alias("part"), a.cast("int").alias("a"), b.cast("int").alias("b")).alias("place")
-    fills = x.decks.shapes.where("fill is not null").select(*SHAPE, "shape_id", none.alias("row"), none.alias("col"), F.col("fill").alias("colour"), place(0, F.lit(0), F.lit(0)))
-    texts = x.visible.where("color is not null").select(*SHAPE, "shape_id", none.alias("row"), none.alias("col"), F.col("color").alias("colour"), place(1, F.col("para_pos"), F.col("run_pos")))
+    fills = x.decks.shapes.where("fill is not null").select(*SHAPE, "shape_id", "rect", none.alias("row"), none.alias("col"), F.col("fill").alias("colour"), place(0, F.lit(0), F.lit(0)))
+    texts = x.visible.where("color is not null").select(*SHAPE, "shape_id", "rect", none.alias("row"), none.alias("col"), F.col("color").alias("colour"), place(1, F.col("para_pos"), F.col("run_pos")))
     colours = F.array_compact(F.concat(F.array("fill"), F.transform(F.filter("runs", lambda r: ~S.is_blank(r["text"])), lambda r: r["color"])))
-    cells = x.decks.cells.select(*SHAPE, "shape_id", "row", "col", F.explode(colours).alias("colour"), place(2, F.col("row"), F.col("col")))
+    cells = x.decks.cells.select(*SHAPE, "shape_id", "rect", "row", "col", F.explode(colours).alias("colour"), place(2, F.col("row"), F.col("col")))
     rows = fills.unionByName(texts).unionByName(cells).withColumn("colour", S.hex_colour(F.col("colour"))).where("colour is not null")
     some = off_palette(rows, SLIDE, ["row", "col"], x.settings.palette)
     return findings(some, "off-palette-color", F.concat(F.lit("Colour off the palette: "), F.col("colour")), evidence=F.col("colour"), suggestion=F.col("near.colour"), fixed=fix("color-set", find=F.col("colour"), color=F.col("near.colour")))

@@ -18,6 +18,7 @@ from decklake.operators import fixes as X
 from decklake.operators import review as V
 from decklake.operators import rules as R
 from decklake.operators.algebra import coalesced, collapse, mode_of, outliers, primary, prioritised, ranked, summary, suppressed
+from decklake.operators.spatial import touching
 
 #: White space as a pattern of both engines.
 SPACE = f"[{S.WHITE}]+"
@@ -224,6 +225,27 @@ def cell_rect_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("l_orderkey", "place", F.col("q").alias("width"), F.coalesce(F.sum("q").over(before), F.lit(0)).alias("x"))
 
 
+_TABLES = """t AS (SELECT c_custkey AS k, [c_custkey % 50 + 1, c_custkey % 31, c_custkey % 17 + 5, NULL] AS w, [c_custkey % 13 + 2, c_custkey % 7, c_custkey % 29 + 1] AS h FROM customer),
+p AS (SELECT k, w, h, r::INT AS r, c::INT AS c, 1 + (k + r) % 3 AS rs, 1 + (k + c) % 3 AS gs FROM t, range(0, 4) a(r), range(0, 5) b(c))"""
+
+
+@query(
+    f"""WITH {_TABLES} SELECT k AS c_custkey, r AS "row", c AS col, CASE WHEN r < 3 AND c < 4 THEN k % 9 + coalesce(list_sum(w[1:c]), 0) END::BIGINT AS x, CASE WHEN r < 3 AND c < 4 THEN k % 5 + coalesce(list_sum(h[1:r]), 0) END::BIGINT AS y,
+    CASE WHEN r < 3 AND c < 4 THEN coalesce(list_sum(w[c + 1:c + gs]), 0) END::BIGINT AS cx, CASE WHEN r < 3 AND c < 4 THEN coalesce(list_sum(h[r + 1:r + rs]), 0) END::BIGINT AS cy FROM p"""
+)
+def cell_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of cells that span rows and columns, in a table for each customer; null outside of the table."""
+    k = F.col("c_custkey")
+    places = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.struct(r.alias("row"), c.alias("col"))))))
+    widths, heights = F.array(k % 50 + 1, k % 31, k % 17 + 5, F.lit(None).cast("long")), F.array(k % 13 + 2, k % 7, k % 29 + 1)
+    table = F.struct((k % 9).cast("double").alias("x"), (k % 5).cast("double").alias("y"))
+    cells = _read(spark, sf_dir, "customer").select("c_custkey", widths.alias("w"), heights.alias("h"), table.alias("t"), places.alias("p"))
+    row, col = F.col("p.row"), F.col("p.col")
+    spans = ((1 + (k + n) % 3).cast("int") for n in (row, col))
+    rect = S.cell_rect(F.col("t"), F.col("w"), F.col("h"), row, col, *spans)
+    return cells.select("c_custkey", "p.row", "p.col", rect.alias("rect")).select("c_custkey", "row", "col", *[F.col(f"rect.{n}").cast("long").alias(n) for n in ("x", "y", "cx", "cy")])
+
+
 def _colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     colour = F.concat(*[F.lpad(F.hex((k * m) % 256), 2, "0") for m in (37, 101, 53)])
@@ -273,7 +295,7 @@ def rect_overlap_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first other rectangle that covers over 45 % of a slide's footer."""
     rects = _rects(spark, sf_dir)
     footer = rects.where("pos = 1").select("l_orderkey", F.col("rect").alias("footer"))
-    hits = rects.where("pos > 1").join(footer, "l_orderkey").where(R.covers(F.col("rect"), F.col("footer")))
+    hits = touching(rects.where("pos > 1"), footer, ["l_orderkey"], F.col("rect"), F.col("footer")).where(R.covers(F.col("rect"), F.col("footer")))
     area = F.round(S.overlap_area(F.col("rect"), F.col("footer")) / 91_440**2).cast("long")
     best = hits.groupBy("l_orderkey").agg(F.min(F.struct("pos", area.alias("area"))).alias("b"))
     return best.select("l_orderkey", F.col("b.pos").cast("long").alias("pos"), "b.area")
@@ -285,9 +307,9 @@ def rect_overlap_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nearest_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each rectangle the nearest one close above it, the first of equals."""
-    a = _rects(spark, sf_dir)
-    b = a.select("l_orderkey", F.col("pos").alias("b_pos"), F.col("rect").alias("b"))
-    near = a.join(b, "l_orderkey").where((F.col("b_pos") != F.col("pos")) & R.close_above(F.col("b"), F.col("rect")))
+    rects = _rects(spark, sf_dir)
+    upper = rects.select("l_orderkey", F.col("pos").alias("b_pos"), F.col("rect").alias("b"))
+    near = R.pairs_above(upper, rects, ["l_orderkey"], "b", "rect").where("b_pos <> pos")
     best = near.groupBy("l_orderkey", "pos").agg(F.min(F.struct((-F.col("b.y")).alias("m"), "b_pos")).alias("best"))
     return best.select("l_orderkey", F.col("pos").cast("long").alias("pos"), F.col("best.b_pos").cast("long").alias("above"), F.round(-F.col("best.m") / 91_440).cast("long").alias("above_y"))
 

@@ -227,8 +227,9 @@ def shapes(tree: ET.Element | None, media: dict[str, str]) -> list[dict]:
                     if table is None:
                         add(x, "chart", rect=place)
                     else:
-                        widths = [int(number(g, "w") or 0) for g in kids(child(table, "tblGrid"), "gridCol")]
-                        add(x, "table", rect=place, col_widths=widths, row_heights=[int(number(r, "h") or 0) for r in kids(table, "tr")], cells=cells(table))
+                        sizes = lambda nodes, name, scale: [round((number(n, name) or 0) * scale) for n in nodes]
+                        widths, heights = sizes(kids(child(table, "tblGrid"), "gridCol"), "w", frame[0]), sizes(kids(table, "tr"), "h", frame[1])
+                        add(x, "table", rect=place, col_widths=widths, row_heights=heights, cells=cells(table))
                 case "grpSp":
                     walk(x, inner_frame(x, frame))
 
