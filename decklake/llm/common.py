@@ -36,14 +36,14 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BY
     return (df.agg(F.sum(F.length(F.to_json(F.struct("*")))).alias("b")).first().b or 0) <= size
 
 
-def hot_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], spread: Column, hot: int = 1_000, parts: int = 64) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], spread: Column, hot: int = 1_000, parts: int = 64, small: bool | None = None) -> DataFrame:
     """``left`` left-joined to ``right`` (one row a key; both stored tables) where few keys may hold most rows of ``left``.
 
-    A small ``right`` is broadcast. Else keys with over ``hot`` rows are dealt over ``parts`` by a hash of ``spread``; only their
+    A small ``right`` is broadcast (``small`` says so where that is known already). Else keys with over ``hot`` rows are dealt over ``parts`` by a hash of ``spread``; only their
     rows of ``right`` are copied. Null keys meet nothing; their rows are dealt likewise.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if is_small(right):
+    if is_small(right) if small is None else small:
         return left.join(F.broadcast(right), keys, "left")
     salt = "hot__salt"
     bare = reduce(or_, (F.col(k).isNull() for k in keys))

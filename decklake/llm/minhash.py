@@ -11,7 +11,8 @@ a node whose sets are all linked already has nothing more to say, as only reacha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -20,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decklake.llm.common import hot_join, small_batches, small_side, stored, whole_text
+from decklake.llm.common import BROADCAST_ROWS, hot_join, small_batches, small_side, stored, whole_text
 from decklake.llm.simhash import components
 
 #: Words of a shingle, hundredths of shared shingles from which sets are linked, tokens of a sketch, share of pairs at just that
 #: similarity that trees must bring together at depth ``DEPTH``, sets beside a node's largest linked group up to which it is
-#: compared exhaustively, sets of that group in one task's share of it, and levels after which all nodes are compared.
-WORDS, SIMILAR, TOKENS, RECALL, DEPTH, PILE, SHARE, LEVELS = 5, 85, 128, 0.999, 4, 24, 512, 16
+#: compared exhaustively, sets of that group in one task's share of it, and steps of two levels
+#: after which all nodes are compared.
+WORDS, SIMILAR, TOKENS, RECALL, DEPTH, PILE, SHARE, LEVELS = 5, 85, 128, 0.999, 4, 48, 512, 5
 #: Hundredths of nodes that branch twice, so that a pair at the threshold has about one common child on average.
 TWICE = 18
 #: Standard deviations that a sketch's agreement may fall short of the threshold.
@@ -111,7 +113,7 @@ def _agreement(tokens: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(tokens), dtype="<u2").reshape(-1, TOKENS)
 
 
-def stars(rows: DataFrame, nodes: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+def stars(rows: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
     """(a, b): each set with the centre of its node, where their sketches agree in at least so many places."""
 
     @F.pandas_udf("int")
@@ -120,7 +122,7 @@ def stars(rows: DataFrame, nodes: DataFrame, sketches: DataFrame, least: int) ->
 
     pairs = rows.where("digest <> centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()
     pairs = stored(pairs.join(sketches.select(F.col("digest").alias("b"), F.col("tokens").alias("b_tokens")), "b"), "minhash-stars")
-    both = hot_join(pairs, sketches.select(F.col("digest").alias("a"), "tokens"), "a", F.col("b"))
+    both = hot_join(pairs, sketches.select(F.col("digest").alias("a"), "tokens"), "a", F.col("b"), small=False)
     return both.where(agree("tokens", "b_tokens") >= least).select("a", "b")
 
 
@@ -144,43 +146,97 @@ def dealt(rows: DataFrame, most: int = PILE, share: int = SHARE) -> DataFrame:
     return rows.select("digest", "comp", F.explode(F.when(F.col("main"), main).otherwise(other)).alias("p")).select("p.pile", "digest", "comp", F.col("p.role").alias("role"))
 
 
-def compared(piles: DataFrame, least: int) -> DataFrame:
-    """(a, b), a < b, of sets of different groups that meet in a pile of ``piles(pile, digest, comp, role, tokens)`` and whose
-    sketches agree in at least ``least`` places."""
+def _groups(pile: np.ndarray) -> Iterator[tuple[int, int]]:
+    ends = np.flatnonzero(np.append(pile[1:] != pile[:-1], True)) + 1 if len(pile) else []
+    return zip([0, *ends[:-1]], ends)
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
 
-        def within(x: pd.DataFrame) -> pd.DataFrame:
-            pile, role, tokens = x["pile"].to_numpy(), x["role"].to_numpy(), _agreement(x["tokens"])
-            digest, comp = x["digest"].to_numpy(), x["comp"].to_numpy()
-            ends = np.flatnonzero(np.append(pile[1:] != pile[:-1], True)) + 1
-            out: set[tuple[bytes, bytes]] = set()
-            for lo, hi in zip([0, *ends[:-1]], ends):
-                a, b = (lo + np.flatnonzero(role[lo:hi] & k) for k in (1, 2))
-                for i in range(0, len(a), 256):
-                    near = (tokens[a[i : i + 256], None, :] == tokens[None, b, :]).sum(axis=2) >= least
-                    for p, q in zip(*np.nonzero(near)):
-                        x, y = a[i + p], b[q]
-                        if comp[x] != comp[y]:
-                            out.add((min(digest[x], digest[y]), max(digest[x], digest[y])))
-            return pd.DataFrame(sorted(out), columns=["a", "b"])
+def _by_pile(rows: DataFrame, within: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``within`` applied to whole piles, many at once; one that spans batches is held until it ends (piles are of bounded size)."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            open_ = int((held["pile"] == held["pile"].iloc[-1]).to_numpy().argmax()) if len(held) else 0
-            if open_:
-                yield within(held.iloc[:open_])
-                held = held.iloc[open_:].reset_index(drop=True)
+            last = int((held["pile"] == held["pile"].iloc[-1]).to_numpy().argmax()) if len(held) else 0
+            if last:
+                yield within(held.iloc[:last])
+                held = held.iloc[last:].reset_index(drop=True)
         if held is not None and len(held):
             yield within(held)
 
-    # piles are of bounded size; one that spans batches is held until it ends
-    return piles.repartition("pile").sortWithinPartitions("pile").mapInPandas(pairs, "a binary, b binary").distinct()
+    return rows.repartition("pile").sortWithinPartitions("pile").mapInPandas(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similar: int = SIMILAR, words: int = WORDS) -> DataFrame:
-    """The pairs whose whole sets have a similarity of at least ``similar`` hundredths. Only texts of these pairs are cut into shingles again."""
+def compared(piles: DataFrame, least: int) -> DataFrame:
+    """What may be near in ``piles(pile, digest, comp, role, tokens)``: sets of different groups whose sketches agree in at least
+    ``least`` places. Sparse piles give these pairs (a, b), a < b; piles with more such pairs than twice the sets in them give those
+    sets (pile, role, a, and b the group), to be compared whole. So no more rows come out than went in, twice.
+    """
+
+    def within(x: pd.DataFrame) -> pd.DataFrame:
+        pile, role, tokens = x["pile"].to_numpy(), x["role"].to_numpy(), _agreement(x["tokens"])
+        digest, comp = x["digest"].to_numpy(), x["comp"].to_numpy()
+        out: list[tuple] = []
+        for lo, hi in _groups(pile):
+            rows, columns = (lo + np.flatnonzero(role[lo:hi] & k) for k in (1, 2))
+            pairs: set[tuple[bytes, bytes]] = set()
+            busy: set[int] = set()
+            for i in range(0, len(rows), 256):
+                near = (tokens[rows[i : i + 256], None, :] == tokens[None, columns, :]).sum(axis=2) >= least
+                for p, q in zip(*np.nonzero(near)):
+                    a, b = rows[i + p], columns[q]
+                    if comp[a] != comp[b]:
+                        busy |= {a, b}
+                        pairs.add((min(digest[a], digest[b]), max(digest[a], digest[b])))
+            if len(pairs) > 2 * len(busy):
+                out += [(int(pile[lo]), int(role[i]), digest[i], comp[i]) for i in sorted(busy)]
+            else:
+                out += [(None, None, a, b) for a, b in sorted(pairs)]
+        return pd.DataFrame(out, columns=["pile", "role", "a", "b"]).astype({"pile": "Int64", "role": "Int32"})
+
+    return _by_pile(piles, within, "pile bigint, role int, a binary, b binary")
+
+
+def confirmed(rows: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """Links (a, b) between the sets of each pile of ``rows(pile, role, digest, comp, items)``, compared whole: as many as join all of
+    them that are similar, so fewer than the sets."""
+
+    def within(x: pd.DataFrame) -> pd.DataFrame:
+        role, digest, comp = x["role"].to_numpy(), x["digest"].to_numpy(), x["comp"].to_numpy()
+        out: list[tuple[bytes, bytes]] = []
+        for lo, hi in _groups(x["pile"].to_numpy()):
+            items = list(x["items"].iloc[lo:hi])
+            every, sizes = np.concatenate(items), np.array([len(i) for i in items])
+            order = np.argsort(every, kind="stable")
+            ordered = every[order]
+            owner = np.repeat(np.arange(hi - lo), sizes)[order]
+            root = {c: c for c in comp[lo:hi]}
+
+            def top(c: bytes) -> bytes:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for q in np.flatnonzero(role[lo:hi] & 2):
+                own = items[q]
+                first, last = np.searchsorted(ordered, own), np.searchsorted(ordered, own, side="right")
+                n = last - first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=hi - lo)
+                near = 100 * shared >= similar * (sizes + len(own) - shared)
+                for p in np.flatnonzero(near & (role[lo:hi] & 1 > 0)):
+                    a, b = top(comp[lo + p]), top(comp[lo + q])
+                    if a != b:
+                        root[a] = b
+                        out.append((digest[lo + p], digest[lo + q]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return _by_pile(rows, within, "a binary, b binary")
+
+
+def wholes(needed: DataFrame, docs: DataFrame, sets: DataFrame, words: int = WORDS) -> DataFrame:
+    """(digest, items) of the sets of ``needed(digest)``: only their texts are cut into shingles again, one text a set."""
 
     @F.pandas_udf("array<bigint>")
     def whole(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -188,43 +244,62 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, similar: int =
         for batch in texts:
             yield pd.Series([shingles(x, words, known).view(np.int64) for x in batch], dtype=object)
 
-    needed = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    needed = stored(sets.select("digest", "first.doc_id", "first.text_hash").join(needed, "digest").select("digest", F.col("doc_id").alias("set__id"), F.col("text_hash").alias("set__hash")), "minhash-needed")
+    first = sets.select("digest", F.col("first.doc_id").alias("set__id"), F.col("first.text_hash").alias("set__hash"))
+    needed = stored(first.join(needed.distinct(), "digest"), "minhash-needed")
     texts = docs.select("doc_id", "text").join(small_side(needed), F.col("doc_id").eqNullSafe(F.col("set__id")) & (F.xxhash64(whole_text()) == F.col("set__hash")))
-    found = stored(texts.select("digest", whole(whole_text()).alias("items")).dropDuplicates(["digest"]), "minhash-sets")
+    return stored(texts.select("digest", whole(whole_text()).alias("items")).dropDuplicates(["digest"]), "minhash-sets")
+
+
+def verified(pairs: DataFrame, found: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose whole sets, of ``found(digest, items)``, have a similarity of at least ``similar`` hundredths. ``a`` may be a hot
+    one."""
     other = pairs.join(found.select(F.col("digest").alias("b"), F.col("items").alias("b_items")), "b")
-    both = hot_join(stored(other, "minhash-pairs"), found.select(F.col("digest").alias("a"), F.col("items").alias("a_items")), "a", F.col("b"))
+    both = hot_join(stored(other, "minhash-pairs"), found.select(F.col("digest").alias("a"), F.col("items").alias("a_items")), "a", F.col("b"), small=False)
     shared = F.size(F.array_intersect("a_items", "b_items"))
     return both.where(100 * shared >= similar * (F.size("a_items") + F.size("b_items") - shared)).select("a", "b")
 
 
+def _digests(rows: DataFrame, *names: str) -> DataFrame:
+    return reduce(DataFrame.union, [rows.select(F.col(n).alias("digest")) for n in names])
+
+
+def grown(level: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``level(node, digest, comp)``, two levels further down."""
+    return branched(branched(level.join(sketches, "digest"))).select("node", "digest", "comp")
+
+
 def linked(docs: DataFrame, sets: DataFrame, similar: int = SIMILAR, words: int = WORDS) -> DataFrame:
     """Links (a, b) of ``sets(digest, tokens, first)`` that join all sets of ``docs`` that can reach each other over similar ones."""
-    spark, s = docs.sparkSession, similar / 100
+    s = similar / 100
     sketches = sets.select("digest", "tokens")
     roots = F.array(*(F.lit(t).cast("bigint") for t in range(trees(similar=s))))
     top = branched(sketches.withColumn("node", F.explode(roots))).select("node", "digest")
     nodes = top.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "digest"), "digest")).alias("least")).where("n > 1")
-    nodes = stored(nodes.select("node", "n", F.col("least.digest").alias("centre")), "minhash-nodes")
-    alive = stored(hot_join(top, nodes.select("node", "centre"), "node", F.col("digest")).where("centre is not null"), "minhash-alive")
-    starred = stored(verified(stored(stars(alive, nodes, sketches, ceil(s * TOKENS)), "minhash-likely"), docs, sets, similar, words), "minhash-links")
+    nodes = stored(nodes.select("node", F.col("least.digest").alias("centre")), "minhash-nodes")
+    alive = stored(hot_join(top, nodes, "node", F.col("digest")).where("centre is not null"), "minhash-alive")
+    likely = stored(stars(alive, sketches, ceil(s * TOKENS)), "minhash-likely")
+    starred = stored(verified(likely, wholes(_digests(likely, "a", "b"), docs, sets, words), similar), "minhash-links")
     groups = stored(components(starred).select(F.col("node").alias("digest"), "root"), "minhash-groups")
     level = stored(hot_join(alive.select("node", "digest"), groups, "digest", F.col("node")).select("node", "digest", F.coalesce("root", "digest").alias("comp")), "minhash-level")
-    piles = None
-    for depth in range(LEVELS + 1):
+    piles = []
+    for depth in range(LEVELS):
         sizes = level.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
         sizes = stored(sizes.where(F.col("n") > F.col("top.n")).select("node", F.col("top.comp").alias("top"), F.col("top.n").alias("major"), (F.col("n") - F.col("top.n")).alias("minor")), "minhash-sizes")
-        here = hot_join(level, sizes, "node", F.col("digest")).where("top is not null")
+        # rows of a fixed width, so that their count bounds their bytes
+        have = sizes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("minor") > PILE).alias("wide")).first()
+        here = hot_join(level, sizes, "node", F.col("digest"), small=have.nodes <= BROADCAST_ROWS // 2).where("top is not null")
         here = stored(here.select("node", "digest", "comp", (F.col("comp") == F.col("top")).alias("main"), "major", "minor"), "minhash-nodes")
-        few = here if depth == LEVELS else here.where(F.col("minor") <= PILE)
-        piles = few if piles is None else piles.union(few)
-        wide = here.where(F.col("minor") > PILE)
-        if depth == LEVELS or wide.isEmpty():
+        last = depth + 1 == LEVELS or not have.wide
+        piles.append(here if last else here.where(F.col("minor") <= PILE))
+        if last:
             break
-        level = stored(branched(wide.select("node", "digest", "comp").join(sketches, "digest")).select("node", "digest", "comp"), "minhash-level")
+        level = stored(grown(here.where(F.col("minor") > PILE).select("node", "digest", "comp"), sketches), "minhash-level")
     slack = SLACK * (s * (1 - s) / TOKENS) ** 0.5
-    pairs = stored(compared(dealt(piles).join(sketches, "digest"), ceil((s - slack) * TOKENS)), "minhash-near")
-    return starred.union(verified(pairs, docs, sets, similar, words))
+    near = stored(compared(dealt(reduce(DataFrame.union, piles)).join(sketches, "digest"), ceil((s - slack) * TOKENS)), "minhash-near")
+    pairs, dense = stored(near.where("pile is null").select("a", "b").distinct(), "minhash-near-pairs"), near.where("pile is not null")
+    found = wholes(_digests(pairs, "a", "b").union(dense.select("a")), docs, sets, words)
+    packed = dense.select("pile", "role", F.col("a").alias("digest"), F.col("b").alias("comp")).join(found, "digest")
+    return starred.union(verified(pairs, found, similar)).union(confirmed(packed, similar))
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS) -> DataFrame:

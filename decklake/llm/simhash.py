@@ -88,10 +88,10 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``edges(a, b)``: the smallest node of its connected component.
 
-    Large-star and small-star steps in turn; each ends in a reliable checkpoint. A step is an aggregate and
+    Large-star and small-star steps in turn; each ends in a table in the shared folder. A step is an aggregate and
     a join on the node, whose large groups Spark may split; no group is gathered.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -99,7 +99,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.union(down.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
