@@ -104,7 +104,7 @@ class Decks:
         rows = F.transform(F.sequence(F.lit(0), F.size("row_heights") - 1), lambda r: F.array_join(F.transform(F.filter("cells", lambda c: c["row"] == r), lambda c: c["text"]), "\t"))
         text = F.when(F.col("kind") == "table", F.when(F.size("row_heights") > 0, F.array_join(rows, "\n")).otherwise("")).otherwise(lines)
         body = F.struct(*[F.coalesce(F.col("body")[f], F.col("layout.body")[f], F.col("master.body")[f]).alias(f) for f in ("anchor", "left", "right", "top", "bottom", "wrap")])
-        return self.hold(self._matched.select(*SHAPE, "layout_name", "slide_kind", "title_pos", "shape_id", "name", "kind", "ph_type", "ph_idx", self._place.alias("rect"), body.alias("body"), "fill", "image_path", text.alias("text"), "col_widths", "row_heights"), "shapes")
+        return self.hold(self._matched.select(*SHAPE, "layout_name", "slide_kind", "title_pos", "shape_id", "name", "kind", "ph_type", "ph_idx", self._place.alias("rect"), body.alias("body"), "fill", "image_path", "image_digest", text.alias("text"), "col_widths", "row_heights"), "shapes")
 
     def _resolved(self, rows: DataFrame, level: Column, own: list[str], part: str, deep: bool = True) -> dict[str, Column]:
         """Each property's first known value: own, the shape's list, layout, master, the master's text style, default."""

@@ -102,12 +102,35 @@ def plan_prompts(found: DataFrame, decks: Decks, names: DataFrame) -> DataFrame:
     return rows.select("deck_id", "chunk", F.to_json(F.struct("client_name", F.array(*map(F.lit, KINDS)).alias("kinds"), "slides", "findings")).alias("prompt"))
 
 
-def planned(said: DataFrame) -> DataFrame:
+def usable_pattern(pattern: Column) -> Column:
+    """Whether a text is a regular expression; null is none."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
+
+
+def complete(f: Column) -> Column:
+    """Whether a fix has what its kind needs: a text to find and one to put, a text, a size, or colours of six hex digits."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    hexed = lambda c: F.coalesce(c, F.lit("")).rlike(r"^[0-9A-Fa-f]{6}\z")
+    kind = f["kind"]
+    return (
+        F.when(kind.isin("text-replace", "deck-replace"), some(f["find"]) & f["replacement"].isNotNull())
+        .when(kind.isin("title-rewrite", "font-family-set", "ensure-footer"), some(f["replacement"]))
+        .when(kind == "font-size-set", F.coalesce(f["value"] > 0, F.lit(False)))
+        .when(kind == "color-set", hexed(f["find"]) & hexed(f["color"]))
+        .when(kind == "row-fill-set", hexed(f["color"]))
+        .otherwise(kind.isin("ai-rewrite", "font-bold-set", "border-remove"))
+    )
+
+
+def planned(said: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(finding_key, planned) of ``said(deck_id, chunk, answer)``: an answer with too many fixes or an unknown kind is left out
-    whole; the first fix of a finding stays."""
+    whole. Fixes that lack what their kind needs, whose pattern is none, or whose finding is not in ``found(finding_key)``, go; the first
+    of a finding stays."""
     parsed = said.withColumn("a", F.from_json(S.loose_json(F.col("answer")), ANSWER))
     parsed = parsed.where((F.size("a.fixes") <= MOST_FIXES) & F.forall("a.fixes", lambda f: F.coalesce(f["kind"].isin(*KINDS) & f["finding_key"].isNotNull(), F.lit(False))))
-    rows = parsed.select(F.posexplode("a.fixes").alias("pos", "f")).select("pos", "f.*")
+    rows = parsed.select(F.posexplode("a.fixes").alias("pos", "f")).where(complete(F.col("f"))).select("pos", "f.*")
+    rows = rows.withColumn("usable", F.when(F.col("regex"), usable_pattern(F.col("find"))).otherwise(True)).where("usable")
+    rows = rows if found is None else rows.join(found.select("finding_key").distinct(), "finding_key", "left_semi")
     made = fix(F.col("kind"), **{n: F.col(n) for n in ("find", "replacement", "value", "color", "regex", "ignore_case", "deck_wide")})
     return rows.groupBy("finding_key").agg(F.min_by(made, "pos").alias("planned"))
 
@@ -124,18 +147,21 @@ def with_fixes(found: DataFrame, plans: DataFrame | None = None) -> DataFrame:
 def batch_plan(found: DataFrame, decks: Decks, footers: DataFrame, names: DataFrame, planner: Callable[[str], str] | None = None, tasks: int = 5) -> DataFrame:
     """The errors and warnings with the best fix that is known for each (``with_fixes``); those without one are left out."""
     rows = inferred(actionable(found), title_table(decks), footers, names)
-    plans = None if planner is None else planned(answers(plan_prompts(found, decks, names), planner, tasks))
+    plans = None if planner is None else planned(answers(plan_prompts(found, decks, names), planner, tasks), finding_key(found))
     return with_fixes(rows, plans).where("fix is not null")
 
 
 def preview(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows(fix)`` with ``before`` and ``after``: the text that a fix of texts gives, else the property's value after it."""
+    """``rows(fix)`` with ``before`` and ``after``: the text that a fix of texts gives, else the property's value after it. A fix with
+    nothing to find, or whose pattern is none, changes nothing."""
     find, new, kind = F.col("fix.find"), F.col("fix.replacement"), F.col("fix.kind")
     literal = F.concat(F.lit("\\Q"), F.replace(find, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     pattern = F.concat(F.when(F.col("fix.ignore_case"), "(?i)").otherwise(""), F.when(F.col("fix.regex"), find).otherwise(literal))
+    able = (F.coalesce(find, F.lit("")) != "") & F.when(F.coalesce(F.col("fix.regex"), F.lit(False)), usable_pattern(find)).otherwise(True)
+    pattern = F.when(F.coalesce(able, F.lit(False)), pattern).otherwise("(?!)")
     escaped = F.regexp_replace(F.coalesce(new, F.lit("")), r"([\\$])", r"\\$1")
     swapped = F.regexp_replace(text, pattern, escaped)
-    swapped = F.when(F.col("fix.regex"), S.one_line(swapped)).otherwise(swapped)
+    swapped = F.when(F.col("fix.regex") & (swapped != F.col(text)), S.one_line(swapped)).otherwise(swapped)
     after = (
         F.when(kind.isin("text-replace", "deck-replace"), swapped)
         .when(kind.isin("title-rewrite", "ai-rewrite", "ensure-footer", "font-family-set"), new)

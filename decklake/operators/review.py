@@ -170,12 +170,15 @@ def fix_report(records: DataFrame) -> DataFrame:
     return records.select("path", F.to_json(F.struct(F.col("path").alias("deck"), F.size("records").alias("fixes"), F.size(F.filter("records", lambda r: r["changed"])).alias("changed"), "records")).alias("report"))
 
 
-def analysis(found: DataFrame, decks: Decks) -> DataFrame:
-    """One nested row for each deck: its slides, each with its findings, zeros included; ready for ``write.json``."""
+def analysis(found: DataFrame, decks: Decks, images: DataFrame | None = None) -> DataFrame:
+    """One nested row for each deck: its slides, each with its findings, zeros included; ready for ``write.json``.
+
+    ``images(deck_id, slide_index, image)``, one of a slide at most, gives slides an ``image`` (null where there is none)."""
     each = found.groupBy(*SLIDE).agg(F.array_sort(F.collect_list(F.struct("emit_ord", "rule_id", "severity", "confidence", "detail", "evidence", "suggestion", "shape_pos"))).alias("findings"))
     slides = decks.slides.select("deck_id", "file_name", "slide_index", "kind").join(each, list(SLIDE), "left")
+    slides = slides if images is None else slides.join(images.select(*SLIDE, "image"), list(SLIDE), "left")
     none = F.array().cast(each.schema["findings"].dataType)
-    slide = F.struct("slide_index", "kind", F.coalesce("findings", none).alias("findings"))
+    slide = F.struct("slide_index", "kind", F.coalesce("findings", none).alias("findings"), *([] if images is None else ["image"]))
     return slides.groupBy("deck_id", "file_name").agg(F.array_sort(F.collect_list(slide)).alias("slides"))
 
 

@@ -10,6 +10,7 @@ from decklake.operators.cascade import Decks
 from decklake.operators.rules import check
 from decklake.plans.lifted import _BULLETS, _TITLES, SPACE
 from decklake.sources.build import decks_of
+from decklake.sources.media import media_parts, pictures, with_media
 from decklake.sources.pptx import deck_rows
 from decklake.sources.scratch import stored
 
@@ -82,4 +83,20 @@ ORACLE["deck_summary"] = f"""{_FOUND} SELECT conv_id AS deck_id, count(*) AS n,
 count(*) FILTER (WHERE severity = 'info') AS infos, count(DISTINCT nr) AS slides FROM f GROUP BY conv_id"""
 
 
-QUERIES |= {f.__name__: f for f in (deck_title_findings, deck_findings, deck_summary)}
+def deck_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of pictures over all decks: each once, with its length, and the pictures and decks that show it. A reply's slide has a
+    picture, of the first two letters of the reply."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    picture = F.when(F.col("role") == "assistant", F.encode(F.substr("text", F.lit(1), F.lit(2)), "UTF-8"))
+    none = F.lit(None).cast("string")
+    made = stored(decks_of(said.select(F.col("conv_id").alias("deck_id"), F.col("turn").alias("slide_index"), none.alias("title"), none.alias("body"), none.alias("footer"), picture.alias("picture"))), "decks")
+    decks = scanned(made)
+    shown = pictures(decks).groupBy("digest").agg(F.count(F.lit(1)).alias("pictures"), F.countDistinct("deck_id").alias("decks"))
+    return _kept(decks, with_media(shown, media_parts(made)).select(F.lit("0.pptx").alias("deck_id"), "digest", "mime", "length", "pictures", "decks")).drop("deck_id")
+
+
+ORACLE["deck_media"] = """WITH p AS (SELECT conv_id, left(text, 2) AS x FROM conversations WHERE role = 'assistant')
+SELECT sha256(x) AS digest, 'image/png' AS mime, max(octet_length(encode(x)))::BIGINT AS length, count(*) AS pictures, count(DISTINCT conv_id) AS decks FROM p GROUP BY x"""
+
+
+QUERIES |= {f.__name__: f for f in (deck_title_findings, deck_findings, deck_summary, deck_media)}

@@ -61,6 +61,14 @@ def table(number: int, rows: list[list[dict]], place: tuple[int, int, int, int])
     )
 
 
+def picture(number: int, rel: str, place: tuple[int, int, int, int]) -> str:
+    """A picture of the part that a relationship of its slide names."""
+    return (
+        f'<p:pic><p:nvPicPr><p:cNvPr id="{number}" name="Picture {number}"/><p:cNvPicPr/><p:nvPr/></p:nvPicPr>'
+        f'<p:blipFill><a:blip r:embed="{rel}"/></p:blipFill><p:spPr>{_place(place)}</p:spPr></p:pic>'
+    )
+
+
 def _rels(rows: list[tuple[str, str, str]]) -> str:
     return _HEAD + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="{i}" Type="{_REL}/{k}" Target="{t}"/>' for i, k, t in rows) + "</Relationships>"
 
@@ -69,8 +77,10 @@ def _tree(shapes: str) -> str:
     return f"<p:cSld><p:spTree><p:nvGrpSpPr><p:cNvPr id=\"1\" name=\"\"/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>{shapes}</p:spTree></p:cSld>"
 
 
-def deck(slides: list[str], *, layout_type: str = "obj", font: str = "Calibri") -> bytes:
-    """A deck whose slides hold the given shapes; one layout and one master with title, body and footer."""
+def deck(slides: list[str], *, layout_type: str = "obj", font: str = "Calibri", media: dict[str, bytes | None] | None = None) -> bytes:
+    """A deck whose slides hold the given shapes; one layout and one master with title, body and footer. Each slide has a relationship to
+    each of ``media``, named ``m`` and its place among them; those of None have no part."""
+    media = media or {}
     holders = "".join(shape(i + 2, "", ph, place=_PLACES[ph]) for i, ph in enumerate(_PLACES))
     style = lambda size, bold: f'<a:lvl1pPr><a:defRPr sz="{size}" b="{bold}"><a:latin typeface="+mn-lt"/></a:defRPr></a:lvl1pPr>'
     n = len(slides)
@@ -86,27 +96,34 @@ def deck(slides: list[str], *, layout_type: str = "obj", font: str = "Calibri")
     }
     for i, shapes in enumerate(slides):
         parts[f"ppt/slides/slide{i + 1}.xml"] = _HEAD + f"<p:sld {_P}>{_tree(shapes)}</p:sld>"
-        parts[f"ppt/slides/_rels/slide{i + 1}.xml.rels"] = _rels([("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml")])
+        parts[f"ppt/slides/_rels/slide{i + 1}.xml.rels"] = _rels([("rId1", "slideLayout", "../slideLayouts/slideLayout1.xml"), *((f"m{k}", "image", f"../media/{name}") for k, name in enumerate(media))])
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
             z.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_DEFLATED)
+        for name, raw in media.items():
+            if raw is not None:
+                z.writestr(zipfile.ZipInfo(f"ppt/media/{name}"), raw)
     return out.getvalue()
 
 
 def decks_of(slides: DataFrame) -> DataFrame:
     """(path, length, content) of a deck for each deck_id of ``slides(deck_id, slide_index, title, body, footer)``, in the
-    order of slide_index; null texts have no shape. A deck's slides meet in one row, as in its file."""
+    order of slide_index; null texts have no shape. A column ``picture`` (binary) puts a picture on its slide; pictures of one content
+    share a part. A deck's slides meet in one row, as in its file."""
+    columns = ["slide_index", "title", "body", "footer", *(["picture"] if "picture" in slides.columns else [])]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                pages = []
+                pages, raws = [], list(dict.fromkeys(x for s in row["slides"] if (x := s.get("picture")) is not None))
                 for s in row["slides"]:
                     shapes = [(ph, s[k]) for ph, k in (("title", "title"), ("body", "body"), ("ftr", "footer")) if s[k] is not None]
                     pages.append("".join(shape(i + 2, text, ph, bullets=ph == "body") for i, (ph, text) in enumerate(shapes)))
-                content = deck(pages)
+                    if s.get("picture") is not None:
+                        pages[-1] += picture(9, f"m{raws.index(s['picture'])}", _PLACES["body"])
+                content = deck(pages, media={f"image{k}.png": x for k, x in enumerate(raws)})
                 yield pa.RecordBatch.from_pylist([{"path": f"{row['deck_id']}.pptx", "length": len(content), "content": content}])
 
-    grouped = slides.groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct("slide_index", "title", "body", "footer"))).alias("slides"))
+    grouped = slides.groupBy("deck_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("slides"))
     return grouped.mapInArrow(write, "path string, length long, content binary")

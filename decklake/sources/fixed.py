@@ -15,16 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decklake.sources.pptx import UNREADABLE, attr, child, kids, local
+from decklake.sources.pptx import UNREADABLE, Package, attr, child, kids, local, slide_parts
 
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-RECORD = "array<struct<fix_ord:bigint,rule_id:string,slide_index:int,kind:string,changed:boolean,before:string,after:string,error:string>>"
+RECORD = "array<struct<fix_ord:bigint,rule_id:string,slide_index:int,kind:string,changed:boolean,before:string,after:string,touched:array<int>,error:string>>"
 
 
 def pattern_of(fix: dict) -> re.Pattern:
+    if not fix["find"]:
+        raise ValueError("nothing to find")
     flags = re.IGNORECASE if fix.get("ignore_case") else 0
-    return re.compile(fix["find"] if fix.get("regex") else re.escape(fix["find"] or ""), flags)
+    return re.compile(fix["find"] if fix.get("regex") else re.escape(fix["find"]), flags)
 
 
 def replaced(text: str, fix: dict) -> str:
@@ -203,7 +205,8 @@ def apply_all(content: bytes, fixes: list[dict]) -> tuple[bytes, list[dict]]:
     """The fixed deck and a record of each fix. A fix for the whole deck is applied once for each find and replacement."""
     source = zipfile.ZipFile(io.BytesIO(content))
     names = source.namelist()
-    slides = [n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
+    places = {part: at for at, part in enumerate(slide_parts(Package(content)), 1)}
+    slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: (places.get(n, len(names)), n))
     open_: dict[str, ET.Element] = {}
     touched: set[str] = set()
     done: set[tuple] = set()
@@ -218,8 +221,11 @@ def apply_all(content: bytes, fixes: list[dict]) -> tuple[bytes, list[dict]]:
             open_[name] = ET.fromstring(raw)
         return open_[name]
 
+    def slide_number(name: str) -> int:
+        return places.get(name) or int(re.sub(r"\D", "", name) or 0)
+
     for fix in sorted(fixes, key=lambda f: f["fix_ord"]):
-        record = {k: fix[k] for k in ("fix_ord", "rule_id", "slide_index", "kind")} | {"changed": False, "before": None, "after": None, "error": None}
+        record = {k: fix[k] for k in ("fix_ord", "rule_id", "slide_index", "kind")} | {"changed": False, "before": None, "after": None, "touched": [], "error": None}
         key = (fix["rule_id"], fix["find"], fix["replacement"])
         whole = fix["kind"] == "deck-replace" or fix["deck_wide"]
         if whole and key in done:
@@ -232,7 +238,8 @@ def apply_all(content: bytes, fixes: list[dict]) -> tuple[bytes, list[dict]]:
                 before = text_of(root if node is None else node)
                 if apply(root, fix | ({"shape_id": None} if whole else {})):
                     touched.add(name)
-                    record |= {"changed": True, "before": record["before"] or before[:200], "after": text_of(root if node is None else node)[:200]}
+                    # the first slide's text before, the last one's after, and all slides between
+                    record |= {"changed": True, "before": record["before"] or before[:200], "after": text_of(root if node is None else node)[:200], "touched": [*record["touched"], slide_number(name)]}
         except (LookupError, ValueError, KeyError, TypeError, re.error) as e:
             record["error"] = f"{type(e).__name__}: {e}"[:200]
         records.append(record)
@@ -250,7 +257,7 @@ def applied(content: bytes | None, fixes: list[dict]) -> tuple[bytes | None, lis
         return apply_all(content or b"", fixes)
     except UNREADABLE as e:
         said = f"{type(e).__name__}: {e}"[:200]
-        return content, [{k: f[k] for k in ("fix_ord", "rule_id", "slide_index", "kind")} | {"changed": False, "before": None, "after": None, "error": said} for f in fixes]
+        return content, [{k: f[k] for k in ("fix_ord", "rule_id", "slide_index", "kind")} | {"changed": False, "before": None, "after": None, "touched": [], "error": said} for f in fixes]
 
 
 def write_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
@@ -264,13 +271,10 @@ def write_fixes(files: DataFrame, fixes: DataFrame) -> DataFrame:
 
     @F.arrow_udf(f"struct<content:binary,records:{RECORD}>")
     def fixed(contents: pa.Array, fixes: pa.Array) -> pa.Array:
-        record = [("fix_ord", pa.int64()), ("rule_id", pa.string()), ("slide_index", pa.int32()), ("kind", pa.string()), ("changed", pa.bool_()), *((n, pa.string()) for n in ("before", "after", "error"))]
+        record = [("fix_ord", pa.int64()), ("rule_id", pa.string()), ("slide_index", pa.int32()), ("kind", pa.string()), ("changed", pa.bool_()), ("before", pa.string()), ("after", pa.string()), ("touched", pa.list_(pa.int32())), ("error", pa.string())]
         rows = [dict(zip(("content", "records"), applied(c.as_py(), f.as_py() or []))) for c, f in zip(contents, fixes)]
         return pa.array(rows, pa.struct([("content", pa.binary()), ("records", pa.list_(pa.struct(record)))]))
 
     out = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(grouped, "path", "left").withColumn("out", fixed("content", "fixes"))
     return out.select("path", F.octet_length("out.content").cast("long").alias("length"), F.col("out.content").alias("content"), F.col("out.records").alias("records"))
 
-
-def fixed_name(file_name):
-    return F.regexp_replace(file_name, r"(?i)\.pptx\z", "-fixed.pptx")

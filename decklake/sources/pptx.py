@@ -7,6 +7,7 @@ slides and its style layers, as they stand in the file. Inheritance is not resol
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
@@ -32,13 +33,16 @@ _RUNS = f"array<struct<run_pos:int,text:string,{_STYLE}>>"
 _LEVELS = f"levels:array<struct<level:int,run:struct<{_STYLE}>,para:struct<{_PARA}>>>"
 _CELL = f"row:int,col:int,text:string,row_span:int,grid_span:int,merged:boolean,h_merge:boolean,v_merge:boolean,fill:string,align:string,left:boolean,right:boolean,top:boolean,bottom:boolean,runs:{_RUNS}"
 _SHAPE = (
-    f"shape_pos:int,shape_id:string,name:string,kind:string,ph_type:string,ph_idx:string,{_RECT},fill:string,image_path:string,{_BODY},{_LEVELS},"
+    f"shape_pos:int,shape_id:string,name:string,kind:string,ph_type:string,ph_idx:string,{_RECT},fill:string,image_path:string,image_digest:string,{_BODY},{_LEVELS},"
     f"paragraphs:array<struct<para_pos:int,level:int,{_PARA},runs:{_RUNS}>>,col_widths:array<bigint>,row_heights:array<bigint>,cells:array<struct<{_CELL}>>"
 )
 _SLIDE = f"slide_index:int,slide_path:string,layout_name:string,layout_type:string,notes:string,shapes:array<struct<{_SHAPE}>>"
 _LAYER = f"scope:string,layout_name:string,ph_pos:int,ph_type:string,ph_idx:string,{_RECT},{_BODY},{_LEVELS}"
 DECK = f"deck_id string, file_name string, size struct<cx:bigint,cy:bigint>, theme struct<major:string,minor:string>, slides array<struct<{_SLIDE}>>, layers array<struct<{_LAYER}>>, error string"
 
+#: The types of image parts by the end of their name; vector formats have none.
+_MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "emf": None, "wmf": None}
+_REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _TYPE = "/slideLayout", "/notesSlide", "/slideMaster", "/theme"
 
 
@@ -99,6 +103,17 @@ class Package:
         return next((t for _, k, t in self.rels(part) if k.endswith(kind)), None)
 
 
+def media_type(part: str) -> str | None:
+    return _MIME.get(part.rpartition(".")[2].lower(), "application/octet-stream")
+
+
+def slide_parts(pack: Package) -> list[str]:
+    """The slides' parts, in order."""
+    top = "ppt/presentation.xml"
+    rels = {i: t for i, _, t in pack.rels(top)}
+    return [rels.get(x.get(_REL_ID, ""), "") for x in kids(child(pack.xml(top), "sldIdLst"), "sldId")]
+
+
 def solid(node: ET.Element | None) -> str | None:
     """An explicit colour; theme colours are unknown."""
     value = attr(child(node, "solidFill", "srgbClr"), "val")
@@ -204,13 +219,13 @@ def placeholder(shape: ET.Element) -> ET.Element | None:
     return next((x for nv in shape for x in nv.iter() if local(nv).startswith("nv") and local(x) == "ph"), None)
 
 
-def shapes(tree: ET.Element | None, media: dict[str, str]) -> list[dict]:
+def shapes(tree: ET.Element | None, media: dict[str, tuple[str, str | None]]) -> list[dict]:
     out: list[dict] = []
 
     def add(node: ET.Element, kind: str, **more) -> None:
         named = next((x for x in node.iter() if local(x) == "cNvPr"), None)
         ph = placeholder(node)
-        empty = {"ph_type": attr(ph, "type"), "ph_idx": attr(ph, "idx"), "rect": None, "fill": None, "image_path": None, "body": None, "levels": [], "paragraphs": [], "col_widths": None, "row_heights": None, "cells": []}
+        empty = {"ph_type": attr(ph, "type"), "ph_idx": attr(ph, "idx"), "rect": None, "fill": None, "image_path": None, "image_digest": None, "body": None, "levels": [], "paragraphs": [], "col_widths": None, "row_heights": None, "cells": []}
         out.append({"shape_pos": len(out), "shape_id": attr(named, "id") or "", "name": attr(named, "name") or "", "kind": kind} | empty | more)
 
     def walk(node: ET.Element | None, frame: tuple) -> None:
@@ -220,7 +235,8 @@ def shapes(tree: ET.Element | None, media: dict[str, str]) -> list[dict]:
                 case "sp":
                     add(x, "text", rect=rect(child(props, "xfrm"), frame), fill=solid(props), body=body(text), levels=levels(child(text, "lstStyle")), paragraphs=paragraphs(text))
                 case "pic":
-                    add(x, "picture", rect=rect(child(props, "xfrm"), frame), image_path=media.get(attr(child(x, "blipFill", "blip"), "embed") or ""))
+                    path, digest = media.get(attr(child(x, "blipFill", "blip"), "embed") or "", (None, None))
+                    add(x, "picture", rect=rect(child(props, "xfrm"), frame), image_path=path, image_digest=digest)
                 case "graphicFrame":
                     table = child(x, "graphic", "graphicData", "tbl")
                     place = rect(child(x, "xfrm"), frame)
@@ -253,7 +269,6 @@ def parse(deck_id: str, content: bytes) -> dict:
     root = pack.xml(top)
     if root is None:
         raise ValueError("no presentation part")
-    rels = {i: t for i, _, t in pack.rels(top)}
     size = child(root, "sldSz")
     master_part = "ppt/slideMasters/slideMaster1.xml"
     master = pack.xml(master_part)
@@ -265,9 +280,16 @@ def parse(deck_id: str, content: bytes) -> dict:
         layers.append(flat | {"scope": "text", "ph_type": name, "levels": levels(child(master, "txStyles", part))})
     layers.append(flat | {"scope": "default", "levels": levels(child(root, "defaultTextStyle"))})
     known: dict[str, tuple[str, str | None]] = {}
+    digests: dict[str, str] = {}
+
+    def digest(part: str) -> str | None:
+        """Of an image part that is there and has a type."""
+        if part in pack.names and media_type(part) and part not in digests:
+            digests[part] = hashlib.sha256(pack.zip.read(part)).hexdigest()
+        return digests.get(part)
+
     slides = []
-    for at, entry in enumerate(kids(child(root, "sldIdLst"), "sldId")):
-        part = rels.get(entry.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id", ""), "")
+    for at, part in enumerate(slide_parts(pack)):
         slide = pack.xml(part)
         if slide is None:
             continue
@@ -281,7 +303,7 @@ def parse(deck_id: str, content: bytes) -> dict:
         notes_part = pack.related(part, _TYPE[1])
         notes = pack.xml(notes_part) if notes_part else None
         said = [line.strip() for s in shapes(child(notes, "cSld", "spTree"), {}) if s["ph_type"] != "sldNum" for p in s["paragraphs"] if (line := "".join(r["text"] for r in p["runs"])).strip()]
-        media = {i: t for i, _, t in pack.rels(part)}
+        media = {i: (t, digest(t) if k.endswith("/image") else None) for i, k, t in pack.rels(part)}
         slides.append({"slide_index": at + 1, "slide_path": part, "layout_name": name, "layout_type": kind, "notes": "\n".join(said), "shapes": shapes(child(slide, "cSld", "spTree"), media)})
     latin = lambda kind: attr(child(fonts, kind, "latin"), "typeface") or "Calibri"
     return {
