@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from decklake.llm.common import BROADCAST_ROWS, hot_join, small_batches, small_side, stored, whole_text
 from decklake.llm.simhash import components
 
-#: Words of a shingle, hundredths of shared shingles from which sets are linked, tokens of a sketch, share of pairs at just that
+#: Words of a shingle, hundredths of shared shingles from which sets are linked, tokens of a sketch, those by which nodes branch, share of pairs at just that
 #: similarity that trees must bring together at depth ``DEPTH``, sets beside a node's largest linked group up to which it is
 #: compared exhaustively, sets of that group in one task's share of it, and steps of two levels
 #: after which all nodes are compared.
-WORDS, SIMILAR, TOKENS, RECALL, DEPTH, PILE, SHARE, LEVELS = 5, 85, 128, 0.999, 4, 48, 512, 5
+WORDS, SIMILAR, TOKENS, BRANCHING, RECALL, DEPTH, PILE, SHARE, LEVELS = 5, 85, 128, 64, 0.999, 4, 48, 512, 5
 #: Hundredths of nodes that branch twice, so that a pair at the threshold has about one common child on average.
 TWICE = 18
 #: Standard deviations that a sketch's agreement may fall short of the threshold.
@@ -66,12 +66,13 @@ def _factors(tokens: int) -> np.ndarray:
 
 
 def sketch(found: np.ndarray, factors: np.ndarray) -> bytes:
-    """The minwise tokens of a set, 16 bits of each."""
+    """The minwise tokens of a set: 32 bits of those by which nodes branch, 16 of the others, which only count how alike sets are."""
     least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
     for lo in range(0, len(found), 2048):
         np.minimum(least, (found[lo : lo + 2048, None] * factors).min(axis=0), out=least)
     least ^= least >> np.uint64(31)
-    return (least * _MIX >> np.uint64(48)).astype("<u2").tobytes()
+    mixed = least * _MIX
+    return (mixed[:BRANCHING] >> np.uint64(32)).astype("<u4").tobytes() + (mixed[BRANCHING:] >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def trees(recall: float = RECALL, similar: float = SIMILAR / 100, depth: int = DEPTH) -> int:
@@ -102,15 +103,23 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def branched(rows: DataFrame) -> DataFrame:
     """``rows(node, digest, tokens, ...)`` in the children of their nodes: the node's hash picks one or two places of the sketch."""
     h = F.xxhash64("node")
-    first = F.pmod(h, F.lit(TOKENS))
-    second = F.pmod(first + 1 + F.pmod(F.shiftrightunsigned(h, 40), F.lit(TOKENS - 1)), F.lit(TOKENS))
-    child = lambda at: F.xxhash64("node", at, F.col("tokens").substr((2 * at + 1).cast("int"), F.lit(2)))
+    first = F.pmod(h, F.lit(BRANCHING))
+    second = F.pmod(first + 1 + F.pmod(F.shiftrightunsigned(h, 40), F.lit(BRANCHING - 1)), F.lit(BRANCHING))
+    child = lambda at: F.xxhash64("node", at, F.col("tokens").substr((4 * at + 1).cast("int"), F.lit(4)))
     twice = F.pmod(F.shiftrightunsigned(h, 20), F.lit(100)) < TWICE
     return rows.withColumn("node", F.explode(F.when(twice, F.array(child(first), child(second))).otherwise(F.array(child(first)))))
 
 
-def _agreement(tokens: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(tokens), dtype="<u2").reshape(-1, TOKENS)
+_SKETCH = np.dtype([("branching", "<u4", BRANCHING), ("other", "<u2", TOKENS - BRANCHING)])
+
+
+def _unpacked(tokens: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(tokens), dtype=_SKETCH)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The places in which sketches agree; shapes are broadcast."""
+    return sum((a[part] == b[part]).sum(axis=-1) for part in ("branching", "other"))
 
 
 def stars(rows: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -118,7 +127,7 @@ def stars(rows: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
 
     @F.pandas_udf("int")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series((_agreement(x) == _agreement(y)).sum(axis=1) if len(x) else [], dtype="int32")
+        return pd.Series(agreement(_unpacked(x), _unpacked(y)), dtype="int32")
 
     pairs = rows.where("digest <> centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()
     pairs = stored(pairs.join(sketches.select(F.col("digest").alias("b"), F.col("tokens").alias("b_tokens")), "b"), "minhash-stars")
@@ -175,7 +184,7 @@ def compared(piles: DataFrame, least: int) -> DataFrame:
     """
 
     def within(x: pd.DataFrame) -> pd.DataFrame:
-        pile, role, tokens = x["pile"].to_numpy(), x["role"].to_numpy(), _agreement(x["tokens"])
+        pile, role, tokens = x["pile"].to_numpy(), x["role"].to_numpy(), _unpacked(x["tokens"])
         digest, comp = x["digest"].to_numpy(), x["comp"].to_numpy()
         out: list[tuple] = []
         for lo, hi in _groups(pile):
@@ -183,7 +192,7 @@ def compared(piles: DataFrame, least: int) -> DataFrame:
             pairs: set[tuple[bytes, bytes]] = set()
             busy: set[int] = set()
             for i in range(0, len(rows), 256):
-                near = (tokens[rows[i : i + 256], None, :] == tokens[None, columns, :]).sum(axis=2) >= least
+                near = agreement(tokens[rows[i : i + 256], None], tokens[None, columns]) >= least
                 for p, q in zip(*np.nonzero(near)):
                     a, b = rows[i + p], columns[q]
                     if comp[a] != comp[b]:
