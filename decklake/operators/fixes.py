@@ -151,16 +151,21 @@ def batch_plan(found: DataFrame, decks: Decks, footers: DataFrame, names: DataFr
     return with_fixes(rows, plans).where("fix is not null")
 
 
+def find_pattern(f: Column) -> tuple[Column, Column]:
+    """What a fix of texts finds, as a pattern (null if it is nothing, or no pattern), and what it puts there."""
+    find, regex = f["find"], F.coalesce(f["regex"], F.lit(False))
+    literal = F.concat(F.lit("\\Q"), F.replace(find, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(F.when(f["ignore_case"], "(?i)").otherwise(""), F.when(regex, find).otherwise(literal))
+    able = (F.coalesce(find, F.lit("")) != "") & F.when(regex, usable_pattern(find)).otherwise(True)
+    return F.when(F.coalesce(able, F.lit(False)), pattern), F.regexp_replace(F.coalesce(f["replacement"], F.lit("")), r"([\\$])", r"\\$1")
+
+
 def preview(rows: DataFrame, text: str = "text") -> DataFrame:
     """``rows(fix)`` with ``before`` and ``after``: the text that a fix of texts gives, else the property's value after it. A fix with
     nothing to find, or whose pattern is none, changes nothing."""
     find, new, kind = F.col("fix.find"), F.col("fix.replacement"), F.col("fix.kind")
-    literal = F.concat(F.lit("\\Q"), F.replace(find, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pattern = F.concat(F.when(F.col("fix.ignore_case"), "(?i)").otherwise(""), F.when(F.col("fix.regex"), find).otherwise(literal))
-    able = (F.coalesce(find, F.lit("")) != "") & F.when(F.coalesce(F.col("fix.regex"), F.lit(False)), usable_pattern(find)).otherwise(True)
-    pattern = F.when(F.coalesce(able, F.lit(False)), pattern).otherwise("(?!)")
-    escaped = F.regexp_replace(F.coalesce(new, F.lit("")), r"([\\$])", r"\\$1")
-    swapped = F.regexp_replace(text, pattern, escaped)
+    pattern, put = find_pattern(F.col("fix"))
+    swapped = F.regexp_replace(text, F.coalesce(pattern, F.lit("(?!)")), put)
     swapped = F.when(F.col("fix.regex") & (swapped != F.col(text)), S.one_line(swapped)).otherwise(swapped)
     after = (
         F.when(kind.isin("text-replace", "deck-replace"), swapped)

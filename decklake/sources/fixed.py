@@ -68,9 +68,9 @@ def put_text(node: ET.Element, text: str) -> bool:
     """The first text leaf takes the text, the others are emptied."""
     found = leaves(node)
     if not found:
-        body = node.find(_P + "txBody")
+        body = child(node, "txBody")
         if body is None:
-            body = ET.SubElement(node, _P + "txBody")
+            body = ET.SubElement(node, (_A if node.tag == _A + "tc" else _P) + "txBody")
             ET.SubElement(body, _A + "bodyPr")
         found = [ET.SubElement(ET.SubElement(ET.SubElement(body, _A + "p"), _A + "r"), _A + "t")]
     before = [x.text or "" for x in found]

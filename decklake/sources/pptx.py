@@ -30,8 +30,9 @@ _STYLE = "size_pt:double,bold:boolean,italic:boolean,underline:boolean,strike:bo
 _PARA = "align:string,margin_left_in:double,indent_in:double,space_before_pt:double,space_after_pt:double,line_spacing_pct:double,bullet:struct<type:string,char:string,font:string>"
 _BODY = "body:struct<anchor:string,left:double,right:double,top:double,bottom:double,wrap:string>"
 _RUNS = f"array<struct<run_pos:int,text:string,{_STYLE}>>"
+_CELL_RUNS = f"array<struct<para_pos:int,run_pos:int,text:string,{_STYLE}>>"
 _LEVELS = f"levels:array<struct<level:int,run:struct<{_STYLE}>,para:struct<{_PARA}>>>"
-_CELL = f"row:int,col:int,text:string,row_span:int,grid_span:int,merged:boolean,h_merge:boolean,v_merge:boolean,fill:string,align:string,left:boolean,right:boolean,top:boolean,bottom:boolean,runs:{_RUNS}"
+_CELL = f"row:int,col:int,text:string,row_span:int,grid_span:int,merged:boolean,h_merge:boolean,v_merge:boolean,fill:string,align:string,left:boolean,right:boolean,top:boolean,bottom:boolean,paras:int,runs:{_CELL_RUNS}"
 _SHAPE = (
     f"shape_pos:int,shape_id:string,name:string,kind:string,ph_type:string,ph_idx:string,{_RECT},fill:string,image_path:string,image_digest:string,{_BODY},{_LEVELS},"
     f"paragraphs:array<struct<para_pos:int,level:int,{_PARA},runs:{_RUNS}>>,col_widths:array<bigint>,row_heights:array<bigint>,cells:array<struct<{_CELL}>>"
@@ -206,11 +207,12 @@ def cells(table: ET.Element) -> list[dict]:
             props, text = child(cell, "tcPr"), child(cell, "txBody")
             flag = lambda name, cell=cell: attr(cell, name) in ("1", "true")
             edge = lambda name, props=props: (x := child(props, name)) is not None and child(x, "noFill") is None
-            found = [dict(r, run_pos=n) for n, r in enumerate(r for p in paragraphs(text) for r in p["runs"])]
+            lines = paragraphs(text)
+            found = [dict(r, run_pos=n, para_pos=at) for n, (at, r) in enumerate((p["para_pos"], r) for p in lines for r in p["runs"])]
             out.append(
                 {"row": i, "col": j, "text": text_of(text), "row_span": int(number(cell, "rowSpan") or 1), "grid_span": int(number(cell, "gridSpan") or 1)}
                 | {"h_merge": flag("hMerge"), "v_merge": flag("vMerge"), "merged": flag("hMerge") or flag("vMerge"), "fill": solid(props), "align": attr(child(text, "p", "pPr"), "algn")}
-                | {"left": edge("lnL"), "right": edge("lnR"), "top": edge("lnT"), "bottom": edge("lnB"), "runs": found}
+                | {"left": edge("lnL"), "right": edge("lnR"), "top": edge("lnT"), "bottom": edge("lnB"), "paras": len(lines), "runs": found}
             )
     return out
 
