@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from math import ceil, log
+from math import ceil, inf, log
 
 import numpy as np
 import pandas as pd
@@ -26,9 +26,9 @@ from decklake.llm.simhash import components
 
 #: Words of a shingle, hundredths of shared shingles from which sets are linked, tokens of a sketch, those by which nodes branch, share of pairs at just that
 #: similarity that trees must bring together at depth ``DEPTH``, sets beside a node's largest linked group up to which it is
-#: compared exhaustively, sets of that group in one task's share of it, and steps of two levels
-#: after which all nodes are compared.
-WORDS, SIMILAR, TOKENS, BRANCHING, RECALL, DEPTH, PILE, SHARE, LEVELS = 5, 85, 128, 64, 0.999, 4, 48, 512, 5
+#: compared exhaustively, sets of that group in one task's share of it, and most steps of two
+#: levels; after them, or where a step has not halved the pairs of larger nodes, all nodes are compared.
+WORDS, SIMILAR, TOKENS, BRANCHING, RECALL, DEPTH, PILE, SHARE, LEVELS = 5, 85, 128, 64, 0.999, 4, 192, 512, 16
 #: Hundredths of nodes that branch twice, so that a pair at the threshold has about one common child on average.
 TWICE = 18
 #: Standard deviations that a sketch's agreement may fall short of the threshold.
@@ -290,15 +290,18 @@ def linked(docs: DataFrame, sets: DataFrame, similar: int = SIMILAR, words: int
     starred = stored(verified(likely, wholes(_digests(likely, "a", "b"), docs, sets, words), similar), "minhash-links")
     groups = stored(components(starred).select(F.col("node").alias("digest"), "root"), "minhash-groups")
     level = stored(hot_join(alive.select("node", "digest"), groups, "digest", F.col("node")).select("node", "digest", F.coalesce("root", "digest").alias("comp")), "minhash-level")
-    piles = []
+    piles, work = [], inf
     for depth in range(LEVELS):
         sizes = level.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
         sizes = stored(sizes.where(F.col("n") > F.col("top.n")).select("node", F.col("top.comp").alias("top"), F.col("top.n").alias("major"), (F.col("n") - F.col("top.n")).alias("minor")), "minhash-sizes")
         # rows of a fixed width, so that their count bounds their bytes
-        have = sizes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("minor") > PILE).alias("wide")).first()
+        pairs = F.when(F.col("minor") > PILE, F.col("minor").cast("double") * (F.col("major") + F.col("minor")))
+        have = sizes.agg(F.count(F.lit(1)).alias("nodes"), F.sum(pairs).alias("pairs")).first()
         here = hot_join(level, sizes, "node", F.col("digest"), small=have.nodes <= BROADCAST_ROWS // 2).where("top is not null")
         here = stored(here.select("node", "digest", "comp", (F.col("comp") == F.col("top")).alias("main"), "major", "minor"), "minhash-nodes")
-        last = depth + 1 == LEVELS or not have.wide
+        # nodes whose sets stay together are near misses of each other: branching on would only repeat them
+        last = depth + 1 == LEVELS or not have.pairs or have.pairs > work / 2
+        work = have.pairs
         piles.append(here if last else here.where(F.col("minor") <= PILE))
         if last:
             break
