@@ -121,3 +121,10 @@ CATEGORY_TAGS = {
     "content": ["propernoun-punct", "missing-units"],
     "footnote": ["propernoun-punct"],
 }
+
+#: What a bullet's character means in the fonts of symbols, and what stands for others of them.
+BULLETS = {
+    "wingdings": {"§": "▪", "Ø": "➔", "n": "▪", "l": "●", "u": "◆", "ü": "✓", "Ö": "♦"},
+    "symbol": {"·": "•", "¨": "•"},
+}
+OTHER_BULLET = {"wingdings": "▪", "symbol": "•"}

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from decklake.functions.constants import COLOUR_TOLERANCE, EMU_PER_INCH, PALETTE, SIZE_TOLERANCE_PT, TITLE_WIDTH_IN
+from decklake.functions.constants import BULLETS, COLOUR_TOLERANCE, EMU_PER_INCH, OTHER_BULLET, PALETTE, SIZE_TOLERANCE_PT, TITLE_WIDTH_IN
 
 #: The white space of ECMAScript, inside a character class.
 WHITE = r"\x{9}-\x{D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -131,6 +131,41 @@ def overlap_area(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), across) * F.greatest(F.lit(0.0), down)
 
 
+def fixed(x: Column, digits: int = 2) -> Column:
+    """A number with so many decimals, rounded by its exact binary value, ties away from zero: what is stored as 1.005 is less than that
+    and gives 1.00. Numbers of 1e21 and more, and those that are none, as ECMAScript writes them.
+
+    Whole and fractional part are split without loss; the fraction, as a multiple of 2 ** -62, is multiplied and rounded in integers.
+    """
+    a, scale = F.abs(x), 10**digits
+    whole = F.floor(F.when(a < 2.0**53, a).otherwise(0.0)).cast("bigint")
+    part = ((F.when(a < 2.0**53, a).otherwise(0.0) - whole) * 2.0**62).cast("bigint")
+    high, low = F.shiftright(part, 31), part.bitwiseAND(F.lit(2**31 - 1))
+    cents = F.shiftright(scale * high + 2**30 + F.shiftright(scale * low, 31), 31)
+    carried, rest = whole + F.floor(cents / scale).cast("bigint"), cents % scale
+    big = F.floor(a / 2.0**32)
+    exact = big.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + (a - big * 2.0**32).cast("decimal(10,0)")
+    units = F.when(a < 2.0**53, carried.cast("string")).otherwise(exact.cast("string"))
+    said = F.concat(units, F.lit("."), F.lpad(rest.cast("string"), digits, "0")) if digits else units
+    power = F.regexp_replace(F.regexp_replace(a.cast("string"), r"\.0E", "E"), "E", "e+")
+    said = F.when(F.isnan(x), "NaN").when(a == float("inf"), "Infinity").when(a >= 1e21, power).otherwise(said)
+    return F.when((x < 0) & ~F.isnan(x), F.concat(F.lit("-"), said)).otherwise(said)
+
+
+def bullet_glyph(kind: Column, char: Column, font: Column) -> Column:
+    """What a bullet shows: characters of symbol fonts, in their private range or not, as the signs that they draw; null without a bullet."""
+    code = F.ascii(char)
+    plain = F.when((code >= 0xF000) & (code <= 0xF0FF) & (F.length(char) == 1), F.char((code - 0xF000).cast("bigint"))).otherwise(char)
+
+    def drawn(name: str) -> Column:
+        known = F.create_map(*[F.lit(x) for pair in BULLETS[name].items() for x in pair])
+        return F.coalesce(F.try_element_at(known, plain), F.lit(OTHER_BULLET[name]))
+
+    dot, family = F.lit("•"), F.lower(F.coalesce(font, F.lit("")))
+    shown = F.when(family.contains("wingdings"), drawn("wingdings")).when(family == "symbol", drawn("symbol")).otherwise(char)
+    return F.when(kind == "auto", dot).when(kind == "char", F.when(F.coalesce(char, F.lit("")) == "", dot).otherwise(shown))
+
+
 def cell_rect(rect: Column, widths: Column, heights: Column, row: Column, col: Column, row_span: Column | None = None, grid_span: Column | None = None) -> Column:
     """The rectangle of a table's cell: sums of the columns before it and of the rows above. Spans widen it by the columns and rows
     that there are; unknown sizes count as zero. Null without the table's rectangle, or where the cell is outside its table.

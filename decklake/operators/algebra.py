@@ -109,8 +109,12 @@ def ranked(findings: DataFrame) -> DataFrame:
     return findings.withColumn("rank", F.row_number().over(W.partitionBy("deck_id").orderBy(*order)).cast("long"))
 
 
+def is_primary(least: float = PRIMARY_CONFIDENCE) -> Column:
+    return (F.col("severity") != "info") & (F.col("confidence") >= least)
+
+
 def primary(findings: DataFrame, least: float = PRIMARY_CONFIDENCE) -> DataFrame:
-    return findings.where((F.col("severity") != "info") & (F.col("confidence") >= least))
+    return findings.where(is_primary(least))
 
 
 def actionable(findings: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from decklake.functions import constants as C
 from decklake.functions import scalars as S
 from decklake.operators import aggregates as A
-from decklake.operators.algebra import collapse, first_rows, primary, suppressed
+from decklake.operators.algebra import collapse, first_rows, is_primary, primary, suppressed
 from decklake.operators.cascade import SHAPE, SLIDE, Decks
 from decklake.operators.rules import COLUMNS, fix
 
@@ -33,12 +33,12 @@ def payloads(decks: Decks) -> DataFrame:
     """
     texts = decks.shapes.where((F.col("kind") == "text") & ~F.coalesce(F.col("ph_type"), F.lit("")).isin("ftr", "sldNum") & ~S.is_blank(F.col("text")))
     marked = decks.paragraphs.where(F.col("bullet.type").isin("char", "auto") & ~S.is_blank(F.col("text")))
-    lists = marked.groupBy(*SHAPE).agg(F.array_sort(F.collect_list(F.struct("para_pos", "level", S.trimmed(F.col("text")).alias("text")))).alias("bullets")).where(F.size("bullets") >= 2)
+    lists = marked.groupBy(*SHAPE).agg(F.array_sort(F.collect_list(F.struct("para_pos", "level", S.trimmed(F.col("text")).alias("text"), S.bullet_glyph(F.col("bullet.type"), F.col("bullet.char"), F.col("bullet.font")).alias("glyph")))).alias("bullets")).where(F.size("bullets") >= 2)
     rows = texts.join(lists, list(SHAPE), "left")
     titled = F.col("ph_type").isin("title", "ctrTitle")
     is_title, plain = F.coalesce(titled, F.lit(False)), F.col("bullets").isNull()
     block = F.struct("shape_pos", "name", F.substr(S.trimmed(F.col("text")), F.lit(1), F.lit(BLOCK_CHARS)).alias("text"))
-    listed = F.struct("shape_pos", "name", F.transform("bullets", lambda x: F.struct(x["level"].alias("level"), x["text"].alias("text"))).alias("bullets"))
+    listed = F.struct("shape_pos", "name", F.transform("bullets", lambda x: F.struct(x["level"].alias("level"), x["glyph"].alias("glyph"), x["text"].alias("text"))).alias("bullets"))
     gathered = lambda item, when, most: F.slice(F.array_sort(F.collect_list(F.when(when, item))), 1, most)
     said = rows.groupBy(*SLIDE).agg(
         F.min_by(S.trimmed(F.col("text")), F.when(is_title & (F.col("shape_pos") == F.col("title_pos")), 0)).alias("title"),
@@ -230,10 +230,18 @@ def tag_table(spark: SparkSession, rules: dict[str, str] = C.RULE_TAGS, categori
     return spark.createDataFrame(rows, "rule_id string, tag string")
 
 
-def slide_counts(found: DataFrame, slides: DataFrame) -> DataFrame:
-    """(deck_id, slide_index, errors, warnings, infos, total) of each row of ``slides(deck_id, slide_index)``, zeros included."""
-    each = found.groupBy(*SLIDE).agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in C.SEVERITIES], F.count(F.lit(1)).alias("total"))
-    names = [*(f"{s}s" for s in C.SEVERITIES), "total"]
+def primary_by_slide(found: DataFrame, slide: int | None = None, every: bool = False) -> DataFrame:
+    """The findings that a reader sees: of the primary tier, or all (``every``), of one slide of each deck if it is named."""
+    rows = found if every else primary(found)
+    return rows if slide is None else rows.where(F.col("slide_index") == slide)
+
+
+def slide_counts(found: DataFrame, slides: DataFrame, primary_too: bool = False) -> DataFrame:
+    """(deck_id, slide_index, errors, warnings, infos, total) of each row of ``slides(deck_id, slide_index)``, zeros included, and with
+    ``primary_too`` how many are of the primary tier."""
+    tier = [F.count_if(is_primary()).alias("primary")] if primary_too else []
+    each = found.groupBy(*SLIDE).agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in C.SEVERITIES], F.count(F.lit(1)).alias("total"), *tier)
+    names = [*(f"{s}s" for s in C.SEVERITIES), "total", *(["primary"] if primary_too else [])]
     return slides.select(*SLIDE).join(each, list(SLIDE), "left").select(*SLIDE, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 

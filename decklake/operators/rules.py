@@ -154,7 +154,7 @@ def draft_designator(x: Context) -> DataFrame:
     hits = x.visible.withColumn("word", F.regexp_extract("text", x.settings.draft, 1)).where("word <> ''")
     first = first_rows(hits, SHAPE, ["para_pos", "run_pos"])
     sure = F.when(F.col("slide_kind") == "title", 0.97).otherwise(0.90)
-    return findings(first, "draft-designator", F.concat(F.lit("Draft designator: "), F.col("word")), evidence=F.col("word"), confidence=sure, fixed=fix("text-replace", find=F.col("word"), replacement="", regex=True))
+    return findings(first, "draft-designator", F.concat(F.lit("Draft designator: "), F.col("word")), evidence=F.col("word"), confidence=sure, fixed=fix("text-replace", find=F.concat(F.lit(r"\b"), F.col("word"), F.lit(r"\b\s*")), replacement="", regex=True, ignore_case=True))
 
 
 def _title_slides(x: Context) -> DataFrame:
@@ -190,9 +190,14 @@ def moved(a: str, b: str, names: Sequence[str], inches: float) -> Column:
     return reduce(lambda p, q: p | q, [F.abs(F.col(a)[n] - F.col(b)[n]) > inches * C.EMU_PER_INCH for n in names])
 
 
+def distances(a: str, b: str, names: Sequence[str]) -> Column:
+    """How far apart two rectangles are in the named sides, in inches with two decimals: ``x 0.25, y 0.00``."""
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{n} "), S.fixed(F.abs(F.col(a)[n] - F.col(b)[n]) / C.EMU_PER_INCH)) for n in names])
+
+
 def confidentiality_moved(x: Context) -> DataFrame:
     rows = x.first_footers.where(moved("rect", "footer_rect", "xy", C.FOOTER_MOVED_IN))
-    return findings(rows, "confidentiality-moved", F.lit("The footer is not in its place"), fixed=fix("shape-reposition", rect=F.col("footer_rect")))
+    return findings(rows, "confidentiality-moved", F.concat(F.lit("The footer is not in its place, inches off: "), distances("rect", "footer_rect", "xy")), fixed=fix("shape-reposition", rect=F.col("footer_rect")))
 
 
 def covers(a: Column, b: Column) -> Column:
@@ -278,7 +283,7 @@ def table_title_centered(x: Context) -> DataFrame:
     texts = texts.where((F.length("line") >= 6) & ~F.col("line").endswith(":"))
     best = first_rows(pairs_above(texts, tables, SLIDE, "rect", "t"), [*SLIDE, "table_pos"], [F.col("rect.y").desc(), "shape_pos"])
     bad = best.where(F.abs(S.centre_x(F.col("rect")) - S.centre_x(F.col("t"))) > C.CENTRE_IN * C.EMU_PER_INCH)
-    return findings(bad, "table-title-centered", F.lit("The table's title is not centred over it"), evidence=F.col("line"))
+    return findings(bad, "table-title-centered", F.concat(F.lit("The table's title is not centred over it, inches off: "), S.fixed(F.abs(S.centre_x(F.col("rect")) - S.centre_x(F.col("t"))) / C.EMU_PER_INCH)), evidence=F.col("line"))
 
 
 def off_palette(rows: DataFrame, keys: Sequence[str], cell: Sequence[str], palette: Sequence[str]) -> DataFrame:
@@ -302,7 +307,7 @@ def off_palette_color(x: Context) -> DataFrame:
 
 def title_moved(x: Context) -> DataFrame:
     rows = x.titles.join(A.title_places(x.decks), ["deck_id", "layout_name"]).where(moved("rect", "title_rect", ("x", "y", "cx", "cy"), C.TITLE_MOVED_IN))
-    return findings(rows, "title-moved", F.lit("The title is not in its layout's place"), evidence=F.col("line"))
+    return findings(rows, "title-moved", F.concat(F.lit("The title is not in its layout's place, inches off: "), distances("rect", "title_rect", ("x", "y", "cx", "cy"))), evidence=F.col("line"))
 
 
 def bullet_punct(x: Context) -> DataFrame:

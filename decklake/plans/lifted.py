@@ -125,6 +125,28 @@ def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names(spark, sf_dir).select(F.col("deck_id").alias("conv_id"), F.explode("variants").alias("variant", "n"))
 
 
+@query(
+    rf"""WITH w AS (SELECT source, doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS token, 0 AS pass, 4 AS weight FROM (SELECT *, regexp_extract_all(text, '\b([A-Z][a-zA-Z]{{2,}})[''’]s\b', 1) AS l FROM documents)
+    UNION ALL SELECT source, doc_id, generate_subscripts(l, 1), unnest(l), 1, 1 FROM (SELECT *, regexp_extract_all(text, '\b[A-Z][a-zA-Z]{{2,}}\b') AS l FROM documents)),
+    s AS (SELECT source, token, sum(weight)::BIGINT AS score, min((pass, doc_id, pos)) AS place FROM w WHERE upper(token) NOT IN ({", ".join(f"'{x}'" for x in C.STOP_WORDS)}) GROUP BY ALL),
+    best AS (SELECT source, token FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, place) = 1),
+    v AS (SELECT source, unnest(regexp_extract_all(text, '\b[A-Z][a-zA-Z]{{2,}} [A-Z][a-zA-Z]+')) AS variant FROM documents)
+    SELECT v.source, v.variant, count(*) AS n FROM v JOIN best b ON v.source = b.source AND split_part(v.variant, ' ', 1) = b.token GROUP BY ALL"""
+)
+def name_variants_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each capitalised word follows the dominant one of a source's documents."""
+    words = _read(spark, sf_dir, "documents").select(F.col("source").alias("deck_id"), F.struct("doc_id").alias("place"), "text")
+    return A.names_in(words).select(F.col("deck_id").alias("source"), F.explode("variants").alias("variant", "n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, count(*) AS n, printf('%.2f', (l_partkey * 1000 - l_suppkey * 7000)::DOUBLE / 7) AS moved, printf('%.2f', (l_suppkey * 1000000007)::DOUBLE * 1e6 / 3) AS far FROM lineitem GROUP BY ALL")
+def distances_two_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances with two decimals, by their exact values; none of these is a tie."""
+    moved, far = (F.col("l_partkey") * 1000 - F.col("l_suppkey") * 7000).cast("double") / 7, (F.col("l_suppkey") * 1_000_000_007).cast("double") * 1e6 / 3
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumns({"moved": S.fixed(moved), "far": S.fixed(far)})
+
+
 @query(
     """WITH t AS (SELECT role, trim(text, ' ') AS text, conv_id * 100000 + turn AS place FROM conversations),
     c AS (SELECT role, text, count(*) AS n, min(place) AS place FROM t WHERE text <> '' GROUP BY ALL)
@@ -525,6 +547,17 @@ def counts_by_slide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.slide_counts(_merged(spark, sf_dir), slides)
 
 
+@query(
+    f"""WITH {_FINDINGS}, s AS (SELECT DISTINCT conv_id AS deck_id, ((turn + 1) % 3)::INT AS slide_index FROM conversations)
+    SELECT s.deck_id, s.slide_index, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE severity = 'info') AS infos, count(rule_id) AS total,
+    count(*) FILTER (WHERE severity <> 'info' AND confidence >= 0.6) AS "primary" FROM s LEFT JOIN m ON m.deck_id = s.deck_id AND m.slide_index = s.slide_index GROUP BY ALL"""
+)
+def counts_by_slide_and_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``counts_by_slide``, with the findings of the primary tier."""
+    slides = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("deck_id"), ((F.col("turn") + 1) % 3).cast("int").alias("slide_index")).distinct()
+    return V.slide_counts(_merged(spark, sf_dir), slides, primary_too=True)
+
+
 def _keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Findings with the columns of a place, and decisions: titles' punctuation is accepted, bullets' is rejected."""
     none = F.lit(None).cast("string")
