@@ -9,10 +9,12 @@ purity says so are rejected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decklake.llm.common import hot_join, stored
+from decklake.llm.common import bound, hot_join, stored
 
 #: Rules as (verdict, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -53,34 +55,57 @@ def _next(node: Column, step: Column) -> Column:
     return F.xxhash64(node, step)
 
 
+def _decisions(live: DataFrame) -> DataFrame:
+    """(host, node, line) of the nodes of ``live(host, node, at, steps, pages)`` with more than ``VARIES`` paths below: what becomes of each
+    further place, as long as the node's paths stay together, and of the one at which they part.
+
+    A place's children are counted over all the node's paths, which holds until these part; so a chain of places, be its steps the
+    same everywhere or all variable, takes one round. ``fixed`` are a place's steps that stay where others become wildcards.
+    """
+    rest = F.slice("steps", F.col("at") + 1, F.size("steps"))
+    kids = live.select("host", "node", "pages", F.posexplode(rest).alias("place", "step")).groupBy("host", "node", "place", "step").agg(F.count(F.lit(1)).alias("paths"), F.sum("pages").alias("n"))
+    kids = stored(kids, "url-children")
+    whole = stored(kids.groupBy("host", "node", "place").agg(F.sum("paths").alias("all_paths"), F.sum("n").alias("all")).where((F.col("place") > 0) | (F.col("all_paths") > VARIES)), "url-places")
+    known = hot_join(kids, whole, ["host", "node", "place"], F.col("step")).where("all is not null")
+    star = F.col("step") == "*"
+    heavy = ((F.col("n") - 1) >= SHARE * F.col("all")) | star
+    places = known.groupBy("host", "node", "place").agg(F.first("all_paths").alias("all_paths"), F.count_if(~heavy).alias("light"), F.count_if(heavy & ~star).alias("heavy"), F.max(star).alias("star"), F.collect_set(F.when(heavy, F.col("step"))).alias("fixed"))
+    varies = F.col("light") > VARIES
+    # one child only, once light ones are a wildcard
+    together = (F.col("heavy") + F.when(varies, 0).otherwise(F.col("light")) + (F.col("star") | varies).cast("int") == 1) & (F.col("all_paths") > VARIES)
+    line = places.groupBy("host", "node").agg(F.array_sort(F.collect_list(F.struct("place", together.alias("together"), F.when(varies, F.col("fixed")).alias("fixed")))).alias("line"))
+    parts = F.array_position(F.transform("line", lambda x: x["together"]), False)
+    cut = F.when(parts > 0, F.slice("line", F.lit(1), parts)).otherwise(F.col("line"))
+    # a node whose first place is missing here has few paths
+    return line.where(F.col("line")[0]["place"] == 0).select("host", "node", cut.alias("line"))
+
+
 def templates(paths: DataFrame) -> DataFrame:
     """(host, steps, template) of ``paths(host, steps, pages)``: the steps, those that vary as ``*``.
 
-    Decided level by level, until no node has more than ``VARIES`` paths below it: none of its children can become a wildcard
-    then, so deeper steps stay as they are. A child is light if it has, one page aside, less than ``SHARE`` of its node's pages.
+    Decided from the root down, until no node has more than ``VARIES`` paths below it: none of its children can become a wildcard
+    then, so deeper steps stay as they are. A child is light if it has, one page aside, less than ``SHARE`` of its node's pages. A round
+    takes each node to the place at which its paths part, and only paths of nodes that may still vary go on to the next, so that
+    rounds follow the branches on a path, not its length.
     """
-    at = stored(paths.select("host", "steps", "pages", F.lit(_ROOT).cast("bigint").alias("node"), F.array().cast("array<string>").alias("template")), "url-paths")
-    level = 0
+    live = stored(paths.select("host", "steps", "pages", F.lit(_ROOT).cast("bigint").alias("node"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("template")), "url-paths")
+    done = []
     while True:
-        step = F.get("steps", level)
-        alive = at.where(F.size("steps") > level)
-        kids = alive.groupBy("host", "node", step.alias("step")).agg(F.count(F.lit(1)).alias("paths"), F.sum("pages").alias("n"))
-        kids = stored(kids, "url-children")
-        wide = stored(kids.groupBy("host", "node").agg(F.sum("paths").alias("all_paths"), F.sum("n").alias("all")).where(F.col("all_paths") > VARIES).select("host", "node", "all"), "url-wide")
-        if wide.isEmpty():
+        lines = stored(_decisions(live), "url-decisions")
+        if lines.isEmpty():
+            done.append(live)
             break
-        heavy = ((F.col("n") - 1) >= SHARE * F.col("all")) | (F.col("step") == "*")
-        known = hot_join(kids, wide, ["host", "node"], F.col("step")).where("all is not null")
-        varies = known.groupBy("host", "node").agg(F.count_if(~heavy).alias("light"), F.collect_set(F.when(heavy, F.col("step"))).alias("fixed"))
-        varies = stored(varies.where(F.col("light") > VARIES).select("host", "node", "fixed"), "url-varying")
-        step = F.when(F.col("fixed").isNotNull() & ~F.array_contains("fixed", step), "*").otherwise(step)
-        at = hot_join(at, varies, ["host", "node"], F.col("steps")).withColumn("step", step)
-        here = F.col("step").isNotNull()
-        at = at.withColumns({"node": F.when(here, _next(F.col("node"), F.col("step"))).otherwise(F.col("node")), "template": F.when(here, F.concat("template", F.array("step"))).otherwise(F.col("template"))})
-        at = stored(at.drop("step", "fixed"), "url-paths")
-        level += 1
+        rows = stored(hot_join(live, lines, ["host", "node"], F.col("steps")), "url-paths")
+        done.append(rows.where("line is null"))
+        new = F.transform("line", lambda x: bound(F.get(F.col("steps"), F.col("at") + x["place"]), lambda s: F.when(x["fixed"].isNotNull() & ~F.array_contains(x["fixed"], s), "*").otherwise(s)))
+        rows = rows.where("line is not null").withColumn("new", F.array_compact(new))
+        node = F.aggregate("new", F.col("node"), lambda node, step: _next(node, step))
+        rows = rows.select("host", "steps", "pages", node.alias("node"), (F.col("at") + F.size("new")).alias("at"), F.concat("template", "new").alias("template"))
+        live = stored(rows.where(F.col("at") < F.size("steps")), "url-paths")
+        done.append(rows.where(F.col("at") >= F.size("steps")))
     rest = F.slice("steps", F.size("template") + 1, F.size("steps"))
-    return at.select("host", "steps", F.concat("template", rest).alias("template"))
+    out = [x.select("host", "steps", F.concat("template", rest).alias("template")) for x in done]
+    return reduce(DataFrame.unionByName, out)
 
 
 def _chain(template: Column) -> Column:
@@ -95,12 +120,13 @@ def purities(counted: DataFrame) -> DataFrame:
     From all pages' share down the tree over all hosts, then down the host's own: at each node the counts (merged with those of
     its siblings that are alike) are added to ``WEIGHT`` pages of the parent's purity. Nodes without labels change nothing.
     """
-    counted = stored(counted, "url-counted")
+    counted = stored(counted.withColumn("key", F.sha2(F.to_json(F.struct("host", "template")), 256)), "url-counted")
     every = counted.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     prior = ((every.bad or 0) + 0.5) / ((every.n or 0) + 1.0)
     chain = _chain(F.col("template"))
-    steps = counted.select("host", "template", "n", "bad", F.posexplode(F.arrays_zip(chain, F.concat(F.array(F.lit(None).cast("bigint")), chain))).alias("depth", "at"))
-    steps = stored(steps.select("host", "template", "n", "bad", "depth", F.col("at")["0"].alias("node"), F.col("at")["1"].alias("parent")).where("node is not null"), "url-nodes")
+    # a long template stands in one row, its nodes have its key
+    steps = counted.select("host", "key", "n", "bad", F.posexplode(F.arrays_zip(chain, F.concat(F.array(F.lit(None).cast("bigint")), chain))).alias("depth", "at"))
+    steps = stored(steps.select("host", "key", "n", "bad", "depth", F.col("at")["0"].alias("node"), F.col("at")["1"].alias("parent")).where("node is not null"), "url-nodes")
     trees = []
     for keys in ([], ["host"]):
         nodes = stored(steps.where("n > 0").groupBy(*keys, "node", "parent").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-tree")
@@ -112,14 +138,15 @@ def purities(counted: DataFrame) -> DataFrame:
         kids = hot_join(kids, pool, [*keys, "parent"], F.col("node"))
         one = lambda c: F.when(F.col("alike"), F.col(f"pool_{c}")).otherwise(F.col(c)).alias(c)
         trees.append(stored(kids.select(*keys, "node", F.struct(one("n"), one("bad")).alias("own" if keys else "any")), "url-merged"))
-    found = hot_join(steps.select("host", "template", "depth", "node"), trees[0], "node", F.struct("host", "template"))
-    found = hot_join(stored(found, "url-found"), trees[1], ["host", "node"], F.col("template"))
-    lines = found.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", "any", "own"))).alias("line"))
+    found = hot_join(steps.select("host", "key", "depth", "node"), trees[0], "node", F.col("key"))
+    found = hot_join(stored(found, "url-found"), trees[1], ["host", "node"], F.col("key"))
+    lines = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("depth", "any", "own"))).alias("line"))
 
     def down(p: Column, name: str) -> Column:
         return F.aggregate("line", p, lambda p, x: F.when(x[name].isNull(), p).otherwise((x[name]["bad"] + WEIGHT * p) / (x[name]["n"] + WEIGHT)))
 
-    return lines.select("host", "template", down(down(F.lit(prior), "any"), "own").alias("purity"))
+    purity = lines.select("key", down(down(F.lit(prior), "any"), "own").alias("purity"))
+    return counted.select("key", "host", "template").join(purity, "key").drop("key")
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:

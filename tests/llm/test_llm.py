@@ -527,6 +527,29 @@ def test_url_tree_is_brute_force(spark):
     assert len({t for _, t, _ in want.values() if "*" in t}) > 3 and want[len(urls) - 1][1] == "/item/best/reviews" and want[len(urls) - 30][1] == "/item/*/reviews"
 
 
+def jobs_of(spark, run):
+    """What ``run`` gives, and the Spark jobs that it took."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("kind", ["random", "shared", "shorter and shorter"])
+def test_crawler_traps_take_few_rounds(spark, kind):
+    random.seed(21)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    trap = {"random": [[word() for _ in range(1_000)] for _ in range(20)], "shared": [[*["same"] * 999, word()] for _ in range(20)], "shorter and shorter": [["next"] * (1_000 - 7 * i) for i in range(20)]}[kind]
+    given = [(i, "http://trap.org/" + "/".join(t)) for i, t in enumerate(trap)]
+    began = time.time()
+    got, jobs = jobs_of(spark, lambda: {r.page_id: r.template for r in url_filter.judged(spark.createDataFrame(given, "page_id long, url string")).collect()})
+    assert jobs < 200 and time.time() - began < 120
+    want = {"random": ["*"] * 1_000, "shared": [*["same"] * 999, "*"]}
+    assert got == {i: "/" + "/".join(want.get(kind, t)) for i, t in enumerate(trap)}
+
+
 # --- BPE
 
 
