@@ -19,8 +19,9 @@ from decklake.llm.license_texts import TEMPLATES
 
 #: Phrases whose places count as base finds, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Words of a k-gram, most steps between diagonals that merge, and the least share of a template's k-grams.
-K, MERGE, LEAST_SHARE = 3, 2, 0.6
+#: Words of a k-gram, most steps between diagonals that merge, the least share of a template's k-grams, and their least number (of
+#: shorter templates all).
+K, MERGE, LEAST_SHARE, LEAST_GRAMS = 3, 2, 0.6, 6
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -123,7 +124,7 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHR
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("copies").alias("copies"))
         .withColumn("share", F.col("held") / F.col("grams"))
     )
-    verified = F.col("template").isNotNull() & (F.col("share") >= LEAST_SHARE)
+    verified = F.col("template").isNotNull() & (F.col("share") >= LEAST_SHARE) & (F.col("held") >= F.least(F.col("grams"), F.lit(LEAST_GRAMS)))
     span = F.when(verified, F.struct("label", F.col("lo").alias("first"), (F.col("hi") + k - 1).alias("last"), "share"))
     out = merged.groupBy(*key).agg(F.array_sort(F.collect_list(span)).alias("spans"), F.sum("copies").cast("int").alias("copies"))
     labels = F.array_sort(F.array_union("base_set", F.array_distinct(F.col("spans.label"))))

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decklake.llm.common import scratch, small_side, stored
+from decklake.llm.common import hot_join, scratch, stored
 
 #: Least bytes of a payload for which revisits are written, bytes of an archive, widest gap between ranges that
 #: are read together, and most bytes of one read.
@@ -109,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     digested = pages.select("page_id", "url", "html", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).alias("bytes"))
     many = digested.where(F.col("bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
     many = stored(many.where("n > 1 and last_id is not null").drop("n"), "warc-copies")
-    marked = digested.join(small_side(many), "payload_digest", "left").withColumn("again", F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id")))
+    marked = hot_join(digested, many, "payload_digest", F.struct("page_id", "url")).withColumn("again", F.col("last_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last_id")))
     marked = marked.select("page_id", "url", F.when(~F.col("again"), F.col("html")).alias("html"), "payload_digest", F.when(F.col("again"), "revisit").otherwise("response").alias("record_type"), F.when(F.col("again"), F.col("last_id")).alias("refers_to"))
     return stored(marked.mapInArrow(write, INDEX), "warc-index")
 
@@ -163,5 +163,6 @@ def archived(pages: DataFrame) -> DataFrame:
     found = stored(found.select("page_id", "record_type", "refers_to", F.col("payload_digest").alias("named"), F.octet_length("payload").cast("long").alias("own_bytes"), sha1("payload").alias("own_digest")), "warc-read")
     last = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("own_digest").alias("named"))
     last = last.agg(F.max("own_bytes").alias("last_bytes")).where("refers_to is not null").withColumn("last_digest", F.col("named"))
-    out = found.join(small_side(last.join(found.where("record_type = 'revisit'").select("refers_to").distinct(), "refers_to", "left_semi")), ["refers_to", "named"], "left")
+    last = stored(last.join(found.where("record_type = 'revisit'").select("refers_to").distinct(), "refers_to", "left_semi"), "warc-responses")
+    out = hot_join(found, last, ["refers_to", "named"], F.col("page_id"))
     return out.select("page_id", F.coalesce("own_bytes", "last_bytes").alias("payload_bytes"), F.coalesce("own_digest", "last_digest").alias("payload_digest"), "record_type", "refers_to")

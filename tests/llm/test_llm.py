@@ -277,8 +277,10 @@ def slow_licenses(text, k=license_scan.K):
                 bands.append(set())
             bands[-1] |= votes[d]
             last = d
-        share = max((len(b) / (len(known) - k + 1) for b in bands), default=0.0)
-        if share >= license_scan.LEAST_SHARE:
+        held, grams = max(map(len, bands), default=0), len(known) - k + 1
+        share = held / grams
+        # short templates must stand whole, others with a number of k-grams that no mention has
+        if share >= license_scan.LEAST_SHARE and held >= min(grams, license_scan.LEAST_GRAMS):
             labels.add(label)
             best = max(best, share)
     for phrase, label in license_scan.PHRASES.items():
@@ -288,6 +290,13 @@ def slow_licenses(text, k=license_scan.K):
     return ",".join(sorted(labels)), best
 
 
+def test_mentions_are_no_licenses(spark):
+    said = ["The report was released under the MIT Press imprint last year.", "Released under the MIT imprint, as is usual.", "This is released under the MIT license."]
+    short = [("mit", "Released under the MIT license.")]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.licenses(docs(spark, *enumerate(said)), short).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("mit", 1.0)}
+
+
 def test_licenses_are_brute_force(spark, tmp_path):
     random.seed(9)
     texts = ["KIND OF WORK: " + license_scan.TEMPLATES[2][1].upper(), "MIT LICENSE", None]
@@ -631,6 +640,14 @@ def test_warc(spark):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_of_one_content_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr("decklake.llm.common.is_small", lambda *a, **b: False)
+    big = "x" * 1_500
+    pages = spark.range(3_000).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), F.when(F.col("id") % 3 > 0, F.lit(big)).otherwise(F.concat(F.lit(big), F.col("id"))).alias("html"))
+    got = warc.archived(pages.repartition(4)).groupBy("record_type", "refers_to").count().collect()
+    assert {(r.record_type, r.refers_to): r["count"] for r in got} == {("response", None): 1_001, ("revisit", 2_999): 1_999}
+
+
 def test_warc_selected_ranges(spark):
     folder = warc.scratch(spark, "warc-test")
     pages = spark.createDataFrame([(i, f"http://h/{i}\r\n é%0A", f"<p>{i}</p>") for i in range(50)], "page_id long, url string, html string").repartition(3)
