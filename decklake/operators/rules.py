@@ -98,7 +98,8 @@ def findings(rows: DataFrame, rule: str, detail: Column, *, evidence: Column | N
     category, usual, sure = C.RULES[rule]
     has = lambda name, kind: F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
     order = list(C.RULES).index(rule)
-    place = F.coalesce(has("shape_pos", "bigint"), F.lit(0)) * 1_000_000 + F.coalesce(has("row", "bigint"), F.lit(0)) * 1_000 + F.coalesce(has("col", "bigint"), F.lit(0))
+    # rule, shape, row and column, in 5, 20, 20 and 18 bits
+    place = F.coalesce(has("shape_pos", "bigint"), F.lit(0)) * 2**38 + F.coalesce(has("row", "bigint"), F.lit(0)) * 2**18 + F.coalesce(has("col", "bigint"), F.lit(0))
     none = F.lit(None).cast("string")
     return rows.select(
         "deck_id",
@@ -116,7 +117,7 @@ def findings(rows: DataFrame, rule: str, detail: Column, *, evidence: Column | N
         has("row", "int").alias("row"),
         has("col", "int").alias("col"),
         (F.lit(None) if fixed is None else fixed).cast(_FIX).alias("fix"),
-        (F.lit(order).cast("bigint") * 1_000_000_000_000 + place).alias("emit_ord"),
+        (F.lit(order).cast("bigint") * 2**58 + place).alias("emit_ord"),
     )
 
 
@@ -344,12 +345,12 @@ RULES: dict[str, Callable[[Context], DataFrame]] = {
 
 
 def check(decks: Decks, settings: Settings | None = None, rules: Sequence[str] | None = None, jobs: int = 4) -> DataFrame:
-    """The findings of all rules (or those named), as a table held with the decks'. A rule whose query can't be built is left
+    """The findings of all rules (or those named, which prepare only the tables that they read), as a table held with the decks'. A rule whose query can't be built is left
     out with a warning. Rules are queried in ``jobs`` jobs at once, as many small plans are sooner made than a large one."""
     context = Context(decks, settings or Settings())
     found = []
-    decks.prepare(jobs)
-    context.footer_shapes  # noqa: B018 once, before jobs that share it
+    if rules is None:
+        decks.prepare(jobs)
     for name in rules or RULES:
         try:
             found.append(RULES[name](context))

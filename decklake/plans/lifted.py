@@ -17,7 +17,7 @@ from decklake.operators import aggregates as A
 from decklake.operators import fixes as X
 from decklake.operators import review as V
 from decklake.operators import rules as R
-from decklake.operators.algebra import coalesced, collapse, mode_of, outliers, primary, prioritised, ranked, summary, suppressed
+from decklake.operators.algebra import coalesced, collapse, mode_of, outliers, primary, prioritised, prioritised_in, ranked, summary, suppressed
 from decklake.operators.spatial import touching
 
 #: White space as a pattern of both engines.
@@ -361,6 +361,22 @@ def prioritised_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prioritised(shapes, places, [], "t", "i", "pos").select("p_partkey", F.coalesce("tier", F.lit(4)).alias("tier"), F.coalesce("pos", F.lit(-1)).alias("pos"))
 
 
+@query(
+    """WITH ph AS (SELECT n_regionkey AS layout, n_nationkey AS pos, nullif(n_nationkey % 3, 0) AS t, nullif(n_nationkey % 7, 0) AS i FROM nation),
+    s AS (SELECT p_partkey, p_partkey % 7 AS layout, nullif(p_partkey % 4, 0) AS t, nullif(p_partkey % 9, 0) AS i FROM part)
+    SELECT p_partkey, ph.pos FROM s LEFT JOIN ph ON s.layout = ph.layout AND (s.t IS NOT DISTINCT FROM ph.t OR (s.i IS NOT NULL AND s.i = ph.i))
+    QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN ph.pos IS NULL THEN 4 WHEN s.t IS NOT DISTINCT FROM ph.t AND s.i IS NOT DISTINCT FROM ph.i THEN 1 WHEN s.t IS NOT DISTINCT FROM ph.t THEN 2 ELSE 3 END, ph.pos) = 1"""
+)
+def prioritised_match_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As decks match placeholders: the layout's stand in the shape's row, as an array."""
+    nation = _read(spark, sf_dir, "nation")
+    holder = F.struct(F.col("n_nationkey").alias("pos"), F.nullif(F.col("n_nationkey") % 3, F.lit(0)).cast("long").alias("ph_type"), F.nullif(F.col("n_nationkey") % 7, F.lit(0)).cast("long").alias("ph_idx"))
+    layouts = nation.groupBy(F.col("n_regionkey").cast("long").alias("layout")).agg(F.array_sort(F.collect_list(holder)).alias("places"))
+    shapes = _read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7).alias("layout"), F.nullif(F.col("p_partkey") % 4, F.lit(0)).alias("t"), F.nullif(F.col("p_partkey") % 9, F.lit(0)).alias("i"))
+    best = prioritised_in(F.col("places"), F.col("t"), F.col("i"))
+    return shapes.join(layouts, "layout", "left").select("p_partkey", best["pos"].cast("long").alias("pos"))
+
+
 @query(
     """SELECT p_partkey, coalesce(CASE WHEN p_partkey % 7 = 1 THEN p_size END, b.size, t.size, CASE WHEN p_partkey % 3 = 0 THEN 12 END, 18)::BIGINT AS size
     FROM part LEFT JOIN (SELECT p_brand, max(p_size) AS size FROM part WHERE p_partkey % 5 = 0 AND p_size > 48 GROUP BY 1) b USING (p_brand)
@@ -609,6 +625,43 @@ def inferred_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_inferred(spark, sf_dir).select("deck_id", "slide_index", "rule_id", F.col("inferred.kind").alias("kind"), F.col("inferred.replacement").alias("replacement"))
 
 
+#: Rules that imply a fix, and one that doesn't.
+_IMPLY = ("draft-designator", "confidentiality-modified", "confidentiality-missing", "confidentiality-moved", "font-family", "title-size", "title-bold", "title-punct", "title-lines", "off-palette-color", "table-font-consistency", "table-side-border", "table-statsrow-color", "bullet-punct", "term-percentile", "term-tgt", "term-incumbent", "term-company-name", "confidentiality-overlap")
+
+
+@query(
+    rf"""WITH pal AS (SELECT * FROM (VALUES {_PALETTE_SQL}) AS p(pos, hex, r, g, b)),
+    f AS (SELECT o_orderkey AS k, ([{", ".join(f"'{x}'" for x in _IMPLY)}])[o_orderkey % 19 + 1] AS rule, o_orderkey % 60 AS deck, o_orderkey % 5 AS slide, o_orderkey % 4 <> 0 AS placed, o_orderkey % 3 = 0 AS cell, o_orderkey % 7 <> 0 AS said, o_orderkey % 2 = 0 AS sized,
+      o_orderkey * 37 % 256 AS r, o_orderkey * 101 % 256 AS g, o_orderkey * 53 % 256 AS b FROM orders),
+    near AS (SELECT k, hex FROM f, pal WHERE rule = 'off-palette-color' QUALIFY row_number() OVER (PARTITION BY k ORDER BY (f.r - pal.r) ^ 2 + (f.g - pal.g) ^ 2 + (f.b - pal.b) ^ 2, pos) = 1),
+    m AS (SELECT f.*, hex, CASE WHEN rule = 'draft-designator' AND placed AND said THEN 'text-replace' WHEN rule = 'confidentiality-modified' AND placed AND deck % 4 <> 0 THEN 'title-rewrite' WHEN rule = 'confidentiality-missing' AND deck % 4 <> 0 AND deck % 3 <> 0 THEN 'ensure-footer'
+      WHEN rule = 'confidentiality-moved' AND placed AND deck % 3 <> 0 THEN 'shape-reposition' WHEN rule = 'font-family' AND placed THEN 'font-family-set' WHEN rule = 'title-size' AND placed THEN 'font-size-set' WHEN rule = 'title-bold' AND placed THEN 'font-bold-set'
+      WHEN rule = 'title-punct' AND slide % 3 <> 0 THEN 'title-rewrite' WHEN rule = 'title-lines' AND slide % 3 <> 0 THEN 'ai-rewrite' WHEN rule = 'off-palette-color' AND placed AND said THEN 'color-set' WHEN rule = 'table-font-consistency' AND placed AND cell AND sized THEN 'font-size-set'
+      WHEN rule = 'table-side-border' AND placed THEN 'border-remove' WHEN rule = 'table-statsrow-color' AND placed AND cell THEN 'row-fill-set' WHEN rule = 'bullet-punct' AND placed THEN 'text-replace' WHEN rule IN ('term-percentile', 'term-tgt') THEN 'deck-replace'
+      WHEN rule IN ('term-incumbent', 'term-company-name') AND placed THEN 'text-replace' END AS kind FROM f LEFT JOIN near USING (k))
+    SELECT k AS o_orderkey, rule AS rule_id, kind, CASE WHEN kind IS NULL THEN NULL WHEN rule = 'draft-designator' THEN '{C.DRAFT}' || '\s*' WHEN rule = 'bullet-punct' THEN '[.;]\s*$' WHEN rule = 'off-palette-color' THEN printf('%02X%02X%02X', r, g, b)
+      {" ".join(f"WHEN rule = '{t[0]}' THEN '{t[3]}'" for t in C.TERMS)} END AS find,
+      CASE WHEN kind IS NULL THEN NULL WHEN rule IN ('draft-designator', 'bullet-punct') THEN '' WHEN rule IN ('confidentiality-modified', 'confidentiality-missing') THEN 'Footer ' || deck WHEN rule = 'font-family' THEN 'Calibri' WHEN rule = 'title-punct' THEN 'Title ' || slide
+      {" ".join(f"WHEN rule = '{t[0]}' THEN '{t[4]}'" for t in C.TERMS)} END AS replacement,
+      CASE WHEN kind = 'font-size-set' THEN CASE rule WHEN 'title-size' THEN 24.0 ELSE 11.5 END END::DOUBLE AS value, CASE WHEN kind = 'color-set' THEN hex WHEN kind = 'row-fill-set' THEN '{C.STATS_FILL}' END AS color,
+      coalesce(kind IN ('ensure-footer', 'shape-reposition'), false) AS placed FROM m"""
+)
+def implied_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fix that a finding of each rule implies, with and without what it needs: a shape, a cell, a title, a footer, a colour, a size."""
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    colour = F.concat(F.lit("#"), *[F.lpad(F.hex((k * m) % 256), 2, "0") for m in (37, 101, 53)])
+    cell = F.when(k % 3 == 0, 1).cast("int")
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", text(k % 60).alias("deck_id"), (k % 5).cast("int").alias("slide_index"), F.element_at(F.array(*map(F.lit, _IMPLY)), (k % 19 + 1).cast("int")).alias("rule_id"), F.when(k % 4 != 0, "2").alias("shape_id"), cell.alias("row"), cell.alias("col"))
+    rows = rows.withColumns({"evidence": F.when(k % 7 != 0, colour), "suggestion": F.when(k % 2 == 0, "Use 11.5 pt").otherwise("Use less")})
+    decks = rows.select("deck_id", F.col("deck_id").cast("int").alias("n")).distinct()
+    rect = F.struct(*[F.lit(1.0).alias(x) for x in ("x", "y", "cx", "cy")])
+    footers = decks.select("deck_id", F.when(F.col("n") % 4 != 0, F.concat(F.lit("Footer "), F.col("deck_id"))).alias("footer"), F.when(F.col("n") % 3 != 0, rect).alias("footer_rect"))
+    titles = rows.select("deck_id", "slide_index").distinct().where("slide_index % 3 <> 0").withColumn("title", F.concat(F.lit("Title "), text(F.col("slide_index")), F.lit(".;")))
+    out = X.inferred(rows, titles, footers, decks.select("deck_id", F.lit("Globex").alias("client_name"))).select("o_orderkey", "rule_id", "inferred.*")
+    return out.select("o_orderkey", "rule_id", "kind", "find", "replacement", "value", "color", F.col("rect").isNotNull().alias("placed"))
+
+
 @query(f"WITH {_INFERRED} SELECT deck_id, slide_index, rule_id, title AS before, after FROM fixes WHERE kind = 'title-rewrite'")
 def fix_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles before and after their fix."""
