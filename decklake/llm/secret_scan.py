@@ -22,7 +22,7 @@ ACCESS = r"(AKIA[A-Z0-9]{12,})"
 HEX = r"([0-9a-f]{32,})"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = r"([A-Za-z0-9+/_=-]{20,})"
+RUN = r"([A-Za-z0-9+/_=-]{16,})"
 #: Documents whose strings train the models (about so many, chosen by a hash of their ids), the weights of the
 #: uniform distribution in the random model and of single characters in the ordinary one, and the log-likelihood ratio that a secret needs, whole and by character.
 TRAINING_DOCS, RANDOM_WEIGHT, ORDINARY_WEIGHT, LEAST_RATIO, LEAST_MEAN = 8_000, 65.0, 1.0, 12.0, 0.5
@@ -110,7 +110,7 @@ def train(docs: DataFrame, sample: int = TRAINING_DOCS) -> list[float]:
 def with_secrets(docs: DataFrame, ratios: list[float] | None = None, column: str = "secrets") -> DataFrame:
     """``docs`` with an array column of secrets: kind, start, end (code points, end exclusive), by start then kind.
 
-    Kind ``markov`` marks strings of 20 or more characters with a letter and a digit, in what base spans leave of a
+    Kind ``markov`` marks strings of 16 or more characters with a letter, in what base spans leave of a
     text, whose ratio is high enough. Null and empty texts have none; repeated rows stay; other columns pass. The time grows
     with the length of a text, however long a string is or many secrets there are.
     """
@@ -121,7 +121,7 @@ def with_secrets(docs: DataFrame, ratios: list[float] | None = None, column: str
 
     def random(span: Column) -> Column:
         value = span["value"]
-        return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (_ratio(value, table) >= F.greatest(F.lit(LEAST_RATIO), F.length(value) * LEAST_MEAN))
+        return value.rlike("[A-Za-z]") & (_ratio(value, table) >= F.greatest(F.lit(LEAST_RATIO), F.length(value) * LEAST_MEAN))
 
     out = docs.withColumn(base, base_spans(text))
     rest = F.when(F.size(base) > 0, _filled(text, F.col(base), lambda c: F.repeat(F.lit(" "), c["width"]))).otherwise(text)

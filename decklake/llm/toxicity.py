@@ -18,7 +18,7 @@ from decklake.llm.common import small_side, stored, whole_text
 
 #: Absolute discount; documents that must hold a word for its pairs to count; test statistic from which an n-gram is
 #: kept (chi-square, 0.001); labelled rows that fit the scale.
-DISCOUNT, CUTOFF, GAIN, SCALE_ROWS = 0.75, 4, 10.83, 20_000
+DISCOUNT, CUTOFF, GAIN, SCALE_ROWS = 0.75, 2, 10.83, 20_000
 _LOW = 0xFFFFFFFF
 
 
