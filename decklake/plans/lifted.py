@@ -364,7 +364,7 @@ def prioritised_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH ph AS (SELECT n_regionkey AS layout, n_nationkey AS pos, nullif(n_nationkey % 3, 0) AS t, nullif(n_nationkey % 7, 0) AS i FROM nation),
     s AS (SELECT p_partkey, p_partkey % 7 AS layout, nullif(p_partkey % 4, 0) AS t, nullif(p_partkey % 9, 0) AS i FROM part)
-    SELECT p_partkey, ph.pos FROM s LEFT JOIN ph ON s.layout = ph.layout AND (s.t IS NOT DISTINCT FROM ph.t OR (s.i IS NOT NULL AND s.i = ph.i))
+    SELECT p_partkey, coalesce(ph.pos, -1) AS pos FROM s LEFT JOIN ph ON s.layout = ph.layout AND (s.t IS NOT DISTINCT FROM ph.t OR (s.i IS NOT NULL AND s.i = ph.i))
     QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN ph.pos IS NULL THEN 4 WHEN s.t IS NOT DISTINCT FROM ph.t AND s.i IS NOT DISTINCT FROM ph.i THEN 1 WHEN s.t IS NOT DISTINCT FROM ph.t THEN 2 ELSE 3 END, ph.pos) = 1"""
 )
 def prioritised_match_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,7 +374,7 @@ def prioritised_match_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     layouts = nation.groupBy(F.col("n_regionkey").cast("long").alias("layout")).agg(F.array_sort(F.collect_list(holder)).alias("places"))
     shapes = _read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7).alias("layout"), F.nullif(F.col("p_partkey") % 4, F.lit(0)).alias("t"), F.nullif(F.col("p_partkey") % 9, F.lit(0)).alias("i"))
     best = prioritised_in(F.col("places"), F.col("t"), F.col("i"))
-    return shapes.join(layouts, "layout", "left").select("p_partkey", best["pos"].cast("long").alias("pos"))
+    return shapes.join(layouts, "layout", "left").select("p_partkey", F.coalesce(best["pos"], F.lit(-1)).cast("int").alias("pos"))
 
 
 @query(
