@@ -90,7 +90,8 @@ def chunked(found: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def plan_prompts(found: DataFrame, decks: Decks, names: DataFrame) -> DataFrame:
-    """(deck_id, chunk, prompt): the findings of each chunk with their deck's slides, all bounded, as JSON."""
+    """(deck_id, chunk, prompt): the findings of each chunk with their slides, all bounded, as JSON. Slides of other chunks stay out, so that a
+    deck's prompts grow with it, not with its square."""
     cut = lambda text, n: F.substr(text, F.lit(1), F.lit(n))
     shape = F.struct("shape_pos", F.col("shape_id").alias("id"), "name", "ph_type", cut(F.col("text"), TEXT_CHARS).alias("text"))
     slides = decks.shapes.groupBy(*SLIDE).agg(F.slice(F.array_sort(F.collect_list(shape)), 1, SHAPES).alias("shapes"))
@@ -99,6 +100,7 @@ def plan_prompts(found: DataFrame, decks: Decks, names: DataFrame) -> DataFrame:
     item = F.struct("slide_index", "emit_ord", "finding_key", "rule_id", "category", "severity", "detail", "evidence", "suggestion", "shape_id", "row", "col")
     asked = finding_key(chunked(found)).groupBy("deck_id", "chunk").agg(F.array_sort(F.collect_list(item)).alias("findings"))
     rows = asked.join(slides, "deck_id", "left").join(names.select("deck_id", "client_name"), "deck_id", "left")
+    rows = rows.withColumn("slides", F.filter("slides", lambda s: F.array_contains(F.col("findings.slide_index"), s["slide_index"])))
     return rows.select("deck_id", "chunk", F.to_json(F.struct("client_name", F.array(*map(F.lit, KINDS)).alias("kinds"), "slides", "findings")).alias("prompt"))
 
 
