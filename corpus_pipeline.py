@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decklake.llm.bpe import decode, encode, read_ranks
-from decklake.llm.common import stored, table
+from decklake.llm.common import small_batches, stored, table
 from decklake.llm.decontaminate import decontaminated
 from decklake.llm.quality import good
 from decklake.llm.secret_scan import redacted, with_secrets
@@ -16,11 +16,14 @@ from decklake.llm.simhash import drop_near_duplicates
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words of a shingle, and bits in which the fingerprints of linked texts differ at most.
 SHINGLE_WORDS, RADIUS = 5, 2
+#: Bytes of whole texts that a Python worker holds at once; workers serve all stages and keep what they once took.
+BATCH_BYTES = 4 << 20
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Null texts are judged as empty; repeated rows stay or go together;
     without labels of both classes all stay."""
+    small_batches(spark, BATCH_BYTES)
     return good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -28,11 +31,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each near-duplicate group stays, the smallest doc_id: texts are linked if their SimHash fingerprints
     over five-word shingles differ in two bits or fewer. Null texts are empty; empty texts are copies of each other; rows that repeat an
     id and a text count once."""
+    small_batches(spark, BATCH_BYTES)
     return drop_near_duplicates(docs, RADIUS, SHINGLE_WORDS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go. Null texts have none; repeated rows stay or go together."""
+    small_batches(spark, BATCH_BYTES)
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
