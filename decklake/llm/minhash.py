@@ -5,8 +5,8 @@ root; a node picks one or two places of the sketch by its own hash, and a set go
 stay together about as often as they are alike, and unlike ones part. Nodes of few sets are compared exhaustively, by sketches
 first and by whole sets for those that may be near; others branch again. Independent trees are as many as the wanted recall needs.
 
-Groups of near copies would branch for long. So nodes are stars at first: each set is verified against its node's least one, and
-a node whose sets are all linked already has nothing more to say, as only reachability counts.
+Groups of near copies would branch for long. So nodes are stars at first: each set is verified against its node's centre, one of its
+sets that the node's hash picks, and a node whose sets are all linked already has nothing more to say, as only reachability counts.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from decklake.llm.common import BROADCAST_ROWS, hot_join, small_batches, small_side, stored, whole_text
 from decklake.llm.simhash import components
 
-#: Words of a shingle, hundredths of shared shingles from which sets are linked, tokens of a sketch, those by which nodes branch, share of pairs at just that
-#: similarity that trees must bring together at depth ``DEPTH``, sets beside a node's largest linked group up to which it is
-#: compared exhaustively, sets of that group in one task's share of it, and most steps of two
-#: levels; after them, or where a step has not halved the pairs of larger nodes, all nodes are compared.
+#: Words of a shingle; hundredths of shared shingles from which sets are linked; tokens of a sketch, and those by which nodes
+#: branch; share of pairs at just that similarity that trees must bring together at depth ``DEPTH``; sets beside a node's largest
+#: linked group up to which it is compared exhaustively; sets of that group in one share of it; and most steps of two levels:
+#: after them, or where a step has not halved the pairs of larger nodes, all nodes are compared.
 WORDS, SIMILAR, TOKENS, BRANCHING, RECALL, DEPTH, PILE, SHARE, LEVELS = 5, 85, 128, 64, 0.999, 4, 192, 512, 16
 #: Hundredths of nodes that branch twice, so that a pair at the threshold has about one common child on average.
 TWICE = 18
