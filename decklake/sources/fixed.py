@@ -8,7 +8,6 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa

@@ -19,10 +19,10 @@ from decklake.operators.rewrites import rewritten
 from decklake.operators.rules import check, fix
 from decklake.sources.answers import asked
 from decklake.sources.build import deck, picture, shape
-from decklake.sources.fixed import apply_all, pattern_of, write_fixes
+from decklake.sources.fixed import apply_all, pattern_of
 from decklake.sources.media import data_url, media_parts, pictures, with_media
 from decklake.sources.pptx import deck_rows
-from decklake.sources.sink import fixed_name, save_decks, save_json, write_files
+from decklake.sources.sink import fixed_name, save_json, write_files
 
 BOX = (0, 0, 900, 900)
 FILES = "path string, length long, content binary"
