@@ -1,13 +1,10 @@
 """Fixes on nested rows against the same fixes written to files that are scanned again."""
 
-import pytest
-from pyspark.sql import functions as F
-
 from decklake.functions.constants import CANONICAL_FOOTER
 from decklake.operators.cascade import Decks
 from decklake.operators.patch import patched, previewed
 from decklake.operators.review import finding_key, fix_plan, merged
-from decklake.operators.rules import check, fix
+from decklake.operators.rules import _FIX, check
 from decklake.sources.build import deck, shape, table
 from decklake.sources.fixed import write_fixes
 from decklake.sources.pptx import deck_rows
@@ -34,13 +31,11 @@ def both_ways(spark, files, plan):
     return {r.deck_id: as_dict(r) for r in patched(rows, plan).collect()}, {r.deck_id: as_dict(r) for r in again.collect()}
 
 
-def plan_of(spark, *fixes):
-    """A plan of (slide, shape, row, col, fix) of deck ``d``."""
-    rows = None
-    for at, (slide, shape_id, row, col, made) in enumerate(fixes, 1):
-        one = spark.createDataFrame([("d", at, f"r{at}", slide, f"ppt/slides/slide{slide}.xml", shape_id, row, col)], PLAN).withColumn("fix", fix(**made | ({"rect": F.struct(*[F.lit(v).alias(n) for n, v in made["rect"].items()])} if "rect" in made else {})))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+def plan_of(spark, **decks):
+    """A plan of (slide, shape, row, col, fix) for decks by name."""
+    none = dict.fromkeys(("find", "replacement", "value", "color", "regex", "ignore_case", "deck_wide", "rect"))
+    rows = [(name, at, f"r{at}", slide, f"ppt/slides/slide{slide}.xml", shape_id, row, col, none | made) for name, fixes in decks.items() for at, (slide, shape_id, row, col, made) in enumerate(fixes, 1)]
+    return spark.createDataFrame(rows, f"{PLAN}, fix struct<kind:string,{_FIX.partition('kind:string,')[2]}")
 
 
 PLACE = {"x": 11.5, "y": 20.2, "cx": 300.0, "cy": 41.0}
@@ -68,10 +63,18 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("case", CASES)
-def test_patched_rows_are_those_of_fixed_files(spark, case):
-    got, want = both_ways(spark, files_of(spark, d=mixed(), other=clean()), plan_of(spark, *CASES[case]))
-    assert got == want
+def test_patched_rows_are_those_of_fixed_files(spark):
+    files = files_of(spark, **{case: mixed() for case in CASES}, other=clean())
+    got, want = both_ways(spark, files, plan_of(spark, **CASES))
+    before = want_unfixed(spark)
+    for case in CASES:
+        assert got[case] == want[case] != before, case
+    assert got["other"] == want["other"]
+
+
+def want_unfixed(spark):
+    (row,) = deck_rows(files_of(spark, d=mixed())).collect()
+    return as_dict(row)
 
 
 def test_preview_then_rules_is_write_scan_rules(spark):
@@ -88,7 +91,7 @@ def test_preview_then_rules_is_write_scan_rules(spark):
 
 def test_bad_fixes_leave_rows_alone(spark):
     files = files_of(spark, d=mixed())
-    plan = plan_of(spark, (1, "2", None, None, dict(kind="text-replace", find="(", replacement="x", regex=True)), (1, "2", None, None, dict(kind="text-replace", replacement="x")), (1, "2", None, None, dict(kind="font-size-set")), (1, "3", None, None, dict(kind="shape-reposition")), (1, "2", None, None, dict(kind="title-rewrite")))
+    plan = plan_of(spark, d=[(1, "2", None, None, dict(kind="text-replace", find="(", replacement="x", regex=True)), (1, "2", None, None, dict(kind="text-replace", replacement="x")), (1, "2", None, None, dict(kind="font-size-set")), (1, "3", None, None, dict(kind="shape-reposition")), (1, "2", None, None, dict(kind="title-rewrite"))])
     rows = deck_rows(files)
     assert [as_dict(r) for r in patched(rows, plan).collect()] == [as_dict(r) for r in rows.collect()]
     assert patched(rows.limit(0), plan).count() == 0
