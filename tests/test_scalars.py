@@ -45,3 +45,11 @@ def test_nearest_colour(spark):
 def test_shortened_fits(spark, texts, most):
     for x in one(spark, S.shortened(F.col("x"), F.lit(most)), *texts):
         assert len(x) <= most and not x.endswith((".", ",", ";"))
+
+
+def test_decimals_make_code_that_the_jvm_compiles(spark):
+    """Methods over 8,000 bytes are never compiled, only interpreted."""
+    rows = spark.range(10).select(F.col("id").cast("double").alias("x")).select(S.fixed(F.col("x") / 7), S.fixed(F.col("x") * 1e6 / 3))
+    tool = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    codes = tool.codegenStringSeq(rows._jdf.queryExecution().executedPlan())
+    assert codes.size() and max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8_000
