@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decklake.sources.scratch import scratch, shared_dir, stored
+from decklake.sources.scratch import scratch, shared_dir, small_batches, stored
 
 __all__ = ["bound", "cut", "hot_join", "is_small", "running", "scratch", "shared_dir", "small_batches", "small_side", "stored", "table", "whole_text"]
 
@@ -55,14 +55,6 @@ def hot_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], spread
     return a.join(b, [*keys, salt], "left").drop(salt)
 
 
-def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Bounds the session's Arrow batches to ``size`` bytes, as Python holds whole texts of a batch at once."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name).rstrip("b")
-    if not now.isdigit() or not 0 < int(now) <= size:
-        spark.conf.set(name, str(size))
-
-
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
