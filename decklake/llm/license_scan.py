@@ -8,6 +8,8 @@ merged and the span is verified by the share of the template's k-grams that it h
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,12 +87,16 @@ def licenses(docs: DataFrame, templates=TEMPLATES, phrases: dict[str, str] = PHR
     """
     places = template_places(docs.sparkSession, templates, k)
     words = F.split(F.trim("line"), " ")
-    wanted = sorted({_hash(" ".join(w[i : i + k])) for _, t in templates for w in [template_words(t)] for i in range(len(w) - k + 1)})
+    grams = {tuple(w[i : i + k]) for _, t in templates for w in [template_words(t)] for i in range(len(w) - k + 1)}
+    wanted = sorted({_hash(" ".join(g)) for g in grams})
+    of_place = [sorted({g[j] for g in grams}) for j in range(k)]
     kind = "array<struct<word:int,gram_hash:bigint>>"
     itself = F.array(F.struct(F.lit(-1).alias("word"), F.lit(None).cast("bigint").alias("gram_hash")))
 
     def rolling(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(i.alias("word"), F.xxhash64(F.concat_ws(" ", F.slice(w, i + 1, F.lit(k)))).alias("gram_hash")))
+        # few places have words that k-grams of templates have there, and only those are hashed
+        likely = F.filter(F.sequence(F.lit(0), F.size(w) - k), lambda i: reduce(and_, (F.get(w, i + j).isin(of_place[j]) for j in range(k))))
+        grams = F.transform(likely, lambda i: F.struct(i.alias("word"), F.xxhash64(F.concat_ws(" ", F.slice(w, i + 1, F.lit(k)))).alias("gram_hash")))
         return F.concat(itself, F.when(F.size(w) >= k, F.filter(grams, lambda g: g["gram_hash"].isin(wanted))).otherwise(F.array().cast(kind)))
 
     key = ["doc_id", "text_hash", "n_words", "n_base", "first_word", "last_word", "base_set"]
