@@ -7,6 +7,8 @@ first and by whole sets for those that may be near; others branch again. Indepen
 
 Groups of near copies would branch for long. So nodes are stars at first: each set is verified against its node's centre, one of its
 sets that the node's hash picks, and a node whose sets are all linked already has nothing more to say, as only reachability counts.
+Families of near misses stay together in every tree. They branch by what each set has that a typical one of them has not, since
+sets that are alike share some of that, while others hardly do.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from math import ceil, inf, log
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decklake.llm.common import BROADCAST_ROWS, hot_join, small_batches, small_side, stored, whole_text
@@ -27,12 +29,14 @@ from decklake.llm.simhash import components
 #: Words of a shingle; hundredths of shared shingles from which sets are linked; tokens of a sketch, and those by which nodes
 #: branch; share of pairs at just that similarity that trees must bring together at depth ``DEPTH``; sets beside a node's largest
 #: linked group up to which it is compared exhaustively; sets of that group in one share of it; and most steps of two levels:
-#: after them, or where a step has not halved the pairs of larger nodes, all nodes are compared.
+#: after them, or where a step has not halved the pairs of larger nodes, those branch by differences.
 WORDS, SIMILAR, TOKENS, BRANCHING, RECALL, DEPTH, PILE, SHARE, LEVELS = 5, 85, 128, 64, 0.999, 4, 192, 512, 16
 #: Hundredths of nodes that branch twice, so that a pair at the threshold has about one common child on average.
 TWICE = 18
 #: Standard deviations that a sketch's agreement may fall short of the threshold.
 SLACK = 3.0
+#: Sets by which the typical tokens of a node are told (about so many, by their hash; they only choose its centre).
+TYPICAL = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,17 +126,20 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((a[part] == b[part]).sum(axis=-1) for part in ("branching", "other"))
 
 
-def stars(rows: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """(a, b): each set with the centre of its node, where their sketches agree in at least so many places."""
-
+def _agreed(x: str, y: str) -> Column:
     @F.pandas_udf("int")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(agreement(_unpacked(x), _unpacked(y)), dtype="int32")
 
+    return agree(x, y)
+
+
+def stars(rows: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """(a, b): each set with the centre of its node, where their sketches agree in at least so many places."""
     pairs = rows.where("digest <> centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()
     pairs = stored(pairs.join(sketches.select(F.col("digest").alias("b"), F.col("tokens").alias("b_tokens")), "b"), "minhash-stars")
     both = hot_join(pairs, sketches.select(F.col("digest").alias("a"), "tokens"), "a", F.col("b"), small=False)
-    return both.where(agree("tokens", "b_tokens") >= least).select("a", "b")
+    return both.where(_agreed("tokens", "b_tokens") >= least).select("a", "b")
 
 
 def dealt(rows: DataFrame, most: int = PILE, share: int = SHARE) -> DataFrame:
@@ -277,6 +284,80 @@ def grown(level: DataFrame, sketches: DataFrame) -> DataFrame:
     return branched(branched(level.join(sketches, "digest"))).select("node", "digest", "comp")
 
 
+def centres(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(node, centre, comp): of the sets of each node in ``rows(node, digest, comp)`` the one that has most of its typical tokens."""
+
+    @F.pandas_udf("binary")
+    def commonest(tokens: pd.Series) -> bytes:
+        x, out = _unpacked(tokens), np.zeros(1, dtype=_SKETCH)
+        for part in _SKETCH.names:
+            for j in range(x[part].shape[1]):
+                values, n = np.unique(x[part][:, j], return_counts=True)
+                out[part][0, j] = values[n.argmax()]
+        return out.tobytes()
+
+    every = stored(rows.join(sketches, "digest"), "minhash-family")
+    sizes = every.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / TYPICAL).alias("step"))
+    some = hot_join(every, stored(sizes, "minhash-family-sizes"), "node", F.col("digest")).where(F.pmod(F.xxhash64("digest", "node"), F.col("step")) == 0)
+    typical = stored(some.groupBy("node").agg(commonest("tokens").alias("typical")), "minhash-typical")
+    told = hot_join(every, typical, "node", F.col("digest"))
+    score = _agreed("tokens", F.coalesce("typical", "tokens")).alias("score")
+    best = told.select("node", F.struct(score, "digest", "comp").alias("s")).groupBy("node").agg(F.max("s").alias("s"))
+    return best.select("node", F.col("s.digest").alias("centre"), F.col("s.comp").alias("comp"))
+
+
+def prefix(items: np.ndarray, centre: np.ndarray, least: int, similar: int = SIMILAR) -> tuple[bool, bool, np.ndarray]:
+    """(near, open, tokens): whether a set is similar to the centre; whether it may be similar to a set of ``least`` or more items
+    though no token that the centre lacks is in both; and the first of its tokens that the centre lacks.
+
+    Sets A and B that are similar share at least r = similar * (|A| + |B|) / (100 + similar) items, of which the centre has no more
+    than it shares with A. So r less those are shared tokens that the centre lacks. In any one order of the tokens all but so many
+    less one of each set hold one that is shared. A pair of two open sets need not have one; all others do.
+    """
+    lacking = items[~np.isin(items, centre, assume_unique=True)]
+    n, shared = len(items), len(items) - len(lacking)
+    near = 100 * shared >= similar * (n + len(centre) - shared)
+    other = max(least, -(-similar * n // 100))
+    must = -(-similar * (n + other) // (100 + similar)) - shared
+    return near, must < 1, lacking[: max(0, len(lacking) - max(must, 1) + 1)]
+
+
+def differing(rows: DataFrame, sketches: DataFrame, found: DataFrame, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of centres to sets of their nodes in ``rows(node, digest, comp)``, and children (node, digest, comp) in which each pair
+    of a node's sets that is similar and still in two groups meets, by ``found(digest, items)``.
+
+    A child holds the sets that have a token (of their ``prefix``) that the centre lacks, another one the open ones.
+    """
+
+    @F.pandas_udf("near boolean, open boolean, tokens array<bigint>")
+    def parts(items: pd.Series, centre: pd.Series, least: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([prefix(*x, similar) for x in zip(items, centre, least)], columns=["near", "open", "tokens"])
+
+    whole = stored(rows.join(found, "digest"), "minhash-whole")
+    middle = stored(centres(rows, sketches).withColumnRenamed("comp", "main"), "minhash-centres")
+    middle = middle.join(found.select(F.col("digest").alias("centre"), F.col("items").alias("c_items")), "centre")
+    middle = stored(middle.join(whole.groupBy("node").agg(F.min(F.size("items")).alias("least")), "node"), "minhash-centres")
+    both = hot_join(whole, middle, "node", F.col("digest"))
+    both = stored(both.select("node", "digest", "comp", "centre", "main", parts("items", "c_items", "least").alias("p")).select("*", "p.*").drop("p"), "minhash-parts")
+    links = both.where(F.col("near") & (F.col("digest") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("digest").alias("b"))
+    comp = F.when(F.col("near"), F.col("main")).otherwise(F.col("comp")).alias("comp")
+    by = F.transform("tokens", lambda t: F.xxhash64("node", t))
+    nodes = F.when(F.col("open"), F.concat(by, F.array(F.xxhash64("node", F.lit("open"))))).otherwise(by)
+    return links, both.select(F.explode(nodes).alias("node"), "digest", comp)
+
+
+def parted(level: DataFrame) -> tuple[DataFrame, float | None]:
+    """``level(node, digest, comp)`` without nodes of one group, with the largest group of each node (top, main, major: its sets, minor:
+    the others), and the pairs of nodes of more than ``PILE`` others, None if there are none."""
+    sizes = level.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
+    sizes = stored(sizes.where(F.col("n") > F.col("top.n")).select("node", F.col("top.comp").alias("top"), F.col("top.n").alias("major"), (F.col("n") - F.col("top.n")).alias("minor")), "minhash-sizes")
+    # rows of a fixed width, so that their count bounds their bytes
+    pairs = F.when(F.col("minor") > PILE, F.col("minor").cast("double") * (F.col("major") + F.col("minor")))
+    have = sizes.agg(F.count(F.lit(1)).alias("nodes"), F.sum(pairs).alias("pairs")).first()
+    here = hot_join(level, sizes, "node", F.col("digest"), small=have.nodes <= BROADCAST_ROWS // 2).where("top is not null")
+    return stored(here.select("node", "digest", "comp", "top", (F.col("comp") == F.col("top")).alias("main"), "major", "minor"), "minhash-nodes"), have.pairs
+
+
 def linked(docs: DataFrame, sets: DataFrame, similar: int = SIMILAR, words: int = WORDS) -> DataFrame:
     """Links (a, b) of ``sets(digest, tokens, first)`` that join all sets of ``docs`` that can reach each other over similar ones."""
     s = similar / 100
@@ -290,28 +371,42 @@ def linked(docs: DataFrame, sets: DataFrame, similar: int = SIMILAR, words: int
     starred = stored(verified(likely, wholes(_digests(likely, "a", "b"), docs, sets, words), similar), "minhash-links")
     groups = stored(components(starred).select(F.col("node").alias("digest"), "root"), "minhash-groups")
     level = stored(hot_join(alive.select("node", "digest"), groups, "digest", F.col("node")).select("node", "digest", F.coalesce("root", "digest").alias("comp")), "minhash-level")
-    piles, work = [], inf
+    piles, work, links = [], inf, [starred]
+    small, large = F.col("minor") <= PILE, F.col("minor") > PILE
     for depth in range(LEVELS):
-        sizes = level.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"))
-        sizes = stored(sizes.where(F.col("n") > F.col("top.n")).select("node", F.col("top.comp").alias("top"), F.col("top.n").alias("major"), (F.col("n") - F.col("top.n")).alias("minor")), "minhash-sizes")
-        # rows of a fixed width, so that their count bounds their bytes
-        pairs = F.when(F.col("minor") > PILE, F.col("minor").cast("double") * (F.col("major") + F.col("minor")))
-        have = sizes.agg(F.count(F.lit(1)).alias("nodes"), F.sum(pairs).alias("pairs")).first()
-        here = hot_join(level, sizes, "node", F.col("digest"), small=have.nodes <= BROADCAST_ROWS // 2).where("top is not null")
-        here = stored(here.select("node", "digest", "comp", (F.col("comp") == F.col("top")).alias("main"), "major", "minor"), "minhash-nodes")
+        here, pairs = parted(level)
+        piles.append(here.where(small))
         # nodes whose sets stay together are near misses of each other: branching on would only repeat them
-        last = depth + 1 == LEVELS or not have.pairs or have.pairs > work / 2
-        work = have.pairs
-        piles.append(here if last else here.where(F.col("minor") <= PILE))
+        last = depth + 1 == LEVELS or not pairs or pairs > work / 2
+        work = pairs
         if last:
             break
-        level = stored(grown(here.where(F.col("minor") > PILE).select("node", "digest", "comp"), sketches), "minhash-level")
+        level = stored(grown(here.where(large).select("node", "digest", "comp"), sketches), "minhash-level")
+    if work:
+        # nodes of all trees with the same main group hold the same family: each of its sets counts once
+        rest = here.where(large)
+        family = stored(rest.select(F.xxhash64("top").alias("node"), "digest", "comp").distinct(), "minhash-families")
+        found, most = wholes(_digests(family, "digest"), docs, sets, words), work / 2
+        for _ in range(LEVELS):
+            more, level = differing(family, sketches, found, similar)
+            links.append(more)
+            here, pairs = parted(stored(level, "minhash-level"))
+            if pairs and pairs >= most:
+                piles.append(rest)
+                break
+            piles.append(here.where(small))
+            if not pairs:
+                break
+            rest, most = here.where(large), pairs
+            family = rest.select("node", "digest", "comp")
+        else:
+            piles.append(rest)
     slack = SLACK * (s * (1 - s) / TOKENS) ** 0.5
     near = stored(compared(dealt(reduce(DataFrame.union, piles)).join(sketches, "digest"), ceil((s - slack) * TOKENS)), "minhash-near")
     pairs, dense = stored(near.where("pile is null").select("a", "b").distinct(), "minhash-near-pairs"), near.where("pile is not null")
     found = wholes(_digests(pairs, "a", "b").union(dense.select("a")), docs, sets, words)
     packed = dense.select("pile", "role", F.col("a").alias("digest"), F.col("b").alias("comp")).join(found, "digest")
-    return starred.union(verified(pairs, found, similar)).union(confirmed(packed, similar))
+    return reduce(DataFrame.union, [*links, verified(pairs, found, similar), confirmed(packed, similar)])
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR, words: int = WORDS) -> DataFrame:

@@ -92,6 +92,44 @@ def test_dealt_piles_hold_every_pair_once_at_least(spark):
         assert need <= met and max(map(len, piles.values())) < 2.5 * (most + share) + 30
 
 
+def test_near_misses_do_not_meet_in_every_pile(spark, monkeypatch):
+    """A family of copies that are alike, though hardly any two enough: rows to compare grow with it, not with its square."""
+    rows_in, compared = [], minhash.compared
+    monkeypatch.setattr(minhash, "PILE", 16)
+    monkeypatch.setattr(minhash.dealt, "__defaults__", (16, 64))
+    monkeypatch.setattr(minhash, "compared", lambda piles, least: rows_in.append(piles.count()) or compared(piles, least))
+    random.seed(16)
+    base = [word() for _ in range(120)]
+    rows = [(i, " ".join(near(base, random.choice([0, 1, 3, 4, 4, 5, 5])))) for i in range(480)]
+    # copies of the first rows with one word more exchanged, so that links lie outside the centre's group, too
+    rows += [(1000 + i, " ".join(near(t.split(), 1))) for i, t in rows[:40]]
+    assert got(docs(spark, *rows)) == slow(rows)
+    # all pairs of the family in piles of 16: 76 rows a set
+    assert rows_in[0] < 8 * len(rows), rows_in
+
+
+def test_similar_sets_share_a_differing_token_or_are_open():
+    random.seed(17)
+    base = list(range(200))
+    for similar in (85, 60):
+        pool = []
+        for _ in range(160):
+            at = sorted(random.sample(base, random.choice([200, 199, 195, 190, 180, 171, 165, 150, 120])))
+            pool.append(at + random.sample(range(200, 230), random.choice([0, 0, 1, 3, 8, 16, 30])))
+        pool += [base[: 100 + 5 * i] for i in range(20)]
+        pool = [np.unique(np.array(x, dtype=np.int64) * 0x9E3779B97F4A7 % (1 << 61)) for x in pool]
+        links = 0
+        for centre in (pool[0], pool[-1], pool[170]):
+            parts = [minhash.prefix(x, centre, min(map(len, pool)), similar) for x in pool]
+            for i, a in enumerate(pool):
+                assert parts[i][0] == (100 * len(np.intersect1d(a, centre)) >= similar * len(np.union1d(a, centre)))
+                for j, b in enumerate(pool[:i]):
+                    if 100 * len(np.intersect1d(a, b)) >= similar * len(np.union1d(a, b)):
+                        links += 1
+                        assert parts[i][1] and parts[j][1] or set(parts[i][2].tolist()) & set(parts[j][2].tolist())
+        assert links > 100
+
+
 def test_branches_keep_like_sets_together(spark):
     random.seed(14)
     factors = minhash._factors(minhash.TOKENS)
