@@ -21,3 +21,8 @@ def test_a_rule_that_fails_gives_no_result(spark, said, monkeypatch):
     with pytest.raises(AnalysisException) as error:
         decks.deck_summary(spark, said)
     assert any("bullet-punct" in n for n in error.value.__notes__)
+
+
+def test_titles_are_judged_by_punctuation_and_length(spark, said):
+    found = sorted(tuple(r) for r in decks.deck_title_findings(spark, said).collect())
+    assert found == [(0, 1, "title-punct"), (0, 3, "title-lines"), (7, 1, "title-lines"), (7, 1, "title-punct")]
